@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import tokens
+from . import mixing, tokens
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +18,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_token_files": op3_token_files}
+    return {"op1_mix_sources": op1_mix_sources, "op3_token_files": op3_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
