@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, tokens
-from .common import read_table
+from . import langid, matroska, mixing, tokens
+from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +27,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held = id_remainder(F.col("doc_id"), 5) == 0
+    return langid.identify(docs, langid.train(docs, 5)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_media(matroska.store_texts(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_mix_sources": op1_mix_sources, "op3_token_files": op3_token_files}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op5_language_id, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
