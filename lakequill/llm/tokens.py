@@ -23,10 +23,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,13 +36,14 @@ from .common import arrow_batch, arrow_schema, cut, fresh_dir, open_fs
 
 BLOCK = 1024
 PERCENTILE = 0.92
-CHUNK_CHARS = 4_000_000
-CACHE_UNITS = 500_000
+CHUNK_CHARS = 8_000_000
+CACHE_UNITS = 600_000
 HEAD, TAIL = b"PFRB", b"PFRE"
 _FOOT = struct.Struct("<QQQQ4s")
-#: Texts with runs of white space, rare white space, special tokens or letters beyond the Latin blocks are encoded whole.
-_ODD = ("  ", "\n ", " \n", "\n\n", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0")
-_WIDE = re.compile("[^\x00-\u024f]")
+#: Texts with runs of white space, rare white space, special tokens or letters beyond these Latin blocks are encoded whole.
+_WHOLE = r"  | \n|\n |\n\n|<\||[\x00\t\r\x0b\x0c\x1c-\x1f]|[^\x00-\x7f\x{c0}-\x{24f}]"
+#: How the vocabulary's pre-tokenizer parts all other texts.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class _Index(dict):
@@ -52,8 +54,11 @@ class _Index(dict):
         return n
 
 
-def _whole(text: str) -> bool:
-    return any(x in text for x in _ODD) or not text.isascii() and bool(_WIDE.search(text))
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -67,90 +72,92 @@ def encoder(path: str) -> "Encoder":
 
 
 class Encoder:
-    """Whole-text encoding by the tokenizers library, which sees each distinct piece between spaces once.
+    """Whole-text encoding by the tokenizers library, whose model sees each distinct word once.
 
-    The vocabulary's pre-tokenizer always parts a text before a lone space, so the ids of a text are those of its pieces
-    one after the other. Texts with runs of white space, special tokens or letters beyond Latin are encoded in one call.
+    A byte-level BPE model never merges across the parts that its pre-tokenizer makes, and that always parts a text
+    before a lone space. So the ids of a text are those of its pieces between spaces, and theirs those of their parts.
+    Texts that aren't so plain are encoded by the library in one call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        self.spaced[[i for piece, i in vocab.items() if piece[0] == "\u0120"]] = True
+        self.letters = _byte_letters()
         self.reset()
 
     def reset(self) -> None:
         self.index = _Index()
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forgets the pieces that came in one portion only."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > CACHE_UNITS // 2:
+            self.reset()
+            return
+        names = list(self.index)
+        first, count = self.first[keep], self.count[keep]
+        ends = np.cumsum(count)
+        src = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
+        self.ids, self.first, self.count = self.ids[src], ends - count, count
+        self.index, self.parts = _Index(zip([names[k] for k in keep], range(len(keep)))), {}
+        self.seen = np.ones(len(keep), np.int64)
 
     def _add(self, keys: list[str]) -> None:
-        """Gives ids to new pieces. A key that starts with the mark is a text's first piece and has no space before.
-
-        Other pieces are encoded as one text, in which just the first token of each piece starts with a space.
-        """
-        parts, sizes = [self.ids], np.zeros(len(keys), np.int64)
-        lone = [i for i, k in enumerate(keys) if not k or k[0] == "\0"]
-        for i, e in zip(lone, self.tokenizer.encode_batch_fast([keys[i][1:] if keys[i] else " " for i in lone], add_special_tokens=False)):
-            sizes[i] = len(e.ids)
-            parts.append(np.array(e.ids, np.uint32))
-        rest = [i for i, k in enumerate(keys) if k and k[0] != "\0"]
-        order = lone + rest
-        texts = ["".join([" " + keys[i] for i in rest[j : j + 10_000]]) for j in range(0, len(rest), 10_000)]
-        for j, text in enumerate(texts):
-            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            begins = np.flatnonzero(self.spaced[got])
-            own = rest[j * 10_000 : (j + 1) * 10_000]
-            if len(begins) != len(own):
-                raise ValueError("this vocabulary joins pieces across a space")
-            sizes[own] = np.diff(np.append(begins, len(got)))
-            parts.append(got)
-        rank = np.empty(len(keys), np.int64)
-        rank[order] = np.arange(len(keys))
-        ends = np.cumsum(sizes[order]) + len(self.ids)
-        self.ids = np.concatenate(parts)
-        self.first = np.concatenate([self.first, (ends - sizes[order])[rank]])
+        """Gives ids to new pieces. A key that starts with the mark is a text's first piece and has no space before."""
+        known, tokenize, letters, flat, sizes = self.parts, self.tokenizer.model.tokenize, self.letters, [], []
+        for key in keys:
+            text = key[1:] if key[:1] == "\0" else " " + key
+            before = len(flat)
+            for part in (text,) if key.isalpha() else _PARTS.findall(text):
+                got = known.get(part)
+                if got is None:
+                    got = known[part] = [t.id for t in tokenize(part.encode().decode("latin-1").translate(letters))]
+                flat += got
+            sizes.append(len(flat) - before)
+        sizes = np.array(sizes, np.int64)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
         self.count = np.concatenate([self.count, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(keys), np.int64)])
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed by id 0, and the number of ids of each with its end."""
         if len(self.index) > CACHE_UNITS:
-            self.reset()
-        index, seqs, whole = self.index, [], {}
-        known = len(index)
-        for k, text in enumerate(texts):
-            if not text:
-                seqs.append([])
-            elif _whole(text):
-                whole[k] = text
-                seqs.append([])
-            else:
-                units = text.split(" ")
-                units[0] = "\0" + units[0]
-                seqs.append(units)
-        flat = list(chain.from_iterable(seqs))
-        unit = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
+            self.shrink()
+        index, known = self.index, len(self.index)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(pc.if_else(pa.array(~odd), texts, ""), " ")
+        per = pc.list_value_length(pieces).to_numpy()
+        stop = np.cumsum(per)
+        flat = pc.list_flatten(pieces)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        place = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        unit = place[coded.indices.to_numpy()]
+        begin = stop - per  # each text has a piece at least
+        unit[begin] = [index["\0" + x] for x in flat.take(pa.array(begin)).to_pylist()]
         if len(index) > known:
             self._add(list(islice(index, known, None)))
+        self.seen[place] += 1
         sizes = self.count[unit]
         ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        src = np.arange(total) + np.repeat(self.first[unit] - (ends - sizes), sizes)
+        src = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[unit] - (ends - sizes), sizes)
         ids = self.ids[src]
-        per = np.array([len(s) for s in seqs], np.int64)
-        stop = np.cumsum(per)
         upto = np.concatenate([[0], ends])
-        n = upto[stop] - upto[stop - per]
-        if not whole:
-            at = np.cumsum(n)
-            return np.insert(ids, at, 0), n + 1
-        got = dict(zip(whole, (e.ids for e in self.tokenizer.encode_batch_fast(list(whole.values()), add_special_tokens=False))))
+        n = upto[stop] - upto[begin]
+        if not odd.any():
+            return np.insert(ids, np.cumsum(n), 0), n + 1
+        at_odd = np.flatnonzero(odd)
+        got = dict(zip(at_odd.tolist(), (e.ids for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(at_odd)).to_pylist(), add_special_tokens=False))))
         parts, at = [], 0
-        for k in range(len(texts)):
+        for k in range(len(n)):
             own = np.array(got[k], np.uint32) if k in got else ids[at : at + n[k]]
             at += n[k]
             n[k] = len(own)
@@ -300,15 +307,17 @@ _MANIFEST, _MANIFEST_ARROW = arrow_schema("part int, path string, docs long, ids
 _OUT, _OUT_ARROW = arrow_schema("doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
     """Ids and texts of about CHUNK_CHARS at a time."""
     for batch in batches:
-        texts, begin, held = batch.column("text").to_pylist(), 0, 0
-        for k, t in enumerate(texts):
-            held += len(t or "")
-            if held >= CHUNK_CHARS or k == len(texts) - 1:
-                yield batch.column("doc_id").slice(begin, k + 1 - begin), texts[begin : k + 1]
-                begin, held = k + 1, 0
+        ids, texts = batch.column("doc_id"), batch.column("text")
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(ids):
+            held = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, held + CHUNK_CHARS, "right")))
+            yield ids.slice(begin, end - begin), texts.slice(begin, end - begin)
+            begin = end
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
