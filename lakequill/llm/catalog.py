@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, matroska, mixing, sharding, tokens
+from . import langid, matroska, mixing, pii, sharding, tokens
 from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs, 5)).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
 def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(read_table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op5_language_id, op7_size_tiered_shards, op9_media_columns)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op5_language_id, op6_personal_data, op7_size_tiered_shards, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
