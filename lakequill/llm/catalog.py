@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, matroska, mixing, pii, sharding, tokens
+from . import langid, lm, matroska, mixing, pii, sharding, tokens
 from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_all(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -46,7 +50,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_token_files, op5_language_id, op6_personal_data, op7_size_tiered_shards, op9_media_columns)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op5_language_id, op6_personal_data, op7_size_tiered_shards, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
