@@ -36,7 +36,7 @@ from .common import arrow_batch, arrow_schema, cut, fresh_dir, open_fs
 
 BLOCK = 1024
 PERCENTILE = 0.92
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 12_000_000
 CACHE_UNITS = 600_000
 HEAD, TAIL = b"PFRB", b"PFRE"
 _FOOT = struct.Struct("<QQQQ4s")
@@ -111,10 +111,17 @@ class Encoder:
     def _add(self, keys: list[str]) -> None:
         """Gives ids to new pieces. A key that starts with the mark is a text's first piece and has no space before."""
         known, tokenize, letters, flat, sizes = self.parts, self.tokenizer.model.tokenize, self.letters, [], []
+        space = letters[32]
         for key in keys:
-            text = key[1:] if key[:1] == "\0" else " " + key
+            if key.isalpha():  # one part with its space
+                got = known.get(" " + key)
+                if got is None:
+                    got = known[" " + key] = [t.id for t in tokenize(space + (key if key.isascii() else key.encode().decode("latin-1").translate(letters)))]
+                flat += got
+                sizes.append(len(got))
+                continue
             before = len(flat)
-            for part in (text,) if key.isalpha() else _PARTS.findall(text):
+            for part in _PARTS.findall(key[1:] if key[:1] == "\0" else " " + key):
                 got = known.get(part)
                 if got is None:
                     got = known[part] = [t.id for t in tokenize(part.encode().decode("latin-1").translate(letters))]
