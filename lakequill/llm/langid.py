@@ -90,8 +90,8 @@ def train(docs: DataFrame, folds: int = 5) -> Model:
     if not per:
         return Model({}, {})
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, 2.0 * (SAMPLE_DOCS + 50) / n))]), F.col("l"))
-    labelled = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1_000_003)) < share * 1_000_003)
-    w = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i"), F.lit(1_000_003)), F.xxhash64("i"), F.xxhash64("t"))
+    labelled = labelled.where(F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)) < share * 1_000_003)
+    w = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)), F.xxhash64("i", "t"))
     rows = labelled.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).select("l", "k", "t").collect()  # bounded a language
     samples: dict[str, bytearray] = {}
     counts: dict[str, int] = {}
