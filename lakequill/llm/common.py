@@ -102,3 +102,50 @@ def arrow_schema(ddl: str) -> tuple[str, pa.Schema]:
 def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     """A record batch of columns given as lists, numpy or Arrow arrays."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+BITS = 1 << 22
+
+
+def row_key(*columns: str) -> Column:
+    """A hash that rows of equal columns share."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+
+
+def key_bitmap(keys: DataFrame, column: str):
+    """A bitmap of BITS bits (512 KiB, whatever the number of keys) that has each key's bit set; 1 where all are."""
+    import numpy as np
+
+    def mark(batches):
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() % BITS] = True
+        packed = np.packbits(bits)
+        for k in range(0, len(packed), 4096):
+            if packed[k : k + 4096].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // 4096], pa.int32()), pa.array([packed[k : k + 4096].tobytes()], pa.binary())], names=["k", "bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    merged = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(mark, "k int, bits binary")
+
+    def union(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+
+    for r in merged.groupBy("k").applyInPandas(union, "k int, bits binary").collect():  # 128 rows of 4 KiB at most
+        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def in_bitmap(bitmap, key: Column) -> Column:
+    """Whether a key may be among those of a bitmap; never False for one of them."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def maybe(keys):
+        place = keys.to_numpy(np.int64) % BITS
+        return pd.Series((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return maybe(key)
