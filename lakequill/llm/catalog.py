@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, matroska, mixing, pii, sharding, tokens
+from . import decontam, langid, lm, matroska, mixing, neardup, pii, sharding, tokens
 from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.placed(read_table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), 0.85)
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_media(matroska.store_texts(read_table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op5_language_id, op6_personal_data, op7_size_tiered_shards, op9_media_columns, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
