@@ -33,9 +33,10 @@ from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, row_k
 
 WINDOW, STRIDE = 32, 16
 BLOCK_ITEMS = 512
+PORTION_BYTES = 6_000_000
 FIT_PASSAGES = 40_000
 EXTRA_RANK = 32
-#: A word in more than this share of passages says nothing.
+#: A word that occurs more often than this share of passages says nothing.
 MOST_COMMON = 0.02
 COSINE = 0.45
 #: Share of an item's words in common order that is a leak by itself, and with the answer present.
@@ -117,33 +118,57 @@ class Space:
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1.0)
 
-    def terms(self, flat: pa.Array) -> np.ndarray:
-        coded = flat.dictionary_encode()
-        place = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.vocabulary), -1).to_numpy()
-        return place[coded.indices.to_numpy()]
+    def terms(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the row and term (-1 beyond the vocabulary) of each word.
+
+        Distinct pieces between white space are cut into words once; their words then take the pieces' places.
+        """
+        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+        coded = pc.list_flatten(pieces).dictionary_encode()
+        code = coded.indices.to_numpy()
+        owner, _, flat = words_of(coded.dictionary)
+        term = pc.fill_null(pc.index_in(flat, value_set=self.vocabulary), -1).to_numpy()
+        per = np.bincount(owner, minlength=len(coded.dictionary))
+        first = np.cumsum(per) - per
+        if per.max(initial=0) <= 1:
+            on = per[code] > 0
+            row, term = row[on], term[first[code[on]]]
+        else:
+            n = per[code]
+            ends = np.cumsum(n)
+            row = np.repeat(row, n)
+            term = term[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[code] - (ends - n), n)]
+        size = np.bincount(row, minlength=len(texts))
+        return row, np.arange(len(row)) - (np.cumsum(size) - size)[row], term
 
     def passages(self, texts: pa.Array, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row and number of each passage whose share of benchmark words is least or more; entry starts, terms, values."""
-        row, pos, flat = words_of(texts)
+        row, pos, term = self.terms(texts)
         none = np.zeros(0, np.int64)
         if not len(row):
             return none, none, none, none, np.zeros(0, np.float32)
-        term = self.terms(flat)
-        cell = pos // STRIDE
-        wide = int(cell.max()) + 2
-        code = row * np.int64(wide) + cell
-        # words of a passage by kind: those of its cell and of the next one
-        cells, at = np.unique(code, return_inverse=True)
-        value = np.where(term >= 0, self.idf[np.maximum(term, 0)], self.other)
-        outside = np.bincount(at, term < 0, len(cells))
+        wide = int(pos.max()) // STRIDE + 2
+        code = row * np.int64(wide) + pos // STRIDE  # cells ascend
+        fresh = np.append(True, code[1:] != code[:-1])
+        cells, at = code[fresh], np.cumsum(fresh) - 1
         nxt = np.append(cells[1:] == cells[:-1] + 1, False)
-        outside = outside + np.where(nxt, np.append(outside[1:], 0), 0)
-        on = (term >= 0) & (value > 0)
+
+        def joined(x: np.ndarray) -> np.ndarray:
+            """Of each passage, its own cell and the next."""
+            return x + np.where(nxt, np.append(x[1:], 0), 0)
+
+        idf = self.idf
+        outside = joined(np.bincount(at, term < 0, len(cells)))
+        on = np.flatnonzero((term >= 0) & (idf[term] > 0))
         k, t = at[on], term[on]
-        before = (k > 0) & np.append(False, nxt[:-1])[k]
-        pair = np.unique(np.concatenate([k, k[before] - 1]) * np.int64(len(self.idf)) + np.concatenate([t, t[before]]))
-        p, t = np.divmod(pair, len(self.idf))
-        v = self.idf[t]
+        # no less than the mass of distinct words
+        most = joined(np.bincount(k, idf[t] ** 2, len(cells)))
+        may = (most > 0) & (most >= least * least * (most + outside * self.other**2))
+        own, before = may[k], np.append(False, nxt[:-1] & may[:-1])[k]
+        pair = np.unique(np.concatenate([k[own], k[before] - 1]) * np.int64(len(idf)) + np.concatenate([t[own], t[before]]))
+        p, t = np.divmod(pair, len(idf))
+        v = idf[t]
         mass = np.bincount(p, v * v, len(cells))
         length = np.sqrt(mass + outside * self.other**2)
         keep = (mass > 0) & (np.sqrt(mass) >= least * length)
@@ -169,22 +194,28 @@ _HIT, _HIT_ARROW = arrow_schema("key long, doc_id long, item int, low int, high
 _FOUND, _FOUND_ARROW = arrow_schema("key long, doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about PORTION_BYTES of text, which bounds a task's memory."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PORTION_BYTES, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _frequencies(own: DataFrame, space: Space) -> tuple[np.ndarray, int]:
-    """In how many cells of STRIDE words each benchmark word is, and the number of cells."""
+    """How often each benchmark word occurs, repeats in a row counted once, and the number of cells of STRIDE words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, cells = np.zeros(len(space.vocabulary), np.int64), 0
-        for batch in batches:
-            row, pos, flat = words_of(batch.column("text"))
-            if not len(row):
-                continue
-            term = space.terms(flat)
-            wide = int(pos.max()) // STRIDE + 1
-            code = row * np.int64(wide) + pos // STRIDE
-            cells += int((code[1:] != code[:-1]).sum()) + 1
+        for batch in _portions(batches):
+            row, pos, term = space.terms(batch.column("text"))
+            cells += int((pos % STRIDE == 0).sum())
             on = term >= 0
-            pair = np.unique(code[on] * np.int64(len(out)) + term[on])
-            out += np.bincount(pair % len(out), minlength=len(out))
+            on[1:] &= (term[1:] != term[:-1]) | (row[1:] != row[:-1])
+            out += np.bincount(term[on], minlength=len(out))
         on = np.flatnonzero(out)
         yield arrow_batch(_TERM_ARROW, np.append(on, -1).astype(np.int32), np.append(out[on], cells))
 
@@ -194,7 +225,7 @@ def _frequencies(own: DataFrame, space: Space) -> tuple[np.ndarray, int]:
             cells = r["n"]
         else:
             df[r["term"]] = r["n"]
-    return df, cells
+    return np.minimum(df, cells), cells
 
 
 def _summed(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -212,7 +243,7 @@ def fit(own: DataFrame, space: Space, passages: int) -> None:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, EXTRA_RANK))
-        for batch in batches:
+        for batch in _portions(batches):
             row, number, start, t, v = space.passages(batch.column("text"))
             if len(start):
                 key = batch.column("key").to_numpy().astype(np.uint64)[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -231,7 +262,7 @@ def fit(own: DataFrame, space: Space, passages: int) -> None:
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((rank, rank))
-        for batch in batches:
+        for batch in _portions(batches):
             _, _, start, t, v = space.passages(batch.column("text"))
             for _, z in space.project(start, t, v, seed32):
                 out += z.T @ z
@@ -252,7 +283,7 @@ def candidates(own: DataFrame, space: Space) -> DataFrame:
     """Documents and items with a passage at COSINE or more: key, doc_id, item (place), low and high (word places)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             row, number, start, t, v = space.passages(batch.column("text"), COSINE)
             best: dict[tuple[int, int], list] = {}
             for k, z in space.project(start, t, v, space.basis):
