@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, matroska, mixing, neardup, pii, sharding, tokens
+from . import decontam, html, langid, lm, matroska, mixing, neardup, pii, sharding, tokens
 from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(spark, read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = id_remainder(F.col("doc_id"), 5) == 0
@@ -58,7 +62,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op4_main_text, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks)}
 
 
 def oracle_sql() -> dict[str, str]:
