@@ -30,7 +30,7 @@ SAMPLE_CHARS = 20_000
 DICT_BYTES = 200_000
 LEVEL = 5
 BLOCK_BYTES = 1024
-JUDGE_BYTES = 64
+JUDGE_BYTES = 400
 MARGIN = 0.0005
 #: Nats a byte of difference is worth in the score.
 SHARPNESS = 0.7

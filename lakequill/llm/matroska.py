@@ -183,6 +183,8 @@ def parse(data: bytes) -> Media:
             else:
                 if begin + size > stop:
                     m.whole = False
+                    if kind in (SIMPLE, BLOCK):
+                        return
                 at = min(begin + size, stop)
                 yield kind, begin, at
 

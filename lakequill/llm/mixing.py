@@ -207,11 +207,11 @@ def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    taken = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("__lq_id"), F.col("size").alias("__lq_size"), F.col("source").alias("__lq_source"), "copies")
-    at = Window.partitionBy("__lq_id", "__lq_size", "__lq_source").orderBy("copies")
+    taken = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("__lq_id"), F.col("size").alias("__lq_size"), F.col("source").alias("__lq_source"), F.col("copies").alias("__lq_copies"))
+    at = Window.partitionBy("__lq_id", "__lq_size", "__lq_source").orderBy("__lq_copies")
     taken = taken.withColumn("__lq_k", F.row_number().over(at))
     own = docs.withColumn("__lq_id", F.col("doc_id").cast("long")).withColumn("__lq_size", word_count(F.col("text"))).withColumn("__lq_source", F.col("source").cast("string"))
     own = own.withColumn("__lq_k", F.row_number().over(Window.partitionBy("__lq_id", "__lq_size", "__lq_source").orderBy(F.xxhash64("text"))))
     o, t = own.alias("o"), taken.alias("t")
     on = F.col("o.__lq_id").eqNullSafe(F.col("t.__lq_id")) & (F.col("o.__lq_size") == F.col("t.__lq_size")) & F.col("o.__lq_source").eqNullSafe(F.col("t.__lq_source")) & (F.col("o.__lq_k") == F.col("t.__lq_k"))
-    return o.join(t, on).withColumn("__lq_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"o.`{c}`").alias(c) for c in docs.columns])
+    return o.join(t, on).withColumn("__lq_copy", F.explode(F.sequence(F.lit(1), F.col("__lq_copies").cast("int")))).select(*[F.col(f"o.`{c}`").alias(c) for c in docs.columns])
