@@ -6,16 +6,19 @@ of retained values give overlaps:
 
 * A list of over LONG_LIST nodes belongs to a passage that many documents share, or to a large group of near copies.
   Documents with such values list all their other retained values as well, and only those made of such values for the
-  most part (under COLD_SHARE others) stay in long lists. A pair of similar documents shares many values, so it meets in
-  a short list, or both are in the long ones.
-* In each list the nodes meet its pivot, the one with the lowest hash; that is a row for each node and list, never all
-  pairs. Pairs pass if the sketch of their union estimates a similarity near the threshold or above, and count once
-  the full sets confirm them. Nodes that are linked are one component; lists within one component are done.
-* After a few rounds with other pivots, short lists whose nodes are still apart emit their remaining pairs. Long lists go
-  on with pivots: each round settles a node of the list against all others, until none is left.
+  most part (under COLD_SHARE others) stay in long lists, with their LISTED_LONG lowest ones. A pair of similar
+  documents shares many values, so it meets in a short list, or both are in the long ones.
+* In each list the nodes meet its pivot: that is a row for each node and list, never all pairs. The first pivot is the
+  most typical node, the one with the largest share of long-list values; the second is drawn by hash. Pairs pass if the
+  sketch of their union estimates a similarity near the threshold or above, and count once the full sets confirm them.
+  Nodes that are linked are one component; lists within one component are done.
+* Lists whose nodes are still apart give the pairs of different components that can be links. In long lists a bound
+  decides that from two numbers for each node, the size of its set and how many of its shingles no other such node
+  has: those can't be shared, so two sets with too many of them are never a pair.
 
 So no link between different texts is lost but by chance: two documents at a similarity of 0.8 have no retained value
-in common with a chance of 0.2 ** 16.
+in common with a chance of 0.2 ** 16; in long lists they have at least 0.5 of those values in common, so the chance is
+0.5 ** 24.
 
 Results for odd input: fewer than WORDS words make one shingle; null, empty and blank texts have an empty set and
 are linked with nothing; rows of equal doc_id are one document with the union of their rows' links; null ids form
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap
@@ -39,10 +42,10 @@ WORDS = 5
 KEEP = 64
 HEAD_BYTES = 64
 LISTED = 16
+LISTED_LONG = 24
 LONG_LIST = 40
 COLD_SHARE = 0.4
-PIVOT_ROUNDS = 3
-ROUND_PAIRS = 2_000_000
+PIVOT_ROUNDS = 2
 #: The estimate may be so far below the threshold (5 standard deviations of a sketch of KEEP values).
 SLACK = 0.25
 
@@ -219,42 +222,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     values = reps.select("doc_id", F.posexplode("sketch").alias("k", "value"))
     long_values = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LONG_LIST).select("value"), "long-values")
     hot = values.join(long_values.withColumn("hot", F.lit(True)), "value", "left").select("doc_id", "k", "value", F.col("hot").isNotNull().alias("hot"))
-    share = hot.groupBy("doc_id").agg(F.avg(F.col("hot").cast("double")).alias("share"))
-    listed = hot.join(share, "doc_id").where(F.when(F.col("share") == 0, F.col("k") < LISTED).when(~F.col("hot"), F.lit(True)).otherwise(F.col("share") > 1 - COLD_SHARE))
-    listed = listed.select("value", "doc_id", "hot")
+    share = hot.groupBy("doc_id").agg(F.avg(F.col("hot").cast("double")).alias("share"), F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("value")))).alias("longs"))
+    share = share.join(reps.select("doc_id", "n"), "doc_id")
+    share = cut(share.select("doc_id", "n", "share", F.when(F.col("share") > 1 - COLD_SHARE, F.slice("longs", 1, LISTED_LONG)).alias("longs")), "shares")
+    own = _private(docs, share.where("longs IS NOT NULL").select("doc_id"))
+    traits = share.join(own, "doc_id", "left").select("doc_id", "n", "share", "longs", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    listed = hot.join(traits, "doc_id").where(F.when(F.col("share") == 0, F.col("k") < LISTED).when(~F.col("hot"), F.lit(True)).otherwise(F.array_contains("longs", F.col("value"))))
     several = listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
-    lists = cut(listed.join(several, "value", "left_semi"), "lists")
-    edges = None
-    label = None
-    seen = None
-    turn = 0
-    while True:
-        live = lists if label is None else lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        live = live.withColumn("comp", F.col("doc_id") if label is None else F.coalesce("comp", "doc_id"))
-        order = F.xxhash64("doc_id", F.lit(turn))
-        spread = live.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("pc"))).alias("pivot"))
-        open_lists = spread.where("c0 != c1").select("value", F.col("pivot.p").alias("p"), F.col("pivot.pc").alias("pc"))
+    lists = cut(listed.join(several, "value", "left_semi").select("value", "doc_id", "hot", "n", "common", "share", F.when(F.col("hot"), F.col("longs")).alias("longs")), "lists")
+    edges = label = seen = None
+    for turn in range(PIVOT_ROUNDS + 1):
+        live = lists.withColumn("comp", F.col("doc_id")) if label is None else lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        order = (F.lit(1.0) - F.col("share")) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)).cast("double")
+        spread = live.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("common").alias("pcommon"))).alias("pivot"))
+        open_lists = spread.where("c0 != c1").select("value", "pivot.p", "pivot.pc", "pivot.pn", "pivot.pcommon")
         if turn < PIVOT_ROUNDS:
-            met = live.join(open_lists, "value").where("comp != pc").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b"))
+            may = _may_link(F.col("l.n"), F.col("r.pn"), F.col("l.common"), F.col("r.pcommon"), F.col("l.hot"), threshold)
+            met = live.alias("l").join(open_lists.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.pc")) & may).select(F.least("l.doc_id", "r.p").alias("a"), F.greatest("l.doc_id", "r.p").alias("b"))
         else:
-            apart = live.join(open_lists.select("value"), "value", "left_semi")
-            left, right = apart.where("NOT hot").alias("l"), apart.where("NOT hot").alias("r")
-            met = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("l.doc_id") < F.col("r.doc_id")) & (F.col("l.comp") != F.col("r.comp"))).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
+            met = _rest(cut(live.join(open_lists.select("value"), "value", "left_semi"), "open-lists"), threshold)
         pairs = met.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        if turn >= PIVOT_ROUNDS:
-            found = _link(pairs, reps, docs, percent, threshold)
-            edges = _plus(edges, found)
-            label = components(edges)
-            break
         found = _link(pairs, reps, docs, percent, threshold)
-        edges = _plus(edges, found)
-        seen = _plus(seen, pairs)
+        edges = found if edges is None else edges.unionByName(found)
+        seen = pairs if seen is None else seen.unionByName(pairs)
         label = components(edges)
-        turn += 1
-    edges, label = _settle_long(lists.where("hot"), reps, docs, edges, label, seen, percent, threshold)
     label = label.select(F.col("node").alias("rep"), F.col("comp"))
     of_class = classes.join(label, "rep", "left").select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp"))
     out = all_rows.select("doc_id", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n"], "left")
@@ -262,10 +256,6 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def _plus(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
-
-
 def _link(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, threshold: float) -> DataFrame:
     if not pairs.limit(1).count():
         return pairs
@@ -275,31 +265,52 @@ def _link(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, thre
     return cut(_confirmed(close, docs, percent), "links")
 
 
-def _settle_long(lists: DataFrame, reps: DataFrame, docs: DataFrame, edges: DataFrame, label: DataFrame, seen: DataFrame, percent: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Goes on with pivots in long lists that still join several components.
+def _may_link(n1, n2, common1, common2, hot, threshold: float):
+    """Whether sets of these sizes can have the threshold. In long lists no more than the common shingles can be shared."""
+    size = F.least(n1, n2) >= F.greatest(n1, n2) * F.lit(threshold - 1e-9)
+    return size & (~hot | (F.least(common1, common2) >= (n1 + n2) * F.lit(threshold / (1 + threshold) - 1e-9)))
+
 
-    A round takes pivots from the components of a list but its largest, compares them with the list's other components,
-    and takes them from the list, which is done when one component is left. A list gives as many pivots a round as keep
-    a round's pairs to about ROUND_PAIRS; the rounds go on until no pair is left out.
+def _rest(live: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components of a list that can be links.
+
+    Long lists leave out pairs within and between members of their largest component, and give a pair in the list of the
+    lowest value that both of its documents list, so that each pair comes once.
     """
-    lists = cut(lists.select("value", "doc_id"), "long-lists")
-    while True:
-        live = cut(lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")), "long-live")
-        sizes = live.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m"))
-        top = cut(sizes.groupBy("value").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("rows")).where("parts > 1").select("value", F.col("top.comp").alias("top"), "rows"), "long-tops")
-        rows = top.agg(F.sum("rows")).first()[0]
-        if not rows:
-            return edges, label
-        each = max(1, ROUND_PAIRS // rows)
-        apart = live.join(top.select("value", "top"), "value")
-        at = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        pivots = cut(apart.where("comp != top").withColumn("k", at).where(F.col("k") <= each).select("value", F.col("doc_id").alias("p"), F.col("comp").alias("pc")), "pivots")
-        pairs = apart.join(pivots, "value").where("comp != pc").select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        found = _link(pairs, reps, docs, percent, threshold)
-        edges, seen = edges.unionByName(found), seen.unionByName(pairs)
-        label = components(edges)
-        lists = cut(lists.join(top.select("value"), "value", "left_semi").join(pivots.select("value", F.col("p").alias("doc_id")), ["value", "doc_id"], "left_anti"), "long-lists")
+    may = _may_link(F.col("l.n"), F.col("r.n"), F.col("l.common"), F.col("r.common"), F.col("l.hot"), threshold)
+    base = (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.comp")) & may
+    short = live.where("NOT hot").select("value", "doc_id", "n", "common", "hot", "comp")
+    pairs = short.alias("l").join(short.alias("r"), base & (F.col("l.doc_id") < F.col("r.doc_id"))).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
+    long = live.where("hot").select("value", "doc_id", "n", "common", "hot", "comp", "longs")
+    top = long.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("t")).select("value", F.col("t.comp").alias("top"))
+    apart = long.join(top, "value").where("comp != top").drop("top")
+    # of two documents outside the largest component, the lower id is on the left
+    side = (F.col("l.doc_id") < F.col("r.doc_id")) | (F.col("r.comp") == F.col("r.top"))
+    once = F.array_min(F.array_intersect("l.longs", "r.longs")) == F.col("l.value")
+    far = apart.alias("l").join(long.join(top, "value").alias("r"), base & side & once).select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
+    return pairs.unionByName(far)
+
+
+_ALONE, _ALONE_ARROW = arrow_schema("value long, doc_id long")
+
+
+def _private(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and alone, the number of shingles that no other of these documents has; nothing for those without."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("doc_id").to_numpy()
+            for i in range(0, len(batch), 1000):
+                row, h = shingle_hashes(batch.column("text").slice(i, 1000))
+                yield arrow_batch(_ALONE_ARROW, h.view(np.int64), own[i + row])
+
+    if not ids.limit(1).count():
+        return ids.withColumn("alone", F.lit(0).cast("long"))
+    bitmap = key_bitmap(ids, "doc_id")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(in_bitmap(bitmap, F.col("doc_id")))
+    values = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, _ALONE)
+    alone = values.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1")
+    return cut(alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone")), "private")
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
