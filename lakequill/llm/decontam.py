@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, row_key
+from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, portions, row_key
 
 WINDOW, STRIDE = 32, 16
 BLOCK_ITEMS = 512
@@ -194,23 +194,12 @@ _HIT, _HIT_ARROW = arrow_schema("key long, doc_id long, item int, low int, high
 _FOUND, _FOUND_ARROW = arrow_schema("key long, doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
-def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about PORTION_BYTES of text, which bounds a task's memory."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
-        i = 0
-        while i < len(batch):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PORTION_BYTES, "right")))
-            yield batch.slice(i, j - i)
-            i = j
-
-
 def _frequencies(own: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     """How often each benchmark word occurs, repeats in a row counted once, and the number of cells of STRIDE words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, cells = np.zeros(len(space.vocabulary), np.int64), 0
-        for batch in _portions(batches):
+        for batch in portions(batches, PORTION_BYTES):
             row, pos, term = space.terms(batch.column("text"))
             cells += int((pos % STRIDE == 0).sum())
             on = term >= 0
@@ -243,7 +232,7 @@ def fit(own: DataFrame, space: Space, passages: int) -> None:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, EXTRA_RANK))
-        for batch in _portions(batches):
+        for batch in portions(batches, PORTION_BYTES):
             row, number, start, t, v = space.passages(batch.column("text"))
             if len(start):
                 key = batch.column("key").to_numpy().astype(np.uint64)[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -262,7 +251,7 @@ def fit(own: DataFrame, space: Space, passages: int) -> None:
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((rank, rank))
-        for batch in _portions(batches):
+        for batch in portions(batches, PORTION_BYTES):
             _, _, start, t, v = space.passages(batch.column("text"))
             for _, z in space.project(start, t, v, seed32):
                 out += z.T @ z
@@ -283,7 +272,7 @@ def candidates(own: DataFrame, space: Space) -> DataFrame:
     """Documents and items with a passage at COSINE or more: key, doc_id, item (place), low and high (word places)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _portions(batches):
+        for batch in portions(batches, PORTION_BYTES):
             row, number, start, t, v = space.passages(batch.column("text"), COSINE)
             best: dict[tuple[int, int], list] = {}
             for k, z in space.project(start, t, v, space.basis):

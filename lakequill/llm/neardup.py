@@ -36,11 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap
+from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, portions
 
 WORDS = 5
 KEEP = 64
 HEAD_BYTES = 64
+PORTION_BYTES = 3_000_000
 LISTED = 16
 LISTED_LONG = 24
 LONG_LIST = 40
@@ -107,22 +108,20 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, size of the set, a 128-bit fingerprint of it, and its KEEP lowest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc_id")
-            for i in range(0, len(texts), 2500):
-                part = texts.slice(i, 2500)
-                row, h = shingle_hashes(part)
-                n = np.bincount(row, minlength=len(part))
-                first = np.cumsum(n) - n
-                place = np.arange(len(row)) - first[row]
-                low = h[place < KEEP].astype(np.int64)
-                ends = np.append(0, np.cumsum(np.minimum(n, KEEP)))
-                fp1, fp2 = np.zeros(len(part), np.uint64), np.zeros(len(part), np.uint64)
-                some = n > 0
-                if some.any():
-                    fp1[some] = np.add.reduceat(_mix(h + np.uint64(0x1234567)), first[some])
-                    fp2[some] = np.bitwise_xor.reduceat(_mix(h + np.uint64(0x7654321)), first[some])
-                yield arrow_batch(_SKETCH_ARROW, ids.slice(i, 2500), n, fp1.astype(np.int64), fp2.astype(np.int64), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low)))
+        for batch in portions(batches, PORTION_BYTES):
+            size = len(batch)
+            row, h = shingle_hashes(batch.column("text"))
+            n = np.bincount(row, minlength=size)
+            first = np.cumsum(n) - n
+            place = np.arange(len(row)) - first[row]
+            low = h[place < KEEP].astype(np.int64)
+            ends = np.append(0, np.cumsum(np.minimum(n, KEEP)))
+            fp1, fp2 = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+            some = n > 0
+            if some.any():
+                fp1[some] = np.add.reduceat(_mix(h + np.uint64(0x1234567)), first[some])
+                fp2[some] = np.bitwise_xor.reduceat(_mix(h + np.uint64(0x7654321)), first[some])
+            yield arrow_batch(_SKETCH_ARROW, batch.column("doc_id"), n, fp1.astype(np.int64), fp2.astype(np.int64), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low)))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
 
@@ -298,11 +297,9 @@ def _private(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and alone, the number of shingles that no other of these documents has; nothing for those without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column("doc_id").to_numpy()
-            for i in range(0, len(batch), 1000):
-                row, h = shingle_hashes(batch.column("text").slice(i, 1000))
-                yield arrow_batch(_ALONE_ARROW, h.view(np.int64), own[i + row])
+        for batch in portions(batches, PORTION_BYTES):
+            row, h = shingle_hashes(batch.column("text"))
+            yield arrow_batch(_ALONE_ARROW, h.view(np.int64), batch.column("doc_id").to_numpy()[row])
 
     if not ids.limit(1).count():
         return ids.withColumn("alone", F.lit(0).cast("long"))
