@@ -8,13 +8,14 @@ of retained values give overlaps:
   Documents with such values list all their other retained values as well, and only those made of such values for the
   most part (under COLD_SHARE others) stay in long lists, with their LISTED_LONG lowest ones. A pair of similar
   documents shares many values, so it meets in a short list, or both are in the long ones.
-* In each list the nodes meet its pivot: that is a row for each node and list, never all pairs. The first pivot is the
-  most typical node, the one with the largest share of long-list values; the second is drawn by hash. Pairs pass if the
+* In each list the nodes meet its pivot: that is a row for each node and list, never all pairs. The pivot is the most
+  typical node, the one with the largest share of long-list values. Pairs pass if the
   sketch of their union estimates a similarity near the threshold or above, and count once the full sets confirm them.
   Nodes that are linked are one component; lists within one component are done.
 * Lists whose nodes are still apart give the pairs of different components that can be links. In long lists a bound
   decides that from two numbers for each node, the size of its set and how many of its shingles no other such node
-  has: those can't be shared, so two sets with too many of them are never a pair.
+  has: those can't be shared, so two sets with too many of them are never a pair; so do signatures of one bit for each
+  of 512 minima, with the same margin of DEVIATIONS.
 
 So no link between different texts is lost but by chance: two documents at a similarity of 0.8 have no retained value
 in common with a chance of 0.2 ** 16; in long lists they have at least 0.5 of those values in common, so the chance is
@@ -46,9 +47,11 @@ LISTED = 16
 LISTED_LONG = 24
 LONG_LIST = 40
 COLD_SHARE = 0.4
-PIVOT_ROUNDS = 2
-#: The estimate may be so far below the threshold (5 standard deviations of a sketch of KEEP values).
-SLACK = 0.25
+PIVOT_ROUNDS = 1
+#: Sketches of documents in long lists, which are compared with many.
+KEEP_WIDE = 512
+#: The estimate may be so many standard deviations below the threshold.
+DEVIATIONS = 5.5
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SKETCH, _SKETCH_ARROW = arrow_schema("doc_id long, n long, fp1 long, fp2 long, sketch array<long>")
@@ -146,35 +149,42 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-_PAIR, _PAIR_ARROW = arrow_schema("a long, b long, sure boolean")
 _LINK, _LINK_ARROW = arrow_schema("a long, b long")
 
 
+def possible(p: np.ndarray, q: np.ndarray, n1: int, n2: int, threshold: float) -> bool:
+    """Whether sets of n1 and n2 values with these sketches can have the threshold; exact if both sketches are whole."""
+    both = np.intersect1d(p, q, assume_unique=True)
+    if len(p) == n1 and len(q) == n2:
+        return len(both) >= (threshold - 1e-9) * (n1 + n2 - len(both))
+    k = min(len(p) if len(p) < n1 else n1 + n2, len(q) if len(q) < n2 else n1 + n2)
+    union = np.union1d(p, q)[:k]
+    shared = int(np.searchsorted(both, union[-1], "right"))
+    return shared >= (threshold - DEVIATIONS * (threshold * (1 - threshold) / len(union)) ** 0.5) * len(union)
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose union sketch allows the threshold. Sketches of whole small sets decide exactly."""
+    """Pairs whose union sketch allows the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             xs, ys = batch.column("x"), batch.column("y")
             vx, vy = xs.flatten().to_numpy(), ys.flatten().to_numpy()
             ex, ey = np.cumsum(pc.list_value_length(xs).to_numpy()), np.cumsum(pc.list_value_length(ys).to_numpy())
+            nx, ny = batch.column("nx").to_pylist(), batch.column("ny").to_pylist()
             keep = np.zeros(len(batch), bool)
             ax = ay = 0
             for k, (bx, by) in enumerate(zip(ex.tolist(), ey.tolist())):
-                p, q = vx[ax:bx].view(np.uint64), vy[ay:by].view(np.uint64)
-                union = np.union1d(p, q)[:KEEP]
-                both = np.intersect1d(p, q, assume_unique=True)
-                shared = int(np.searchsorted(both, union[-1], "right")) if len(union) else 0
-                keep[k] = shared >= (threshold - SLACK) * len(union)
+                keep[k] = possible(vx[ax:bx].view(np.uint64), vy[ay:by].view(np.uint64), nx[k], ny[k], threshold)
                 ax, ay = bx, by
             on = pa.array(keep)
-            yield arrow_batch(_PAIR_ARROW, batch.column("a").filter(on), batch.column("b").filter(on), np.ones(int(keep.sum()), bool))
+            yield arrow_batch(_LINK_ARROW, batch.column("a").filter(on), batch.column("b").filter(on))
 
     nodes = nodes.where(in_bitmap(key_bitmap(_ids(pairs), "i"), F.col("doc_id")))
     x = nodes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
     y = nodes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
     met = pairs.join(x, "a").join(y, "b").where(F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(threshold - 1e-9))
-    return met.select("a", "b", "x", "y").mapInArrow(run, _PAIR).select("a", "b")
+    return met.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, _LINK)
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -224,11 +234,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     share = hot.groupBy("doc_id").agg(F.avg(F.col("hot").cast("double")).alias("share"), F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("value")))).alias("longs"))
     share = share.join(reps.select("doc_id", "n"), "doc_id")
     share = cut(share.select("doc_id", "n", "share", F.when(F.col("share") > 1 - COLD_SHARE, F.slice("longs", 1, LISTED_LONG)).alias("longs")), "shares")
-    own = _private(docs, share.where("longs IS NOT NULL").select("doc_id"))
-    traits = share.join(own, "doc_id", "left").select("doc_id", "n", "share", "longs", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    own, wide = _long_traits(docs, share.where("longs IS NOT NULL").select("doc_id"))
+    traits = share.join(own, "doc_id", "left").join(wide.select("doc_id", "bits"), "doc_id", "left").select("doc_id", "n", "share", "longs", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
     listed = hot.join(traits, "doc_id").where(F.when(F.col("share") == 0, F.col("k") < LISTED).when(~F.col("hot"), F.lit(True)).otherwise(F.array_contains("longs", F.col("value"))))
+    sketched = reps.join(wide, "doc_id", "left").select("doc_id", "n", F.coalesce("wide", "sketch").alias("sketch"))
     several = listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
-    lists = cut(listed.join(several, "value", "left_semi").select("value", "doc_id", "hot", "n", "common", "share", F.when(F.col("hot"), F.col("longs")).alias("longs")), "lists")
+    lists = cut(listed.join(several, "value", "left_semi").select("value", "doc_id", "hot", "n", "common", "share", F.when(F.col("hot"), F.col("longs")).alias("longs"), F.when(F.col("hot"), F.col("bits")).alias("bits")), "lists")
     edges = label = seen = None
     for turn in range(PIVOT_ROUNDS + 1):
         live = lists.withColumn("comp", F.col("doc_id")) if label is None else lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
@@ -244,7 +255,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        found = _link(pairs, reps, docs, percent, threshold)
+        found = _link(pairs, sketched, docs, percent, threshold)
         edges = found if edges is None else edges.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
         label = components(edges)
@@ -255,10 +266,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
-def _link(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, threshold: float) -> DataFrame:
+def _link(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, threshold: float) -> DataFrame:
     if not pairs.limit(1).count():
         return pairs
-    close = cut(_estimated(pairs, reps, threshold), "close")
+    close = cut(_estimated(pairs, nodes, threshold), "close")
     if not close.limit(1).count():
         return close
     return cut(_confirmed(close, docs, percent), "links")
@@ -280,34 +291,69 @@ def _rest(live: DataFrame, threshold: float) -> DataFrame:
     base = (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.comp")) & may
     short = live.where("NOT hot").select("value", "doc_id", "n", "common", "hot", "comp")
     pairs = short.alias("l").join(short.alias("r"), base & (F.col("l.doc_id") < F.col("r.doc_id"))).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-    long = live.where("hot").select("value", "doc_id", "n", "common", "hot", "comp", "longs")
+    long = live.where("hot").select("value", "doc_id", "n", "common", "hot", "comp", "longs", "bits")
     top = long.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("t")).select("value", F.col("t.comp").alias("top"))
     apart = long.join(top, "value").where("comp != top").drop("top")
     # of two documents outside the largest component, the lower id is on the left
     side = (F.col("l.doc_id") < F.col("r.doc_id")) | (F.col("r.comp") == F.col("r.top"))
     once = F.array_min(F.array_intersect("l.longs", "r.longs")) == F.col("l.value")
-    far = apart.alias("l").join(long.join(top, "value").alias("r"), base & side & once).select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
+    differ = sum((F.bit_count(F.get(F.col("l.bits"), k).bitwiseXOR(F.get(F.col("r.bits"), k))) for k in range(SIGNATURE_LONGS)), F.lit(0))
+    alike = differ <= most_differing(threshold)
+    far = apart.alias("l").join(long.join(top, "value").alias("r"), base & side & alike & once).select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
     return pairs.unionByName(far)
 
 
-_ALONE, _ALONE_ARROW = arrow_schema("value long, doc_id long")
+_ALONE, _ALONE_ARROW = arrow_schema("value long, doc_id long, wide array<long>, bits array<long>")
+SIGNATURE_LONGS = 8
+_FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ k << 33) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(64 * SIGNATURE_LONGS)], np.uint64)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """A bit of the lowest value under each of many multipliers; bits of two sets differ with chance (1 - similarity) / 2."""
+    bits = np.zeros(len(_FACTORS), bool)
+    for k in range(0, len(_FACTORS), 64):
+        low = _mix_low(h, _FACTORS[k : k + 64])
+        bits[k : k + 64] = (low >> np.uint64(7)) & np.uint64(1)
+    return np.packbits(bits).view(np.int64)
+
+
+def _mix_low(h: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096, None] * factors[None, :]
+        out = np.minimum(out, (x ^ x >> np.uint64(29)).min(axis=0))
+    return out
+
+
+def most_differing(threshold: float) -> int:
+    p, n = (1 - threshold) / 2, 64 * SIGNATURE_LONGS
+    return int(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def _private(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and alone, the number of shingles that no other of these documents has; nothing for those without."""
+def _long_traits(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of documents in long lists: how many shingles no other of them has (doc_id, alone), and wide sketches (doc_id, wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, PORTION_BYTES):
+            own = batch.column("doc_id").to_numpy()
             row, h = shingle_hashes(batch.column("text"))
-            yield arrow_batch(_ALONE_ARROW, h.view(np.int64), batch.column("doc_id").to_numpy()[row])
+            none = pa.nulls(len(h), _ALONE_ARROW.field("wide").type)
+            yield arrow_batch(_ALONE_ARROW, h.view(np.int64), own[row], none, none)
+            n = np.bincount(row, minlength=len(own))
+            low = h[np.arange(len(row)) - (np.cumsum(n) - n)[row] < KEEP_WIDE].view(np.int64)
+            ends = np.append(0, np.cumsum(np.minimum(n, KEEP_WIDE)))
+            cuts = np.cumsum(n)[:-1]
+            bits = [signature(x).tolist() for x in np.split(h, cuts)] if len(own) else []
+            yield arrow_batch(_ALONE_ARROW, pa.nulls(len(own), pa.int64()), own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low)), bits)
 
     if not ids.limit(1).count():
-        return ids.withColumn("alone", F.lit(0).cast("long"))
+        none = F.lit(None).cast("array<long>")
+        return ids.withColumn("alone", F.lit(0).cast("long")), ids.withColumn("wide", none).withColumn("bits", none)
     bitmap = key_bitmap(ids, "doc_id")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(in_bitmap(bitmap, F.col("doc_id")))
-    values = texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, _ALONE)
-    alone = values.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1")
-    return cut(alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone")), "private")
+    found = cut(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, _ALONE), "long-traits")
+    alone = found.where("wide IS NULL").groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1")
+    return cut(alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone")), "private"), found.where("wide IS NOT NULL").select("doc_id", "wide", "bits")
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

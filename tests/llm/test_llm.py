@@ -581,3 +581,14 @@ def test_pipeline_stage_by_stage(spark, data_dir):
     n = read_table(spark, data_dir, "documents").count()
     assert 0.95 * n <= seen["language_id"] <= n and seen["near_dedup"] < seen["language_id"] and seen["decontamination"] < seen["near_dedup"]
     assert seen["sharding"] == seen["mixing"] > 0
+
+
+def test_signatures_estimate_similarity():
+    r = np.random.default_rng(5)
+    for shared in (200, 120, 20):
+        v = r.integers(0, 2**63, 400 - shared, dtype=np.int64).astype(np.uint64)
+        a, b = v[:200], np.concatenate([v[:shared], v[200:]])
+        differ = sum(bin(int(x) & (2**64 - 1)).count("1") for x in neardup.signature(a) ^ neardup.signature(b))
+        true = shared / (400 - shared)
+        assert abs((1 - 2 * differ / 512) - true) < 0.2
+        assert true < 0.85 or differ <= neardup.most_differing(0.85)
