@@ -104,18 +104,31 @@ def arrow_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def release() -> None:
+    """Gives memory that Arrow and the C library hold unused back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def portions(batches, most: int, column: str = "text"):
     """Record batches cut into ones of about so many bytes of text, which bounds a task's memory."""
     import numpy as np
     import pyarrow.compute as pc
 
     for batch in batches:
+        release()
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         i = 0
         while i < len(batch):
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
             yield batch.slice(i, j - i)
             i = j
+    release()
 
 
 BITS = 1 << 22

@@ -33,7 +33,7 @@ from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, porti
 
 WINDOW, STRIDE = 32, 16
 BLOCK_ITEMS = 512
-PORTION_BYTES = 6_000_000
+PORTION_BYTES = 2_000_000
 FIT_PASSAGES = 40_000
 EXTRA_RANK = 32
 #: A word that occurs more often than this share of passages says nothing.

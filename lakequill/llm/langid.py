@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, id_remainder
+from .common import arrow_batch, arrow_schema, id_remainder, release
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -120,8 +120,11 @@ def keep_identified(docs: DataFrame, folds: int = 5) -> DataFrame:
     """docs without the rows that the classifier rejects; columns stay. One pass, without a join."""
     model = train(docs, folds)
 
-    @F.pandas_udf("boolean")
-    def accepted(text):
-        return text.map(lambda t: not model.predict(t)[3])
+    place = docs.columns.index("text")
 
-    return docs.where(accepted(F.col("text").cast("string")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            release()
+            yield batch.filter(pa.array([not model.predict(t)[3] for t in batch.column(place).cast(pa.string()).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

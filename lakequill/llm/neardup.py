@@ -42,7 +42,7 @@ from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, porti
 WORDS = 5
 KEEP = 64
 HEAD_BYTES = 64
-PORTION_BYTES = 3_000_000
+PORTION_BYTES = 2_000_000
 LISTED = 16
 LISTED_LONG = 24
 LONG_LIST = 40
