@@ -27,6 +27,10 @@ def lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, F.size(tx.tokens(F.lower(F.col(text)))).cast("bigint").alias("dl"))
 
 
+def occurrences(toks: Column, term: str) -> Column:
+    return F.size(F.filter(toks, lambda x: x == F.lit(term)))
+
+
 def bm25(docs: DataFrame, doc: str, text: str, terms: Sequence[str]) -> DataFrame:
     """doc, score of every document, 0 for those without a term that tells documents apart.
 
@@ -34,7 +38,7 @@ def bm25(docs: DataFrame, doc: str, text: str, terms: Sequence[str]) -> DataFram
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     words = docs.select(doc, tx.tokens(F.lower(F.col(text))).alias("__t"))
-    counted = words.select(doc, F.size("__t").alias("dl"), *[F.size(F.filter("__t", lambda x, t=t: x == t)).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counted = words.select(doc, F.size("__t").alias("dl"), *[occurrences(F.col("__t"), t).alias(f"tf{k}") for k, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{k}") > 0).cast("bigint")).alias(f"df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):
