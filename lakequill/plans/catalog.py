@@ -820,3 +820,13 @@ def keyword_highlight(spark, sf_dir):
     head = F.substring("text", 1, 60)
     marked = tx.highlight(head, ["the", "x"])
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(marked, "</?mark>", "").alias("plain"), F.regexp_count(marked, F.lit("<mark>")).cast("bigint").alias("marks"))
+
+
+# streams
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_ingest_dedup(spark, sf_dir):
+    from ..streaming.ingest import distinct_stream
+
+    return distinct_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, ["user_id", "event_type"])
