@@ -65,5 +65,16 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op4_main_text, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks)}
 
 
+#: Links and their closure, for small tables: all pairs that share a shingle are counted.
+_NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+ e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+ l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ pairs AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+ reach AS (SELECT doc_id, doc_id AS r FROM s UNION SELECT reach.doc_id, pairs.y FROM reach JOIN pairs ON reach.r = pairs.x),
+ c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept FROM s JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_near_duplicates": _NEAR_SQL}
