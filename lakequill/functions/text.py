@@ -129,10 +129,17 @@ def cut_at_sentence(c: Column, limit: int, window: int = 100) -> Column:
 
 
 def keyword_places(c: Column, keyword: str) -> Column:
-    """1-based places of all occurrences, overlapping ones too."""
-    n = len(keyword)
-    every = F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
-    return F.filter(every, lambda i: F.substring(c, i, F.lit(n)) == keyword)
+    """1-based places of all occurrences, overlapping ones too: the text is cut before each of them."""
+    import re
+
+    pieces = F.split(c, f"(?={re.escape(keyword)})")
+    start = F.struct(F.array().cast("array<int>").alias("found"), F.lit(0).alias("at"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        here = (acc["at"] > 0) | F.startswith(c, F.lit(keyword))  # all pieces but the first start at an occurrence
+        return F.struct(F.when(here, F.array_append(acc["found"], acc["at"] + 1)).otherwise(acc["found"]).alias("found"), (acc["at"] + F.length(piece)).alias("at"))
+
+    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
 
 
 def normal_answer(c: Column) -> Column:
