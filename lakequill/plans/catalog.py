@@ -815,11 +815,10 @@ def upload_guard(spark, sf_dir):
     return inline(spark, "uploads").select("file_id", tx.safe_name(F.col("name")).alias("name"), metadata.valid_upload(F.col("name"), F.col("size")).alias("valid"))
 
 
-@query("SELECT doc_id, replace(replace(replace(left(text, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS plain, CAST(len(regexp_extract_all(lower(left(text, 60)), 'the')) AS BIGINT) AS marks FROM documents")
+@query("SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS plain, CAST(len(regexp_extract_all(lower(text), 'thst')) AS BIGINT) AS marks FROM documents")
 def keyword_highlight(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    marked = tx.highlight(head, ["the", "x"])
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(marked, "</?mark>", "").alias("plain"), F.regexp_count(marked, F.lit("<mark>")).cast("bigint").alias("marks"))
+    marked = tx.highlight(F.col("text"), ["thst", "x"])
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace(marked, "</?mark>", "")).alias("plain"), F.regexp_count(marked, F.lit("<mark>")).cast("bigint").alias("marks"))
 
 
 # streams
@@ -830,3 +829,6 @@ def stream_ingest_dedup(spark, sf_dir):
     from ..streaming.ingest import distinct_stream
 
     return distinct_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, ["user_id", "event_type"])
+
+
+from . import extras  # noqa: E402, F401  its queries join those above

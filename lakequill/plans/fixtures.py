@@ -84,6 +84,18 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
     "slot_values": ("tbl bigint, place bigint, value string", [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d"), (2, 1, "e"), (2, 2, "f")]),
     "tasks": ("task_id string, file_id bigint, status string", [("t1", 1, "pending"), ("t2", 2, "done"), ("t3", 3, "processing"), ("t4", 3, "failed"), ("t5", 9, "pending")]),
     "scored": ("id string, vector_score double, bm25_score double, n_tokens bigint", [("c1", 0.93, 1.0, 6), ("c2", 0.5, 5.0, 6), ("c3", 0.1, 0.0, 6), ("c4", 0.7, 2.5, 6)]),
+    "items": (
+        "doc bigint, pos bigint, kind string, text string",
+        [(1, 0, "paragraph", "引言"), (1, 1, "paragraph", "说明一"), (1, 2, "table", ""), (1, 3, "paragraph", "说明二"), (1, 4, "paragraph", ""), (1, 5, "table", ""), (1, 6, "table", ""), *[(2, k, "paragraph", f"p{k}") for k in range(8)], (2, 8, "table", "")],
+    ),
+    "runs": ("para bigint, run bigint, t string", [(1, 0, "编号{{"), (1, 1, "编号}"), (1, 2, "}，甲方"), (2, 0, "没有"), (2, 1, "字段"), (3, 0, "{{甲方}}")]),
+    "formats": ("row bigint, col bigint, bold string, bold_new string, color string, color_new string", [(1, 1, "0", "1", None, "FF0000"), (1, 2, "1", "1", None, None), (2, 1, "0", "0", "00FF00", "00FF00"), (3, 1, "0", "1", "a", "a")]),
+    "grid_headers": ("col bigint, header string", [(1, "国家名称"), (2, "GDP"), (3, "备注")]),
+    "grid_fields": ("ord bigint, field string, values string", [(1, "国家", "中国,法国"), (2, "gdp总量", "18000,3000,1"), (3, "国家名称", "x")]),
+    "positions": ("p string, n bigint", [("3", 5), ("9", 5), ("0", 5), ("最后", 5), ("", 5)]),
+    "cache": ("key string, file_ids string, used_at double, expire_at double", [("a", "1,2", 10.0, 100.0), ("b", "", 20.0, 50.0), ("c", "2", 30.0, 200.0), ("d", "12", 5.0, 300.0)]),
+    "questions": ("id bigint, q string", [(1, "合同金额是多少"), (2, "有效期到什么时间"), (3, "甲方是谁"), (4, "天气如何"), (5, "甲方支付的费用日期")]),
+    "steps": ("id bigint, done bigint, total bigint", [(1, 0, 10), (2, 5, 10), (3, 10, 10), (4, 20, 10), (5, 3, 0)]),
     "uploads": ("file_id bigint, name string, size bigint", [(1, "报告.pdf", 100), (2, "../x/数据.XLSX", 60000000), (3, "a\\b.exe", 5), (4, "noext", 1), (5, "c.md", 52428800)]),
 }
 
