@@ -46,6 +46,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """How many rows go to Python at once from now on; of texts, 2,000 are some MB, and both sides hold several batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it (file, hdfs, s3, gs)."""
     if "://" in uri or uri.startswith("file:/"):

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, portions, row_key
+from .common import arrow_batch, arrow_schema, bound_batches, cut, in_bitmap, key_bitmap, portions, row_key
 
 WINDOW, STRIDE = 32, 16
 BLOCK_ITEMS = 512
@@ -329,6 +329,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it leaks: key, doc_id, item_id, cosine, lcs, answer."""
+    bound_batches(docs.sparkSession)
     own, items, out = keyed(docs), items_of(benchmark), None
     for k in range(0, len(items), BLOCK_ITEMS):
         space = Space(items[k : k + BLOCK_ITEMS])

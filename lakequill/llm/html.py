@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema
+from .common import arrow_batch, arrow_schema, bound_batches
 
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 40, 4, 0.3, 32, 10
 PORTION_PAGES = 250
@@ -450,6 +450,7 @@ _OUT, _SCHEMA = arrow_schema("page_id long, url string, text string, n_chars lon
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, main text and its length in code points of each row."""
     trees = model()
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, id_remainder, release
+from .common import arrow_batch, arrow_schema, bound_batches, id_remainder, release
 
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -113,6 +113,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             got = [model.predict(t) for t in batch.column("text").to_pylist()]
             yield arrow_batch(_SCHEMA, batch.column("doc_id"), *([x[k] for x in got] for k in range(4)))
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
 
 
@@ -127,4 +128,5 @@ def keep_identified(docs: DataFrame, folds: int = 5) -> DataFrame:
             release()
             yield batch.filter(pa.array([not model.predict(t)[3] for t in batch.column(place).cast(pa.string()).to_pylist()], pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema
+from .common import arrow_batch, arrow_schema, bound_batches
 
 UNIT = 192
 RATE = 8000
@@ -324,6 +324,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
                 got = [payload_of(t) for t in texts[i : i + 1000]]
                 yield arrow_batch(_MEDIA_ARROW, ids.slice(i, len(got)), [n for n, _ in got], [mux(p) for _, p in got])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _MEDIA)
 
 

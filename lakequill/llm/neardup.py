@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, cut, in_bitmap, key_bitmap, portions
+from .common import arrow_batch, arrow_schema, bound_batches, cut, in_bitmap, key_bitmap, portions
 
 WORDS = 5
 KEEP = 64
@@ -220,6 +220,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id (lowest doc_id reachable by links at threshold), kept, for each row of docs."""
+    bound_batches(docs.sparkSession)
     percent = round(threshold * 100)
     all_rows = cut(sketches(docs), "sketches")
     nodes = all_rows.where("n > 0 AND doc_id IS NOT NULL")

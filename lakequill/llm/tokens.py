@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, cut, fresh_dir, open_fs
+from .common import arrow_batch, arrow_schema, bound_batches, cut, fresh_dir, open_fs
 
 BLOCK = 1024
 PERCENTILE = 0.92
@@ -349,6 +349,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame
             sink.close()
             yield arrow_batch(_MANIFEST_ARROW, [part], [path], [n], [writer.n_ids], [size])
 
+    bound_batches(docs.sparkSession, 10_000)  # the more text at once, the fewer look-ups
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_h"))
     dealt = own.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     return cut(dealt.mapInArrow(write, _MANIFEST), "token-manifest")
