@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Stands for a null id, so that ids stay whole numbers on their way through pandas.
 NO_ID = -(2**63)
-LEAF = 8192
+LEAF = 1024
 FAN = 64
 #: A document is large above both these shares of its source's target and of its source's words.
 LARGE_TARGET, LARGE_SOURCE = 0.01, 0.001
