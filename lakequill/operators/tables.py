@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 
 
 def merge_vertical(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -24,11 +25,14 @@ def with_ordinal(df: DataFrame, order: str, partition: str | None = None, name:
     """
     if partition:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(partition).orderBy(order)).cast("bigint"))
-    dealt = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    per = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = per.alias("a").join(per.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))  # a row for each partition
+    dealt = cut(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ordinals")  # partitions stay as they are now
+    rows, before = [], 0
+    for r in sorted(dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda x: x["__p"]):  # a row for each partition
+        rows.append((r["__p"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(rows, "__p int, __before bigint")
     w = Window.partitionBy("__p").orderBy(order)
-    return dealt.join(F.broadcast(before), "__p").withColumn(name, (F.col("__before") + F.row_number().over(w)).cast("bigint")).drop("__p", "__before")
+    return dealt.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__before") + F.row_number().over(w)).cast("bigint")).drop("__p", "__before")
 
 
 def merge_horizontal(a: DataFrame, a_order: str, b: DataFrame, b_order: str) -> DataFrame:
