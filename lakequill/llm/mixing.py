@@ -6,7 +6,7 @@ them are integral; which way is drawn so that expectations stay. The words of a
 until one fraction is left, which is drawn alone.
 
 The duels form a tree: documents are dealt into bounded groups by source and hash, each group leaves one fractional
-document, and these meet in groups again until each source has one. Large documents, of which a source has 1,000 at
+document, and these meet in groups again until each source has one. Large documents, of which a source has 2,000 at
 most by their definition, go first, from the largest size class down; what the last draw of a class misses is spread
 evenly over all that is smaller. That keeps expectations and leaves an error of a small document.
 
@@ -32,7 +32,7 @@ NO_ID = -(2**63)
 LEAF = 1024
 FAN = 64
 #: A document is large above both these shares of its source's target and of its source's words.
-LARGE_TARGET, LARGE_SOURCE = 0.01, 0.001
+LARGE_TARGET, LARGE_SOURCE = 0.001, 0.0005
 
 
 def word_count(text: Column) -> Column:
