@@ -24,6 +24,9 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
 
+# Fixed patterns of page-number lines, control characters, chapter marks and section starts, here and in the next four.
+
+
 def is_page_number(line: Column) -> Column:
     return strip(line).rlike(r"^[—\-－]?\s*\d+\s*[—\-－]?\z")
 

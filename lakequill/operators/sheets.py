@@ -61,6 +61,7 @@ def style_row(cells: DataFrame, sheet: str, row: int, style: dict[str, str]) ->
 
 def classify(paragraphs: DataFrame) -> DataFrame:
     """Adds kind: blank, heading or body. Styles say so, or else place, dashes, labels, length and boldness do."""
+    # fixed values: style names, labels, 15 and 30 characters
     t = tx.strip(F.col("text"))
     total = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
     styled = F.coalesce(F.col("style"), F.lit("")).rlike("(?i)标题|heading|subtitle|subhead|cover")

@@ -68,3 +68,12 @@ def test_sentence_cut(spark):
 @pytest.mark.parametrize("text,want", [("a-\nb", "ab"), ("x\n\n\n\ny", "x\n\ny"), ("x\n 12 \ny", "x\ny"), ("\x00a\x0b", "a"), (None, "")])
 def test_clean(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(tx.clean(F.col("t"))).first()[0] == want
+
+
+def test_clear_empties_the_shared_folder(spark):
+    from lakequill import session
+
+    spark.range(3).write.parquet(session.fresh_dir(spark, "x"))
+    session.clear(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{session.shared_dir(spark)}/lakequill")
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
