@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -38,7 +39,8 @@ def bm25(docs: DataFrame, doc: str, text: str, terms: Sequence[str]) -> DataFram
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     words = docs.select(doc, tx.tokens(F.lower(F.col(text))).alias("__t"))
-    counted = words.select(doc, F.size("__t").alias("dl"), *[occurrences(F.col("__t"), t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counts = words.select(doc, F.size("__t").alias("dl"), *[occurrences(F.col("__t"), t).alias(f"tf{k}") for k, t in enumerate(terms)])
+    counted = cut(counts, "term-counts")  # some numbers a document; the texts are read once, however often scores are used
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{k}") > 0).cast("bigint")).alias(f"df{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -88,7 +90,7 @@ def merge_candidates(vector: DataFrame, scores: DataFrame, key: str, top: int =
     best = scores.orderBy(F.col("score").desc(), F.col(key)).limit(top)
     keys = vector.select(key).union(best.select(key)).distinct()
     got = keys.join(F.broadcast(vector), key, "left").join(scores, key, "left")
-    return got.select(key, "distance", F.when(F.col("distance").isNull(), 0.0).otherwise(tx.distance_score(F.col("distance"))).alias("vector_score"), F.coalesce("score", F.lit(0.0)).alias("bm25_score"))
+    return cut(got.select(key, "distance", F.when(F.col("distance").isNull(), 0.0).otherwise(tx.distance_score(F.col("distance"))).alias("vector_score"), F.coalesce("score", F.lit(0.0)).alias("bm25_score")), "candidates")  # some tens of rows, used by each list
 
 
 def content_dedup(df: DataFrame, content: str, order: list[Column]) -> DataFrame:
