@@ -94,9 +94,9 @@ def merge_candidates(vector: DataFrame, scores: DataFrame, key: str, top: int =
 
 
 def content_dedup(df: DataFrame, content: str, order: list[Column]) -> DataFrame:
-    """The best-ranked row of each stripped content; blank ones all stay."""
+    """The best-ranked row of each stripped content; blank ones all stay. Digests are shuffled, not texts."""
     text = tx.strip(F.col(content))
-    own = F.when(text == "", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(text)
+    own = F.when(text == "", F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))).otherwise(F.md5(text))
     w = Window.partitionBy("__key").orderBy(*order)
     return df.withColumn("__key", own).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__key", "__rn")
 
