@@ -100,3 +100,35 @@ class Workspace:
         rows = self.store.read()
         first = rows.where(F.col("file_id") == file_id).orderBy("pos").limit(1).select(tx.summary(F.col("content")).alias("s")).first()
         return first["s"] if first else ""
+
+    def files(self, offset: int = 0, limit: int = 100) -> DataFrame:
+        """A page of file ids with their chunks and characters."""
+        rows = self.store.read()
+        if rows is None:
+            return self.spark.createDataFrame([], "file_id bigint, n_chunks bigint, n_chars bigint")
+        return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content").cast("bigint")).alias("n_chars")).orderBy("file_id").offset(offset).limit(limit)
+
+    def preview(self, rows: DataFrame, text: str, key: str, most: int = 50) -> DataFrame:
+        """How many rows a conditional command touches, and the first of their keys, without doing it."""
+        op = instructions.parse(text)
+        if "condition" not in op.parameters:
+            raise ValueError(f"not understood: {text}")
+        return predicates.preview(rows, op.parameters["column"], op.parameters["condition"], key, most)
+
+    def extract(self, paragraphs: DataFrame, kind: str = "all") -> DataFrame:
+        """Paragraphs of a kind: body, heading, or all that aren't blank."""
+        rows = sheets.numbered(paragraphs)
+        return rows.where("kind != 'blank'") if kind == "all" else rows.where(F.col("kind") == kind)
+
+    def split(self, rows: DataFrame, order: str, size: int, folder: str) -> None:
+        """Writes parts of size rows, a folder for each."""
+        tables.split_rows(rows, order, size).write.partitionBy("part").parquet(folder)
+
+    def to_csv(self, rows: DataFrame, folder: str) -> None:
+        rows.write.option("header", True).csv(folder)
+
+    def markdown_of(self, path: str) -> DataFrame:
+        """path and text of each docx file as markdown."""
+        from .sources import office
+
+        return office.docx_to_markdown(office.read_docx(self.spark, path))

@@ -31,12 +31,13 @@ class ChunkStore:
     """The chunks of files below a folder, partitioned by a bucket of the file's id; each batch replaces its files' chunks."""
 
     BUCKETS = 64
+    SCHEMA = "file_id bigint, pos bigint, chunk_id string, content string, header string, page bigint, bucket int"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def chunk(self, files: DataFrame) -> DataFrame:
-        rows = chunking.chunks(files, "file_id", tx.sections(tx.mark_headers(tx.clean(F.col("text")))))
+        rows = chunking.chunks(files.select(F.col("file_id").cast("bigint").alias("file_id"), "text"), "file_id", tx.sections(tx.mark_headers(tx.clean(F.col("text")))))
         return rows.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(self.BUCKETS)).cast("int"))
 
     def _exists(self) -> bool:
@@ -45,7 +46,7 @@ class ChunkStore:
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/chunks") if self._exists() else None
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/chunks") if self._exists() else None
 
     def merge(self, files: DataFrame, force: bool = True) -> None:
         """Adds the chunks of files (file_id, text); without force, files that are there already stay as they are.

@@ -41,3 +41,13 @@ def test_ask_fill_and_operate(spark, tmp_path):
     assert sorted((r["place"], r["field"], r["value"]) for r in cells) == [(1, "n name", "b"), (1, "qty", "50")]
     assert w.operate(table, "筛选qty大于10的行").count() == 1
     assert w.summary(3) == "无关的内容..."
+    assert [(r["file_id"], r["n_chunks"]) for r in w.files().collect()] == [(1, 1), (2, 1), (3, 1)]
+    assert w.preview(table, "删除qty大于10的行", "id").first()["n"] == 1
+    w.split(table, "id", 1, f"{tmp_path}/parts")
+    assert spark.read.parquet(f"{tmp_path}/parts").select("part").distinct().count() == 2
+    paras = spark.createDataFrame([(1, k, "段落内容足够长的一个正文句子啊啊", "Normal", False) for k in range(6)], "doc_id bigint, ordinal bigint, text string, style string, bold boolean")
+    assert w.extract(paras, "body").count() == 4
+    assert w.operate(paras, "删除第一段").count() == 5
+    w.delete([1, 2, 3])
+    w.ingest(files(spark, [2]))
+    assert [r["file_id"] for r in w.files().collect()] == [2]
