@@ -2,50 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, fresh_dir, shared_dir  # noqa: F401
+
 #: White space that parts words in every contract of this subpackage.
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the setting ``spark.checkpoint.dir``. Only a local session may go without; it gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lakequill-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is created."""
-    return f"{shared_dir(spark)}/lakequill/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which ends its lineage.
-
-    Lost executors cost nothing then: later stages read files, and Spark's committer drops what failed tasks wrote.
-    """
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
     """How many rows go to Python at once from now on; of texts, 2,000 are some MB, and both sides hold several batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
