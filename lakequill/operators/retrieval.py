@@ -24,6 +24,11 @@ def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return words.select(doc, F.size("toks").alias("dl"), F.explode("toks").alias("tok")).groupBy(doc, "tok").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
+def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """tok, df: each document gives a word once, and words are summed before they are shuffled."""
+    return docs.select(F.explode(F.array_distinct(tx.tokens(F.lower(F.col(text))))).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+
+
 def lengths(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, F.size(tx.tokens(F.lower(F.col(text)))).cast("bigint").alias("dl"))
 

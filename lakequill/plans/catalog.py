@@ -213,11 +213,16 @@ def _bm25_sql(where: str = "") -> str:
  SELECT tok, CAST(df AS BIGINT) AS df, CAST((SELECT count(*) FROM d) AS BIGINT) AS n, round((SELECT avg(dl) FROM d), 6) AS avgdl FROM f""")
 def bm25_stats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    df = retrieval.postings(docs, "doc_id", "text").groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    df = retrieval.document_frequencies(docs, "text")
     whole = retrieval.lengths(docs, "doc_id", "text").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
     return df.crossJoin(F.broadcast(whole))
 
 
+@query(f"SELECT doc_id, tok, CAST(count(*) AS BIGINT) AS tf, CAST(max(dl) AS INTEGER) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS tok FROM {_WORDS}) GROUP BY doc_id, tok")
+def bm25_postings(spark, sf_dir):
+    return retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query(_bm25_sql() + " SELECT doc_id, round(score, 6) AS score FROM bm25 ORDER BY bm25.score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
     got = retrieval.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
