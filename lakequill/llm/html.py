@@ -32,7 +32,9 @@ from .common import arrow_batch, arrow_schema, bound_batches
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 40, 4, 0.3, 32, 10
 PORTION_PAGES = 250
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+#: A tag that the end of the page cuts off.
+_CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
@@ -40,6 +42,7 @@ _TOKEN = re.compile(r"[a-z]+")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "button"}
+PHRASE = INLINE - {"button", "label"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "div", "main", "aside", "nav", "footer", "header", "td", "th"}
@@ -101,7 +104,7 @@ def parse(page: str) -> list[Node]:
     while True:
         m = _TAG.search(page, at)
         if m is None:
-            text(page[at:])
+            text(_CUT.sub("", page[at:]))
             break
         text(page[at : m.start()])
         at = m.end()
@@ -383,19 +386,23 @@ def model(pages: int = 500, seed: int = 11) -> Trees:
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
-    """The likeliest labels in which no kept element has a dropped one above it; odds are log odds to keep."""
+    """The likeliest labels in which no kept element has a dropped one above it; odds are log odds to keep.
+
+    Phrases go with the element they stand in, so no word is cut from a sentence.
+    """
     kept, dropped = [0.0] * len(nodes), [0.0] * len(nodes)
     log_keep = -np.logaddexp(0, -odds)
     log_drop = -np.logaddexp(0, odds)
     for k in range(len(nodes) - 1, 0, -1):
-        kept[k] += log_keep[k - 1]
-        dropped[k] += log_drop[k - 1]
-        up = nodes[k].parent
-        kept[up] += max(kept[k], dropped[k])
+        up, part = nodes[k].parent, nodes[k].tag in PHRASE
+        if not part:
+            kept[k] += log_keep[k - 1]
+            dropped[k] += log_drop[k - 1]
+        kept[up] += kept[k] if part else max(kept[k], dropped[k])
         dropped[up] += dropped[k]
     out = [True] * len(nodes)
     for k in range(1, len(nodes)):
-        out[k] = out[nodes[k].parent] and kept[k] >= dropped[k]
+        out[k] = out[nodes[k].parent] and (nodes[k].tag in PHRASE or kept[k] >= dropped[k])
     return out
 
 

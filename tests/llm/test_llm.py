@@ -592,3 +592,23 @@ def test_signatures_estimate_similarity():
         true = shared / (400 - shared)
         assert abs((1 - 2 * differ / 512) - true) < 0.2
         assert true < 0.85 or differ <= neardup.most_differing(0.85)
+
+
+def test_broken_markup_never_fails_and_words_stay_in_their_sentence():
+    trees, r = html.model(), random.Random(3)
+    parts = ["<p>", "</p>", '<div class="ad">', "</div>", "<article>", "</article>", "<b>", "<br>", '<a href="x">', '<a href="x', "</a>", "<!--", "-->", "<script>", "</script>", "text ", "a < b ", "&amp;", "&bogus;", "<ul>", "<li>", "<table><tr><td>", "</table>", "<", ">", '"', "<title>", "<body>", "<head>", "</p", "\x00"]
+    for _ in range(400):
+        html.main_text(["".join(r.choice(parts) for _ in range(r.randint(0, 50)))], trees)
+    assert html.main_text(['<p>one <a href="x>two</a> three</p>', "a < b and c > d", "<p>end <b cl"], trees) == ["one two three", "a < b and c > d", "end"]
+
+
+def test_broken_media_raise_value_errors_at_most():
+    r, whole = random.Random(4), matroska.mux(bytes(range(192)) * 30)
+    for _ in range(500):
+        d = bytearray(whole)
+        for _ in range(r.randint(1, 6)):
+            d[r.randrange(len(d))] = r.randrange(256)
+        try:
+            matroska.parse(bytes(d[: r.randrange(20, len(d))]))
+        except (ValueError, IndexError):
+            pass
