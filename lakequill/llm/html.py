@@ -351,7 +351,7 @@ def training_page(r: random.Random) -> str:
             return f"<main>{inner}</main>" if r.random() < 0.5 else f"<main><article>{inner}</article></main>"
         if shape < 0.9:
             return wrap(r.choice(["div", "div", "section"]), ["content", "article", "post", "main", "story-body", "entry-content"], inner)
-        return f"<div>{inner}</div>"
+        return f"<div>{inner}</div>" if shape < 0.95 else inner
 
     top = [boiler(k) for k in r.sample([0, 1, 3, 5, 6], r.randint(0, 4))]
     end = [boiler(k) for k in r.sample([1, 2, 4, 6, 7, 8, 2], r.randint(0, 4))]
