@@ -115,10 +115,10 @@ def chunk_pages(spark, sf_dir):
     return _chunk_rows(spark, sf_dir).select("doc_id", "pos", "page")
 
 
-@query("SELECT * FROM (VALUES (CAST(4 AS BIGINT), CAST(0 AS BIGINT), '# 标题甲' || chr(10) || '第一段' || chr(10) || chr(10) || '## 标题乙' || chr(10) || '第二段', '标题乙')) AS v(id, pos, content, header)")
+@query(f"""WITH s AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(t, '(\\n#{{1,4}} |\\n\\n)', chr(1) || '\\1', 'g'), chr(1)), lambda x: {s_strip('x')}), lambda x: x <> '') AS p FROM {values('texts')})
+ SELECT id, CAST(0 AS BIGINT) AS pos, array_to_string(p, chr(10) || chr(10)) AS content, coalesce(list_filter(list_transform(p, lambda x: {s_strip("regexp_extract(x, '^#{1,6}[ \\t\\n]+([^\\n]+)', 1)")}), lambda h: h <> '')[-1], '') AS header FROM s WHERE len(p) > 0""")
 def chunk_headers(spark, sf_dir):
-    rows = inline(spark, "texts").where("id = 4")
-    return chunking.chunks(rows, "id", tx.sections(F.col("t"))).select("id", "pos", "content", "header")
+    return chunking.chunks(inline(spark, "texts"), "id", tx.sections(F.col("t"))).select("id", "pos", "content", "header")
 
 
 @query(_PACKED + f" SELECT doc_id, left({s_strip('translate(content, chr(35) || chr(42) || chr(10), chr(0))')}, 100) || '...' AS summary FROM chunk_rows WHERE pos = 0".replace("translate(content, chr(35) || chr(42) || chr(10), chr(0))", "replace(replace(replace(content, chr(35), ''), chr(42), ''), chr(10), '')"))

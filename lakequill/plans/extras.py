@@ -184,7 +184,6 @@ def source_dedup(spark, sf_dir):
     return first_of(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")])
 
 
-@query(f"SELECT id, list_reduce(list_transform([x], lambda v: v), lambda a, b: a) AS fields FROM (SELECT id, coalesce(array_to_string(list_transform(regexp_extract_all(t, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1), lambda f: {s_strip('f')}), ','), '') AS x FROM {values('templates')} WHERE id = 3)")
+@query(f"SELECT id, array_to_string(list_filter(f, lambda v, i: list_position(f, v) = i), ',') AS fields FROM (SELECT id, list_transform(regexp_extract_all(t, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1), lambda x: {s_strip('x')}) AS f FROM {values('templates')})")
 def template_fields(spark, sf_dir):
-    return inline(spark, "templates").where("id = 3").select("id", F.array_join(tables.placeholders(F.col("t")), ",").alias("fields"))
-
+    return inline(spark, "templates").select("id", F.array_join(tables.placeholders(F.col("t")), ",").alias("fields"))
