@@ -13,7 +13,7 @@ The basis is fitted to all benchmark items and a sample of about FIT_PASSAGES co
 frequencies and the search cover all passages. Items go through in blocks of BLOCK_ITEMS, which bounds what is sent.
 
 Results for odd input: null and empty texts have no passages and stay; items without words match nothing; items of
-common words alone have no vector and match nothing; equal rows get equal results; ties keep the lower item_id first; empty tables
+common words alone keep those words' weights; equal rows get equal results; ties keep the lower item_id first; empty tables
 give an empty result; other columns are ignored.
 """
 
@@ -36,8 +36,9 @@ BLOCK_ITEMS = 512
 PORTION_BYTES = 2_000_000
 FIT_PASSAGES = 40_000
 EXTRA_RANK = 32
-#: A word that occurs more often than this share of passages says nothing.
+#: A word of more than this share of cells has no weight in the cosine, unless an item would lose most of its weight.
 MOST_COMMON = 0.02
+LEAST_WEIGHT = 0.05
 COSINE = 0.45
 #: Share of an item's words in common order that is a leak by itself, and with the answer present.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
@@ -98,13 +99,18 @@ class Space:
     def __init__(self, items: list[Item]):
         self.items = items
         self.vocabulary = pa.array(sorted({w for x in items for w in x.words}), pa.string())
-        self.idf = np.ones(len(self.vocabulary))
+        self.idf = self.weight = np.ones(len(self.vocabulary))
         self.other = 1.0
         self.basis = self.coords = None
 
     def weigh(self, df: np.ndarray, passages: int) -> None:
-        self.idf = np.log((passages + 1.0) / (df + 1.0))
-        self.idf[df > max(MOST_COMMON * passages, 8)] = 0.0
+        self.weight = np.maximum(np.log((passages + 1.0) / (df + 1.0)), LEAST_WEIGHT)
+        self.idf = np.where(df > max(MOST_COMMON * passages, 8), 0.0, self.weight)
+        place = {w: k for k, w in enumerate(self.vocabulary.to_pylist())}
+        for x in self.items:
+            own = [place[w] for w in set(x.words)]
+            if (self.idf[own] ** 2).sum() < 0.5 * (self.weight[own] ** 2).sum():
+                self.idf[own] = self.weight[own]
         on = self.idf > 0
         self.other = float(np.median(self.idf[on])) if on.any() else 1.0
 
@@ -142,6 +148,18 @@ class Space:
         size = np.bincount(row, minlength=len(texts))
         return row, np.arange(len(row)) - (np.cumsum(size) - size)[row], term
 
+    def cells(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and number of each cell of STRIDE words, and its distinct terms, padded with the vocabulary's size."""
+        row, pos, term = self.terms(texts)
+        none = len(self.vocabulary)
+        first = np.flatnonzero(pos % STRIDE == 0)
+        at = np.cumsum(pos % STRIDE == 0) - 1
+        held = np.full((len(first), STRIDE), none, np.int32)
+        held[at, pos % STRIDE] = np.where(term < 0, none, term)
+        held.sort(axis=1)
+        held[:, 1:][held[:, 1:] == held[:, :-1]] = none
+        return row[first], pos[first] // STRIDE, held
+
     def passages(self, texts: pa.Array, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row and number of each passage whose share of benchmark words is least or more; entry starts, terms, values."""
         row, pos, term = self.terms(texts)
@@ -195,16 +213,14 @@ _FOUND, _FOUND_ARROW = arrow_schema("key long, doc_id long, item_id long, cosine
 
 
 def _frequencies(own: DataFrame, space: Space) -> tuple[np.ndarray, int]:
-    """How often each benchmark word occurs, repeats in a row counted once, and the number of cells of STRIDE words."""
+    """In how many cells of STRIDE words each benchmark word occurs, and the number of cells."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, cells = np.zeros(len(space.vocabulary), np.int64), 0
         for batch in portions(batches, PORTION_BYTES):
-            row, pos, term = space.terms(batch.column("text"))
-            cells += int((pos % STRIDE == 0).sum())
-            on = term >= 0
-            on[1:] &= (term[1:] != term[:-1]) | (row[1:] != row[:-1])
-            out += np.bincount(term[on], minlength=len(out))
+            row, _, held = space.cells(batch.column("text"))
+            cells += len(row)
+            out += np.bincount(held.ravel(), minlength=len(out) + 1)[:-1]
         on = np.flatnonzero(out)
         yield arrow_batch(_TERM_ARROW, np.append(on, -1).astype(np.int32), np.append(out[on], cells))
 
@@ -214,7 +230,7 @@ def _frequencies(own: DataFrame, space: Space) -> tuple[np.ndarray, int]:
             cells = r["n"]
         else:
             df[r["term"]] = r["n"]
-    return np.minimum(df, cells), cells
+    return df, cells
 
 
 def _summed(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:

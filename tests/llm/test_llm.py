@@ -532,6 +532,22 @@ def test_candidates_reach_those_of_brute_force(exam):
     assert exact and len(got & exact) >= 0.9 * len(exact)
 
 
+def test_leaks_that_stand_in_a_third_of_all_rows_are_found(spark):
+    r = random.Random(9)
+    words = vocabulary(21, 2500)
+    item = " ".join(r.sample(words, 24)) + ". " + " ".join(r.sample(words, 4))
+    rows = [(i, " ".join([*(r.choice(words) for _ in range(40)), *([item] if i % 3 == 0 else []), *(r.choice(words) for _ in range(40))])) for i in range(300)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    space = decontam.Space(decontam.items_of(bench))
+    space.weigh(*decontam._frequencies(decontam.keyed(docs), space))
+    assert np.linalg.norm(space.vectors(), axis=1) == pytest.approx([1.0])
+    assert {r["doc_id"] for r in rows_of(decontam.leaks(docs, bench))} == {i for i in range(300) if i % 3 == 0}
+    twice = spark.createDataFrame([(1, "aa bb aa bb aa"), (2, "bb cc")], "doc_id long, text string")
+    space = decontam.Space([decontam.Item(1, ["aa", "bb"], [])])
+    df, cells = decontam._frequencies(decontam.keyed(twice), space)
+    assert df.tolist() == [1, 2] and cells == 2
+
+
 def test_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
