@@ -6,8 +6,16 @@ decomposition, distributed over passages, gives the latent space: the range find
 passages beside a random sketch, and Ritz values come from a second pass. (A range found from the corpus alone at ranks
 64, 128 and 256 kept a share of 0.00, 0.03 and 0.16 of the passages with an exact cosine of 0.55 or more, since rare
 words aren't among its main directions; hence the seed.) Every passage of every document is projected; a bound by
-Cauchy and Schwarz skips those that can't reach the threshold. Candidates are judged on the words themselves: the longest
-common subsequence of item and passage, and whether the item's answer occurs.
+Cauchy and Schwarz skips those that can't reach the threshold.
+
+The cosine of a whole item and a window of fixed size falls with the item's length and with each word that is replaced, so
+a second search covers what it can't reach: of each run of cells that holds any SPAN times as many words as the item, the
+weight of the item's words in it is summed, and runs whose sum is too small for any verdict are excluded. The sum is an
+upper bound, so nothing that the judge accepts in a run of that length is left out, however frequent its words are.
+
+Candidates are judged on the words themselves: the longest common subsequence of item and passage, and whether the item's
+answer occurs. A paraphrase found by weight alone must hold EVIDENCE of the item's weight in order too, since half of a
+short item's words may be such as stand in every text.
 
 The basis is fitted to all benchmark items and a sample of about FIT_PASSAGES corpus passages, chosen by hash; document
 frequencies and the search cover all passages. Items go through in blocks of BLOCK_ITEMS, which bounds what is sent.
@@ -35,6 +43,7 @@ WINDOW, STRIDE = 32, 16
 BLOCK_ITEMS = 512
 PORTION_BYTES = 2_000_000
 FIT_PASSAGES = 40_000
+JUDGED = 64
 EXTRA_RANK = 32
 #: A word of more than this share of cells has no weight in the cosine, unless an item would lose most of its weight.
 MOST_COMMON = 0.02
@@ -42,6 +51,11 @@ LEAST_WEIGHT = 0.05
 COSINE = 0.45
 #: Share of an item's words in common order that is a leak by itself, and with the answer present.
 COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.6
+#: Share of an item's weight in common order that a paraphrase needs which no cosine has found.
+EVIDENCE = 1 / 3
+#: Words of a copy or paraphrase for each of the item's.
+SPAN = 1.5
+SCALE, BLOCK_COLUMNS, BLOCK_CELLS = 4000, 128, 1024
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -93,6 +107,18 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(best)
 
 
+def heaviest_subsequence(a: list[str], weights: np.ndarray, b: list[str]) -> float:
+    """Weight of the heaviest common subsequence, each word of a with a weight."""
+    code: dict[str, int] = {}
+    own = np.array([code.setdefault(w, len(code)) for w in b], np.int64)
+    best = np.zeros(len(b) + 1)
+    for w, weight in zip(a, weights):
+        if w in code:
+            best[1:] = np.maximum(best[1:], np.where(own == code[w], best[:-1] + weight, 0.0))
+            np.maximum.accumulate(best, out=best)
+    return float(best[-1])
+
+
 class Space:
     """Vocabulary, weights and latent basis of a block of items."""
 
@@ -148,9 +174,9 @@ class Space:
         size = np.bincount(row, minlength=len(texts))
         return row, np.arange(len(row)) - (np.cumsum(size) - size)[row], term
 
-    def cells(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cells(self, texts: pa.Array, terms: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row and number of each cell of STRIDE words, and its distinct terms, padded with the vocabulary's size."""
-        row, pos, term = self.terms(texts)
+        row, pos, term = terms or self.terms(texts)
         none = len(self.vocabulary)
         first = np.flatnonzero(pos % STRIDE == 0)
         at = np.cumsum(pos % STRIDE == 0) - 1
@@ -160,9 +186,81 @@ class Space:
         held[:, 1:][held[:, 1:] == held[:, :-1]] = none
         return row[first], pos[first] // STRIDE, held
 
-    def passages(self, texts: pa.Array, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def shares(self) -> tuple[np.ndarray, ...]:
+        """Of each term and item the share of the item's weight in SCALE parts, rounded up, and the count; their least sums in a leak; cells of a run.
+
+        A copy may lack the heaviest of the words that COPY lets go, a paraphrase all but EVIDENCE.
+        """
+        place = {w: k for k, w in enumerate(self.vocabulary.to_pylist())}
+        out = np.zeros((len(self.vocabulary) + 1, len(self.items)), np.uint16 if max(len(x.words) for x in self.items) < 50_000 else np.int32)
+        counts, few = np.zeros_like(out), np.zeros(len(self.items))
+        least, cells = np.zeros(len(self.items), np.int32), np.zeros(len(self.items), np.int64)
+        for k, x in enumerate(self.items):
+            at = np.array([place[w] for w in x.words])
+            w, n = self.weight[at], len(at)
+            term, count = np.unique(at, return_counts=True)
+            out[term, k] = np.ceil(SCALE * self.weight[term] * count / w.sum())
+            counts[term, k] = count
+            few[k] = (PARAPHRASE if x.answer else COPY) * n - 1e-9
+            copy = np.sort(w)[: int(np.ceil(COPY * n - 1e-9))].sum() / w.sum()
+            least[k] = int(SCALE * (min(copy, EVIDENCE) if x.answer else copy))
+            cells[k] = -(-int(np.ceil(SPAN * n)) // STRIDE) + 1
+        return out, counts, least, few, cells
+
+    def overlaps(self, texts: pa.Array, shares: tuple[np.ndarray, ...], terms: tuple | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item, low and high (word places) of each series of runs that hold the least sum of an item."""
+        row, number, held = self.cells(texts, terms)
+        part, counts, least, few, size = shares
+        if not len(row):
+            return
+        end, wide = np.searchsorted(row, row, "right"), int(size.max())
+        order = np.argsort(size, kind="stable")
+        dtype = part.dtype if wide * (SCALE + int(counts.sum(axis=0).max())) < 1 << 16 else np.int32  # differences hold if sums wrap
+        for first in range(0, len(order), BLOCK_COLUMNS):
+            block = order[first : first + BLOCK_COLUMNS]
+            own, bounds = np.ascontiguousarray(part[:, block]), least[block].astype(dtype)
+            cuts = np.append(np.flatnonzero(np.diff(size[block], prepend=-1)), len(block)).tolist()
+            for low in range(0, len(row), BLOCK_CELLS):
+                some = held[low : low + BLOCK_CELLS + wide - 1]
+                total = np.zeros((len(some) + wide + 1, len(block)), dtype)
+                sums = total[1 : len(some) + 1]
+                for j in range(STRIDE):
+                    sums += own[some[:, j]]
+                np.cumsum(total, axis=0, dtype=dtype, out=total)
+                here = min(BLOCK_CELLS, len(row) - low)
+                for x, y in zip(cuts, cuts[1:]):
+                    n = int(size[block[x]])
+                    item, p = np.nonzero((total[n : n + here, x:y] - total[:here, x:y] >= bounds[x:y]).T)  # a run may reach into the next text here
+                    p, item = p + low, block[x + item]
+                    sure = np.zeros(len(p), bool)
+                    step = max(1, 1_000_000 // (n * STRIDE))
+                    for k in range(0, len(p), step):  # words of several cells count once now
+                        at, i = p[k : k + step, None] + np.arange(n), item[k : k + step, None]
+                        terms = np.where((at < end[at[:, :1]])[:, :, None], held[np.minimum(at, len(row) - 1)], len(part) - 1).reshape(len(at), -1)
+                        terms.sort(axis=1)
+                        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = len(part) - 1
+                        sure[k : k + step] = (part[terms, i].sum(axis=1, dtype=np.int64) >= least[i[:, 0]]) & (counts[terms, i].sum(axis=1, dtype=np.int64) >= few[i[:, 0]])
+                    item, p = item[sure], p[sure]
+                    if not len(p):
+                        continue
+                    start = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (p[1:] != p[:-1] + 1) | (row[p[1:]] != row[p[:-1]])))
+                    last = np.append(start[1:], len(p)) - 1
+                    for i, a, b in zip(item[start].tolist(), p[start].tolist(), p[last].tolist()):
+                        # a series may come from the block of cells before
+                        yield int(row[a]), i, max(0, int(number[a]) - (wide if a == low else 0)) * STRIDE, (int(number[b]) + n) * STRIDE
+
+    def cosine(self, texts: pa.Array, item: int, low: int, high: int) -> float:
+        """The best cosine of an item and a passage that starts in low to high of the first text."""
+        _, number, start, t, v = self.passages(texts)
+        best = 0.0
+        for k, z in self.project(start, t, v, self.basis):
+            at = number[k : k + len(z)] * STRIDE
+            best = max(best, float((z @ self.coords[item])[(at > low - WINDOW) & (at < high)].max(initial=0.0)))
+        return best
+
+    def passages(self, texts: pa.Array, least: float = 0.0, terms: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Row and number of each passage whose share of benchmark words is least or more; entry starts, terms, values."""
-        row, pos, term = self.terms(texts)
+        row, pos, term = terms or self.terms(texts)
         none = np.zeros(0, np.int64)
         if not len(row):
             return none, none, none, none, np.zeros(0, np.float32)
@@ -285,11 +383,16 @@ def fit(own: DataFrame, space: Space, passages: int) -> None:
 
 
 def candidates(own: DataFrame, space: Space) -> DataFrame:
-    """Documents and items with a passage at COSINE or more: key, doc_id, item (place), low and high (word places)."""
+    """Documents and items that may leak: key, doc_id, item (place), low and high (word places), cosine.
+
+    Passages at COSINE or more, and runs of words that hold enough of an item's weight (without cosine).
+    """
+    shares = space.shares()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, PORTION_BYTES):
-            row, number, start, t, v = space.passages(batch.column("text"), COSINE)
+            terms = space.terms(batch.column("text"))
+            row, number, start, t, v = space.passages(batch.column("text"), COSINE, terms)
             best: dict[tuple[int, int], list] = {}
             for k, z in space.project(start, t, v, space.basis):
                 cos = z @ space.coords.T
@@ -297,10 +400,8 @@ def candidates(own: DataFrame, space: Space) -> DataFrame:
                     at, c = int(number[k + p]) * STRIDE, float(cos[p, item])
                     held = best.setdefault((int(row[k + p]), int(item)), [])
                     held.append((at, c))
-            if not best:
-                continue
             rows, docs = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
-            out = []
+            out = [(rows[r], docs[r], item, low, high, None) for r, item, low, high in space.overlaps(batch.column("text"), shares, terms)]
             for (r, item), places in best.items():
                 n, places = len(space.items[item].words), sorted(places)
                 low, high, c = places[0][0], places[0][0], places[0][1]
@@ -309,6 +410,8 @@ def candidates(own: DataFrame, space: Space) -> DataFrame:
                         out.append((rows[r], docs[r], item, max(0, low - n), high + WINDOW + n, c))
                         low, c = at, x
                     high, c = at, max(c, x)
+            if not out:
+                continue
             yield arrow_batch(_HIT_ARROW, *([x[k] for x in out] for k in range(6)))
 
     return own.mapInArrow(search, _HIT)
@@ -318,21 +421,34 @@ def judge(own: DataFrame, hits: DataFrame, space: Space) -> DataFrame:
     """Leaks among candidates, by longest common subsequence and answer, read from the documents' own words."""
     bitmap = key_bitmap(hits.select("key").distinct(), "key")
     texts = own.where(in_bitmap(bitmap, F.col("key"))).select("key", "text").dropDuplicates(["key"])
-    met = hits.join(texts, "key").sortWithinPartitions("key")
+    met = hits.join(texts, "key").sortWithinPartitions("key", "doc_id", "item", F.col("cosine").desc_nulls_last())
     items = space.items
+    weight = dict(zip(space.vocabulary.to_pylist(), space.weight.tolist()))
+
+    def informed(item: int, part: list[str]) -> bool:
+        own = np.array([weight[w] for w in items[item].words])
+        return heaviest_subsequence(items[item].words, own, part) >= EVIDENCE * own.sum() - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
+        done = None
         for batch in batches:
             out = []
-            for key, doc, item, low, high, cosine, text in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "item", "low", "high", "cosine", "text"))):
-                if key != last:
-                    last, words = key, words_of(pa.array([text], pa.string()))[2].to_pylist()
-                x, part = items[item], words[low:high]
-                lcs = common_subsequence(x.words, part) / len(x.words)
-                answer = common_subsequence(x.answer, part) / len(x.answer) if x.answer else 0.0
-                if lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER:
-                    out.append((key, doc, x.item_id, cosine, lcs, answer))
+            for k in range(0, len(batch), JUDGED):  # the pattern is compiled once for so many
+                some = batch.slice(k, JUDGED)
+                texts = some.column("text")
+                row, _, flat = words_of(texts)
+                first, last = np.searchsorted(row, np.arange(len(some))), np.searchsorted(row, np.arange(len(some)), "right")
+                for j, (key, doc, item, low, high, cosine) in enumerate(zip(*(some.column(c).to_pylist() for c in ("key", "doc_id", "item", "low", "high", "cosine")))):
+                    if cosine is None and done == (key, doc, item):  # a leak by its cosine
+                        continue
+                    x, part = items[item], flat[first[j] + low : min(first[j] + high, last[j])].to_pylist()
+                    lcs = common_subsequence(x.words, part) / len(x.words)
+                    answer = common_subsequence(x.answer, part) / len(x.answer) if x.answer else 0.0
+                    if lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER and (cosine is not None or informed(item, part)):
+                        if cosine is None:
+                            cosine = space.cosine(texts[j : j + 1], item, low, high)
+                        out.append((key, doc, x.item_id, cosine, lcs, answer))
+                        done = (key, doc, item)
             yield arrow_batch(_FOUND_ARROW, *([y[k] for y in out] for k in range(6)))
 
     found = met.mapInArrow(run, _FOUND)

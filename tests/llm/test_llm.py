@@ -548,6 +548,35 @@ def test_leaks_that_stand_in_a_third_of_all_rows_are_found(spark):
     assert df.tolist() == [1, 2] and cells == 2
 
 
+def test_long_items_and_half_paraphrases_are_found(spark):
+    r = random.Random(10)
+    words, other = vocabulary(22, 3000), vocabulary(23, 3000)
+    items = [" ".join(r.choice(words) for _ in range(n)) + ". " + " ".join(r.choice(words) for _ in range(4)) for n in (260, 900, 55, 55, 40, 25, 16)]
+    rows, planted = [], set()
+    for i in range(140):
+        own, item = [r.choice(words) for _ in range(r.randint(20, 300))], i % 14
+        if item < len(items):
+            copy = items[item].split()
+            if i >= 14:  # of the words before the answer two in five are foreign ones
+                most = len(copy) - 4
+                gone = set(r.sample(range(most), int(0.42 * most)))
+                copy = [r.choice(other) if k in gone else w for k, w in enumerate(copy)]
+            at = r.randrange(len(own))
+            own = own[:at] + copy + own[at:]
+            planted.add((i, item))
+        rows.append((i, " ".join(own)))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = rows_of(decontam.leaks(docs, bench))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == planted and all(0 < r["cosine"] <= 1.001 for r in got)
+
+
+def test_heaviest_subsequence():
+    r = random.Random(7)
+    for _ in range(100):
+        a, b = [r.choice("abcde") for _ in range(r.randint(0, 15))], [r.choice("abcde") for _ in range(r.randint(0, 15))]
+        assert decontam.heaviest_subsequence(a, np.full(len(a), 0.5), b) == pytest.approx(0.5 * decontam.common_subsequence(a, b))
+
+
 def test_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
