@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a linear-chain conditional random field over word shapes.
 
 The patterns give base spans, leftmost and without overlap for each kind; a match that fails its check is dropped. The
-random field reads the words around each word with a digit or an at sign, decodes them by Viterbi in numpy batches, and
+random field reads the words around each word with a digit, an at sign or a masked one ([at], (at)), decodes them by Viterbi in numpy batches, and
 adds spans of the same kinds that no base span touches: numbers that a greedy pattern ran together, phones without
 a plus sign, masked addresses. It is trained by maximum likelihood from a small labelled table that this module writes.
 
@@ -35,6 +35,8 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKED = re.compile(r"[0-9@]")
+#: What any span that _holds accepts has in it.
+_SIGN = re.compile(r"[0-9@]|\[at\]|\(at\)")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -129,7 +131,7 @@ def labelled_table(rows: int = 900, seed: int = 7) -> list[tuple[list[str], list
         if kind == "email":
             host = f"{name()}.{r.choice(['com', 'org', 'net', 'example.com', 'de'])}"
             user = name() + r.choice(["", "." + name(), "." + digit(2), digit(2)])
-            return kind, [r.choice([f"{user}@{host}", f"{user}@mail{digit(1)}.{host}", f"{user}[at]{host}{digit(1)}", f"<{user}@{host}>", f"{user}@{host},"])]
+            return kind, [r.choice([f"{user}@{host}", f"{user}@mail{digit(1)}.{host}", f"{user}[at]{host}{digit(1)}", f"{user}[at]{host}", f"{user}(at){host}", f"<{user}@{host}>", f"{user}@{host},"])]
         if kind == "ip":
             ip = ".".join(str(r.randint(0, 255)) for _ in range(4))
             return kind, [ip + r.choice(["", "", ",", ".", ":" + digit(4)])]
@@ -140,7 +142,7 @@ def labelled_table(rows: int = 900, seed: int = 7) -> list[tuple[list[str], list
         return kind, r.choice([[f"+{r.choice('13479')}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{digit(2)}", a, digit(3), c], [f"+1-{a}-{b}-{c}"], [f"+1{a}{b}{c}"], [f"({a})", f"{b}-{c},"]])
 
     def other() -> list[str]:
-        return [r.choice([str(r.randint(1, 2100)), digit(4), f"{digit(1)}.{digit(1)}", f"{digit(1)}.{digit(1)}.{digit(1)}", f"{digit(2)}%", f"§{digit(2)}", f"({digit(4)})", f"({digit(2)})", f"$" + digit(3), f"{digit(2)}:{digit(2)}", f"{digit(4)}-{digit(2)}-{digit(2)}", f"password={name()}{digit(3)}{name()}", f"AKIA{name().upper()}{digit(2)}", f'"{digit(3)}{name()}{digit(6)}{name()}{digit(9)}"', f"v{digit(1)}.{digit(1)}", f"@{name()}", f"#{digit(3)}", f"{digit(2)},{digit(3)}", digit(6), digit(8), digit(12), digit(20), f"{digit(2)}th", f"{digit(3)}-{digit(3)}", name() + digit(2)])]
+        return [r.choice([str(r.randint(1, 2100)), digit(4), f"{digit(1)}.{digit(1)}", f"{digit(1)}.{digit(1)}.{digit(1)}", f"{digit(2)}%", f"§{digit(2)}", f"({digit(4)})", f"({digit(2)})", f"({name()})", f"[{name()}]", f"{name()}({name()})", f"$" + digit(3), f"{digit(2)}:{digit(2)}", f"{digit(4)}-{digit(2)}-{digit(2)}", f"password={name()}{digit(3)}{name()}", f"AKIA{name().upper()}{digit(2)}", f'"{digit(3)}{name()}{digit(6)}{name()}{digit(9)}"', f"v{digit(1)}.{digit(1)}", f"@{name()}", f"#{digit(3)}", f"{digit(2)},{digit(3)}", digit(6), digit(8), digit(12), digit(20), f"{digit(2)}th", f"{digit(3)}-{digit(3)}", name() + digit(2)])]
 
     out = []
     for _ in range(rows):
@@ -179,9 +181,14 @@ class Field:
 
     def decode(self, batch: list[list[str]]) -> list[list[str]]:
         """Viterbi for many sequences at once."""
-        out: list[list[str]] = []
-        for i in range(0, len(batch), 2000):
-            own = batch[i : i + 2000]
+        out: list[list[str]] = [[] for _ in batch]
+        order, i = sorted(range(len(batch)), key=lambda k: len(batch[k])), 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and j - i < 2000 and (j - i + 1) * len(batch[order[j]]) <= 100_000:
+                j += 1
+            places, i = order[i:j], j
+            own = [batch[k] for k in places]
             sizes = np.array([len(w) for w in own])
             s = np.zeros((len(own), int(sizes.max()), len(LABELS)))
             for k, words in enumerate(own):
@@ -190,7 +197,7 @@ class Field:
             last = best.copy()
             for t in range(1, s.shape[1]):
                 cand = best[:, :, None] + self.step[:-1, :-1][None]
-                back.append(cand.argmax(axis=1))
+                back.append(cand.argmax(axis=1).astype(np.int8))
                 best = cand.max(axis=1) + s[:, t]
                 last[sizes > t] = best[sizes > t]
             for k in range(len(own)):
@@ -199,7 +206,7 @@ class Field:
                 for t in range(int(sizes[k]) - 2, -1, -1):
                     y = int(back[t][k, y])
                     path.append(y)
-                out.append([LABELS[y] for y in reversed(path)])
+                out[places[k]] = [LABELS[y] for y in reversed(path)]
         return out
 
 
@@ -278,17 +285,17 @@ def _holds(kind: str, text: str) -> bool:
 
 
 def segments(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words within CONTEXT of a word with a digit or an at sign."""
-    if not _MARKED.search(text):
+    """Runs of words within CONTEXT of a word with a sign that a span must have; a run of any length stays whole."""
+    if not _SIGN.search(text):
         return []
     words = [m.span() for m in _TOKEN.finditer(text)]
     starts = np.array([a for a, _ in words])
-    marks = np.unique(np.searchsorted(starts, [m.start() for m in _MARKED.finditer(text)], "right") - 1)
+    marks = np.unique(np.searchsorted(starts, [m.start() for m in _SIGN.finditer(text)], "right") - 1)
     out, low, high = [], int(marks[0]) - CONTEXT, int(marks[0]) + CONTEXT
     for k in map(int, marks[1:]):
-        if k - CONTEXT > high + 1 or high - low >= 200:
+        if k - CONTEXT > high + 1:
             out.append(words[max(0, low) : high + 1])
-            low = max(k - CONTEXT, high + 1)
+            low = k - CONTEXT
         high = k + CONTEXT
     out.append(words[max(0, low) : high + 1])
     return [s for s in out if s]

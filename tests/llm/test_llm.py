@@ -325,6 +325,18 @@ def test_field_adds_what_the_patterns_run_together(docs):
     assert blank["spans"] == "" and blank["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_masked_addresses_without_digits_and_long_runs():
+    def added(text):
+        return [(k, text[a:b]) for k, a, b in pii.added_spans([text], [pii.base_spans(text)], pii.field())[0]]
+
+    assert added("please write to anna[at]hostel.com or call") == [("email", "anna[at]hostel.com")]
+    assert added("mail lena.mor(at)provider.org since then (see the note)") == [("email", "lena.mor(at)provider.org")]
+    card = "4012 8888 8888 1881"
+    for n in range(190, 210):  # a card at each place where runs were cut
+        text = " ".join(["12.5%"] * n + [card] + ["12.5%"] * 9)
+        assert len(pii.segments(text)) == 1 and all(len(s) == n + 13 for s in pii.segments(text))
+
+
 # 7 sharding
 
 
