@@ -158,6 +158,9 @@ class Lattice:
 
     def long_marginal(self, word: bytes) -> float:
         """As log_marginal for one word of any length, in time in proportion to it."""
+        return self._long_forward(word)[-1]
+
+    def _long_forward(self, word: bytes) -> list[float]:
         place = {p: k for k, p in enumerate(self.pieces)} if not hasattr(self, "_place") else self._place
         self._place = place
         alpha, logp = [0.0], self.logp
@@ -165,7 +168,27 @@ class Lattice:
             x = [alpha[j - n] + logp[k] for n in range(1, min(LONGEST_PIECE, j) + 1) if (k := place.get(word[j - n : j])) is not None]
             top = max(x)
             alpha.append(top + math.log(sum(math.exp(v - top) for v in x)))
-        return alpha[-1]
+        return alpha
+
+    def long_expected(self, word: bytes, weight: float, out: np.ndarray) -> None:
+        """As expected for one word of any length, in time in proportion to it."""
+        alpha, length = self._long_forward(word), len(word)
+        beta = [0.0] * (length + 1)
+        for i in range(length - 1, -1, -1):
+            at = [(k, beta[i + n] + self.logp[k]) for n in range(1, min(LONGEST_PIECE, length - i) + 1) if (k := self._place.get(word[i : i + n])) is not None]
+            top = max(v for _, v in at)
+            beta[i] = top + math.log(sum(math.exp(v - top) for _, v in at))
+            for k, v in at:
+                out[k] += weight * math.exp(alpha[i] + v - alpha[length])
+
+    def learn(self, words: pa.Array, weight: np.ndarray, out: np.ndarray) -> None:
+        """Adds the expected piece counts of words of any length to out."""
+        for at, grid in self.groups(words):
+            if grid.shape[1] <= LONG_WORD or len(grid) >= 32 and grid.shape[1] <= 16 * LONG_WORD:
+                self.expected(grid, weight[at], out)
+            else:
+                for g, w in zip(grid, weight[at].tolist()):
+                    self.long_expected(g.tobytes(), w, out)
 
     def score(self, words: pa.Array) -> np.ndarray:
         out = np.zeros(len(words))
@@ -233,9 +256,7 @@ def train(docs: DataFrame, vocabulary_path: str, folds: int = 10, rounds: int =
             out = np.zeros(len(lattice.pieces))
             for batch in batches:
                 c = batch.column("c").to_numpy().astype(np.float64)
-                for at, grid in lattice.groups(batch.column("word")):
-                    if grid.shape[1] <= LONG_WORD:  # what is longer isn't prose; scored, but not learnt from
-                        lattice.expected(grid, c[at], out)
+                lattice.learn(batch.column("word"), c, out)
             on = np.flatnonzero(out)
             yield arrow_batch(_EM_ARROW, on.astype(np.int32), out[on])
 

@@ -194,6 +194,23 @@ def test_scores_against_brute_force(spark, docs):
         assert a == pytest.approx(b, abs=2e-3, nan_ok=True) if None not in a else a[1:4] == b[1:4]
 
 
+def test_long_words_are_learnt_from(spark):
+    clause = "吾輩は猫である名前はまだ無いどこで生れたか頓と見当がつかぬ"
+    texts = spark.createDataFrame([(i, clause) for i in range(1, 40)], "doc_id long, text string")
+    model = lm.train(texts, tokenizer_path("piece_bpe_32k.model"))
+    word = b" " + clause.encode()
+    uniform = lm.Lattice(model.lattice.pieces, np.full(len(model.lattice.pieces), -math.log(len(model.lattice.pieces))))
+    assert len(word) > lm.LONG_WORD and model.lattice.long_marginal(word) > uniform.long_marginal(word) + 10
+    lattice, words = model.lattice, pa.array([clause, "ab", *["x" * 60] * 40])
+    counts, one = np.zeros(len(lattice.pieces)), np.zeros(len(lattice.pieces))
+    lattice.learn(words, np.full(42, 2.0), counts)
+    assert sum(c * len(p) for c, p in zip(counts, lattice.pieces)) == pytest.approx(2 * (len(word) + 3 + 40 * 61))
+    many = np.zeros(len(lattice.pieces))
+    lattice.long_expected(word, 2.0, one)
+    lattice.expected(np.frombuffer(word, np.uint8)[None, :], np.array([2.0]), many)
+    assert one == pytest.approx(many)
+
+
 # 3 token files
 
 
