@@ -30,10 +30,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which ends its lineage."""
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` has returned and that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_cut_path", None):
+            _delete(t.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that operators have left in the shared folder; no result that reads it may still be in use."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lakequill")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/lakequill")
