@@ -7,16 +7,42 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, fresh_dir, shared_dir  # noqa: F401
+from ..session import cut, discard, fresh_dir, shared_dir  # noqa: F401
 
 #: White space that parts words in every contract of this subpackage.
 SPACE = r"\x20\x09-\x0D"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """How many rows go to Python at once from now on; of texts, 2,000 are some MB, and both sides hold several batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+#: What goes to Python at once, at most; both sides hold several batches.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at once by rows and by bytes.
+
+    These are options of the session, read when a result is computed. All operators set the same values and never raise
+    one that is lower, so it doesn't matter which ran last.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
+
+
+def gathered(batches, most: int, column: str = "text"):
+    """Record batches put together until one has about so many bytes of text, for steps that gain from large portions."""
+    import pyarrow.compute as pc
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -104,7 +130,8 @@ def portions(batches, most: int, column: str = "text"):
     release()
 
 
-BITS = 1 << 22
+#: Least and most bits of a bitmap of keys: 512 KiB and 16 MiB.
+BITS, MOST_BITS = 1 << 22, 1 << 27
 
 
 def row_key(*columns: str) -> Column:
@@ -113,31 +140,60 @@ def row_key(*columns: str) -> Column:
 
 
 def key_bitmap(keys: DataFrame, column: str):
-    """A bitmap of BITS bits (512 KiB, whatever the number of keys) that has each key's bit set; 1 where all are."""
+    """A bitmap that has each key's bit set, of 16 bits a key between BITS and MOST_BITS; 1 where all are.
+
+    It only saves work: whoever uses it joins by key afterwards, so a full one costs time, not rows.
+    """
     import numpy as np
 
+    keys = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull())
+    n, bits = keys.count(), BITS
+    while bits < MOST_BITS and bits < 16 * n:
+        bits *= 2
+
     def mark(batches):
-        bits = np.zeros(BITS, bool)
+        on = np.zeros(bits, bool)
         for batch in batches:
-            bits[batch.column(0).to_numpy() % BITS] = True
-        packed = np.packbits(bits)
+            on[batch.column(0).to_numpy() % bits] = True
+        packed = np.packbits(on)
         for k in range(0, len(packed), 4096):
             if packed[k : k + 4096].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // 4096], pa.int32()), pa.array([packed[k : k + 4096].tobytes()], pa.binary())], names=["k", "bits"])
 
-    out = np.zeros(BITS // 8, np.uint8)
-    merged = keys.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(mark, "k int, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
 
     def union(pdf):
         import pandas as pd
 
         return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
 
-    for r in merged.groupBy("k").applyInPandas(union, "k int, bits binary").collect():  # 128 rows of 4 KiB at most
+    for r in keys.mapInArrow(mark, "k int, bits binary").groupBy("k").applyInPandas(union, "k int, bits binary").collect():  # MOST_BITS bounds the rows
         out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
+def split_by_bitmap(df: DataFrame, key: Column, bitmap) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose key may be among those of a bitmap, and rows whose key surely isn't; rows aren't moved.
+
+    Join the former by an outer join: Catalyst moves a semi or anti join below this one, where all rows would be shuffled.
+    The bitmap is sent to all tasks as rows of 4 KiB, which MOST_BITS bounds.
+    """
+    import numpy as np
+
+    words = np.packbits(np.unpackbits(bitmap), bitorder="little").view("<i8").reshape(-1, 512)
+    rows = pa.table({"__k": pa.array(range(len(words)), pa.int64()), "__words": pa.array(list(words), pa.list_(pa.int64()))})
+    sent = F.broadcast(df.sparkSession.createDataFrame(rows))
+    place = F.pmod(key, F.lit(8 * len(bitmap)).cast("long"))
+    met = df.withColumn("__at", place).join(sent, F.shiftright("__at", 15) == F.col("__k"))
+    on = F.getbit(F.get("__words", F.shiftright(F.col("__at") % 32768, 6).cast("int")), (F.col("__at") % 64).cast("int")) == 1
+    return tuple(met.where(x).drop("__at", "__k", "__words") for x in (on, ~on))
+
+
+def maybe_in(df: DataFrame, key: Column, bitmap) -> DataFrame:
+    """Rows of df whose key may be among those of a bitmap; none of those is missing."""
+    return split_by_bitmap(df, key, bitmap)[0]
+
+
 def in_bitmap(bitmap, key: Column) -> Column:
     """Whether a key may be among those of a bitmap; never False for one of them."""
     import numpy as np
@@ -145,7 +201,7 @@ def in_bitmap(bitmap, key: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def maybe(keys):
-        place = keys.to_numpy(np.int64) % BITS
+        place = keys.to_numpy(np.int64) % (8 * len(bitmap))
         return pd.Series((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool))
 
     return maybe(key)
