@@ -1,8 +1,9 @@
 """Near-duplicate documents by bottom-k sketches from one hash function.
 
-A document's set is its distinct shingles of WORDS words. Its sketch is the KEEP lowest hashes of that set. Documents of
-equal sets are one node from the start, so groups of exact copies cost a row each. For the other nodes, inverted lists
-of retained values give overlaps:
+A document's set is its distinct shingles of WORDS words. Its sketch is the KEEP lowest hashes of that set. Rows with the
+same words in the same order, by a cryptographic digest, are one class from the start, so groups of exact copies cost a
+row each. Classes whose sets seem equal are linked once their full sets confirm it, and one of them goes on as the node of
+that set. For the nodes, inverted lists of retained values give overlaps:
 
 * A list of over LONG_LIST nodes belongs to a passage that many documents share, or to a large group of near copies.
   Documents with such values list all their other retained values as well, and only those made of such values for the
@@ -12,23 +13,32 @@ of retained values give overlaps:
   typical node, the one with the largest share of long-list values. Pairs pass if the
   sketch of their union estimates a similarity near the threshold or above, and count once the full sets confirm them.
   Nodes that are linked are one component; lists within one component are done.
-* Lists whose nodes are still apart give the pairs of different components that can be links. In long lists a bound
-  decides that from two numbers for each node, the size of its set and how many of its shingles no other such node
-  has: those can't be shared, so two sets with too many of them are never a pair; so do signatures of one bit for each
-  of 512 minima, with the same margin of DEVIATIONS.
+* Lists whose nodes are still apart give the pairs of different components that can be links. In long lists two numbers
+  for each node, the size of its set and how many of its shingles some other such node has, bound the size of a partner.
+  The smaller set of a link must have nearly all of its shingles in common with others (2 * t / (1 + t) of them), the
+  larger one a share of t. Documents that share a passage below that are left out before any join, whatever their number.
+  What is left is joined by value, range of size and part of the list, and compared by signatures of one bit for each of
+  512 minima, with the same margin of DEVIATIONS.
 
 So no link between different texts is lost but by chance: two documents at a similarity of 0.8 have no retained value
 in common with a chance of 0.2 ** 16; in long lists they have at least 0.5 of those values in common, so the chance is
-0.5 ** 24.
+0.5 ** 24. What still grows with the square of a list is the number of documents that consist of common passages nearly
+whole, without being linked.
+
+No task gets all rows of one value, class, component or pivot: lists, classes and labels are dealt in parts where they
+are long, and the texts of a node in many pairs go to several tasks.
 
 Results for odd input: fewer than WORDS words make one shingle; null, empty and blank texts have an empty set and
-are linked with nothing; rows of equal doc_id are one document with the union of their rows' links; null ids form
-a document of their own; an empty table gives an empty result; texts of any length are taken whole; other columns are ignored.
+are linked with nothing; rows of equal doc_id are one document with the union of their rows' links; a row with a null id
+is a document without a name, whose component_id is the lowest id it reaches (null if none) and which is kept only if it
+reaches none and stands for its component; an empty table gives an empty result; texts of any length are taken whole;
+other columns are ignored and may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bound_batches, cut, in_bitmap, key_bitmap, portions
+from .common import arrow_batch, arrow_schema, bound_batches, cut, discard, key_bitmap, maybe_in, portions, release, split_by_bitmap
 
 WORDS = 5
 KEEP = 64
@@ -48,13 +58,19 @@ LISTED_LONG = 24
 LONG_LIST = 40
 COLD_SHARE = 0.4
 PIVOT_ROUNDS = 1
+#: Pairs of one node, and rows of a list, that go to one task together; parts of a long list or large class.
+HUB, PART, PARTS = 256, 2000, 16
+#: Rows of a class from which its result is broadcast; at most 100,000 such classes are.
+LARGE_CLASS = 10_000
 #: Sketches of documents in long lists, which are compared with many.
 KEEP_WIDE = 512
 #: The estimate may be so many standard deviations below the threshold.
 DEVIATIONS = 5.5
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SKETCH, _SKETCH_ARROW = arrow_schema("doc_id long, n long, fp1 long, fp2 long, sketch array<long>")
+_SKETCH, _SKETCH_ARROW = arrow_schema("doc_id long, th long, n long, fp1 long, fp2 long, d1 long, d2 long, sketch array<long>")
+#: What tells classes apart.
+_CLASS = ["fp1", "fp2", "n", "d1", "d2"]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,8 +123,20 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], acc[keep]
 
 
+def digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of a cryptographic digest of each text's lower-cased words."""
+    raw = (b" ".join((x or b"").lower().split()) for x in pc.cast(texts, pa.binary()).to_pylist())  # bytes know ASCII case and white space alone
+    out = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in raw), np.int64).reshape(-1, 2)
+    return out[:, 0], out[:, 1]
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and a hash of the text that tells rows of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, size of the set, a 128-bit fingerprint of it, and its KEEP lowest hashes."""
+    """doc_id, hash of the text, size of the set, its 128-bit fingerprint, the digest of the words, KEEP lowest hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, PORTION_BYTES):
@@ -124,28 +152,45 @@ def sketches(docs: DataFrame) -> DataFrame:
             if some.any():
                 fp1[some] = np.add.reduceat(_mix(h + np.uint64(0x1234567)), first[some])
                 fp2[some] = np.bitwise_xor.reduceat(_mix(h + np.uint64(0x7654321)), first[some])
-            yield arrow_batch(_SKETCH_ARROW, batch.column("doc_id"), n, fp1.astype(np.int64), fp2.astype(np.int64), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low)))
+            yield arrow_batch(_SKETCH_ARROW, batch.column("doc_id"), batch.column("th"), n, fp1.astype(np.int64), fp2.astype(np.int64), *digests(batch.column("text")), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SKETCH)
+    return _own(docs).mapInArrow(run, _SKETCH)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """comp, the lowest id that each node of edges reaches: node, comp. Nodes without edges are left out.
 
-    Large stars and small stars in turn; each turn ends in a table, and hot centres are summed before they are shuffled.
+    Each turn every node takes the lowest label beside it and then that label's own label, which halves long chains, and
+    ends in a table. The edges of a node with many, and the nodes of a label with many, are dealt in parts.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v")
     both = cut(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    hubs = cut(both.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > PART).select(F.col("v").alias("hub")), "hubs")
+    part = F.when(F.col("hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("u"), F.lit(PARTS))).cast("int")
+    if hubs.limit(1).count():
+        dealt = cut(both.join(hubs, F.col("v") == F.col("hub"), "left").select("u", "v", part.alias("part")), "edges")
+        discard(both)
+        both = dealt
+    else:
+        both = both.withColumn("part", F.lit(0))
+    parts = F.array(*map(F.lit, range(PARTS)))
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels")
     while True:
-        near = both.join(label.select(F.col("node").alias("v"), "comp"), "v").groupBy("u").agg(F.min("comp").alias("m"))
-        step = label.join(near, label["node"] == near["u"]).select("node", F.least("comp", "m").alias("next"), "comp")
-        # a label's own label shortens chains
-        jump = step.select(F.col("node").alias("t"), F.col("next").alias("far"))
-        after = cut(step.join(jump, F.col("next") == F.col("t"), "left").select("node", F.least("next", F.coalesce("far", "next")).alias("next"), F.col("comp").alias("old")), "labels")
-        moved = after.where("next != old").limit(1).count()
-        label = after.select("node", F.col("next").alias("comp"))
+        beside = label.join(hubs, F.col("node") == F.col("hub"), "left").select(F.col("node").alias("v"), "comp", F.explode(F.when(F.col("hub").isNull(), F.array(F.lit(0))).otherwise(parts)).alias("part"))
+        near = both.join(beside, ["v", "part"]).groupBy("u").agg(F.min("comp").alias("m"))
+        step = cut(label.join(near, F.col("node") == F.col("u")).select("node", F.least("comp", "m").alias("next"), F.col("comp").alias("old")), "steps")
+        # the labels' own labels, each in all parts
+        roots = step.select(F.col("next").alias("t")).distinct()
+        far = step.join(roots, F.col("node") == F.col("t")).select("t", F.col("next").alias("far"), F.explode(parts).alias("part"))
+        own = step.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int")).alias("s")
+        met = own.join(far.alias("f"), (F.col("s.next") == F.col("f.t")) & (F.col("s.part") == F.col("f.part")), "left")
+        after = cut(met.select("node", F.least("next", F.coalesce("far", "next")).alias("comp"), "old"), "labels")
+        moved = after.where("comp != old").limit(1).count()
+        discard(label, step)
+        label = after.select("node", "comp")
+        label._cut_path = after._cut_path
         if not moved:
+            discard(both, hubs)
             return label
 
 
@@ -154,7 +199,7 @@ _LINK, _LINK_ARROW = arrow_schema("a long, b long")
 
 def possible(p: np.ndarray, q: np.ndarray, n1: int, n2: int, threshold: float) -> bool:
     """Whether sets of n1 and n2 values with these sketches can have the threshold; exact if both sketches are whole."""
-    both = np.intersect1d(p, q, assume_unique=True)
+    both = np.intersect1d(p, q)
     if len(p) == n1 and len(q) == n2:
         return len(both) >= (threshold - 1e-9) * (n1 + n2 - len(both))
     k = min(len(p) if len(p) < n1 else n1 + n2, len(q) if len(q) < n2 else n1 + n2)
@@ -164,10 +209,11 @@ def possible(p: np.ndarray, q: np.ndarray, n1: int, n2: int, threshold: float) -
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose union sketch allows the threshold."""
+    """Pairs whose union sketch allows the threshold; nodes: node, sketch, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             xs, ys = batch.column("x"), batch.column("y")
             vx, vy = xs.flatten().to_numpy(), ys.flatten().to_numpy()
             ex, ey = np.cumsum(pc.list_value_length(xs).to_numpy()), np.cumsum(pc.list_value_length(ys).to_numpy())
@@ -175,23 +221,39 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
             keep = np.zeros(len(batch), bool)
             ax = ay = 0
             for k, (bx, by) in enumerate(zip(ex.tolist(), ey.tolist())):
-                keep[k] = possible(vx[ax:bx].view(np.uint64), vy[ay:by].view(np.uint64), nx[k], ny[k], threshold)
+                keep[k] = possible(vx[ax:bx].view(np.uint32), vy[ay:by].view(np.uint32), nx[k], ny[k], threshold)
                 ax, ay = bx, by
             on = pa.array(keep)
             yield arrow_batch(_LINK_ARROW, batch.column("a").filter(on), batch.column("b").filter(on))
 
-    nodes = nodes.where(in_bitmap(key_bitmap(_ids(pairs), "i"), F.col("doc_id")))
-    x = nodes.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x"), F.col("n").alias("nx"))
-    y = nodes.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("ny"))
-    met = pairs.join(x, "a").join(y, "b").where(F.least("nx", "ny") >= F.greatest("nx", "ny") * F.lit(threshold - 1e-9))
-    return met.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, _LINK)
+    nodes = maybe_in(nodes, F.col("node"), key_bitmap(_ids(pairs), "i"))
+    met = _beside(pairs, nodes, "sketch", "n").where(F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * F.lit(threshold - 1e-9))
+    return met.select("a", "b", F.col("x_sketch").alias("x"), F.col("y_sketch").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")).mapInArrow(run, _LINK)
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("i")).union(pairs.select("b"))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _beside(pairs: DataFrame, own: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of both nodes, x_ of a and y_ of b. A node a with many pairs is dealt into parts, each with its columns."""
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HUB).select(F.col("a").alias("hub"), F.ceil(F.col("m") / HUB).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("int")
+    dealt = pairs.select("a", "b").join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", part.alias("part"))
+    y = own.select(F.col("node").alias("b"), *[F.col(c).alias("y_" + c) for c in columns])
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    x = own.join(hubs, F.col("node") == F.col("hub"), "left").select(F.col("node").alias("a"), each, *[F.col(c).alias("x_" + c) for c in columns])
+    return dealt.join(y, "b").join(x, ["a", "part"])
+
+
+def _texts(docs: DataFrame, nodes: DataFrame, again: bool) -> DataFrame:
+    """node, text of nodes (node, doc_id, th); again: whether rows repeat."""
+    own = maybe_in(_own(docs), F.col("th"), key_bitmap(nodes, "th")).alias("d")
+    met = own.join(nodes.alias("n"), (F.col("d.th") == F.col("n.th")) & F.col("d.doc_id").eqNullSafe(F.col("n.doc_id"))).select("n.node", "d.text")
+    return met.dropDuplicates(["node"]) if again else met
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets of shingles, as text, have 100 * intersection >= percent * union."""
 
     def shingles(text: str) -> set[bytes]:
@@ -201,6 +263,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
         for batch in batches:
+            release()
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = np.zeros(len(a), bool)
             for k, (i, x, y) in enumerate(zip(a, batch.column("x"), batch.column("y"))):
@@ -212,68 +275,170 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             on = pa.array(keep)
             yield arrow_batch(_LINK_ARROW, batch.column("a").filter(on), batch.column("b").filter(on))
 
-    bitmap = key_bitmap(_ids(pairs), "i")
-    texts = cut(docs.where("doc_id IS NOT NULL").where(in_bitmap(bitmap, F.col("doc_id").cast("long"))).select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")), "near-texts")
-    met = pairs.join(texts.select(F.col("i").alias("b"), F.col("t").alias("y")), "b").join(texts.select(F.col("i").alias("a"), F.col("t").alias("x")), "a")
-    return met.select("a", "b", "x", "y").sortWithinPartitions("a").mapInArrow(run, _LINK)
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (lowest doc_id reachable by links at threshold), kept, for each row of docs."""
+    met = _beside(pairs, texts, "text").select("a", "b", F.col("x_text").alias("x"), F.col("y_text").alias("y"))
+    return met.sortWithinPartitions("a").mapInArrow(run, _LINK)
+
+
+class _Search:
+    """What the steps of one search share: texts, nodes and threshold."""
+
+    def __init__(self, docs: DataFrame, threshold: float):
+        self.docs, self.threshold, self.percent = docs, threshold, round(threshold * 100)
+        self.rows = cut(sketches(docs).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+        full = self.rows.where("n > 0")
+        self.again = bool(self.rows.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("m")).where("m > 1").limit(1).count())
+        # a class is the rows of equal words, its node the lowest row of it
+        self.classes = cut(full.groupBy(*_CLASS).agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("m")), "classes")
+
+    def places(self, nodes: DataFrame) -> DataFrame:
+        """node, doc_id and th of nodes (node)."""
+        return self.rows.select(F.col("rid").alias("node"), "doc_id", "th").join(nodes.select("node"), "node", "left_semi")
+
+    def confirmed(self, pairs: DataFrame, percent: int) -> DataFrame:
+        wanted = cut(self.places(_ids(pairs).select(F.col("i").alias("node")).distinct()), "wanted")
+        texts = cut(_texts(self.docs, wanted, self.again), "near-texts")
+        found = cut(_confirmed(pairs, texts, percent), "links")
+        discard(wanted, texts)
+        return found
+
+    def equal_sets(self) -> tuple[DataFrame, DataFrame | None]:
+        """One node of each set, and links to it from classes of other texts with that set, each confirmed."""
+        heads = self.classes.groupBy("fp1", "fp2", "n").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k"))
+        several = cut(heads.where("k > 1"), "several")
+        links = None
+        if several.limit(1).count():
+            pairs = cut(self.classes.join(several, ["fp1", "fp2", "n"]).where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")), "equal-pairs")
+            links = self.confirmed(pairs, 100)
+            # a class that isn't confirmed is a node of its own
+            other = pairs.join(links, ["a", "b"], "left_anti").select(F.col("b").alias("node"))
+            heads = heads.select(F.col("head").alias("node")).unionByName(other)
+        else:
+            heads = heads.select(F.col("head").alias("node"))
+        nodes = cut(self.rows.select(F.col("rid").alias("node"), "doc_id", "th", "n", "sketch").join(heads, "node", "left_semi"), "nodes")
+        if links is not None:
+            discard(pairs)
+        discard(several)
+        return nodes, links
+
+    def same_ids(self) -> DataFrame | None:
+        """Links between classes of one doc_id, whose rows are one document."""
+        own = self.rows.where("n > 0 AND doc_id IS NOT NULL")
+        split = cut(own.groupBy("doc_id").agg(F.min("d1").alias("d0"), F.max("d1").alias("d9")).where("d0 != d9").select("doc_id"), "split-ids")
+        if not split.limit(1).count():
+            return None
+        met = own.select("doc_id", *_CLASS).join(split, "doc_id", "left_semi").join(self.classes, _CLASS).select("doc_id", "node").distinct()
+        first = met.groupBy("doc_id").agg(F.min("node").alias("a"))
+        return cut(met.join(first, "doc_id").where("a != node").select("a", F.col("node").alias("b")), "same-ids")
+
+    def link(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        if not pairs.limit(1).count():
+            return pairs.select("a", "b")
+        close = cut(_estimated(pairs, nodes, self.threshold), "close")
+        if not close.limit(1).count():
+            return close
+        found = self.confirmed(close, self.percent)
+        discard(close)
+        return found
+
+
+def _unique(met: DataFrame) -> DataFrame:
+    """Each pair once, the hub on its side a."""
+    pair = met.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), (F.col("a") < F.col("b")).cast("int").alias("up"))
+    pair = pair.groupBy("lo", "hi").agg(F.max("up").alias("up"))
+    return pair.select(F.when(F.col("up") == 1, F.col("lo")).otherwise(F.col("hi")).alias("a"), F.when(F.col("up") == 1, F.col("hi")).otherwise(F.col("lo")).alias("b"), "lo", "hi")
+
+
+def _resolved(docs: DataFrame, threshold: float) -> DataFrame:
+    """A row for each row of docs: rid, doc_id, th, n, component_id, kept."""
     bound_batches(docs.sparkSession)
-    percent = round(threshold * 100)
-    all_rows = cut(sketches(docs), "sketches")
-    nodes = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = nodes.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes, "classes")
-    # a doc_id may represent several sets if its rows differ; those stay apart here and meet by id at the end
-    lone = nodes.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2", "n"), ["doc_id", "fp1", "fp2", "n"], "left_semi")
-    reps = cut(lone.dropDuplicates(["doc_id"]), "nodes")
-    values = reps.select("doc_id", F.posexplode("sketch").alias("k", "value"))
-    long_values = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LONG_LIST).select("value"), "long-values")
-    hot = values.join(long_values.withColumn("hot", F.lit(True)), "value", "left").select("doc_id", "k", "value", F.col("hot").isNotNull().alias("hot"))
-    share = hot.groupBy("doc_id").agg(F.avg(F.col("hot").cast("double")).alias("share"), F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("value")))).alias("longs"))
-    share = share.join(reps.select("doc_id", "n"), "doc_id")
-    share = cut(share.select("doc_id", "n", "share", F.when(F.col("share") > 1 - COLD_SHARE, F.slice("longs", 1, LISTED_LONG)).alias("longs")), "shares")
-    own, wide = _long_traits(docs, share.where("longs IS NOT NULL").select("doc_id"))
-    traits = share.join(own, "doc_id", "left").join(wide.select("doc_id", "bits"), "doc_id", "left").select("doc_id", "n", "share", "longs", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
-    listed = hot.join(traits, "doc_id").where(F.when(F.col("share") == 0, F.col("k") < LISTED).when(~F.col("hot"), F.lit(True)).otherwise(F.array_contains("longs", F.col("value"))))
-    sketched = reps.join(wide, "doc_id", "left").select("doc_id", "n", F.coalesce("wide", "sketch").alias("sketch"))
-    several = listed.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("value")
-    lists = cut(listed.join(several, "value", "left_semi").select("value", "doc_id", "hot", "n", "common", "share", F.when(F.col("hot"), F.col("longs")).alias("longs"), F.when(F.col("hot"), F.col("bits")).alias("bits")), "lists")
-    edges = label = seen = None
+    search = _Search(docs, threshold)
+    nodes, edges = search.equal_sets()
+    if (same := search.same_ids()) is not None:
+        edges = same if edges is None else edges.unionByName(same)
+    shared = _shared(nodes)
+    share = shared.groupBy("node").agg(F.sum(F.col("hot").cast("int")).alias("hots"), F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("value")))).alias("longs"))
+    share = share.join(nodes.select("node", "n"), "node").withColumn("share", F.col("hots") / F.least("n", F.lit(KEEP)))
+    share = cut(share.select("node", "n", "share", F.when(F.col("share") > 1 - COLD_SHARE, F.slice("longs", 1, LISTED_LONG)).alias("longs")), "shares")
+    own, wide = _long_traits(search, share.where("longs IS NOT NULL").select("node"))
+    traits = share.join(own, "node", "left").join(wide.select("node", "bits"), "node", "left").select("node", "n", "share", "longs", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    listed = shared.join(traits, "node").where(F.when(F.col("share") == 0, F.col("k") < LISTED).when(~F.col("hot"), F.lit(True)).otherwise(F.array_contains("longs", F.col("value"))))
+    # a hash's upper half is enough to compare sketches, and never tells equal values apart
+    upper = F.transform(F.coalesce("wide", "sketch"), lambda x: F.shiftright(x, 32).cast("int"))
+    sketched = nodes.join(wide, "node", "left").select("node", "n", upper.alias("sketch"))
+    lists = cut(listed.select("value", "node", "hot", "n", "common", "share", F.when(F.col("hot"), F.col("longs")).alias("longs"), F.when(F.col("hot"), F.col("bits")).alias("bits")), "lists")
+    label = seen = None
     for turn in range(PIVOT_ROUNDS + 1):
-        live = lists.withColumn("comp", F.col("doc_id")) if label is None else lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        order = (F.lit(1.0) - F.col("share")) if turn == 0 else F.xxhash64("doc_id", F.lit(turn)).cast("double")
-        spread = live.groupBy("value").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(order.alias("o"), F.col("doc_id").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("common").alias("pcommon"))).alias("pivot"))
-        open_lists = spread.where("c0 != c1").select("value", "pivot.p", "pivot.pc", "pivot.pn", "pivot.pcommon")
+        live = lists.withColumn("comp", F.col("node")) if label is None else lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        order = (F.lit(1.0) - F.col("share")) if turn == 0 else F.xxhash64("node", F.lit(turn)).cast("double")
+        spread = live.groupBy("value").agg(F.max("hot").alias("hot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("comp").alias("pc"), F.col("n").alias("pn"), F.col("common").alias("pcommon"))).alias("pivot"))
+        open_lists = spread.where("c0 != c1").select("value", "hot", "pivot.p", "pivot.pc", "pivot.pn", "pivot.pcommon")
         if turn < PIVOT_ROUNDS:
+            part = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int")
+            parts = F.explode(F.when(F.col("hot"), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))).alias("part")
             may = _may_link(F.col("l.n"), F.col("r.pn"), F.col("l.common"), F.col("r.pcommon"), F.col("l.hot"), threshold)
-            met = live.alias("l").join(open_lists.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.pc")) & may).select(F.least("l.doc_id", "r.p").alias("a"), F.greatest("l.doc_id", "r.p").alias("b"))
+            met = live.withColumn("part", part).alias("l").join(open_lists.select("*", parts).alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.comp") != F.col("r.pc")) & may)
+            met = met.select(F.col("r.p").alias("a"), F.col("l.node").alias("b"))
         else:
-            met = _rest(cut(live.join(open_lists.select("value"), "value", "left_semi"), "open-lists"), threshold)
-        pairs = met.distinct()
+            left = cut(live.join(open_lists.select("value"), "value", "left_semi"), "open-lists")
+            met = _rest(left, threshold)
+        pairs = _unique(met)
         if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+            pairs = pairs.join(seen.select("lo", "hi"), ["lo", "hi"], "left_anti")
         pairs = cut(pairs, "pairs")
-        found = _link(pairs, sketched, docs, percent, threshold)
+        found = search.link(pairs, sketched)
         edges = found if edges is None else edges.unionByName(found)
         seen = pairs if seen is None else seen.unionByName(pairs)
-        label = components(edges)
-    label = label.select(F.col("node").alias("rep"), F.col("comp"))
-    of_class = classes.join(label, "rep", "left").select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp"))
-    out = all_rows.select("doc_id", "n", "fp1", "fp2").join(of_class, ["fp1", "fp2", "n"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+        if turn == PIVOT_ROUNDS:
+            discard(left)
+        label, old = components(edges), label
+        discard(old)
+    # of each class its component; of each component the lowest id
+    of_class = cut(search.classes.join(label, "node", "left").select(*_CLASS, "node", "low", "m", F.coalesce("comp", "node").alias("comp")), "of-class")
+    lowest = of_class.groupBy("comp").agg(F.min("low").alias("component_id"))
+    of_class = cut(of_class.join(lowest, "comp").select(*_CLASS, "m", "component_id", (F.col("node") == F.col("comp")).alias("first")), "components")
+    discard(nodes, shared, share, own, wide, lists, label, search.classes)
+    return _spread_out(search.rows, of_class)
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """node, k, value, hot of retained values that several nodes have; hot: more than LONG_LIST of them.
+
+    Values of very many nodes, of which there are 200,000 at most, are sent to all tasks, so their rows aren't shuffled.
+    """
+    values = nodes.select("node", F.posexplode("sketch").alias("k", "value"))
+    counts = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "value-counts")
+    most = max(PART, KEEP * nodes.count() // 200_000)
+    hot = (F.col("m") > LONG_LIST).alias("hot")
+    big, rest = counts.where(F.col("m") > most), counts.where(F.col("m") <= most)
+    if big.limit(1).count():
+        small = values.join(F.broadcast(big.select("value")), "value", "left_anti")
+        met = small.join(rest, "value").unionByName(values.join(F.broadcast(big), "value"))
+    else:
+        met = values.join(rest, "value")
+    out = cut(met.select("node", "k", "value", hot), "shared-values")
+    discard(counts)
+    return out
 
 
-def _link(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, threshold: float) -> DataFrame:
-    if not pairs.limit(1).count():
-        return pairs
-    close = cut(_estimated(pairs, nodes, threshold), "close")
-    if not close.limit(1).count():
-        return close
-    return cut(_confirmed(close, docs, percent), "links")
+def _spread_out(rows: DataFrame, of_class: DataFrame) -> DataFrame:
+    """The component of each row. Large classes, of which there are 100,000 at most, are sent to all tasks."""
+    large = max(LARGE_CLASS, rows.count() // 100_000)
+    result = ["component_id", "first"]
+    own = rows.select("rid", "doc_id", "th", *_CLASS)
+    big, rest = of_class.where(F.col("m") > large).select(*_CLASS, *result), of_class.where(F.col("m") <= large).select(*_CLASS, *result)
+    if big.limit(1).count():
+        small = own.join(F.broadcast(big.select(*_CLASS)), _CLASS, "left_anti")
+        met = small.join(rest, _CLASS, "left").unionByName(own.join(F.broadcast(big), _CLASS))
+    else:
+        met = own.join(rest, _CLASS, "left")
+    component = F.coalesce("component_id", "doc_id")
+    kept = F.when(F.col("doc_id").isNotNull(), component == F.col("doc_id")).otherwise(component.isNull() & F.coalesce("first", F.lit(True)))
+    return met.select("rid", "doc_id", "th", "n", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, n_shingles, component_id (lowest doc_id reachable by links at threshold), kept, for each row of docs."""
+    return _resolved(docs, threshold).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def _may_link(n1, n2, common1, common2, hot, threshold: float):
@@ -283,28 +448,39 @@ def _may_link(n1, n2, common1, common2, hot, threshold: float):
 
 
 def _rest(live: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components of a list that can be links.
+    """Pairs of different components of a list that can be links, a the smaller set in long lists.
 
-    Long lists leave out pairs within and between members of their largest component, and give a pair in the list of the
-    lowest value that both of its documents list, so that each pair comes once.
+    With r = t / (1 + t), a link needs r * (n1 + n2) common shingles in each set, so common / r - n is the largest partner
+    of a set, and the smaller set of a link has a largest partner that isn't smaller than itself. A pair comes in the list of the lowest value that both documents list.
+    Long lists leave out pairs within their largest component.
     """
     may = _may_link(F.col("l.n"), F.col("r.n"), F.col("l.common"), F.col("r.common"), F.col("l.hot"), threshold)
-    base = (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.comp")) & may
-    short = live.where("NOT hot").select("value", "doc_id", "n", "common", "hot", "comp")
-    pairs = short.alias("l").join(short.alias("r"), base & (F.col("l.doc_id") < F.col("r.doc_id"))).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-    long = live.where("hot").select("value", "doc_id", "n", "common", "hot", "comp", "longs", "bits")
-    top = long.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("t")).select("value", F.col("t.comp").alias("top"))
-    apart = long.join(top, "value").where("comp != top").drop("top")
-    # of two documents outside the largest component, the lower id is on the left
-    side = (F.col("l.doc_id") < F.col("r.doc_id")) | (F.col("r.comp") == F.col("r.top"))
+    short = live.where("NOT hot").select("value", "node", "n", "common", "hot", "comp")
+    pairs = short.alias("l").join(short.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.comp")) & may & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
+    most = F.col("common") / F.lit(threshold / (1 + threshold)) - F.col("n") + 1e-6
+    long = live.where(F.col("hot") & (F.col("common") >= F.col("n") * F.lit(threshold - 1e-9))).select("value", "node", "n", "comp", "longs", "bits", most.alias("most"))
+    top = long.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("m")).select("value", F.col("t.comp").alias("top"), "m")
+    strong = F.col("most") >= F.col("n")
+    bounds = long.where(strong).groupBy("value").agg(F.min("n").alias("least"), F.max("most").alias("reach")).join(top, "value")
+    parts = F.least(F.ceil(F.col("m") / PART), F.lit(1024)).cast("int")
+    rows = long.join(bounds.withColumn("parts", parts), "value").where((F.col("most") >= F.col("least")) & (F.col("n") <= F.col("reach")))
+    cell = lambda size: F.floor(F.log(size) / F.lit(math.log(1 / threshold)))
+    keep = ["value", "node", "n", "most", "longs", "bits", "comp", "top"]
+    l = rows.where(strong).select(*keep, "parts", F.explode(F.sequence(cell(F.col("n")), cell(F.greatest("n", F.least("most", F.col("n") / threshold + 1))))).alias("cell"))
+    l = l.select(*keep, "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("l")
+    r = rows.select(*keep, cell(F.col("n")).alias("cell"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("r")
+    same = (F.col("l.value") == F.col("r.value")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.part") == F.col("r.part"))
+    fit = (F.col("r.n") <= F.col("l.most")) & (F.col("l.n") <= F.col("r.most")) & ((F.col("l.n") < F.col("r.n")) | (F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
     once = F.array_min(F.array_intersect("l.longs", "r.longs")) == F.col("l.value")
     differ = sum((F.bit_count(F.get(F.col("l.bits"), k).bitwiseXOR(F.get(F.col("r.bits"), k))) for k in range(SIGNATURE_LONGS)), F.lit(0))
     alike = differ <= most_differing(threshold)
-    far = apart.alias("l").join(long.join(top, "value").alias("r"), base & side & alike & once).select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
-    return pairs.unionByName(far)
+    for left, right in ((F.col("comp") != F.col("top"), F.lit(True)), (F.col("comp") == F.col("top"), F.col("comp") != F.col("top"))):
+        far = l.where(left).alias("l").join(r.where(right).alias("r"), same & (F.col("l.comp") != F.col("r.comp")) & fit & alike & once)
+        pairs = pairs.unionByName(far.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
+    return pairs
 
 
-_ALONE, _ALONE_ARROW = arrow_schema("value long, doc_id long, wide array<long>, bits array<long>")
+_ALONE, _ALONE_ARROW = arrow_schema("value long, node long, wide array<long>, bits array<long>")
 SIGNATURE_LONGS = 8
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ k << 33) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(64 * SIGNATURE_LONGS)], np.uint64)
 
@@ -331,12 +507,12 @@ def most_differing(threshold: float) -> int:
     return int(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def _long_traits(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of documents in long lists: how many shingles no other of them has (doc_id, alone), and wide sketches (doc_id, wide)."""
+def _long_traits(search: _Search, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes in long lists: how many shingles no other of them has (node, alone), and wide sketches (node, wide, bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, PORTION_BYTES):
-            own = batch.column("doc_id").to_numpy()
+            own = batch.column("node").to_numpy()
             row, h = shingle_hashes(batch.column("text"))
             none = pa.nulls(len(h), _ALONE_ARROW.field("wide").type)
             yield arrow_batch(_ALONE_ARROW, h.view(np.int64), own[row], none, none)
@@ -347,17 +523,35 @@ def _long_traits(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
             bits = [signature(x).tolist() for x in np.split(h, cuts)] if len(own) else []
             yield arrow_batch(_ALONE_ARROW, pa.nulls(len(own), pa.int64()), own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(low)), bits)
 
-    if not ids.limit(1).count():
+    if not nodes.limit(1).count():
         none = F.lit(None).cast("array<long>")
-        return ids.withColumn("alone", F.lit(0).cast("long")), ids.withColumn("wide", none).withColumn("bits", none)
-    bitmap = key_bitmap(ids, "doc_id")
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(in_bitmap(bitmap, F.col("doc_id")))
-    found = cut(texts.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, _ALONE), "long-traits")
-    alone = found.where("wide IS NULL").groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("doc_id")).where("m = 1")
-    return cut(alone.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone")), "private"), found.where("wide IS NOT NULL").select("doc_id", "wide", "bits")
+        return nodes.withColumn("alone", F.lit(0).cast("long")), nodes.withColumn("wide", none).withColumn("bits", none)
+    wanted = cut(search.places(nodes), "long-nodes")
+    found = cut(_texts(search.docs, wanted, search.again).mapInArrow(run, _ALONE), "long-traits")
+    alone = found.where("wide IS NULL").groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node")).where("m = 1")
+    alone = cut(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "private")
+    wide = cut(found.where("wide IS NOT NULL").select("node", "wide", "bits"), "wide")
+    discard(wanted, found)
+    return alone, wide
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near copies: that of the lowest id; columns stay."""
-    gone = cut(near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("__lq_id")).distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__lq_id"], "left_anti")
+    """docs with one row of each group of near copies: that of the lowest id, and of its rows that of the lowest hash of text.
+
+    Columns stay, whatever their names. Rows without id and without words all stay.
+    """
+    rows = cut(_resolved(docs, threshold), "resolved")
+    named = rows.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("th0"), F.max("th").alias("th9"))
+    other = rows.where("kept AND doc_id IS NOT NULL").join(named.where("th0 != th9"), "doc_id").where("th != th0").select("doc_id", "th")
+    gone = cut(rows.where("NOT kept").select("doc_id", "th").unionByName(other).distinct(), "near-copies")
+    again = cut(rows.where("kept AND (doc_id IS NOT NULL OR n > 0)").groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id", "th"), "repeated-rows")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    key = F.xxhash64("doc_id", "th")
+    maybe, sure = split_by_bitmap(own, key, key_bitmap(gone.select(key.alias("key")), "key"))  # only these rows are shuffled
+    same = lambda t: (F.col("o.th") == F.col(f"{t}.th")) & F.col("o.doc_id").eqNullSafe(F.col(f"{t}.doc_id"))
+    left = maybe.alias("o").join(gone.withColumn("gone", F.lit(True)).alias("g"), same("g"), "left").where("gone IS NULL").select("o.*").unionByName(sure)
+    if again.limit(1).count():
+        twice = left.alias("o").join(again.alias("t"), same("t"), "left_semi").dropDuplicates(["doc_id", "th"])
+        left = left.alias("o").join(again.alias("t"), same("t"), "left_anti").unionByName(twice)
+    discard(rows)
+    return left.select("whole.*")
