@@ -192,16 +192,3 @@ def split_by_bitmap(df: DataFrame, key: Column, bitmap) -> tuple[DataFrame, Data
 def maybe_in(df: DataFrame, key: Column, bitmap) -> DataFrame:
     """Rows of df whose key may be among those of a bitmap; none of those is missing."""
     return split_by_bitmap(df, key, bitmap)[0]
-
-
-def in_bitmap(bitmap, key: Column) -> Column:
-    """Whether a key may be among those of a bitmap; never False for one of them."""
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("boolean")
-    def maybe(keys):
-        place = keys.to_numpy(np.int64) % (8 * len(bitmap))
-        return pd.Series((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return maybe(key)

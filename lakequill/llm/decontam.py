@@ -18,18 +18,24 @@ answer occurs. A paraphrase found by weight alone must hold EVIDENCE of the item
 short item's words may be such as stand in every text.
 
 The basis is fitted to all benchmark items and a sample of about FIT_PASSAGES corpus passages, chosen by hash; document
-frequencies and the search cover all passages. Items go through in blocks of BLOCK_ITEMS, which bounds what is sent.
+frequencies and the search cover all passages. As the range holds all items and no direction is cut, the latent cosines
+of items and passages are those of the TF-IDF vectors.
+
+The benchmark comes to the driver a partition at a time and goes through in blocks of at most BLOCK_ITEMS items and
+BLOCK_VALUES values (words times items), which bounds what is sent; each scan of the corpus serves SCAN_BLOCKS of them.
 
 Results for odd input: null and empty texts have no passages and stay; items without words match nothing; items of
-common words alone keep those words' weights; equal rows get equal results; ties keep the lower item_id first; empty tables
-give an empty result; other columns are ignored.
+common words alone keep those words' weights; equal rows get equal results; an item that leaks at several places counts
+once, with its best values; texts and items of any length are searched whole; empty tables give an empty result; other
+columns are ignored and may have any name.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bound_batches, cut, in_bitmap, key_bitmap, portions, row_key
+from .common import arrow_batch, arrow_schema, bound_batches, cut, discard, key_bitmap, maybe_in, portions, release, row_key, split_by_bitmap
 
 WINDOW, STRIDE = 32, 16
-BLOCK_ITEMS = 512
+BLOCK_ITEMS, BLOCK_VALUES, SCAN_BLOCKS = 512, 2_000_000, 4
 PORTION_BYTES = 2_000_000
 FIT_PASSAGES = 40_000
 JUDGED = 64
@@ -77,18 +83,33 @@ class Item:
     answer: list[str]
 
 
-def items_of(benchmark: DataFrame) -> list[Item]:
-    """The benchmark's items; column answer has their answers, or else the last sentence of a text is its answer."""
-    has = "answer" in benchmark.columns
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if has else F.lit(None).cast("string")).alias("answer")).toArrow()
-    out = []
-    for i, text, answer in zip(*(rows.column(k).to_pylist() for k in range(3))):
-        split = lambda t: words_of(pa.array([t], pa.string()))[2].to_pylist()
+def items_of(benchmark: DataFrame) -> Iterator[Item]:
+    """The benchmark's items by id; column answer has their answers, or else the last sentence of a text is its answer."""
+    answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), answer.alias("answer"))
+    split = lambda t: words_of(pa.array([t], pa.string()))[2].to_pylist()
+    for r in rows.sort("item_id", "text").toLocalIterator():
+        text, answer = r["text"], r["answer"]
         if answer is None and text:
             parts = [p for p in text.replace("\n", ". ").split(". ") if p.strip(" .")]
             answer = parts[-1] if len(parts) > 1 else ""
-        out.append(Item(i, split(text), split(answer)))
-    return sorted((x for x in out if x.words), key=lambda x: (x.item_id is not None, x.item_id or 0))
+        x = Item(r["item_id"], split(text), split(answer))
+        if x.words:
+            yield x
+
+
+def blocks_of(items: Iterable[Item]) -> Iterator[list[Item]]:
+    """Runs of items within BLOCK_ITEMS and BLOCK_VALUES; a single item may go beyond."""
+    held, words = [], set()
+    for x in items:
+        more = words | set(x.words)
+        if held and (len(held) >= BLOCK_ITEMS or len(more) * (len(held) + 1) > BLOCK_VALUES):
+            yield held
+            held, more = [], set(x.words)
+        held.append(x)
+        words = more
+    if held:
+        yield held
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -127,8 +148,19 @@ class Space:
         self.vocabulary = pa.array(sorted({w for x in items for w in x.words}), pa.string())
         self.idf = self.weight = np.ones(len(self.vocabulary))
         self.other = 1.0
+        self.most: np.ndarray | None = None  # of each word, its highest value in an item's unit vector
         self.basis = self.coords = None
 
+    @classmethod
+    def of_words(cls, vocabulary: pa.Array, like: "Space | None" = None) -> "Space":
+        """A space without items, with the weights of another one."""
+        out = cls([])
+        out.vocabulary = vocabulary
+        out.idf = out.weight = np.ones(len(vocabulary))
+        if like is not None:
+            out.idf, out.weight, out.other = like.idf, like.weight, like.other
+        return out
+
     def weigh(self, df: np.ndarray, passages: int) -> None:
         self.weight = np.maximum(np.log((passages + 1.0) / (df + 1.0)), LEAST_WEIGHT)
         self.idf = np.where(df > max(MOST_COMMON * passages, 8), 0.0, self.weight)
@@ -139,6 +171,7 @@ class Space:
                 self.idf[own] = self.weight[own]
         on = self.idf > 0
         self.other = float(np.median(self.idf[on])) if on.any() else 1.0
+        self.most = self.vectors().max(axis=0, initial=0.0)
 
     def vectors(self) -> np.ndarray:
         """Unit TF-IDF vectors of the items; zero for items of common words."""
@@ -184,6 +217,7 @@ class Space:
         held[at, pos % STRIDE] = np.where(term < 0, none, term)
         held.sort(axis=1)
         held[:, 1:][held[:, 1:] == held[:, :-1]] = none
+        held.sort(axis=1)  # all padding last
         return row[first], pos[first] // STRIDE, held
 
     def shares(self) -> tuple[np.ndarray, ...]:
@@ -225,7 +259,15 @@ class Space:
                 total = np.zeros((len(some) + wide + 1, len(block)), dtype)
                 sums = total[1 : len(some) + 1]
                 for j in range(STRIDE):
-                    sums += own[some[:, j]]
+                    real = some[:, j] < len(part) - 1
+                    n = int(np.count_nonzero(real))
+                    if n > 0.7 * len(some):
+                        sums += own[some[:, j]]
+                    elif n:
+                        on = np.flatnonzero(real)
+                        sums[on] += own[some[on, j]]
+                    else:
+                        break
                 np.cumsum(total, axis=0, dtype=dtype, out=total)
                 here = min(BLOCK_CELLS, len(row) - low)
                 for x, y in zip(cuts, cuts[1:]):
@@ -259,7 +301,10 @@ class Space:
         return best
 
     def passages(self, texts: pa.Array, least: float = 0.0, terms: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row and number of each passage whose share of benchmark words is least or more; entry starts, terms, values."""
+        """Row and number of each passage that can have a cosine of least with an item; entry starts, terms, values.
+
+        The cosine is at most the share of benchmark words, and the sum of each word's value and its highest in an item.
+        """
         row, pos, term = terms or self.terms(texts)
         none = np.zeros(0, np.int64)
         if not len(row):
@@ -288,6 +333,8 @@ class Space:
         mass = np.bincount(p, v * v, len(cells))
         length = np.sqrt(mass + outside * self.other**2)
         keep = (mass > 0) & (np.sqrt(mass) >= least * length)
+        if least and self.most is not None:
+            keep &= np.bincount(p, v * self.most[t], len(cells)) >= (least - 1e-4) * length
         sel = keep[p]
         p, t, v = p[sel], t[sel], (v / np.where(length > 0, length, 1)[p])[sel]
         own, start = np.unique(p, return_index=True)
@@ -304,151 +351,172 @@ class Space:
             i = j
 
 
-_TERM, _TERM_ARROW = arrow_schema("term int, n long")
-_CELL, _CELL_ARROW = arrow_schema("i int, j int, v double")
-_HIT, _HIT_ARROW = arrow_schema("key long, doc_id long, item int, low int, high int, cosine double")
+_TERM, _TERM_ARROW = arrow_schema("space int, term int, n long")
+_CELL, _CELL_ARROW = arrow_schema("space int, i int, j int, v double")
+_HIT, _HIT_ARROW = arrow_schema("key long, doc_id long, space int, item int, low int, high int, cosine double")
 _FOUND, _FOUND_ARROW = arrow_schema("key long, doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
-def _frequencies(own: DataFrame, space: Space) -> tuple[np.ndarray, int]:
-    """In how many cells of STRIDE words each benchmark word occurs, and the number of cells."""
+def _frequencies(own: DataFrame, spaces: list[Space]) -> list[tuple[np.ndarray, int]]:
+    """For each space, in how many cells of STRIDE words each of its words occurs, and the number of cells."""
+    vocabularies = [x.vocabulary for x in spaces]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, cells = np.zeros(len(space.vocabulary), np.int64), 0
+        light = [Space.of_words(v) for v in vocabularies]
+        out, cells = [np.zeros(len(v), np.int64) for v in vocabularies], 0
         for batch in portions(batches, PORTION_BYTES):
-            row, _, held = space.cells(batch.column("text"))
-            cells += len(row)
-            out += np.bincount(held.ravel(), minlength=len(out) + 1)[:-1]
-        on = np.flatnonzero(out)
-        yield arrow_batch(_TERM_ARROW, np.append(on, -1).astype(np.int32), np.append(out[on], cells))
-
-    df, cells = np.zeros(len(space.vocabulary)), 0
-    for r in own.mapInArrow(count, _TERM).groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each benchmark word
-        if r["term"] < 0:
-            cells = r["n"]
+            for k, space in enumerate(light):
+                row, _, held = space.cells(batch.column("text"))
+                cells += len(row) if k == 0 else 0
+                out[k] += np.bincount(held.ravel(), minlength=len(out[k]) + 1)[:-1]
+        for k, n in enumerate(out):
+            on = np.flatnonzero(n)
+            yield arrow_batch(_TERM_ARROW, np.full(len(on) + 1, k, np.int32), np.append(on, -1).astype(np.int32), np.append(n[on], cells))
+
+    df, cells = [np.zeros(len(v)) for v in vocabularies], 0
+    got = own.mapInArrow(count, _TERM).groupBy("space", "term").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the spaces
+    for k, term, n in zip(*(got.column(c).to_numpy() for c in ("space", "term", "n"))):
+        if term >= 0:
+            df[k][term] = n
         else:
-            df[r["term"]] = r["n"]
-    return df, cells
+            cells = int(n)
+    return [(x, cells) for x in df]
 
 
-def _summed(df: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    out = np.zeros(shape)
-    got = df.groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()  # shape bounds the rows
-    out[got.column("i").to_numpy(), got.column("j").to_numpy()] = got.column("v").to_numpy()
+def _summed(df: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    out = [np.zeros(shape) for shape in shapes]
+    got = df.groupBy("space", "i", "j").agg(F.sum("v").alias("v")).toArrow()  # the shapes bound the rows
+    space, i, j, v = (got.column(c).to_numpy() for c in ("space", "i", "j", "v"))
+    for k, x in enumerate(out):
+        on = space == k
+        x[i[on], j[on]] = v[on]
     return out
 
 
-def fit(own: DataFrame, space: Space, passages: int) -> None:
-    """Randomised SVD of the TF-IDF matrix of benchmark items and sampled passages; sets basis and item coordinates."""
+def _cells(k: int, out: np.ndarray) -> pa.RecordBatch:
+    i, j = np.nonzero(out)
+    return arrow_batch(_CELL_ARROW, np.full(len(i), k, np.int32), i.astype(np.int32), j.astype(np.int32), out[i, j])
+
+
+def fit(own: DataFrame, spaces: list[Space], passages: int) -> None:
+    """Randomised SVD of the TF-IDF matrix of each space's items and sampled passages; sets basis and item coordinates."""
     share = min(1.0, FIT_PASSAGES / max(1, passages))
     sample = own.where(F.pmod(F.col("key"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("key", "text")
-    size, items = len(space.vocabulary), space.vectors()
+    light = [Space.of_words(x.vocabulary, x) for x in spaces]
+    items = [x.vectors() for x in spaces]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((size, EXTRA_RANK))
+        out = [np.zeros((len(x.vocabulary), EXTRA_RANK)) for x in light]
         for batch in portions(batches, PORTION_BYTES):
-            row, number, start, t, v = space.passages(batch.column("text"))
-            if len(start):
-                key = batch.column("key").to_numpy().astype(np.uint64)[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-                col = (key >> np.uint64(40)).astype(np.int64) % EXTRA_RANK
-                sign = np.where(key >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
-                per = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
-                out += np.bincount(t * EXTRA_RANK + col[per], v * sign[per], size * EXTRA_RANK).reshape(size, EXTRA_RANK)
-        i, j = np.nonzero(out)
-        yield arrow_batch(_CELL_ARROW, i.astype(np.int32), j.astype(np.int32), out[i, j])
-
-    random = _summed(sample.mapInArrow(sketch, _CELL), (size, EXTRA_RANK))
-    seed, _ = np.linalg.qr(np.concatenate([items.T, random], axis=1))
-    rank = seed.shape[1]
-    seed32 = seed.astype(np.float32)
+            for space, sums in zip(light, out):
+                row, number, start, t, v = space.passages(batch.column("text"))
+                if len(start):
+                    key = batch.column("key").to_numpy().astype(np.uint64)[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+                    col = (key >> np.uint64(40)).astype(np.int64) % EXTRA_RANK
+                    sign = np.where(key >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
+                    per = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
+                    sums += np.bincount(t * EXTRA_RANK + col[per], v * sign[per], sums.size).reshape(sums.shape)
+        yield from (_cells(k, x) for k, x in enumerate(out))
+
+    random = _summed(sample.mapInArrow(sketch, _CELL), [(len(x.vocabulary), EXTRA_RANK) for x in spaces])
+    seeds = [np.linalg.qr(np.concatenate([x.T, y], axis=1))[0] for x, y in zip(items, random)]
+    seeds32 = [x.astype(np.float32) for x in seeds]
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((rank, rank))
+        out = [np.zeros((x.shape[1], x.shape[1])) for x in seeds32]
         for batch in portions(batches, PORTION_BYTES):
-            _, _, start, t, v = space.passages(batch.column("text"))
-            for _, z in space.project(start, t, v, seed32):
-                out += z.T @ z
-        i, j = np.nonzero(out)
-        yield arrow_batch(_CELL_ARROW, i.astype(np.int32), j.astype(np.int32), out[i, j])
-
-    own_items = items @ seed
-    total = _summed(sample.mapInArrow(gram, _CELL), (rank, rank)) + own_items.T @ own_items
-    values, turn = np.linalg.eigh(total)
-    keep = values > 1e-9 * max(values.max(initial=0.0), 1e-30)
-    space.basis = (seed @ turn[:, keep]).astype(np.float32)
-    coords = items @ space.basis
-    norm = np.linalg.norm(coords, axis=1, keepdims=True)
-    space.coords = np.where(norm > 1e-6, coords / np.where(norm > 0, norm, 1), 0).astype(np.float32)
-
-
-def candidates(own: DataFrame, space: Space) -> DataFrame:
-    """Documents and items that may leak: key, doc_id, item (place), low and high (word places), cosine.
+            for space, seed, sums in zip(light, seeds32, out):
+                _, _, start, t, v = space.passages(batch.column("text"))
+                for _, z in space.project(start, t, v, seed):
+                    sums += z.T @ z
+        yield from (_cells(k, x) for k, x in enumerate(out))
+
+    grams = _summed(sample.mapInArrow(gram, _CELL), [(x.shape[1], x.shape[1]) for x in seeds])
+    for space, own_items, seed, total in zip(spaces, items, seeds, grams):
+        near = own_items @ seed
+        values, turn = np.linalg.eigh(total + near.T @ near)
+        keep = values > 1e-9 * max(values.max(initial=0.0), 1e-30)
+        space.basis = (seed @ turn[:, keep]).astype(np.float32)
+        coords = own_items @ space.basis
+        norm = np.linalg.norm(coords, axis=1, keepdims=True)
+        space.coords = np.where(norm > 1e-6, coords / np.where(norm > 0, norm, 1), 0).astype(np.float32)
+
+
+def candidates(own: DataFrame, spaces: list[Space]) -> DataFrame:
+    """Documents and items that may leak: key, doc_id, space and item (places), low and high (word places), cosine.
 
     Passages at COSINE or more, and runs of words that hold enough of an item's weight (without cosine).
     """
-    shares = space.shares()
+    sent = own.sparkSession.sparkContext.broadcast([(x, x.shares()) for x in spaces])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, PORTION_BYTES):
-            terms = space.terms(batch.column("text"))
-            row, number, start, t, v = space.passages(batch.column("text"), COSINE, terms)
-            best: dict[tuple[int, int], list] = {}
-            for k, z in space.project(start, t, v, space.basis):
-                cos = z @ space.coords.T
-                for p, item in zip(*np.nonzero(cos >= COSINE)):
-                    at, c = int(number[k + p]) * STRIDE, float(cos[p, item])
-                    held = best.setdefault((int(row[k + p]), int(item)), [])
-                    held.append((at, c))
-            rows, docs = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
-            out = [(rows[r], docs[r], item, low, high, None) for r, item, low, high in space.overlaps(batch.column("text"), shares, terms)]
-            for (r, item), places in best.items():
-                n, places = len(space.items[item].words), sorted(places)
-                low, high, c = places[0][0], places[0][0], places[0][1]
-                for at, x in places[1:] + [(1 << 60, 0.0)]:
-                    if at > high + WINDOW + 2 * n:  # too far to be of one occurrence
-                        out.append((rows[r], docs[r], item, max(0, low - n), high + WINDOW + n, c))
-                        low, c = at, x
-                    high, c = at, max(c, x)
-            if not out:
-                continue
-            yield arrow_batch(_HIT_ARROW, *([x[k] for x in out] for k in range(6)))
+            for place, (space, shares) in enumerate(sent.value):
+                terms = space.terms(batch.column("text"))
+                row, number, start, t, v = space.passages(batch.column("text"), COSINE, terms)
+                best: dict[tuple[int, int], list] = {}
+                for k, z in space.project(start, t, v, space.basis):
+                    cos = z @ space.coords.T
+                    for p, item in zip(*np.nonzero(cos >= COSINE)):
+                        at, c = int(number[k + p]) * STRIDE, float(cos[p, item])
+                        held = best.setdefault((int(row[k + p]), int(item)), [])
+                        held.append((at, c))
+                rows, docs = batch.column("key").to_pylist(), batch.column("doc_id").to_pylist()
+                out = [(rows[r], docs[r], place, item, low, high, None) for r, item, low, high in space.overlaps(batch.column("text"), shares, terms)]
+                for (r, item), places in best.items():
+                    n, places = len(space.items[item].words), sorted(places)
+                    low, high, c = places[0][0], places[0][0], places[0][1]
+                    for at, x in places[1:] + [(1 << 60, 0.0)]:
+                        if at > high + WINDOW + 2 * n:  # too far to be of one occurrence
+                            out.append((rows[r], docs[r], place, item, max(0, low - n), high + WINDOW + n, c))
+                            low, c = at, x
+                        high, c = at, max(c, x)
+                if out:
+                    yield arrow_batch(_HIT_ARROW, *([x[k] for x in out] for k in range(7)))
 
     return own.mapInArrow(search, _HIT)
 
 
-def judge(own: DataFrame, hits: DataFrame, space: Space) -> DataFrame:
-    """Leaks among candidates, by longest common subsequence and answer, read from the documents' own words."""
+def judge(own: DataFrame, hits: DataFrame, spaces: list[Space]) -> DataFrame:
+    """Leaks among candidates, by longest common subsequence and answer, read from the documents' own words.
+
+    A document's text goes to its judge once, with all its candidates.
+    """
     bitmap = key_bitmap(hits.select("key").distinct(), "key")
-    texts = own.where(in_bitmap(bitmap, F.col("key"))).select("key", "text").dropDuplicates(["key"])
-    met = hits.join(texts, "key").sortWithinPartitions("key", "doc_id", "item", F.col("cosine").desc_nulls_last())
-    items = space.items
-    weight = dict(zip(space.vocabulary.to_pylist(), space.weight.tolist()))
+    texts = maybe_in(own, F.col("key"), bitmap).dropDuplicates(["key", "doc_id"]).alias("o")
+    hit = F.struct("space", "item", (-F.coalesce("cosine", F.lit(-1.0))).alias("least"), "low", "high", "cosine")
+    met = hits.distinct().groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(hit)).alias("hits")).alias("h")
+    met = met.join(texts, (F.col("h.key") == F.col("o.key")) & F.col("h.doc_id").eqNullSafe(F.col("o.doc_id"))).select("h.key", "h.doc_id", "h.hits", "o.text")
+    sent = own.sparkSession.sparkContext.broadcast([(x, dict(zip(x.vocabulary.to_pylist(), x.weight.tolist()))) for x in spaces])
 
-    def informed(item: int, part: list[str]) -> bool:
-        own = np.array([weight[w] for w in items[item].words])
-        return heaviest_subsequence(items[item].words, own, part) >= EVIDENCE * own.sum() - 1e-9
+    def informed(weight: dict[str, float], words: list[str], part: list[str]) -> bool:
+        own = np.array([weight[w] for w in words])
+        return heaviest_subsequence(words, own, part) >= EVIDENCE * own.sum() - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = None
         for batch in batches:
+            release()
             out = []
             for k in range(0, len(batch), JUDGED):  # the pattern is compiled once for so many
                 some = batch.slice(k, JUDGED)
-                texts = some.column("text")
-                row, _, flat = words_of(texts)
+                row, _, flat = words_of(some.column("text"))
                 first, last = np.searchsorted(row, np.arange(len(some))), np.searchsorted(row, np.arange(len(some)), "right")
-                for j, (key, doc, item, low, high, cosine) in enumerate(zip(*(some.column(c).to_pylist() for c in ("key", "doc_id", "item", "low", "high", "cosine")))):
-                    if cosine is None and done == (key, doc, item):  # a leak by its cosine
-                        continue
-                    x, part = items[item], flat[first[j] + low : min(first[j] + high, last[j])].to_pylist()
-                    lcs = common_subsequence(x.words, part) / len(x.words)
-                    answer = common_subsequence(x.answer, part) / len(x.answer) if x.answer else 0.0
-                    if lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER and (cosine is not None or informed(item, part)):
-                        if cosine is None:
-                            cosine = space.cosine(texts[j : j + 1], item, low, high)
-                        out.append((key, doc, x.item_id, cosine, lcs, answer))
-                        done = (key, doc, item)
+                for j, (key, doc, hits) in enumerate(zip(*(some.column(c).to_pylist() for c in ("key", "doc_id", "hits")))):
+                    done = None
+                    for h in hits:
+                        place, item, low, high, cosine = h["space"], h["item"], h["low"], h["high"], h["cosine"]
+                        if cosine is None and done == (place, item):  # a leak by its cosine
+                            continue
+                        space, weight = sent.value[place]
+                        x, part = space.items[item], flat[first[j] + low : min(first[j] + high, last[j])].to_pylist()
+                        lcs = common_subsequence(x.words, part) / len(x.words)
+                        answer = common_subsequence(x.answer, part) / len(x.answer) if x.answer else 0.0
+                        if lcs >= COPY or lcs >= PARAPHRASE and answer >= ANSWER and (cosine is not None or informed(weight, x.words, part)):
+                            if cosine is None:
+                                cosine = space.cosine(some.column("text")[j : j + 1], item, low, high)
+                            out.append((key, doc, x.item_id, cosine, lcs, answer))
+                            done = place, item
             yield arrow_batch(_FOUND_ARROW, *([y[k] for y in out] for k in range(6)))
 
     found = met.mapInArrow(run, _FOUND)
@@ -462,21 +530,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it leaks: key, doc_id, item_id, cosine, lcs, answer."""
     bound_batches(docs.sparkSession)
-    own, items, out = keyed(docs), items_of(benchmark), None
-    for k in range(0, len(items), BLOCK_ITEMS):
-        space = Space(items[k : k + BLOCK_ITEMS])
-        df, cells = _frequencies(own, space)
+    own, out = keyed(docs), None
+    for several in batched(blocks_of(items_of(benchmark)), SCAN_BLOCKS):
+        spaces = [Space(items) for items in several]
+        counted = _frequencies(own, spaces)
+        cells = counted[0][1]
         if not cells:
-            continue
-        space.weigh(df, cells)
-        fit(own, space, cells)
-        found = cut(judge(own, cut(candidates(own, space), "leak-candidates"), space), "leaks")
+            break
+        for space, (df, _) in zip(spaces, counted):
+            space.weigh(df, cells)
+        fit(own, spaces, cells)
+        hits = cut(candidates(own, spaces), "leak-candidates")
+        found = cut(judge(own, hits, spaces), "leaks")
+        discard(hits)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], _FOUND)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak an item; columns stay."""
-    name = "__lq_key"
-    gone = leaks(docs, benchmark).select(F.col("key").alias(name)).distinct()
-    return docs.withColumn(name, row_key("doc_id", "text")).join(cut(gone, "leaking"), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those that leak an item; columns stay, whatever their names."""
+    gone = cut(leaks(docs, benchmark).select("key", "doc_id").distinct(), "leaking")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), row_key("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    maybe, sure = split_by_bitmap(own, F.col("key"), key_bitmap(gone, "key"))  # only these rows are shuffled
+    left = maybe.alias("o").join(gone.withColumn("gone", F.lit(True)).alias("g"), (F.col("o.key") == F.col("g.key")) & F.col("o.doc_id").eqNullSafe(F.col("g.doc_id")), "left").where("gone IS NULL").select("o.*")
+    return left.unionByName(sure).select("whole.*")
