@@ -3,33 +3,47 @@
 ``append`` writes what arrives as small Parquet shards, a file for each task. ``compact`` puts the shards into tiers by
 the logarithm of their size and merges neighbours of a tier into one, up to the target size, until no tier has enough
 of them. Each change is one new manifest version; it is committed by a rename that fails if that version exists, so
-readers see all of a change or nothing, and of two writers one has to try again. ``vacuum`` removes what no manifest of
-the versions kept lists.
+readers see all of a change or nothing, and of two writers one has to try again. Object stores without such a rename are
+refused. ``vacuum`` removes shards that an older manifest lists and none of the versions kept does; files that no manifest
+has listed may belong to a writer at work and go only after a grace period.
 
 Merging moves no rows between executors: a task gets the paths of a group, which the target size bounds, streams them
-and writes one file. The driver holds the list of shards alone, as any table format does.
+and writes one file. Where Arrow lacks a column's type or the file system, Spark reads the group's files and brings each
+group to one task by a shuffle. The driver holds the list of shards alone, as any table format does.
 
-Results for odd input: an empty append makes no shard and no version; rows are kept as they are, nulls, repeated rows
-and clashing names included; a shard of over half the target is left alone; names of columns don't matter.
+Results for odd input: an empty append makes no shard and no version; rows are kept as they are, nulls, repeated rows,
+very long texts and columns of any type and name included; a shard of over half the target is left alone; shards of one
+age are ordered by path.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
+import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fresh_dir, open_fs
+from .common import BATCH_ROWS, bound_batches, fresh_dir, open_fs, release
 
 TARGET_BYTES = 32 * 2**20
 RATIO = 4
 MIN_MERGE = 2
+#: Into how many arrivals a table is dealt; each is committed and compacted by itself.
+ARRIVALS = 4
+#: Files that no manifest has listed are left alone for so long.
+GRACE_SECONDS = 7 * 86_400
+
+#: File systems whose rename can't be relied on to fail if the target exists.
+NO_RENAME = {"s3", "s3a", "s3n", "gs", "oss", "cos", "cosn", "obs", "wasb", "wasbs"}
 
 
 @dataclass(frozen=True)
@@ -73,6 +87,9 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.scheme = urlparse(folder).scheme
+        if self.scheme in NO_RENAME:
+            raise ValueError(f"manifests need an atomic rename, which {self.scheme} lacks")
 
     # manifest
 
@@ -93,9 +110,12 @@ class ShardStore:
         version = self.version() if version is None else version
         if not version:
             return []
-        fs, base = open_fs(f"{self.folder}/manifest/v{version:010d}")
-        with fs.open_input_stream(base) as f:
-            return [Shard(**json.loads(x)) for x in f.read().decode().splitlines()]
+        jvm, fs = self._hadoop()
+        source = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest/v{version:010d}"))
+        try:
+            return [Shard(**json.loads(x)) for x in jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8").splitlines()]
+        finally:
+            source.close()
 
     def commit(self, shards: list[Shard], base: int) -> int:
         """Makes shards version base + 1, or raises Conflict if there is one already."""
@@ -119,32 +139,30 @@ class ShardStore:
 
     # data
 
-    def _write(self, df: DataFrame, added: int) -> list[Shard]:
+    def write(self, df: DataFrame) -> list[Shard]:
+        """Writes df's rows as shards, a file for each task, which no manifest lists yet."""
         name = uuid.uuid4().hex
         df.write.option("compression", "zstd").parquet(f"{self.folder}/data/{name}")
         back = self.spark.read.schema(df.schema).parquet(f"{self.folder}/data/{name}")
         got = back.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each file
-        return [Shard(f"{name}/{r['f']}", r["n"], r["s"], added) for r in sorted(got, key=lambda r: r["f"])]
+        return [Shard(f"{name}/{r['f']}", r["n"], r["s"], 0) for r in sorted(got, key=lambda r: r["f"])]
 
-    def append(self, df: DataFrame) -> int:
-        """Adds df's rows as new shards; returns the version."""
+    def add(self, new: list[Shard]) -> int:
+        """Commits written shards; returns the version, which is their age."""
         base = self.version()
-        new = self._write(df, base + 1)
         while new:
             try:
-                return self.commit(self.shards(base) + new, base)
+                return self.commit(self.shards(base) + [replace(s, added=base + 1) for s in new], base)
             except Conflict:
                 base = self.version()
         return base
 
-    def merge_once(self, schema, target: int = TARGET_BYTES, ratio: int = RATIO) -> bool:
-        """One round of compaction; False if there is nothing to merge."""
-        base = self.version()
-        shards = self.shards(base)
-        groups = plan(shards, target, ratio)
-        if not groups:
-            return False
-        rows = [(k, [s.path for s in g]) for k, g in enumerate(groups)]
+    def append(self, df: DataFrame) -> int:
+        """Adds df's rows as new shards; returns the version."""
+        return self.add(self.write(df))
+
+    def _streamed(self, groups: list[list[Shard]], schema: StructType, target: pa.Schema) -> DataFrame:
+        """The rows of each group in one task, which streams the group's files."""
         folder = f"{self.folder}/data"
 
         def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +173,32 @@ class ShardStore:
                 for paths in batch.column("paths").to_pylist():
                     for path in paths:
                         with fs.open_input_file(f"{root}/{path}") as f:
-                            yield from pq.ParquetFile(f).iter_batches(batch_size=2000)
+                            # Spark's 96-bit timestamps hold microseconds
+                            for part in pq.ParquetFile(f, coerce_int96_timestamp_unit="us", buffer_size=1 << 20).iter_batches(batch_size=BATCH_ROWS // 2):
+                                yield from pa.Table.from_batches([part]).cast(target).to_batches()
+                        release()
 
+        rows = [(k, [s.path for s in g]) for k, g in enumerate(groups)]
         dealt = self.spark.createDataFrame(rows, "k int, paths array<string>").repartitionById(len(rows), "k")
-        # a shard is as old as the oldest that went into it
-        merged = self._write(dealt.select("paths").mapInArrow(stream, schema), base + 1)
+        return dealt.select("paths").mapInArrow(stream, schema)
+
+    def _shuffled(self, groups: list[list[Shard]], schema: StructType) -> DataFrame:
+        """The rows of each group in one task, read by Spark and dealt by group."""
+        rows, name = self._files(schema, [s for g in groups for s in g])
+        of = self.spark.createDataFrame([(s.path, k) for k, g in enumerate(groups) for s in g], "path string, k int")
+        met = rows.alias("r").join(of.alias("g"), F.col(f"r.`{name}`") == F.col("g.path"))
+        return met.repartitionById(len(groups), F.col("g.k")).select(*[F.col(f"r.`{c}`") for c in schema.names])
+
+    def merge_once(self, schema: StructType, target: int = TARGET_BYTES, ratio: int = RATIO) -> bool:
+        """One round of compaction; False if there is nothing to merge."""
+        base = self.version()
+        groups = plan(self.shards(base), target, ratio)
+        if not groups:
+            return False
+        arrow = arrow_types(schema) if self.scheme in ("", "file", "hdfs") else None
+        written = self.write(self._shuffled(groups, schema) if arrow is None else self._streamed(groups, schema, arrow))
+        # task k writes group k; a shard is as old as the oldest that went into it
+        merged = [replace(s, added=min(x.added for x in groups[int(re.match(r"part-(\d+)", s.path.rpartition("/")[2])[1])])) for s in written]
         gone = {s.path for g in groups for s in g}
         while True:
             now = self.shards(base)
@@ -171,49 +210,84 @@ class ShardStore:
             except Conflict:
                 base = self.version()
 
-    def compact(self, schema, target: int = TARGET_BYTES, ratio: int = RATIO) -> int:
-        while self.merge_once(schema, target, ratio):
-            pass
-        return self.version()
+    def compact(self, schema: StructType, target: int = TARGET_BYTES, ratio: int = RATIO) -> int:
+        """Merges until there is nothing to merge; starts anew where another compaction was faster."""
+        while True:
+            try:
+                if not self.merge_once(schema, target, ratio):
+                    return self.version()
+            except Conflict:
+                pass
+
+    def vacuum(self, keep: int = 1, grace: float = GRACE_SECONDS) -> None:
+        """Deletes shards that only versions before the last keep ones list, and those versions.
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes data that the last keep versions don't list, and older manifests."""
+        Files that no manifest lists are left of failed work, or of a writer that hasn't committed yet; they go once they
+        are older than grace seconds.
+        """
         jvm, fs = self._hadoop()
         P = jvm.org.apache.hadoop.fs.Path
-        last = self.version()
-        live = {s.path for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)}
+        last, before = self.version(), time.time() * 1000 - grace * 1000
+        at = P(f"{self.folder}/manifest")
+        versions = sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("v")) if fs.exists(at) else []
+        live = {s.path for v in versions if v > last - keep for s in self.shards(v)}
+        dead = {s.path for v in versions if v <= last - keep for s in self.shards(v)} - live
         data = P(f"{self.folder}/data")
         for job in fs.listStatus(data) if fs.exists(data) else ():
-            name = job.getPath().getName()
-            files = [x.getPath() for x in fs.listStatus(job.getPath()) if x.getPath().getName().startswith("part-")]
-            if not any(f"{name}/{p.getName()}" in live for p in files):
+            name, left = job.getPath().getName(), 0
+            for x in fs.listStatus(job.getPath()):
+                path = f"{name}/{x.getPath().getName()}"
+                if not x.getPath().getName().startswith("part-"):
+                    left += x.isDirectory() and x.getModificationTime() >= before  # a writer's own folder
+                elif path in dead or path not in live and x.getModificationTime() < before:
+                    fs.delete(x.getPath(), False)
+                else:
+                    left += 1
+            if not left and (any(p.startswith(name) for p in dead) or job.getModificationTime() < before):
                 fs.delete(job.getPath(), True)
-            else:
-                for p in files:
-                    if f"{name}/{p.getName()}" not in live:
-                        fs.delete(p, False)
-        for v in range(1, last - keep + 1):
-            fs.delete(P(f"{self.folder}/manifest/v{v:010d}"), False)
-
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """All rows of a version, with the shard each is in (column _shard, or _shard_ if docs have that name)."""
-        version = self.version() if version is None else version
-        shards = self.shards(version)
+        for v in versions:
+            if v <= last - keep:
+                fs.delete(P(f"{self.folder}/manifest/v{v:010d}"), False)
+
+    def _files(self, schema: StructType, shards: list[Shard]) -> tuple[DataFrame, str]:
+        """The rows of shards and the name of the column that has their shard."""
         name = "_shard"
         while name in schema.names:
             name += "_"
         if not shards:
-            return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("string"))
+            return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("string")), name
         df = self.spark.read.schema(schema).parquet(*[f"{self.folder}/data/{s.path}" for s in shards])
-        return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1))
+        return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)), name
+
+    def read(self, schema: StructType, version: int | None = None) -> DataFrame:
+        """All rows of a version, with the shard each is in (column _shard, or _shard_ if docs have that name)."""
+        return self._files(schema, self.shards(self.version() if version is None else version))[0]
+
+
+def arrow_types(schema: StructType) -> pa.Schema | None:
+    """The Arrow types of a schema's columns, or None if Arrow lacks one of them."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    try:
+        return pa.schema([f.with_nullable(True) for f in to_arrow_schema(schema)])
+    except (PySparkException, NotImplementedError, TypeError):
+        return None
+
 
+def shard(docs: DataFrame, target: int = TARGET_BYTES, ratio: int = RATIO, folder: str | None = None, arrivals: int = ARRIVALS) -> tuple[ShardStore, DataFrame]:
+    """Adds docs to a store in a number of arrivals, compacting after each; returns the store and its rows with their shards.
 
-def shard(docs: DataFrame, target: int = TARGET_BYTES, ratio: int = RATIO, folder: str | None = None) -> tuple[ShardStore, DataFrame]:
-    """Appends docs to a store, compacts it, and returns the store and its rows with their shards."""
+    The rows are written once, as small immutable shards; each arrival is the commit of a run of them.
+    """
     spark = docs.sparkSession
     store = ShardStore(spark, folder or fresh_dir(spark, "shards"))
-    store.append(docs)
-    store.compact(docs.schema, target, ratio)
+    bound_batches(spark)
+    written = store.write(docs)
+    step = max(1, -(-len(written) // arrivals))
+    for k in range(0, len(written), step):
+        store.add(written[k : k + step])
+        store.compact(docs.schema, target, ratio)
     store.vacuum()
     return store, store.read(docs.schema)
 
