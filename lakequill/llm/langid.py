@@ -1,15 +1,21 @@
 """Language identification by compression.
 
-For each language, whole training texts up to a documented size are a raw-content dictionary for zstandard. A text is
-cut into blocks, each block is compressed with each dictionary, and the language with the fewest bytes wins. Letters are
+For each language, training texts up to a documented size are a raw-content dictionary for zstandard. A text is cut into
+blocks, each block is compressed with each dictionary, and the language with the fewest bytes wins. Letters are
 lower-cased and all else becomes one space first, so that junk, numbers and mark-up have no say.
 
-The training sample is bounded: at most SAMPLE_DOCS labelled texts of each language, those with the lowest hash, of at
-most SAMPLE_CHARS characters each, and DICT_BYTES of them. The hash, not the place, chooses them, so reruns agree.
+The training sample is bounded: at most SAMPLE_DOCS labelled texts of each language, those with the lowest hash, at most
+SAMPLE_CHARS characters of each, and DICT_BYTES of them; a longer text gives its beginning. The hash, not the place,
+chooses them, so reruns agree. Predictions read whole texts.
+
+A prediction is rejected where the margin between the two best languages is narrow. How many bytes are narrow is fitted:
+one sampled text in FOLDS is left out of the dictionaries, pieces of it of PIECES bytes and the whole are classified, and
+margins at which the share of wrong ones is above RISK, weighted by how frequent the languages are, are rejected. The
+same number of bytes holds for texts of any length.
 
 Results for odd input: a null text, and a text without letters, is ``und`` with score 0 and rejected; ties go to the
-language with more sampled labels by hash order, then by name; a text of at least JUDGE_BYTES whose best two languages differ by less than MARGIN
-of its bytes is rejected but keeps its best guess; rows repeat as they come; without labelled rows all is ``und``; an
+language with more labelled rows, then by name, and are rejected if the fit says so; a rejected text keeps its best guess;
+rows repeat as they come; without labelled rows all is ``und``, with one language nothing with letters is rejected; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,8 +36,10 @@ SAMPLE_CHARS = 20_000
 DICT_BYTES = 200_000
 LEVEL = 5
 BLOCK_BYTES = 1024
-JUDGE_BYTES = 400
-MARGIN = 0.0005
+#: Pieces on which the margin is fitted, in bytes; one text in FOLDS gives them.
+PIECES, FOLDS = (8, 16, 32, 64, 128, 256, 512), 5
+#: Share of wrong predictions from which a margin is narrow, and the widest margin that may be.
+RISK, WIDEST = 0.15, 64
 #: Nats a byte of difference is worth in the score.
 SHARPNESS = 0.7
 
@@ -46,14 +54,15 @@ def letters(text: str | None) -> str:
 
 
 class Model:
-    """Dictionaries by language; pickles as bytes."""
+    """Dictionaries by language, ordered by the languages' frequency, and the margin to reject below; pickles as bytes."""
 
-    def __init__(self, samples: dict[str, bytes], counts: dict[str, int]):
+    def __init__(self, samples: dict[str, bytes], counts: dict[str, int], narrow: int = 0):
         self.samples, self.order = samples, sorted(samples, key=lambda x: (-counts[x], x))
+        self.narrow = narrow
         self.compress: dict | None = None
 
     def __getstate__(self):
-        return {"samples": self.samples, "order": self.order, "compress": None}
+        return self.__dict__ | {"compress": None}
 
     def sizes(self, data: bytes) -> list[int]:
         """Compressed bytes by language, in self.order."""
@@ -69,40 +78,69 @@ class Model:
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
         return [sum(map(len, map(self.compress[lang], blocks))) for lang in self.order]
 
+    def judged(self, data: bytes) -> tuple[str, float, int | None]:
+        """Language, score and margin in bytes (None with one language) of letters."""
+        sizes = self.sizes(data)
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        low = sizes[best]
+        score = 1.0 / sum(math.exp(-SHARPNESS * min(s - low, 1000)) for s in sizes)
+        return self.order[best], score, min((s - low for i, s in enumerate(sizes) if i != best), default=None)
+
     def predict(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin as a share of the bytes, rejected."""
         data = letters(text).encode("utf-8", "replace")
         if not data or not self.order:
             return "und", 0.0, 0.0, True
-        sizes = self.sizes(data)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        low = sizes[best]
-        score = 1.0 / sum(math.exp(-SHARPNESS * min(s - low, 1000)) for s in sizes)
-        margin = min((s - low for i, s in enumerate(sizes) if i != best), default=len(data)) / len(data)
-        return self.order[best], score, margin, len(data) >= JUDGE_BYTES and margin < MARGIN
+        lang, score, margin = self.judged(data)
+        return lang, score, 1.0 if margin is None else margin / len(data), margin is not None and margin < self.narrow
+
+
+def pieces(data: bytes) -> list[bytes]:
+    """A text's beginnings of PIECES bytes, cut at spaces, and the whole."""
+    out = {data}
+    for n in PIECES:
+        if n < len(data):
+            end = data.find(b" ", n)
+            out.add(data[: end if end > 0 else len(data)])
+    return sorted(out, key=len)
+
+
+def narrow_margin(texts: dict[str, list[bytes]], counts: dict[str, int]) -> int:
+    """The margin in bytes below which predictions on left-out texts are wrong too often."""
+    kept = {lang: b" ".join(x for k, x in enumerate(own) if k % FOLDS)[:DICT_BYTES] for lang, own in texts.items()}
+    model = Model({lang: own for lang, own in kept.items() if own}, counts)
+    if len(model.order) < 2:
+        return 0
+    right, wrong = [0.0] * (WIDEST + 1), [0.0] * (WIDEST + 1)
+    for lang, own in texts.items():
+        tried = [p for k, x in enumerate(own) if not k % FOLDS for p in pieces(x)]
+        for p in tried:
+            got, _, margin = model.judged(p)
+            (right if got == lang else wrong)[min(margin, WIDEST)] += counts[lang] / len(tried)
+    narrow = 0
+    while narrow < WIDEST and wrong[narrow] > RISK * (right[narrow] + wrong[narrow]):
+        narrow += 1
+    return narrow
 
 
 def train(docs: DataFrame, folds: int = 5) -> Model:
     """Learns from the text and lang of rows whose crc32(doc_id) modulo folds is not 0."""
-    labelled = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.col("lang").cast("string").alias("l")).where((id_remainder(F.col("i"), folds) != 0) & F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= SAMPLE_CHARS))
+    own = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l"))
+    labelled = own.where((id_remainder(F.col("i"), folds) != 0) & F.col("l").isNotNull() & F.col("t").isNotNull())
+    labelled = labelled.withColumn("h", F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003))).withColumn("t", F.substring("t", 1, SAMPLE_CHARS))
     # an early cut by hash, from counts of all rows, leaves about twice the sample to rank
     per = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return Model({}, {})
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, 2.0 * (SAMPLE_DOCS + 50) / n))]), F.col("l"))
-    labelled = labelled.where(F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)) < share * 1_000_003)
-    w = Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003)), F.xxhash64("i", "t"))
+    labelled = labelled.where(F.col("h") < share * 1_000_003)
+    w = Window.partitionBy("l").orderBy("h", "i", "t")
     rows = labelled.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).select("l", "k", "t").collect()  # bounded a language
-    samples: dict[str, bytearray] = {}
-    counts: dict[str, int] = {}
+    texts: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda x: (x["l"], x["k"])):
-        data = letters(r["t"]).encode("utf-8", "replace")
-        if data:
-            own = samples.setdefault(r["l"], bytearray())
-            counts[r["l"]] = counts.get(r["l"], 0) + 1
-            if len(own) < DICT_BYTES:
-                own += data + b" "
-    return Model({k: bytes(v[:DICT_BYTES]) for k, v in samples.items()}, counts)
+        if data := letters(r["t"]).encode("utf-8", "replace"):
+            texts.setdefault(r["l"], []).append(data)
+    return Model({lang: b" ".join(own)[:DICT_BYTES] for lang, own in texts.items()}, per, narrow_margin(texts, per))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
