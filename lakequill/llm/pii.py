@@ -3,19 +3,22 @@
 The patterns give base spans, leftmost and without overlap for each kind; a match that fails its check is dropped. The
 random field reads the words around each word with a digit, an at sign or a masked one ([at], (at)), decodes them by Viterbi in numpy batches, and
 adds spans of the same kinds that no base span touches: numbers that a greedy pattern ran together, phones without
-a plus sign, masked addresses. It is trained by maximum likelihood from a small labelled table that this module writes.
+a plus sign, masked addresses. What a span holds is checked by its meaning (a host, octets, a card's sum), not its shape. It is trained by maximum likelihood from a small labelled table that this module writes.
 
 Results for odd input: a null text is empty and has no spans; rows repeat as they come; an empty table gives an empty
-result; other columns are ignored; texts of any length take time in proportion.
+result; other columns are ignored, so their names don't matter; texts of any length are read whole, in time in proportion;
+a span of the field that touches a base span is dropped, and of two labels of equal odds the first of LABELS wins.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,12 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9][0-9.]*\.[0-9.]*[0-9]")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_NUMBERS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKED = re.compile(r"[0-9@]")
 #: What any span that _holds accepts has in it.
-_SIGN = re.compile(r"[0-9@]|\[at\]|\(at\)")
+_SIGN = re.compile(r"[0-9@]|\[at\]|\(at\)|\[dot\]|\(dot\)")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -68,10 +70,18 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def ips(text: str) -> list[tuple[int, int]]:
-    out = []
-    for run in _DOTTED.finditer(text):
-        if run[0].count(".") >= 3:
-            out += [m.span() for m in _IP.finditer(text, run.start(), run.end()) if all(len(p) < 1000 and int(p) <= 255 for p in m[0].split("."))]
+    """Matches of the address pattern: of each chain of numbers with single dots between, four after four."""
+    out: list[tuple[int, int]] = []
+    chain: list[tuple[int, int]] = []
+    for m in _NUMBERS.finditer(text) if text.count(".") >= 3 else ():
+        a, b = m.span()
+        if chain and (a != chain[-1][1] + 1 or text[a - 1] != "."):
+            chain = []
+        chain.append((a, b))
+        if len(chain) == 4:
+            if all(y - x <= 3 and int(text[x:y]) <= 255 or len(text[x:y].lstrip("0")) <= 3 and int(text[x:y].lstrip("0") or 0) <= 255 for x, y in chain):
+                out.append((chain[0][0], b))
+            chain = []
     return out
 
 
@@ -93,16 +103,17 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 
 def shape(word: str) -> str:
-    """Letters as a or A, digits as 9, runs of over three shortened, other signs as they are."""
-    s = re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", re.sub(r"[^\W\d_A-Z]", "a", word[:64])))
-    return re.sub(r"(.)\1{3,}", r"\1\1\1+", s)
+    """Letters as a or A, digits as 9, runs of over three shortened, other signs as they are; masks stay as they are."""
+    word = word.replace("[at]", "\0").replace("(at)", "\0").replace("[dot]", "\1").replace("(dot)", "\1")
+    s = re.sub(r"[0-9]", "9", re.sub(r"[A-Z]", "A", re.sub(r"[^\W\d_A-Z]", "a", word)))
+    return re.sub(r"(.)\1{3,}", r"\1\1\1+", s).replace("\0", "[at]").replace("\1", "[dot]")
 
 
 def token_features(word: str) -> tuple[str, ...]:
     s = shape(word)
     n = sum(c in "0123456789" for c in word)
-    signs = "".join(sorted({c for c in word if not c.isalnum()}))[:8]
-    return (f"s={s[:24]}", f"n={min(n, 20)}", f"g={signs}", f"f={s[:1]}", f"l={s[-1:]}", f"at={'@' in word}", f"d={word.count('.')}" if n else "d=")
+    signs = "".join(sorted({c for c in word if not c.isalnum()}))
+    return (f"s={s}", f"n={min(n, 20)}", f"g={signs}", f"f={s[:1]}", f"l={s[-1:]}", f"at={'@' in word}", f"d={word.count('.')}" if n else "d=")
 
 
 def sequence_features(words: list[str]) -> list[list[str]]:
@@ -130,7 +141,10 @@ def labelled_table(rows: int = 900, seed: int = 7) -> list[tuple[list[str], list
         kind = r.choice(KINDS)
         if kind == "email":
             host = f"{name()}.{r.choice(['com', 'org', 'net', 'example.com', 'de'])}"
-            user = name() + r.choice(["", "." + name(), "." + digit(2), digit(2)])
+            user = name() + r.choice(["", "." + name(), "_" + name(), "-" + name(2, 5), "+" + name(2, 5), "." + digit(2), digit(2)])
+            host = host if r.random() < 0.8 else f"{name()}-{host}"
+            if r.random() < 0.15:
+                return kind, r.choice([[user, r.choice(["[at]", "(at)"]), host], [user, r.choice(["[at]", "(at)"]), host.split(".")[0], r.choice(["[dot]", "(dot)"]), "com"], [f"{user}[at]{host.split('.')[0]}[dot]org"], [f"{user}(at){name()}(dot){name(2, 3)}"]])
             return kind, [r.choice([f"{user}@{host}", f"{user}@mail{digit(1)}.{host}", f"{user}[at]{host}{digit(1)}", f"{user}[at]{host}", f"{user}(at){host}", f"<{user}@{host}>", f"{user}@{host},"])]
         if kind == "ip":
             ip = ".".join(str(r.randint(0, 255)) for _ in range(4))
@@ -139,6 +153,8 @@ def labelled_table(rows: int = 900, seed: int = 7) -> list[tuple[list[str], list
             c = card()
             return kind, r.choice([[c], [c + "."], [c[:4], c[4:8], c[8:12], c[12:]], ["-".join((c[:4], c[4:8], c[8:12], c[12:]))], [c + ","], [".".join((c[:4], c[4:8], c[8:12], c[12:]))]])
         a, b, c = digit(3), "555", digit(4)
+        if r.random() < 0.3:
+            return kind, r.choice([[f"({digit(3)})", digit(3), digit(4)], [f"{digit(3)}/{digit(3)}-{digit(4)}"], ["0" + digit(2), digit(4), digit(4)], [f"0{digit(3)}-{digit(3)}-{digit(4)}"], [f"00{digit(2)}", digit(3), digit(7)], [f"+{digit(2)}.{digit(3)}.{digit(3)}.{digit(3)}"], [digit(3), digit(3), digit(4)], [f"{a}-{b}-{c},"], [f"({a})-{b}-{c}"]])
         return kind, r.choice([[f"+{r.choice('13479')}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"{a}.{b}.{c}"], [f"+{digit(2)}", a, digit(3), c], [f"+1-{a}-{b}-{c}"], [f"+1{a}{b}{c}"], [f"({a})", f"{b}-{c},"]])
 
     def other() -> list[str]:
@@ -272,16 +288,23 @@ def field() -> Field:
 _EDGE = ".,;:!?\"'<>[]{}"
 
 
+_MASK = re.compile(r"\s*(?:(\[at\]|\(at\))|\[dot\]|\(dot\))\s*")
+
+
 def _holds(kind: str, text: str) -> bool:
-    """Whether a decoded span can be what it is labelled as."""
-    digits = _NOT_DIGIT.sub("", text)
+    """Whether a decoded span means what it is labelled as: an address with a host, octets, a card's sum, a number to dial."""
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(@|\[at\]|\(at\))[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text))
+        local, _, host = _MASK.sub(lambda m: "@" if m[1] else ".", text).rpartition("@")
+        return bool(local) and "." in host.strip(".") and not any(c.isspace() for c in local + host)
+    numbers = _NUMBERS.findall(text)
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?", text)) and all(int(p) <= 255 for p in text.split(":")[0].split("."))
+        return len(numbers) in (4, 5) and all(len(n) <= 3 and int(n) <= 255 for n in numbers[:4])
+    digits = "".join(numbers)
+    if any(c.isalpha() for c in text):
+        return False
     if kind == "card":
-        return bool(re.fullmatch(r"[0-9]+([\x20.-][0-9]+)*", text)) and 16 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"\+?[\x20().0-9-]+", text)) and 10 <= len(digits) <= 15 and len(re.split(r"[^0-9]+", text.strip("+()"))) > 1
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15 and len(numbers) > 1
 
 
 def segments(text: str) -> list[list[tuple[int, int]]]:
@@ -301,8 +324,8 @@ def segments(text: str) -> list[list[tuple[int, int]]]:
     return [s for s in out if s]
 
 
-def added_spans(texts: list[str], base: list[list[list[tuple[int, int]]]], model: Field) -> list[list[tuple[str, int, int]]]:
-    """Spans that the field adds to each text."""
+def field_spans(texts: list[str], model: Field) -> list[list[tuple[str, int, int]]]:
+    """Spans that the field alone finds in each text."""
     where, batch = [], []
     for k, text in enumerate(texts):
         for s in segments(text):
@@ -323,18 +346,30 @@ def added_spans(texts: list[str], base: list[list[list[tuple[int, int]]]], model
             a, b = spans[t][0], spans[end - 1][1]
             own = texts[k][a:b]
             a += len(own) - len(own.lstrip(_EDGE))
+            own = texts[k][a:b]
             b -= len(own) - len(own.rstrip(_EDGE))
-            if a < b and _holds(kind, texts[k][a:b]) and not any(x < b and a < y for group in base[k] for x, y in group):
+            if a < b and _holds(kind, texts[k][a:b]):
                 out[k].append((kind, a, b))
             t = end
     return out
 
 
+def added_spans(texts: list[str], base: list[list[list[tuple[int, int]]]], model: Field) -> list[list[tuple[str, int, int]]]:
+    """Spans that the field adds to each text: those that touch no base span."""
+    out = []
+    for found, groups in zip(field_spans(texts, model), base):
+        held = sorted(span for group in groups for span in group)
+        starts, ends = [a for a, _ in held], list(accumulate((b for _, b in held), max))
+        # the base spans before the end of a span reach into it, or none does
+        out.append([x for x in found if not (n := bisect.bisect_left(starts, x[2])) or ends[n - 1] <= x[1]])
+    return out
+
+
 def _joined(groups: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, spans in zip(KINDS, groups) for a, b in sorted(spans))
 
 
-_OUT, _SCHEMA = arrow_schema("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+_OUT, _SCHEMA = arrow_schema("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -348,6 +383,6 @@ def find(docs: DataFrame) -> DataFrame:
             base = [base_spans(t) for t in texts]
             more = added_spans(texts, base, model)
             whole = [[b[i] + [(x, y) for kind, x, y in m if kind == KINDS[i]] for i in range(4)] if m else b for b, m in zip(base, more)]
-            yield arrow_batch(_SCHEMA, batch.column("doc_id"), *([len(b[i]) for b in base] for i in range(4)), [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], [_joined(w) for w in whole], [len(m) for m in more])
+            yield arrow_batch(_SCHEMA, batch.column("doc_id"), *([len(b[i]) for b in base] for i in range(4)), [hashlib.sha256(_joined(b).encode()).hexdigest() for b in base], [_joined(w) for w in whole], [len(m) for m in more], [sum(map(len, w)) for w in whole])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _OUT)
