@@ -9,16 +9,20 @@ The trees are trained on pages that this module writes, with known labels, on th
 numbers.
 
 Results for odd input: a null or empty page has empty text; text outside any element of the body counts as main text;
-unclosed and stray tags are mended as browsers do in simple cases; rows repeat as they come; an empty table gives an
-empty result; other columns are ignored. Nothing is cut off.
+unclosed and stray tags are mended as browsers do in simple cases; a head that isn't closed ends at the first element or
+text of a body; an element that is kept and dropped with equal odds is kept; rows repeat as they come, equal pages with
+equal texts; an empty table gives an empty result; other columns are ignored, whatever their names. Nothing is cut off,
+and pages of any length, broken as they may be, take time in proportion.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +36,8 @@ from .common import arrow_batch, arrow_schema, bound_batches
 TREES, DEPTH, RATE, BINS, LEAST_ROWS = 40, 4, 0.3, 32, 10
 PORTION_PAGES = 250
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
+_TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_UNQUOTED = re.compile(r"[^\"'>]*")
 #: A tag that the end of the page cuts off.
 _CUT = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -40,7 +45,12 @@ _TOKEN = re.compile(r"[a-z]+")
 
 # Fixed values of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select"}
+RAW = {"script", "style", "noscript", "iframe", "textarea", "title"}
+#: Elements whose text isn't text of the page.
+SKIPPED = {"template", "svg", "math", "object", "select"}
+HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template", "html"}
+#: Start tags that end an unclosed drawing, formula or selection.
+BREAKOUT = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "table", "blockquote", "pre", "article", "section", "main", "nav", "header", "footer", "aside", "form"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "button"}
 PHRASE = INLINE - {"button", "label"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -82,75 +92,151 @@ class Node:
                     self.hidden = True
 
 
+class Tags:
+    """The tags of a page, in time in proportion to it however they are broken."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = True  # until one isn't closed before the page ends
+        self.closes: dict[str, tuple[list[int], list[int]]] = {}
+        self.unbalanced: set[str] = set()
+
+    def _end(self, at: int) -> int:
+        """Place of the > that closes the tag whose attributes start here, or -1; quotes open after = alone."""
+        page, k = self.page, at
+        while self.quotes:
+            k = _UNQUOTED.match(page, k).end()
+            if k == len(page):
+                self.quotes = False
+            elif page[k] == ">":
+                return k
+            else:
+                before = k - 1
+                while before >= at and page[before].isspace():
+                    before -= 1
+                if before < at or page[before] != "=":
+                    k += 1
+                elif (k := page.find(page[k], k + 1) + 1) == 0:
+                    self.quotes = False
+        return page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start and end, slash, name and attributes of the next tag; the name is empty for comments and declarations."""
+        page = self.page
+        m = _TAG.search(page, at)
+        if m is None:
+            return None
+        if m[2] is not None:
+            end = self._end(m.end())
+            return None if end < 0 else (m.start(), end + 1, m[1], m[2].lower(), page[m.end() : end])
+        mark = "-->" if m[0] == "<!--" else ">"
+        end = page.find(mark, m.end())
+        if end < 0 and mark == ">":
+            return None
+        return m.start(), len(page) if end < 0 else end + len(mark), "", "", ""
+
+    def close(self, name: str, at: int) -> int:
+        """The end of the next end tag of a name, or -1."""
+        if name not in self.closes:
+            found = [m.span() for m in re.finditer(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", self.page, re.I)]
+            self.closes[name] = [x for x, _ in found], [x for _, x in found]
+        starts, ends = self.closes[name]
+        k = bisect.bisect_left(starts, at)
+        return ends[k] if k < len(ends) else -1
+
+    def after(self, name: str, at: int) -> int:
+        """The end of an element whose start tag ends here and whose content is no text of the page.
+
+        An element that is never closed ends at once, but for scripts and styles, which take the rest as browsers do.
+        Elements that are closed too seldom end at the next close, drawings and the like at the next block before it.
+        """
+        end = self.close(name, at)
+        if end < 0:
+            return len(self.page) if name in ("script", "style") else at
+        if name in SKIPPED and name not in self.unbalanced:
+            depth = 1
+            for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(self.page, at):
+                depth += -1 if m[1] else not m[0].endswith("/>")
+                if not depth:
+                    return m.end()
+            self.unbalanced.add(name)
+        if name in SKIPPED - {"template", "object"}:
+            block = re.compile(rf"<(?:{'|'.join(sorted(BREAKOUT))})(?=[\s/>])", re.I).search(self.page, at, end)
+            end = block.start() if block else end
+        return end
+
+
 def parse(page: str) -> list[Node]:
     """Elements in page order; the first is the root. Text is decoded; markup that holds no text is gone."""
     nodes = [Node("#root", -1, 0, "", 0, 0)]
-    stack, last, in_head = [0], 0, False
+    stack, in_head, tags = [0], False, Tags(page)
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each tag on the stack; "" is for all that aren't inline
 
     def text(piece: str) -> None:
+        nonlocal in_head
+        if in_head and piece.strip():  # an open head ends at the first text
+            in_head = False
         if piece and not in_head:
             nodes[stack[-1]].items.append(html.unescape(piece) if "&" in piece else piece)
 
-    def close_to(names: set[str] | frozenset, scope: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
+    def place(names) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=0)
+
+    def close_to(names, scope) -> None:
+        """Closes the innermost element of these names, unless one of the scope is within it."""
+        k = place(names)
+        if k and k > place(scope):
+            for x in stack[k:]:
+                tag = nodes[x].tag
+                places[tag].pop()
+                if tag not in INLINE:
+                    places[""].pop()
+            del stack[k:]
 
     at = 0
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            text(_CUT.sub("", page[at:]))
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    while (found := tags.next(at)) is not None:
+        start, end, slash, name, attributes = found
+        text(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if slash:
             if name == "head":
                 in_head = False
             elif name in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    tag = nodes[stack[k]].tag
-                    if tag == name:
-                        del stack[k:]
-                        break
-                    if tag not in INLINE:
-                        break
+                close_to((name,), ("",))
             elif name not in VOID and name not in ("html", "body"):
-                close_to({name}, {"td", "th"} - {name} if name not in ("table", "tr", "tbody", "thead") else set())
+                close_to((name,), {"td", "th"} - {name} if name not in ("table", "tr", "tbody", "thead") else ())
             continue
         if name == "head":
-            in_head = True
+            in_head = len(nodes) == 1
             continue
+        in_head = in_head and name in HEAD
         if name in ("html", "body", "meta", "link", "base"):
             if name == "body":
-                in_head = False
-                nodes[0].tokens += Node("", 0, 0, m[3], 0, 0).tokens if m[3] else []
+                nodes[0].tokens += Node("", 0, 0, attributes, 0, 0).tokens if attributes else []
             continue
-        if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if name in RAW or name in SKIPPED:
+            if not attributes.rstrip().endswith("/") or name in RAW - {"iframe"}:
+                at = tags.after(name, at)
             continue
-        if name == "br" or name in VOID:
+        if name in VOID:
             text(" ")
             continue
         if name in CLOSES_P:
-            close_to({"p"}, SCOPE - {"p"})
+            close_to(("p",), SCOPE)
         if name in SAME:
             close_to(SAME[name], {"ul", "ol", "dl", "table"})
         parent = stack[-1]
         k = len(nodes)
-        nodes.append(Node(name, parent, len(stack), m[3], len(nodes[parent].children), k))
+        nodes.append(Node(name, parent, len(stack), attributes, len(nodes[parent].children), k))
         nodes[parent].children.append(k)
         nodes[parent].items.append(k)
+        places[name].append(len(stack))
+        if name not in INLINE:
+            places[""].append(len(stack))
         stack.append(k)
+    text(_CUT.sub("", page[at:]))
     return nodes
 
 
@@ -192,6 +278,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     total, count = max(1, nodes[0].chars), len(nodes)
     # of each element: good tokens, bad kinds, boilerplate tags and article tags at or above it
     state = [(*_category(nodes[0].tokens), 0, 0)]
+    kinds = [Counter(nodes[c].tag for c in n.children) for n in nodes]
     out = np.zeros((count - 1, len(FEATURES)), np.float32)
     for k in range(1, count):
         n = nodes[k]
@@ -199,7 +286,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         good, bad = _category(n.tokens)
         boiler = int(n.tag in _BOILER)
         siblings = nodes[n.parent].children
-        alike = sum(nodes[c].tag == n.tag for c in siblings[:50])
+        alike = kinds[n.parent][n.tag]
         row = [
             _TAGS.get(n.tag, 0), good, up_good, n.hidden, n.depth, len(siblings), n.nth, alike, math.log1p(n.chars), n.linked / max(1, n.chars), n.marks / max(1, n.chars) * 100,
             math.log1p(n.paragraphs), math.log1p(n.below), math.log1p(n.chars / (n.below + 1)), n.chars / total, k / count, n.nth / len(siblings), boiler, up_boiler, up_text + (n.tag in ("article", "main")), _TAGS.get(nodes[n.parent].tag, 0),
