@@ -10,10 +10,13 @@ document, and these meet in groups again until each source has one. Large docume
 most by their definition, go first, from the largest size class down; what the last draw of a class misses is spread
 evenly over all that is smaller. That keeps expectations and leaves an error of a small document.
 
-Results for odd input: groups are bounded whatever a source's share; a null source is a
-source of its own and comes last; null texts and texts without words have size 0 and give 0 words; equal rows are drawn
-apart; sources without words have target 0; an empty table gives an empty result; other columns are ignored. Draws are
-functions of doc_id, size and seed, so reruns agree however the rows are dealt.
+Equal rows are counted first and numbered from their count, so groups are bounded whatever the share of a source, an id
+or a row, and no window or task gets all rows of one.
+
+Results for odd input: a null source is a source of its own and comes last; null texts and texts without words have size
+0 and give 0 words, long texts count whole; equal rows are drawn apart; sources without words have target 0; an empty
+table gives an empty result; other columns may have any name and only tell rows apart. Draws are functions of a row's
+values and the seed, so reruns agree however the rows are dealt.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ CAP = 3
 #: Stands for a null id, so that ids stay whole numbers on their way through pandas.
 NO_ID = -(2**63)
 LEAF = 1024
+#: Equal rows, or copies of a row, that one task makes at once.
+CHUNK = 65_536
 FAN = 64
 #: A document is large above both these shares of its source's target and of its source's words.
 LARGE_TARGET, LARGE_SOURCE = 0.001, 0.0005
@@ -112,8 +117,8 @@ def duels(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, i
     return out, held
 
 
-_GROUP = "source string, doc_id long, size long, key long, copies double, p double, open boolean"
-_LARGE = "source string, doc_id long, size long, key long, copies double"
+_GROUP = "source string, doc_id long, size long, key long, row long, copies double, p double, open boolean"
+_LARGE = "source string, doc_id long, size long, key long, row long, copies double"
 
 
 def _large(pdf: pd.DataFrame, cap: float) -> pd.DataFrame:
@@ -131,7 +136,7 @@ def _large(pdf: pd.DataFrame, cap: float) -> pd.DataFrame:
         copies[at] = np.floor(p) + frac
         spent += float((copies[at] * size[at]).sum())
         rest -= float(size[at].sum())
-    return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "size": pdf["size"], "key": key, "copies": copies})
+    return pd.DataFrame({"source": pdf["source"], "doc_id": pdf["doc_id"], "size": pdf["size"], "key": key, "row": pdf["row"], "copies": copies})
 
 
 def _tree(pool: DataFrame, rows: int) -> DataFrame:
@@ -150,7 +155,7 @@ def _tree(pool: DataFrame, rows: int) -> DataFrame:
             else:
                 is_open[held] = True
         fixed = np.where(is_open, whole, whole + frac)
-        return pd.DataFrame({"source": pdf["source"].to_numpy(), "doc_id": pdf["doc_id"].to_numpy(), "size": pdf["size"].to_numpy(), "key": pdf["key"].to_numpy(), "copies": fixed, "p": np.where(is_open, frac, 0.0), "open": is_open})
+        return pd.DataFrame({"source": pdf["source"].to_numpy(), "doc_id": pdf["doc_id"].to_numpy(), "size": pdf["size"].to_numpy(), "key": pdf["key"].to_numpy(), "row": pdf["row"].to_numpy(), "copies": fixed, "p": np.where(is_open, frac, 0.0), "open": is_open})
 
     def leaf(level: int, last: bool):
         return lambda pdf: rounded(pdf, level, last)
@@ -168,23 +173,39 @@ def _tree(pool: DataFrame, rows: int) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("source", "doc_id", "size", "key", "copies")
+    return out.select("source", "doc_id", "size", "key", "row", "copies")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
-    """How many copies of each document the mix takes.
+def repeated(df: DataFrame, times: Column, nth: str) -> DataFrame:
+    """Each row of df so many times, numbered from 0 in column nth; CHUNK at once, and large numbers in several tasks."""
+    many = df.withColumn(nth, times)
+    few = many.where(F.col(nth).between(1, CHUNK)).withColumn(nth, F.explode(F.sequence(F.lit(0), F.col(nth) - 1)))
+    many = many.where(F.col(nth) > CHUNK)
+    if not many.limit(1).count():
+        return few
+    parts = many.select("*", F.posexplode(F.sequence(F.lit(0), F.col(nth) - 1, F.lit(CHUNK).cast("long"))).alias("__part", "__low")).repartition(F.col("__low"), F.col("__part"))
+    parts = parts.withColumn(nth, F.explode(F.sequence(F.col("__low"), F.least(F.col("__low") + CHUNK, F.col(nth)) - 1)))
+    return few.unionByName(parts.drop("__part", "__low"))
 
-    Returns a row for each row of docs: doc_id, source, size, source_size, target, copies (whole, at most cap) and
-    taken = copies * size. The words taken of each source are its target but for one small document.
-    """
-    sizes = cut(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.length("text")).alias("key")), "sizes")
+
+def _rows(docs: DataFrame, row: Column) -> DataFrame:
+    """doc_id, source, size, row (a hash that equal rows share) and key (a hash of each row's own), a row for each of docs."""
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row.alias("row"))
+    per = cut(own.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("m")), "sizes")
+    key = F.when(F.col("nth") == 0, F.col("row")).otherwise(F.xxhash64("row", "nth"))
+    return repeated(per, F.col("m"), "nth").select("doc_id", "source", "size", "row", key.alias("key"))
+
+
+def _mixed(docs: DataFrame, row: Column, weights: tuple[float, ...], cap: float) -> DataFrame:
+    """doc_id, source, size, row, source_size, target and copies of each row of docs."""
+    sizes = _rows(docs, row)
     goal = cut(targets(sizes, weights, cap), "targets")
     own = sizes.alias("a").join(goal.alias("g"), F.col("a.source").eqNullSafe(F.col("g.source"))).select("a.*", "source_size", "target")
     is_large = (F.col("size") > F.col("target") * LARGE_TARGET) & (F.col("size") > F.col("source_size") * LARGE_SOURCE)
     own = own.where("size > 0").withColumn("large", is_large)
     counts = cut(own.groupBy("source", "large").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "counts")
     left = counts.where("NOT large").select("source", F.col("words").alias("left"))
-    few = own.where("large").alias("a").join(left.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "a.doc_id", "a.size", "a.key", "a.target", F.coalesce("b.left", F.lit(0)).alias("left"))
+    few = own.where("large").alias("a").join(left.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select("a.source", "a.doc_id", "a.size", "a.key", "a.row", "a.target", F.coalesce("b.left", F.lit(0)).alias("left"))
     parts = [cut(few.groupBy("source").applyInPandas(lambda pdf: _large(pdf, cap), _LARGE), "large")]
     rows = counts.where("NOT large").agg(F.sum("n")).first()[0] or 0
     if rows:
@@ -192,26 +213,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
         rate = left.alias("l").join(goal.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).join(spent.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
         p = F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), (F.col("g.target") - F.coalesce("s.spent", F.lit(0.0))) / F.col("l.left")))
         rate = cut(rate.select(F.col("g.source").alias("source"), p.alias("p")), "rates")
-        pool = own.where("NOT large").alias("b").join(rate.alias("r"), F.col("b.source").eqNullSafe(F.col("r.source"))).select("b.source", "b.doc_id", "b.size", "b.key", "r.p")
+        pool = own.where("NOT large").alias("b").join(rate.alias("r"), F.col("b.source").eqNullSafe(F.col("r.source"))).select("b.source", "b.doc_id", "b.size", "b.key", "b.row", "r.p")
         parts.append(_tree(pool, rows))
-    out = sizes.where("size = 0").select("source", "doc_id", "size", "key", F.lit(0.0).alias("copies"))
+    out = sizes.where("size = 0").select("source", "doc_id", "size", "key", "row", F.lit(0.0).alias("copies"))
     for q in parts:
         out = out.unionByName(q)
-    return out.alias("o").join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select(F.nullif(F.col("o.doc_id"), F.lit(NO_ID)).alias("doc_id"), "o.source", "o.size", "g.source_size", "g.target", F.col("o.copies").cast("long").alias("copies"), (F.col("o.copies") * F.col("o.size")).cast("long").alias("taken"))
+    return out.alias("o").join(goal.alias("g"), F.col("o.source").eqNullSafe(F.col("g.source"))).select("o.doc_id", "o.source", "o.size", "o.row", "g.source_size", "g.target", F.col("o.copies").cast("long").alias("copies"))
 
 
-def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns stay.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
+    """How many copies of each document the mix takes.
 
-    Rows are matched to their copies by id and size; rows of equal id and size share their copies in order of their text.
+    Returns a row for each row of docs: doc_id, source, size, source_size, target, copies (whole, at most cap) and
+    taken = copies * size. The words taken of each source are its target but for one small document.
     """
-    from pyspark.sql import Window
+    got = _mixed(docs, _row_hash(docs, seed), weights, cap)
+    return got.select(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
 
-    taken = mix(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("__lq_id"), F.col("size").alias("__lq_size"), F.col("source").alias("__lq_source"), F.col("copies").alias("__lq_copies"))
-    at = Window.partitionBy("__lq_id", "__lq_size", "__lq_source").orderBy("__lq_copies")
-    taken = taken.withColumn("__lq_k", F.row_number().over(at))
-    own = docs.withColumn("__lq_id", F.col("doc_id").cast("long")).withColumn("__lq_size", word_count(F.col("text"))).withColumn("__lq_source", F.col("source").cast("string"))
-    own = own.withColumn("__lq_k", F.row_number().over(Window.partitionBy("__lq_id", "__lq_size", "__lq_source").orderBy(F.xxhash64("text"))))
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
+    """docs with each row as often as the mix takes it; the columns stay, whatever their names.
+
+    A row is matched to its copies by id, source, size and a hash of all its columns but maps. Rows that agree in these
+    share their copies: one of them stands for all. Texts are shuffled once.
+    """
+    row = _row_hash(docs, seed)
+    taken = cut(_mixed(docs, row, weights, cap).groupBy("doc_id", "source", "size", "row").agg(F.sum("copies").alias("times"), F.count(F.lit(1)).alias("m")).where("times > 0"), "copies")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row.alias("row"))
     o, t = own.alias("o"), taken.alias("t")
-    on = F.col("o.__lq_id").eqNullSafe(F.col("t.__lq_id")) & (F.col("o.__lq_size") == F.col("t.__lq_size")) & F.col("o.__lq_source").eqNullSafe(F.col("t.__lq_source")) & (F.col("o.__lq_k") == F.col("t.__lq_k"))
-    return o.join(t, on).withColumn("__lq_copy", F.explode(F.sequence(F.lit(1), F.col("__lq_copies").cast("int")))).select(*[F.col(f"o.`{c}`").alias(c) for c in docs.columns])
+    met = o.join(t, (F.col("o.row") == F.col("t.row")) & (F.col("o.doc_id") == F.col("t.doc_id")) & (F.col("o.size") == F.col("t.size")) & F.col("o.source").eqNullSafe(F.col("t.source")))
+    met = met.select("o.whole", "o.doc_id", "o.source", "o.size", "o.row", "t.times", "t.m")
+    out = met.where("m = 1").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    if taken.where("m > 1").limit(1).count():
+        several = met.where("m > 1").dropDuplicates(["doc_id", "source", "size", "row"])
+        out = out.unionByName(repeated(several, F.col("times"), "nth"), allowMissingColumns=True)
+    return out.select("whole.*")
+
+
+def _row_hash(docs: DataFrame, seed: int) -> Column:
+    """A hash that rows equal in all columns share; maps can't be hashed and don't count."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
