@@ -1,8 +1,9 @@
 """Scoring texts by the marginal likelihood of a subword lattice.
 
-A public vocabulary gives the pieces and, by their ranks, first unigram scores. Every segmentation of a word into pieces
-counts: a forward recursion in log space sums them, a backward one gives expected piece counts, and a few rounds of
-expectation maximisation over the corpus's word counts fit the scores. Pieces never cross white space, so the marginal
+A public vocabulary gives the pieces and their scores. Those at hand are ordered by rank, so that a probability is the
+inverse of the rank; ``prior_score`` is by these as they are. Every segmentation of a word into pieces counts: a forward
+recursion in log space sums them, a backward one gives expected piece counts, and a few rounds of expectation
+maximisation over the corpus's word counts fit the scores that ``score`` is by. Pieces never cross white space, so the marginal
 probability of a text is the product of those of its words and of the end. Bytes are pieces too, so no word is
 impossible.
 
@@ -25,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bound_batches, cut, id_remainder
+from .common import arrow_batch, arrow_schema, bound_batches, cut, discard, gathered, id_remainder
 
 ROUNDS = 2
 HEAD_WORDS = 400_000
-LONGEST_PIECE = 16
+PORTION_BYTES = 8_000_000
+#: Words that go through the recursions together; fewer make it slow.
+WORD_BYTES = 400_000
 #: Words of over so many bytes go through the recursion one by one.
 LONG_WORD = 48
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +54,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
             continue
         text = sp.id_to_piece(i).replace("▁", " ")
         piece = text.encode()
-        if " " in text[1:] or text == "" or any("A" <= c <= "Z" for c in text) or len(piece) > LONGEST_PIECE:
+        if " " in text[1:] or text == "" or any("A" <= c <= "Z" for c in text):
             continue
         found[piece] = 1.0 / (3.0 - sp.get_score(i)) if sp.get_score(i) <= 0 else 1.0
     for b in range(256):
@@ -66,12 +69,13 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes], logp: np.ndarray):
         self.pieces, self.logp = pieces, logp
-        self.power = np.ones(LONGEST_PIECE + 1, np.uint64)
-        for k in range(1, LONGEST_PIECE + 1):
-            self.power[k] = np.uint64((int(self.power[k - 1]) * int(_BASE)) % 2**64)
-        self.tables: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(LONGEST_PIECE + 1)]
         size = np.array([len(p) for p in pieces])
-        for n in range(1, LONGEST_PIECE + 1):
+        self.longest = int(size.max())
+        self.power = np.ones(self.longest + 1, np.uint64)
+        for k in range(1, self.longest + 1):
+            self.power[k] = np.uint64((int(self.power[k - 1]) * int(_BASE)) % 2**64)
+        self.tables: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(self.longest + 1)]
+        for n in range(1, self.longest + 1):
             ids = np.flatnonzero(size == n)
             if not len(ids):
                 continue
@@ -104,20 +108,21 @@ class Lattice:
 
     def _edges(self, grid: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         prefix, length = self._prefix(grid), grid.shape[1]
-        return {(i, n): self._find(prefix, i, n) for i in range(length) for n in range(1, min(LONGEST_PIECE, length - i) + 1) if self.tables[n]}
+        return {(i, n): self._find(prefix, i, n) for i in range(length) for n in range(1, min(self.longest, length - i) + 1) if self.tables[n]}
 
-    def _forward(self, edges: dict, rows: int, length: int) -> list[np.ndarray]:
-        logp = np.append(self.logp, -np.inf)  # index -1: no piece
+    def _forward(self, edges: dict, rows: int, length: int, logp: np.ndarray | None = None) -> list[np.ndarray]:
+        logp = np.append(self.logp if logp is None else logp, -np.inf)  # index -1: no piece
         alpha = [np.zeros(rows)]
         for j in range(1, length + 1):
-            x = np.stack([alpha[j - n] + logp[edges[j - n, n]] for n in range(1, min(LONGEST_PIECE, j) + 1) if (j - n, n) in edges])
+            x = np.stack([alpha[j - n] + logp[edges[j - n, n]] for n in range(1, min(self.longest, j) + 1) if (j - n, n) in edges])
             top = x.max(axis=0)
             alpha.append(top + np.log(np.exp(x - top).sum(axis=0)))
         return alpha
 
-    def log_marginal(self, grid: np.ndarray) -> np.ndarray:
-        """Log probability of each row of bytes, over all segmentations."""
-        return self._forward(self._edges(grid), *grid.shape)[-1]
+    def log_marginal(self, grid: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+        """Log probability of each row of bytes over all segmentations, by the own scores and by others of the same pieces."""
+        edges = self._edges(grid)
+        return [self._forward(edges, *grid.shape, logp)[-1] for logp in (self.logp, *others)]
 
     def expected(self, grid: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
         """Adds each piece's expected count to out."""
@@ -126,7 +131,7 @@ class Lattice:
         logp = np.append(self.logp, -np.inf)
         beta: list[np.ndarray] = [np.zeros(0)] * length + [np.zeros(rows)]
         for i in range(length - 1, -1, -1):
-            sizes = [n for n in range(1, min(LONGEST_PIECE, length - i) + 1) if (i, n) in edges]
+            sizes = [n for n in range(1, min(self.longest, length - i) + 1) if (i, n) in edges]
             x = np.stack([beta[i + n] + logp[edges[i, n]] for n in sizes])
             top = x.max(axis=0)
             e = np.exp(x - top)
@@ -156,16 +161,16 @@ class Lattice:
                 grid[:, 1:] = data[offsets[part][:, None] + np.arange(n)]
                 yield part, grid
 
-    def long_marginal(self, word: bytes) -> float:
+    def long_marginal(self, word: bytes, logp: np.ndarray | None = None) -> float:
         """As log_marginal for one word of any length, in time in proportion to it."""
-        return self._long_forward(word)[-1]
+        return self._long_forward(word, logp)[-1]
 
-    def _long_forward(self, word: bytes) -> list[float]:
+    def _long_forward(self, word: bytes, logp: np.ndarray | None = None) -> list[float]:
         place = {p: k for k, p in enumerate(self.pieces)} if not hasattr(self, "_place") else self._place
         self._place = place
-        alpha, logp = [0.0], self.logp
+        alpha, logp = [0.0], self.logp if logp is None else logp
         for j in range(1, len(word) + 1):
-            x = [alpha[j - n] + logp[k] for n in range(1, min(LONGEST_PIECE, j) + 1) if (k := place.get(word[j - n : j])) is not None]
+            x = [alpha[j - n] + logp[k] for n in range(1, min(self.longest, j) + 1) if (k := place.get(word[j - n : j])) is not None]
             top = max(x)
             alpha.append(top + math.log(sum(math.exp(v - top) for v in x)))
         return alpha
@@ -175,7 +180,7 @@ class Lattice:
         alpha, length = self._long_forward(word), len(word)
         beta = [0.0] * (length + 1)
         for i in range(length - 1, -1, -1):
-            at = [(k, beta[i + n] + self.logp[k]) for n in range(1, min(LONGEST_PIECE, length - i) + 1) if (k := self._place.get(word[i : i + n])) is not None]
+            at = [(k, beta[i + n] + self.logp[k]) for n in range(1, min(self.longest, length - i) + 1) if (k := self._place.get(word[i : i + n])) is not None]
             top = max(v for _, v in at)
             beta[i] = top + math.log(sum(math.exp(v - top) for _, v in at))
             for k, v in at:
@@ -190,13 +195,16 @@ class Lattice:
                 for g, w in zip(grid, weight[at].tolist()):
                     self.long_expected(g.tobytes(), w, out)
 
-    def score(self, words: pa.Array) -> np.ndarray:
-        out = np.zeros(len(words))
+    def score(self, words: pa.Array, *others: np.ndarray) -> list[np.ndarray]:
+        """Log probabilities of words of any length, by the own scores and by others of the same pieces."""
+        out = [np.zeros(len(words)) for _ in range(1 + len(others))]
         for at, grid in self.groups(words):
             if grid.shape[1] <= LONG_WORD:
-                out[at] = self.log_marginal(grid)
+                got = self.log_marginal(grid, *others)
             else:
-                out[at] = [self.long_marginal(g.tobytes()) for g in grid]
+                got = [[self.long_marginal(g.tobytes(), logp) for g in grid] for logp in (self.logp, *others)]
+            for o, x in zip(out, got):
+                o[at] = x
         return out
 
 
@@ -213,15 +221,16 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 _COUNT, _COUNT_ARROW = arrow_schema("word string, c long")
 _EM, _EM_ARROW = arrow_schema("piece int, n double")
-_WORD, _WORD_ARROW = arrow_schema("word string, c long, logz double")
-_ROW, _ROW_ARROW = arrow_schema("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logz double, word string, tf long")
+_WORD, _WORD_ARROW = arrow_schema("word string, c long, logz double, prior double")
+_ROW, _ROW_ARROW = arrow_schema("rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, logz double, prior double, word string, tf long")
 
 
 class Model:
-    """Fitted scores and the word table: word, c (count in training rows), logz (natural log of its probability)."""
+    """Fitted scores and the word table: word, c (count in training rows), logz and prior (natural logs of its probability
+    by the fitted scores and by those of the vocabulary)."""
 
-    def __init__(self, lattice: Lattice, log_end: float, words: DataFrame, train_tokens: int, train_types: int, end_count: int):
-        self.lattice, self.log_end, self.words = lattice, log_end, words
+    def __init__(self, lattice: Lattice, log_end: float, prior_end: float, words: DataFrame, train_tokens: int, train_types: int, end_count: int):
+        self.lattice, self.log_end, self.prior_end, self.words = lattice, log_end, prior_end, words
         self.train_tokens, self.train_types, self.end_count = train_tokens, train_types, end_count
 
 
@@ -234,14 +243,14 @@ def train(docs: DataFrame, vocabulary_path: str, folds: int = 10, rounds: int =
     """Counts all words, fits piece scores to those of rows whose crc32(doc_id) modulo folds isn't 0, scores all words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, PORTION_BYTES):  # the more text at once, the fewer words to shuffle
             row, flat = words_of(batch.column("text"))
             coded = flat.dictionary_encode()
             in_train = ~batch.column("held").to_numpy(zero_copy_only=False)
             c = np.bincount(coded.indices.to_numpy(), in_train[row].astype(np.float64), len(coded.dictionary))
             yield arrow_batch(_COUNT_ARROW, coded.dictionary, c.astype(np.int64))
 
-    bound_batches(docs.sparkSession, 10_000)  # the more text at once, the fewer words to shuffle
+    bound_batches(docs.sparkSession)
     own = _own(docs, folds)
     words = cut(own.mapInArrow(count, _COUNT).groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = own.where("NOT held").count()
@@ -249,12 +258,14 @@ def train(docs: DataFrame, vocabulary_path: str, folds: int = 10, rounds: int =
     total = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     tokens, types = (total["n"] or 0) + ends, (total["v"] or 0) + (ends > 0)
     end_share = (ends + 1.0) / (tokens + 2.0)
+    prior, log_share, prior_end = logp, math.log1p(-end_share), math.log(end_share)
+    logp = prior + log_share
     for _ in range(rounds):
         lattice = Lattice(pieces, logp)
 
         def expect(batches: Iterator[pa.RecordBatch], lattice: Lattice = lattice) -> Iterator[pa.RecordBatch]:
             out = np.zeros(len(lattice.pieces))
-            for batch in batches:
+            for batch in gathered(batches, WORD_BYTES, "word"):
                 c = batch.column("c").to_numpy().astype(np.float64)
                 lattice.learn(batch.column("word"), c, out)
             on = np.flatnonzero(out)
@@ -269,10 +280,12 @@ def train(docs: DataFrame, vocabulary_path: str, folds: int = 10, rounds: int =
     lattice = Lattice(pieces, logp)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield arrow_batch(_WORD_ARROW, batch.column("word"), batch.column("c"), lattice.score(batch.column("word")))
+        for batch in gathered(batches, WORD_BYTES, "word"):
+            yield arrow_batch(_WORD_ARROW, batch.column("word"), batch.column("c"), *lattice.score(batch.column("word"), prior + log_share))
 
-    return Model(lattice, math.log(end_share), cut(words.mapInArrow(score, _WORD), "word-scores"), tokens, types, ends)
+    scored = cut(words.mapInArrow(score, _WORD), "word-scores")
+    discard(words)
+    return Model(lattice, math.log(end_share), prior_end, scored, tokens, types, ends)
 
 
 def _head(words: DataFrame, most: int) -> pa.Table:
@@ -286,24 +299,27 @@ def _head(words: DataFrame, most: int) -> pa.Table:
             break
         least = k
     if least is None:
-        return pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64()), "logz": pa.array([], pa.float64())})
-    return words.where(kind >= least).select("word", "c", "logz").toArrow()
+        return pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64()), "logz": pa.array([], pa.float64()), "prior": pa.array([], pa.float64())})
+    return words.where(kind >= least).select("word", "c", "logz", "prior").toArrow()
 
 
 def score(docs: DataFrame, model: Model, folds: int = 10) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and prior_score (log10 probabilities) of each row.
+
+    score is by the fitted scores, prior_score by those that the vocabulary has.
+    """
     spark = docs.sparkSession
     head = _head(model.words, HEAD_WORDS)
-    sent = spark.sparkContext.broadcast((head.column("word").combine_chunks(), head.column("c").to_numpy(), head.column("logz").to_numpy()))
+    sent = spark.sparkContext.broadcast((head.column("word").combine_chunks(), head.column("c").to_numpy(), head.column("logz").to_numpy(), head.column("prior").to_numpy()))
     bottom = math.log10(model.train_tokens + 0.1 * (model.train_types + 1)) if model.train_types else math.log10(0.1)
-    end_base, end_known, log_end = math.log10(model.end_count + 0.1) - bottom, int(model.end_count > 0), model.log_end
+    end_base, end_known, log_end, prior_end = math.log10(model.end_count + 0.1) - bottom, int(model.end_count > 0), model.log_end, model.prior_end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c, logz = sent.value
+        known, c, logz, prior = sent.value
         base_of = np.log10(np.append(c, 0) + 0.1) - bottom
-        logz_of = np.append(logz, 0.0)
+        logz_of, prior_of = np.append(logz, 0.0), np.append(prior, 0.0)
         rid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in gathered(batches, PORTION_BYTES):
             n = len(batch)
             row, flat = words_of(batch.column("text"))
             coded = flat.dictionary_encode()
@@ -317,12 +333,12 @@ def score(docs: DataFrame, model: Model, folds: int = 10) -> DataFrame:
             none = pa.nulls(n, pa.int64())
             yield arrow_batch(
                 _ROW_ARROW, ids, batch.column("doc_id"), batch.column("held"), np.bincount(row, minlength=n) + 1, np.bincount(r, minlength=n) + end_known,
-                np.bincount(r, base_of[t], n) + end_base, np.bincount(r, logz_of[t], n) + log_end, pa.array(["\n" + str(i) for i in ids.tolist()]), none,
+                np.bincount(r, base_of[t], n) + end_base, np.bincount(r, logz_of[t], n) + log_end, np.bincount(r, prior_of[t], n) + prior_end, pa.array(["\n" + str(i) for i in ids.tolist()]), none,
             )
             pair, tf = np.unique(row[~in_head] * np.int64(len(coded.dictionary) + 1) + code[~in_head], return_counts=True)
             r, w = np.divmod(pair, len(coded.dictionary) + 1)
             k = len(pair)
-            yield arrow_batch(_ROW_ARROW, ids[r], pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 2, coded.dictionary.take(pa.array(w)), tf)
+            yield arrow_batch(_ROW_ARROW, ids[r], pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_()), *[pa.nulls(k, pa.int64())] * 2, *[pa.nulls(k, pa.float64())] * 3, coded.dictionary.take(pa.array(w)), tf)
 
     rows = _own(docs, folds).mapInArrow(run, _ROW).alias("d")
     # a document's own row has a key that is no word, so it passes the join alone and no key is hot
@@ -331,9 +347,9 @@ def score(docs: DataFrame, model: Model, folds: int = 10) -> DataFrame:
     tail = F.when(tf.isNotNull(), tf * (F.log10(c + F.lit(0.1)) - F.lit(bottom)))
     got = met.groupBy("d.rid").agg(
         F.max("d.doc_id").alias("doc_id"), F.max("d.held_out").alias("held_out"), F.sum("d.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("d.n_known", F.when(c > 0, tf), F.lit(0))).alias("n_known"), F.sum(F.coalesce("d.base", tail)).alias("base_score"), F.sum(F.coalesce("d.logz", tf * F.col("w.logz"))).alias("z"),
+        F.sum(F.coalesce("d.n_known", F.when(c > 0, tf), F.lit(0))).alias("n_known"), F.sum(F.coalesce("d.base", tail)).alias("base_score"), F.sum(F.coalesce("d.logz", tf * F.col("w.logz"))).alias("z"), F.sum(F.coalesce("d.prior", tf * F.col("w.prior"))).alias("z0"),
     )
-    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", (F.col("z") * F.lit(math.log10(math.e))).alias("score"))
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", (F.col("z") * F.lit(math.log10(math.e))).alias("score"), (F.col("z0") * F.lit(math.log10(math.e))).alias("prior_score"))
 
 
 def score_all(spark: SparkSession, docs: DataFrame, vocabulary_path: str, folds: int = 10) -> DataFrame:
