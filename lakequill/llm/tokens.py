@@ -18,6 +18,7 @@ commits, lists it; so retries and lost executors leave unlisted files at worst.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bound_batches, cut, fresh_dir, open_fs
+from .common import arrow_batch, arrow_schema, bound_batches, cut, fresh_dir, gathered, open_fs
 
 BLOCK = 1024
 PERCENTILE = 0.92
@@ -61,6 +62,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def parts_apart(path: str) -> bool:
+    """Whether a tokenizer file is of the kind that encodes a text's parts by themselves, with the parts of _PARTS."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    cut, model = t.get("pre_tokenizer") or {}, t.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and t.get("normalizer") is None
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    special = all(x["content"].startswith("<|") for x in t.get("added_tokens") or ())
+    return bool(plain and special and model.get("type") == "BPE" and not any(model.get(x) for x in options))
+
+
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -76,13 +88,14 @@ class Encoder:
 
     A byte-level BPE model never merges across the parts that its pre-tokenizer makes, and that always parts a text
     before a lone space. So the ids of a text are those of its pieces between spaces, and theirs those of their parts.
-    Texts that aren't so plain are encoded by the library in one call.
+    Texts that aren't so plain, and all texts under a tokenizer of another kind, are encoded by the library in one call.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_parts = parts_apart(path)
         self.letters = _byte_letters()
         self.reset()
 
@@ -139,7 +152,7 @@ class Encoder:
             self.shrink()
         index, known = self.index, len(self.index)
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) if self.by_parts else np.ones(len(texts), bool)
         pieces = pc.split_pattern(pc.if_else(pa.array(~odd), texts, ""), " ")
         per = pc.list_value_length(pieces).to_numpy()
         stop = np.cumsum(per)
@@ -333,7 +346,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = writer = sink = None
         part, n = TaskContext.get().partitionId(), 0
-        for ids, texts in _chunks(batches):
+        for ids, texts in _chunks(gathered(batches, CHUNK_CHARS)):  # the more text at once, the fewer look-ups
             if writer is None:
                 encode = encoder(tokenizer_path)
                 fs, base = open_fs(folder)
@@ -349,9 +362,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame
             sink.close()
             yield arrow_batch(_MANIFEST_ARROW, [part], [path], [n], [writer.n_ids], [size])
 
-    bound_batches(docs.sparkSession, 10_000)  # the more text at once, the fewer look-ups
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_h"))
-    dealt = own.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    bound_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_h"), F.spark_partition_id().alias("_p"))
+    # equal rows may go to several files, by the partition they come from
+    dealt = own.repartitionByRange("doc_id", "_h", "_p").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     return cut(dealt.mapInArrow(write, _MANIFEST), "token-manifest")
 
 
