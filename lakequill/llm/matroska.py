@@ -5,7 +5,7 @@ Elements of unknown size end where an element of an upper level starts. ``mux``
 
 Results for odd input: a null blob has no packets; bytes that are not Matroska raise ValueError in ``parse`` and give a
 row with the error in ``packets``; a cut-off file gives the packets before the cut; unknown elements are skipped; a
-null or empty text becomes 192 spaces; equal texts give equal bytes; rows repeat as they come; an empty table gives an
+null or empty text becomes 192 spaces, a long one is stored whole; equal texts give equal bytes; rows repeat as they come; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -329,16 +329,27 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def read_media(media: DataFrame) -> DataFrame:
-    """Parses column media and returns sizes, digests and features of what it holds."""
+    """Parses column media and returns sizes, digests and features of what it holds.
+
+    Media that are null or can't be read have a null payload and null features; null ones have no media size either.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for scalar in batch.column("media"):
                 data = scalar.as_py()
-                m = parse(data)
-                payload = demux(data, m)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(m, payload)))
+                if data is None:
+                    out.append((None,) * 6)
+                    continue
+                try:
+                    m = parse(data)
+                    payload = demux(data, m)
+                    shown = features(m, payload)
+                except (ValueError, IndexError):
+                    out.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None))
+                    continue
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), shown))
             yield arrow_batch(_READ_ARROW, batch.column("doc_id"), batch.column("n_bytes"), *([x[k] for x in out] for k in range(6)))
 
     return media.mapInArrow(run, _READ)
