@@ -31,9 +31,7 @@ class Workspace:
             raise LookupError("nothing is ingested")
         if file_ids:
             rows = rows.where(F.col("file_id").isin(list(file_ids)))  # before statistics: they are those of these files
-        import re
-
-        terms = [t.lower() for t in re.findall(r"\w{2,}", question)] or [question]
+        terms = tx.query_terms(question)
         vector = [float(x) for x in self.embedder.encode([question])[0]]
         near = retrieval.vector_topk(embed(rows.select("chunk_id", "content"), "content", self.embedder), "chunk_id", "embedding", vector, 2 * k)
         scores = retrieval.bm25(rows, "chunk_id", "content", terms)
@@ -42,7 +40,9 @@ class Workspace:
         fused = cand.select("chunk_id").join(retrieval.rrf(lists, "chunk_id"), "chunk_id", "left").na.fill(0.0, ["hybrid_score"])
         found = rows.select("chunk_id", "file_id", "content", "page").join(F.broadcast(fused), "chunk_id")  # some tens of candidates
         best = retrieval.content_dedup(found, "content", [F.col("hybrid_score").desc(), F.col("chunk_id")]).orderBy(F.col("hybrid_score").desc(), "chunk_id").limit(2 * k)
-        return retrieval.rerank(best, "content", terms, k, overlap_scorer(terms))
+        ranked = retrieval.rerank(best, "content", terms, k, overlap_scorer(terms))
+        order = retrieval.mmr(embed(ranked.select("chunk_id", "content"), "content", self.embedder), "chunk_id", "embedding", vector)
+        return ranked.join(order, "chunk_id").orderBy("place").drop("place")
 
     def ask(self, question: str, file_ids: Sequence[int] | None = None, k: int = 8) -> dict:
         found = self.retrieve(question, file_ids, k).toPandas()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space at the ends of a text.
 BLANK = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
+#: Ideographs: three blocks of the character set. Texts in them have no spaces, so their terms are pairs of signs.
+HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 CHUNK = 800
 
 
@@ -98,7 +102,20 @@ def summary(c: Column, n: int = 100) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    """Search terms: words of two letters or digits at least, and all pairs of signs in runs of ideographs."""
+    runs = F.regexp_extract_all(c, F.lit(f"[{HAN}]+|[\\p{{L}}\\p{{N}}_&&[^{HAN}]]{{2,}}"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{HAN}]"), pairs(r)).otherwise(F.array(r))))
+    return F.when(c.rlike(f"[{HAN}]"), mixed).otherwise(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)))
+
+
+def query_terms(text: str) -> list[str]:
+    """The terms of a question, cut as ``tokens`` cuts texts; a question without any is one term."""
+    out: list[str] = []
+    for run in re.findall(r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]+|(?:(?![\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff])\w){2,}", text.lower()):
+        ideographs = not re.match(r"[^\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]", run)
+        out += [run[i : i + 2] for i in range(max(len(run) - 1, 1))] if ideographs else [run]
+    return list(dict.fromkeys(out)) or [text]
 
 
 def table_row(*cells: Column) -> Column:

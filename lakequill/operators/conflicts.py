@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
-# Fixed patterns of the values.
+# Patterns of the values, and the labels of the kinds of dates.
 MONEY = (r"(\d+(?:\.\d+)?\s*万元)", r"(\d+(?:\.\d+)?\s*元)", r"(¥\s*\d+(?:\.\d+)?)", r"(人民币\s*\d+(?:\.\d+)?\s*元?)")
 RATIO = (r"(\d+\.?\d*%)", r"(\d+)\s*%")
 COMPANY = (r"([^\s]{4,}公司)", r"([^\s]{2,}贸易)", r"([^\s]{2,}科技)")
-DATES = {"日": (r"(\d{4}年\d{1,2}月\d{1,2}日)", r"(\d{4}-\d{2}-\d{2})", r"(\d{4}/\d{1,2}/\d{1,2})"), "月": (r"(\d{4}年\d{1,2}月)", r"(\d{4}-\d{2})"), "年": (r"(\d{4}年)",)}
+DATES = (
+    ("签订/生效日期", r"\d{4}年\d{1,2}月\d{1,2}日"),
+    ("签订/生效日期", r"\d{4}-\d{2}-\d{2}"),
+    ("签订/生效日期", r"\d{4}/\d{1,2}/\d{1,2}"),
+    ("年月", r"\d{4}年\d{1,2}月"),
+    ("年月", r"\d{4}-\d{2}"),
+    ("年份", r"\d{4}年"),
+)
 
 
 def values(chunks: DataFrame, patterns: tuple[str, ...], least: int, kind: str) -> DataFrame:
@@ -22,8 +29,8 @@ def values(chunks: DataFrame, patterns: tuple[str, ...], least: int, kind: str)
 
 
 def _reported(rows: DataFrame, sources: int = 0, chunk_count: int = 0, most: int | None = None) -> DataFrame:
-    """kind, value, n, chunks of kinds with two values at least and so many sources and chunks."""
-    per = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("chunk_id")), ",").alias("chunks"))
+    """kind, value, n, chunks of kinds with two values at least and so many sources and chunks; a chunk comes once a match."""
+    per = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunks"))
     whole = rows.groupBy("kind").agg(F.count_distinct("value").alias("v"), F.count_distinct("chunk_id").alias("c"))
     ok = (F.col("v") >= 2) & (F.col("c") >= chunk_count)
     if most is not None:
@@ -37,8 +44,8 @@ def money(chunks: DataFrame) -> DataFrame:
 
 def dates(chunks: DataFrame) -> DataFrame:
     rows = None
-    for label, patterns in DATES.items():
-        one = values(chunks, patterns, 4, f"日期({label})")
+    for label in dict.fromkeys(label for label, _ in DATES):
+        one = values(chunks, tuple(f"({p})" for name, p in DATES if name == label), 4, f"日期({label})")
         rows = one if rows is None else rows.unionByName(one)
     return _reported(rows, chunk_count=2)
 

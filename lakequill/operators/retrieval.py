@@ -107,7 +107,7 @@ def content_dedup(df: DataFrame, content: str, order: list[Column]) -> DataFrame
 
 
 def mmr(df: DataFrame, key: str, vector: str, query: Sequence[float], balance: float = 0.7) -> DataFrame:
-    """Greedy order by relevance and novelty of a few candidates (those of one search, so one group)."""
+    """Greedy order by relevance and novelty of a few candidates (those of one search, so one group): key, place."""
     import numpy as np
 
     q = np.asarray(query, float)
@@ -128,13 +128,19 @@ def mmr(df: DataFrame, key: str, vector: str, query: Sequence[float], balance: f
             left.remove(pick)
         return pd.DataFrame({key: pdf[key].iloc[out].to_numpy(), "place": np.arange(1, len(out) + 1)})
 
-    return df.select(key, vector).groupBy(F.lit(1).alias("__g")).applyInPandas(lambda pdf: order(pdf), f"{key} bigint, place bigint")
+    return df.select(key, vector).groupBy(F.lit(1).alias("__g")).applyInPandas(lambda pdf: order(pdf), f"{key} {df.schema[key].dataType.simpleString()}, place bigint")
 
 
 def rerank(df: DataFrame, content: str, query_tokens: Sequence[str], k: int, scorer=None) -> DataFrame:
-    """The k best rows by a scorer Column; the default is the overlap of words. No more than k rows pass as they are."""
+    """The k best rows by a scorer Column; the default is the overlap of words.
+
+    No more than k rows pass as they are, in their order and with a null score.
+    """
     score = scorer(F.col(content)) if scorer else tx.jaccard(F.array_distinct(tx.tokens(F.lower(F.col(content)))), F.array(*map(F.lit, query_tokens)))
-    return df.withColumn("rerank_score", score).orderBy(F.col("rerank_score").desc()).limit(k)
+    few = df.agg((F.count(F.lit(1)) <= k).alias("__few"))
+    rows = df.withColumn("__place", F.monotonically_increasing_id()).crossJoin(F.broadcast(few))
+    rows = rows.withColumn("rerank_score", F.when(~F.col("__few"), score)).orderBy(F.col("rerank_score").desc_nulls_last(), "__place")
+    return rows.drop("__place", "__few").limit(k)
 
 
 def confidence(mean: Column, top: Column) -> Column:
@@ -148,10 +154,12 @@ def stream_confidence(mean: Column) -> Column:
 
 
 def relative_relevance(df: DataFrame, score: str) -> DataFrame:
-    """Percent of relevance within a result list: 36 to 94."""
+    """Whole percent of relevance within a result list: 36 to 94; where all scores are equal, by the score itself, 32 to 88."""
     ends = df.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    pct = F.when(F.col("__hi") == F.col("__lo"), F.lit(94.0)).otherwise(36 + 58 * (F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
-    return df.crossJoin(F.broadcast(ends)).withColumn("relevance", F.round(pct, 6)).drop("__lo", "__hi")
+    half_up = lambda x: F.floor(x + 0.5).cast("double")
+    flat = F.least(F.lit(88.0), F.greatest(F.lit(32.0), half_up(F.col("__lo") * 1600)))
+    pct = F.when(F.col("__hi") - F.col("__lo") < 1e-12, flat).otherwise(half_up(36 + 58 * (F.col(score) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))))
+    return df.crossJoin(F.broadcast(ends)).withColumn("relevance", pct).drop("__lo", "__hi")
 
 
 def context_budget(df: DataFrame, group: str, order: str, text: str, most: int, least_rest: int = 50) -> DataFrame:

@@ -337,11 +337,21 @@ def confidence_stream(spark, sf_dir):
     return inline(spark, "scored").agg(retrieval.stream_confidence(F.avg("vector_score")).alias("confidence"))
 
 
-@query(f"WITH s AS {values('scored')}, e AS (SELECT min(bm25_score) AS lo, max(bm25_score) AS hi FROM s) SELECT id, round(36 + 58 * (bm25_score - lo) / (hi - lo), 6) AS relevance FROM s, e")
+@query(f"WITH s AS {values('scored')}, e AS (SELECT min(bm25_score) AS lo, max(bm25_score) AS hi FROM s) SELECT id, CAST(floor(36 + 58 * (bm25_score - lo) / (hi - lo) + 0.5) AS DOUBLE) AS relevance FROM s, e")
 def relative_relevance(spark, sf_dir):
     return retrieval.relative_relevance(inline(spark, "scored"), "bm25_score").select("id", "relevance")
 
 
+@query("SELECT o_orderkey, CAST(CASE WHEN n < 1 THEN greatest(32, least(88, floor(lo * 1600 + 0.5))) ELSE floor(36 + 58 * (s - lo) / (hi - lo) + 0.5) END AS DOUBLE) AS relevance FROM (SELECT o_orderkey, o_totalprice AS s, min(o_totalprice) OVER () AS lo, max(o_totalprice) OVER () AS hi, max(o_totalprice) OVER () - min(o_totalprice) OVER () AS n FROM orders)")
+def relative_relevance_orders(spark, sf_dir):
+    return retrieval.relative_relevance(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "relevance")
+
+
+@query("SELECT n_nationkey, CAST(48.0 AS DOUBLE) AS relevance FROM nation")
+def relative_relevance_flat(spark, sf_dir):
+    return retrieval.relative_relevance(table(spark, sf_dir, "nation").withColumn("score", F.lit(0.03)), "score").select("n_nationkey", "relevance")
+
+
 @query("""WITH w AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM conversations)
  SELECT conv_id, turn, CASE WHEN length(text) + 2 <= 400 - b THEN text ELSE left(text, CAST(400 - b AS BIGINT)) END AS part FROM w WHERE length(text) + 2 <= 400 - b OR 400 - b > 50""")
 def context_budget(spark, sf_dir):
@@ -359,13 +369,26 @@ def answer_normalise(spark, sf_dir):
     return inline(spark, "answers").select("id", tx.normal_answer(F.col("t")).alias("answer"))
 
 
+# terms of texts without spaces
+
+_HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+
+
+@query(f"""WITH r AS (SELECT chunk_id, unnest(regexp_extract_all(lower(content), '[{_HAN}]+|[a-z0-9_]{{2,}}')) AS r FROM {values('chunks')}),
+ t AS (SELECT chunk_id, unnest(CASE WHEN regexp_matches(r, '[{_HAN}]') THEN list_transform(range(1, greatest(length(r), 2)), lambda i: r[i:i + 1]) ELSE [r] END) AS tok FROM r)
+ SELECT chunk_id, tok, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY chunk_id, tok""")
+def cjk_terms(spark, sf_dir):
+    rows = inline(spark, "chunks").select("chunk_id", F.explode(tx.tokens(F.lower(F.col("content")))).alias("tok"))
+    return rows.groupBy("chunk_id", "tok").agg(F.count(F.lit(1)).alias("n"))
+
+
 # conflicts
 
 
 def _conflict_sql(kinds: list[tuple[str, str, int]], having: str) -> str:
     parts = " UNION ALL ".join(f"SELECT '{kind}' AS kind, chunk_id, source_file, {s_strip('x')} AS value FROM (SELECT chunk_id, source_file, unnest(regexp_extract_all(content, '{pattern}', 1)) AS x FROM c) WHERE length({s_strip('x')}) >= {least}" for kind, pattern, least in kinds)
     return f"""WITH c AS {values('chunks')}, v AS ({parts}), k AS (SELECT kind FROM v GROUP BY kind HAVING count(DISTINCT value) >= 2 AND {having}),
- found AS (SELECT kind, value, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(DISTINCT chunk_id)), ',') AS chunks FROM v WHERE kind IN (SELECT kind FROM k) GROUP BY kind, value)"""
+ found AS (SELECT kind, value, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(chunk_id)), ',') AS chunks FROM v WHERE kind IN (SELECT kind FROM k) GROUP BY kind, value)"""
 
 
 _MONEY_SQL = _conflict_sql([("金额", p, 2) for p in conflicts.MONEY], "true")
@@ -376,7 +399,11 @@ def conflicts_money(spark, sf_dir):
     return conflicts.money(inline(spark, "chunks"))
 
 
-@query(_conflict_sql([(f"日期({k})", p, 4) for k, ps in conflicts.DATES.items() for p in ps], "count(DISTINCT chunk_id) >= 2") + " SELECT * FROM found")
+_DAYS, _MONTHS, _YEARS = (r"([0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日)", r"([0-9]{4}-[0-9]{2}-[0-9]{2})", r"([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})"), (r"([0-9]{4}年[0-9]{1,2}月)", r"([0-9]{4}-[0-9]{2})"), (r"([0-9]{4}年)",)
+_DATES_SQL = [(kind, p, 4) for kind, ps in (("日期(签订/生效日期)", _DAYS), ("日期(年月)", _MONTHS), ("日期(年份)", _YEARS)) for p in ps]
+
+
+@query(_conflict_sql(_DATES_SQL, "count(DISTINCT chunk_id) >= 2") + " SELECT * FROM found")
 def conflicts_dates(spark, sf_dir):
     return conflicts.dates(inline(spark, "chunks"))
 

@@ -154,6 +154,11 @@ def rerank_top(spark, sf_dir):
     return retrieval.rerank(inline(spark, "cases"), "answer", ["the", "date"], 1).select("id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query(f"SELECT id, answer, CAST(NULL AS DOUBLE) AS rerank_score FROM {values('cases')}")
+def rerank_few(spark, sf_dir):
+    return retrieval.rerank(inline(spark, "cases"), "answer", ["the", "date"], 100).select("id", "answer", "rerank_score")
+
+
 @query(f"SELECT id, round({_jaccard_sql(_WORDS_SQL)}, 6) AS words, round({_jaccard_sql(_GRAM_SQL)}, 6) AS pairs FROM {values('cases')}")
 def overlap_scores(spark, sf_dir):
     a, b = F.col("query"), F.col("answer")

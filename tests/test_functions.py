@@ -77,3 +77,11 @@ def test_clear_empties_the_shared_folder(spark):
     session.clear(spark)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{session.shared_dir(spark)}/lakequill")
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_terms_of_a_question_are_cut_as_texts_are(spark):
+    from lakequill.functions import text as tx
+
+    for t in ("合同金额是多少 in 2024年", "Plain words, a b cd_1", "签", "Ünïcode слова 日本語text", "。。"):
+        got = spark.createDataFrame([(t,)], "t string").select(tx.tokens(F.lower(F.col("t"))).alias("x")).first()["x"]
+        assert tx.query_terms(t) == (list(dict.fromkeys(got)) or [t])

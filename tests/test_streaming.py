@@ -51,3 +51,15 @@ def test_ask_fill_and_operate(spark, tmp_path):
     w.delete([1, 2, 3])
     w.ingest(files(spark, [2]))
     assert [r["file_id"] for r in w.files().collect()] == [2]
+
+
+def test_retrieve_finds_texts_without_spaces_in_order_of_novelty(spark, tmp_path):
+    from lakequill.api import Workspace
+
+    work = Workspace(spark, f"file://{tmp_path}/w")
+    texts = ["合同金额为五百万元，签订日期见首页。", "合同金额为五百万元，签订日期见附件。", "今天的天气很好，适合散步。", "plain words about something else"]
+    work.ingest(spark.createDataFrame(list(enumerate(texts)), "file_id bigint, text string"))
+    got = [r["content"] for r in work.retrieve("合同的签订日期", k=2).collect()]
+    assert len(got) == 2 and any(t in got[0] for t in texts[:2])
+    few = work.retrieve("合同的签订日期", k=8).collect()
+    assert {r["rerank_score"] for r in few} == {None} and len({r["chunk_id"] for r in few}) == len(few)
