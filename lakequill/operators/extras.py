@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,3 +142,66 @@ def live_results(cache: DataFrame, now: float, most: int = 1000) -> DataFrame:
 def invalidate(cache: DataFrame, file_id: int) -> DataFrame:
     """A cache without the results that any of its files took part in."""
     return cache.where(~F.array_contains(F.split("file_ids", ","), F.lit(str(file_id))))
+
+
+def direct_paragraphs(df: DataFrame, key: str, text: str, most: int = 50) -> DataFrame:
+    """The first paragraphs of each text between blank lines, as they are read without an index: key, page, content, score 1."""
+    rows = df.select(key, F.posexplode(F.split(text, "\n\n")).alias("page", "content")).withColumn("content", tx.strip(F.col("content"))).where("content != ''")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("page"))
+    return rows.withColumn("__k", place).where(F.col("__k") <= most).select(key, F.col("page").cast("bigint").alias("page"), "content", F.lit(1.0).alias("hybrid_score"))
+
+
+def context_files(chunks: DataFrame, group: str, order: str, path: str, name: str) -> DataFrame:
+    """Names of the files of a context in order of their first chunk: group, place, filename.
+
+    A chunk without a name has the last part of its path, or 文档 with its number.
+    """
+    number = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    base = F.element_at(F.split(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1)
+    own = F.coalesce(F.nullif(F.col(name), F.lit("")), F.nullif(base, F.lit("")), F.concat(F.lit("文档"), F.col("__n").cast("string")))
+    first = chunks.withColumn("__n", number).withColumn("filename", own).groupBy(group, "filename").agg(F.min("__n").alias("__first"))
+    return first.select(group, F.row_number().over(Window.partitionBy(group).orderBy("__first")).cast("bigint").alias("place"), "filename")
+
+
+def named_sources(rows: DataFrame, source: str, files: DataFrame) -> DataFrame:
+    """rows with the display name of their source, which is a file's path or the last part of it; files: path, filename."""
+    base = F.element_at(F.split("path", "/"), -1)
+    names = files.select(F.explode(F.array_distinct(F.array("path", base))).alias("__source"), "filename").groupBy("__source").agg(F.max("filename").alias("display_name"))
+    return rows.join(names, F.col(source) == F.col("__source"), "left").drop("__source")
+
+
+def first_filled_row(cells: DataFrame, key: str, within: int = 10, longest: int = 30) -> DataFrame:
+    """Headers of a sheet: the distinct cells of up to longest letters of its first row of within that has any: key, place, header.
+
+    cells: key, row, col, value.
+    """
+    own = cells.withColumn("header", tx.as_text(F.col("value"))).where((F.col("row") <= within) & (F.col("header") != ""))
+    first = own.groupBy(key).agg(F.min("row").alias("__row"))
+    rows = own.join(first, key).where((F.col("row") == F.col("__row")) & (F.length("header") <= longest)).groupBy(key, "header").agg(F.min("col").alias("__col"))
+    return rows.select(key, F.row_number().over(Window.partitionBy(key).orderBy("__col")).cast("bigint").alias("place"), "header")
+
+
+def half_width_name(c: Column) -> Column:
+    """A field's name without spaces and with plain parentheses."""
+    return F.translate(tx.strip(c), "（） ", "()")
+
+
+def edit_heading(paragraphs: DataFrame, doc: str, at: int, text: str | None) -> DataFrame:
+    """Gives the heading number at of each document (counted from 1; level above 0) new text, or deletes it without one."""
+    nth = F.sum((F.col("level") > 0).cast("int")).over(Window.partitionBy(doc).orderBy("ordinal"))
+    rows = paragraphs.withColumn("__hit", (F.col("level") > 0) & (nth == at))
+    if text is None:
+        return rows.where("NOT __hit").drop("__hit")
+    return rows.withColumn("text", F.when(F.col("__hit"), F.lit(text)).otherwise(F.col("text"))).drop("__hit")
+
+
+def apply_all(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, list[dict]]:
+    """Steps one after another up to the first that fails; the rows so far, and what became of each step."""
+    done: list[dict] = []
+    for name, step in steps:
+        try:
+            df = step(df)
+        except Exception as e:  # noqa: BLE001
+            return df, [*done, {"step": name, "success": False, "message": str(e)}]
+        done.append({"step": name, "success": True, "message": ""})
+    return df, done

@@ -192,3 +192,55 @@ def source_dedup(spark, sf_dir):
 @query(f"SELECT id, array_to_string(list_filter(f, lambda v, i: list_position(f, v) = i), ',') AS fields FROM (SELECT id, list_transform(regexp_extract_all(t, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1), lambda x: {s_strip('x')}) AS f FROM {values('templates')})")
 def template_fields(spark, sf_dir):
     return inline(spark, "templates").select("id", F.array_join(tables.placeholders(F.col("t")), ",").alias("fields"))
+
+
+@query(f"WITH p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents), r AS (SELECT doc_id, unnest(range(len(ps))) AS page, unnest(ps) AS content FROM p), s AS (SELECT doc_id, page, {s_strip('content')} AS content FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM s WHERE content <> '') SELECT doc_id, page, content, CAST(1.0 AS DOUBLE) AS hybrid_score FROM k WHERE k <= 50")
+def direct_text(spark, sf_dir):
+    return extras.direct_paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("WITH n AS (SELECT conv_id, role AS filename, min(turn) AS t FROM conversations GROUP BY conv_id, role) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS place, filename FROM n")
+def context_filenames(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumn("path", F.concat(F.lit("a\\b/"), F.col("role"))).withColumn("name", F.lit(""))
+    return extras.context_files(rows, "conv_id", "turn", "path", "name")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE upper(source) END AS display_name FROM documents")
+def filename_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("/data/"), F.col("source"))).otherwise("nowhere").alias("path"))
+    files = table(spark, sf_dir, "documents").select("source").distinct().select(F.concat(F.lit("/data/"), F.col("source")).alias("path"), F.upper("source").alias("filename"))
+    return extras.named_sources(rows, "path", files).select("doc_id", "display_name")
+
+
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY c) AS place, h AS header FROM (SELECT o_custkey, h, min(c) AS c FROM (SELECT o_custkey, unnest([o_orderstatus, o_orderpriority, o_orderstatus]) AS h, unnest([1, 2, 3]) AS c FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r = 1) WHERE h <> '' GROUP BY o_custkey, h)")
+def first_filled_row(spark, sf_dir):
+    """Orders of a customer as rows of a sheet, after an empty one."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "orders").withColumn("row", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1)
+    cells = rows.select("o_custkey", "row", F.posexplode(F.array("o_orderstatus", "o_orderpriority", "o_orderstatus")).alias("col", "value"))
+    empty = rows.select("o_custkey").distinct().select("o_custkey", F.lit(1).alias("row"), F.lit(0).alias("col"), F.lit("  ").alias("value"))
+    return extras.first_filled_row(cells.unionByName(empty), "o_custkey")
+
+
+@query("SELECT c_custkey, replace(c_name, ' ', '') || '(' || c_mktsegment || ')' AS name FROM customer")
+def half_width_names(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", extras.half_width_name(F.concat(F.lit(" "), "c_name", F.lit(" （"), "c_mktsegment", F.lit("） "))).alias("name"))
+
+
+_TURNS = "(SELECT conv_id, turn, role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN role = 'user' AND nth = 2 THEN 'new' ELSE role END AS text FROM {_TURNS}")
+def heading_edit(spark, sf_dir):
+    return _headed(spark, sf_dir, "new")
+
+
+@query(f"SELECT conv_id, turn, role AS text FROM {_TURNS} WHERE NOT (role = 'user' AND nth = 2)")
+def heading_delete(spark, sf_dir):
+    return _headed(spark, sf_dir, None)
+
+
+def _headed(spark, sf_dir, text):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.col("role").alias("text"), F.when(F.col("role") == "user", 1).otherwise(0).alias("level"))
+    return extras.edit_heading(rows, "conv_id", 2, text).select("conv_id", F.col("ordinal").alias("turn"), "text")

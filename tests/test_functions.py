@@ -85,3 +85,10 @@ def test_terms_of_a_question_are_cut_as_texts_are(spark):
     for t in ("合同金额是多少 in 2024年", "Plain words, a b cd_1", "签", "Ünïcode слова 日本語text", "。。"):
         got = spark.createDataFrame([(t,)], "t string").select(tx.tokens(F.lower(F.col("t"))).alias("x")).first()["x"]
         assert tx.query_terms(t) == (list(dict.fromkeys(got)) or [t])
+
+
+def test_steps_end_at_the_first_that_fails(spark):
+    from lakequill.operators import extras
+
+    df, told = extras.apply_all(spark.range(5), [("a", lambda d: d.where("id > 1")), ("b", lambda d: d.select("none")), ("c", lambda d: d.limit(1))])
+    assert df.count() == 3 and [(t["step"], t["success"]) for t in told] == [("a", True), ("b", False)]
