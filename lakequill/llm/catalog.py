@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, lm, matroska, mixing, neardup, pii, sharding, tokens
+from . import codes, decontam, html, infill, langid, lm, matroska, mixing, neardup, pii, sharding, tokens
 from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,16 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("key")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op4_main_text, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op4_main_text, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks, op11_fill_in_middle, op12_vector_codes)}
 
 
 #: Links and their closure, for small tables: all pairs that share a shingle are counted.
@@ -83,5 +91,39 @@ _PAGE_SQL = r"""WITH parts AS (SELECT page_id, url, regexp_split_to_array(regexp
  SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
 
 
+#: Units by their pattern, pieces by place, digests of what they make.
+_INFILL_SQL = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS us, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ d AS (SELECT *, len(us) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(us) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(us) + 1) AS b, CAST('0x' || h[25:32] AS BIGINT) % 100 AS f FROM u),
+ p AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN f < 50 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(us[1:least(a, b)], ''), '') AS p1, coalesce(array_to_string(us[least(a, b) + 1:greatest(a, b)], ''), '') AS p2, coalesce(array_to_string(us[greatest(a, b) + 1:], ''), '') AS p3 FROM d)
+ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p1) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(p2) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p1 || '<S>' || p3 || '<M>' || p2 ELSE '<S>' || p3 || '<P>' || p1 || '<M>' || p2 END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS, scale: int = codes.SCALE) -> str:
+    """Rounds one after another, each distance computed."""
+    dist = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        f"""ok AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda y: CAST(floor(CAST(y AS DOUBLE) * {scale}) AS BIGINT)) AS q, len(embedding) // {parts} AS w FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)""",
+        f"x AS MATERIALIZED (SELECT r, p, q[p * w + 1:p * w + w] AS v FROM ok, range({parts}) t(p))",
+        f"b0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, p, min(({dist} * {entries} + b.e)) AS m FROM x JOIN b{k} b USING (p) GROUP BY r, p)")
+        if k < rounds:
+            steps.append(
+                f"""b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT p, e, list(CAST(floor(s / CAST(c AS DOUBLE)) AS BIGINT) ORDER BY i) AS v FROM
+ (SELECT p, e, i, sum(y) AS s, count(*) AS c FROM (SELECT p, m % {entries} AS e, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM a{k} JOIN x USING (r, p)) GROUP BY ALL) GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)"""
+            )
+    last = rounds
+    return (
+        "WITH " + ",\n ".join(steps) + f""",
+ f AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{last} GROUP BY r),
+ k AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, i)) AS s FROM (SELECT p, e, unnest(v) AS y, generate_subscripts(v, 1) AS i FROM b{last}))
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, k.s AS codebooks_sha256 FROM ok JOIN f USING (r) CROSS JOIN k"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_main_text": _PAGE_SQL, "op8_near_duplicates": _NEAR_SQL}
+    return {"op11_fill_in_middle": _INFILL_SQL, "op12_vector_codes": _codes_sql(), "op4_main_text": _PAGE_SQL, "op8_near_duplicates": _NEAR_SQL}
