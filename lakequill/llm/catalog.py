@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, decontam, html, infill, langid, lm, matroska, mixing, neardup, pii, sharding, tokens
+from . import codes, decontam, html, infill, langid, lm, matroska, mixing, neardup, pii, repeats, sharding, tokens
 from .common import id_remainder, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op4_main_text, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks, op11_fill_in_middle, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_lattice_likelihood, op3_token_files, op4_main_text, op5_language_id, op6_personal_data, op7_size_tiered_shards, op8_near_duplicates, op9_media_columns, op10_benchmark_leaks, op11_fill_in_middle, op12_vector_codes, op13_repeated_passages)}
 
 
 #: Links and their closure, for small tables: all pairs that share a shingle are counted.
@@ -125,5 +129,14 @@ def _codes_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: i
     )
 
 
+#: Every window of 20 words with its first place; for small tables.
+_REPEATS_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+ f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM g),
+ c AS (SELECT doc_id, list(DISTINCT i + j) AS gone FROM f, range(20) r(j) WHERE k > 1 GROUP BY doc_id)
+ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+ sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_sort(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i))), lambda i: ws[i]) END, ' ')) AS kept_sha256 FROM w LEFT JOIN c USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_fill_in_middle": _INFILL_SQL, "op12_vector_codes": _codes_sql(), "op4_main_text": _PAGE_SQL, "op8_near_duplicates": _NEAR_SQL}
+    return {"op11_fill_in_middle": _INFILL_SQL, "op12_vector_codes": _codes_sql(), "op13_repeated_passages": _REPEATS_SQL, "op4_main_text": _PAGE_SQL, "op8_near_duplicates": _NEAR_SQL}
