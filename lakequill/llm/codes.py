@@ -42,6 +42,8 @@ SAFE = 1 << 20
 WIDEST = 1 << 10
 #: Entries of a leaf of the tree, which are compared at once.
 LEAF = 4
+#: Bits of the parts in which sums are added up.
+LIMB = 80
 #: Relative slack of rounded square roots, some times their error.
 SLACK = 2.0**-48
 #: Rows of a label from which its sum is broadcast; at most so many of such labels are.
@@ -98,9 +100,13 @@ def nearest(tree: Node, entries: np.ndarray, x: np.ndarray) -> tuple[np.ndarray,
     def visit(node: Node, rows: np.ndarray, own: np.ndarray, d: np.ndarray) -> None:
         """Goes on from a node whose squared distances d to rows have been counted."""
         nonlocal computed
-        low, high = _roots(d)
+        # what doubles can't hold is compared with all entries
+        low, high = (np.zeros(len(d)), np.full(len(d), np.inf)) if d.dtype == object else _roots(d)
         bounds = []
         for least, most, child in node.children:
+            if d.dtype == object:
+                bounds.append((low, child))
+                continue
             (inner, _), (_, outer) = _roots(least), _roots(most)
             bounds.append((np.maximum(np.maximum(low - outer, inner - high), 0.0), child))
         # rows go to the child of the lower bound first, which tightens what the other one is compared with
@@ -109,7 +115,7 @@ def nearest(tree: Node, entries: np.ndarray, x: np.ndarray) -> tuple[np.ndarray,
             second_first = bounds[1][0] < bounds[0][0]
             turns = [(bounds[1], second_first), (bounds[0], None), (bounds[1], ~second_first)]
         for (bound, child), which in turns:
-            on = bound * bound * (1 - SLACK) <= np.asarray(best[rows], float) * (1 + SLACK)
+            on = np.ones(len(rows), bool) if d.dtype == object else bound * bound * (1 - SLACK) <= best[rows] * (1 + SLACK)
             if which is not None:
                 on &= which
             if not on.any():
@@ -160,7 +166,7 @@ def scaled(vectors: np.ndarray, dim: int, large: bool) -> np.ndarray:
     wide = -(-dim // PARTS) * PARTS
     if large or (len(y) and np.abs(y).max(initial=0) >= SAFE):
         out = np.zeros((len(y), wide), object)
-        out[:, :dim] = [[int(v) for v in row] for row in y]
+        out[:, :dim] = [[int(v) * SCALE if abs(v) >= 1 << 53 else int(f) for v, f in zip(*both)] for both in zip(vectors.astype(float), y)]
     else:
         out = np.zeros((len(y), wide))
         out[:, :dim] = y
@@ -197,10 +203,20 @@ def _groups(batches: Iterator[pa.RecordBatch], dim: int, large: bool):
         yield ready()
 
 
+def _limbs(v: int) -> list[tuple[int, int]]:
+    """An integer of any size as parts of LIMB bits that add up: place and value of those that aren't 0."""
+    sign, v, out, k = (-1 if v < 0 else 1), abs(v), [], 0
+    while v:
+        if low := v & ((1 << LIMB) - 1):
+            out.append((k, sign * low))
+        v, k = v >> LIMB, k + 1
+    return out
+
+
 def _refine(rows: DataFrame, books: Codebooks, dim: int) -> Codebooks:
     """One round: every part to its nearest entry, then entries to the floor of their parts' mean; unused ones stay."""
     k, w = len(books.entries[0]), books.width
-    out = pa.schema([("slot", pa.int32()), ("total", pa.decimal128(38, 0))])
+    out = pa.schema([("slot", pa.int32()), ("limb", pa.int32()), ("total", pa.decimal128(38, 0))])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((PARTS, k, w + 1), object)
@@ -214,14 +230,13 @@ def _refine(rows: DataFrame, books: Codebooks, dim: int) -> Codebooks:
                     on = code[:, p] == e
                     total[p, e, :w] += [int(v) for v in own[on].sum(axis=0)]
                     total[p, e, w] += int(on.sum())
-        flat = total.reshape(-1)
-        used = np.flatnonzero(flat != 0)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([int(v) for v in flat[used]], pa.decimal128(38, 0))], schema=out)
+        parts = [(slot, limb, v) for slot, whole in enumerate(total.reshape(-1)) for limb, v in _limbs(int(whole))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in parts], kind) for c, kind in enumerate(out.types)], schema=out)
 
-    got = rows.mapInArrow(sums, "slot int, total decimal(38,0)").groupBy("slot").agg(F.sum("total").cast("decimal(38,0)").alias("total"))
+    got = rows.mapInArrow(sums, "slot int, limb int, total decimal(38,0)").groupBy("slot", "limb").agg(F.sum("total").alias("total"))
     flat = [0] * (PARTS * k * (w + 1))
-    for r in got.collect():  # PARTS * ENTRIES * (width + 1) rows at most
-        flat[r["slot"]] = int(r["total"])
+    for r in got.collect():  # PARTS * ENTRIES * (width + 1) slots, nearly always of one limb
+        flat[r["slot"]] += int(r["total"]) << (LIMB * r["limb"])
     new = []
     for p in range(PARTS):
         new.append([])

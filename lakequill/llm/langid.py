@@ -110,14 +110,14 @@ def narrow_margin(texts: dict[str, list[bytes]], counts: dict[str, int]) -> int:
     kept = {lang: b" ".join(x for k, x in enumerate(own) if k % FOLDS)[:DICT_BYTES] for lang, own in texts.items()}
     model = Model({lang: own for lang, own in kept.items() if own}, counts)
     if len(model.order) < 2:
-        return 0
+        return 1
     right, wrong = [0.0] * (WIDEST + 1), [0.0] * (WIDEST + 1)
     for lang, own in texts.items():
         tried = [p for k, x in enumerate(own) if not k % FOLDS for p in pieces(x)]
         for p in tried:
             got, _, margin = model.judged(p)
             (right if got == lang else wrong)[min(margin, WIDEST)] += counts[lang] / len(tried)
-    narrow = 0
+    narrow = 1  # a tie tells nothing, however right it was on left-out pieces
     while narrow < WIDEST and wrong[narrow] > RISK * (right[narrow] + wrong[narrow]):
         narrow += 1
     return narrow

@@ -310,7 +310,7 @@ def features(m: Media, payload: bytes) -> str:
 
 
 _MEDIA, _MEDIA_ARROW = arrow_schema("doc_id long, n_bytes long, media binary")
-_READ, _READ_ARROW = arrow_schema("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+_READ, _READ_ARROW = arrow_schema("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, whole boolean")
 _PACKETS, _PACKETS_ARROW = arrow_schema("id long, track int, codec string, time_ns long, offset long, size long, key boolean, error string")
 
 
@@ -332,6 +332,7 @@ def read_media(media: DataFrame) -> DataFrame:
     """Parses column media and returns sizes, digests and features of what it holds.
 
     Media that are null or can't be read have a null payload and null features; null ones have no media size either.
+    Those that end early have what is there, and ``whole`` is false.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,17 +341,17 @@ def read_media(media: DataFrame) -> DataFrame:
             for scalar in batch.column("media"):
                 data = scalar.as_py()
                 if data is None:
-                    out.append((None,) * 6)
+                    out.append((None,) * 7)
                     continue
                 try:
                     m = parse(data)
                     payload = demux(data, m)
                     shown = features(m, payload)
                 except (ValueError, IndexError):
-                    out.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None))
+                    out.append((None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, False))
                     continue
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), shown))
-            yield arrow_batch(_READ_ARROW, batch.column("doc_id"), batch.column("n_bytes"), *([x[k] for x in out] for k in range(6)))
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), shown, m.whole))
+            yield arrow_batch(_READ_ARROW, batch.column("doc_id"), batch.column("n_bytes"), *([x[k] for x in out] for k in range(7)))
 
     return media.mapInArrow(run, _READ)
 
@@ -371,5 +372,7 @@ def packets(media: DataFrame, id_column: str, column: str) -> DataFrame:
                     continue
                 codec = {n: t.codec for n, t in m.tracks.items()}
                 yield arrow_batch(_PACKETS_ARROW, [i] * len(m.size), m.track, [codec.get(t) for t in m.track], m.time_ns, m.offset, m.size, m.key, pa.nulls(len(m.size), pa.string()))
+                if not m.whole:
+                    yield arrow_batch(_PACKETS_ARROW, [i], [None], [None], [None], [None], [None], [None], ["ends early"])
 
     return media.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("media")).mapInArrow(run, _PACKETS)

@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType
 
 from .common import WORD, cut, ranked
 
@@ -234,7 +235,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = 0) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay, whatever their names.
 
-    A row is matched to its copies by id, source, size and a hash of all its columns but maps. Rows that agree in these
+    A row is matched to its copies by id, source, size and a hash of all its columns. Rows that agree in these
     share their copies: one of them stands for all. Texts are shuffled once.
     """
     row = _row_hash(docs, seed)
@@ -251,6 +252,19 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
 
 
 def _row_hash(docs: DataFrame, seed: int) -> Column:
-    """A hash that rows equal in all columns share; maps can't be hashed and don't count."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind])
+    """A hash that rows equal in all columns share, maps as their sorted entries and variants as text."""
+    return F.xxhash64(F.lit(seed), *[_hashable(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields])
+
+
+def _hashable(c: Column, kind: DataType) -> Column:
+    """A column as one that can be hashed and sorted, equal for equal values."""
+    name = kind.simpleString()
+    if name == "variant":
+        return F.to_json(c)
+    if "map<" not in name and "variant" not in name:
+        return c
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), _hashable(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: _hashable(x, kind.elementType))
+    return F.when(c.isNotNull(), F.struct(*[_hashable(c.getField(f.name), f.dataType).alias(f"_{k}") for k, f in enumerate(kind.fields)]))

@@ -111,7 +111,7 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     acc = np.zeros(len(h), np.uint64)
     place = np.arange(len(h)) - first[row]
     for k in range(WORDS):
-        nxt = np.append(h[k:], np.zeros(k, np.uint64))
+        nxt = np.append(h[k:], np.zeros(min(k, len(h)), np.uint64))  # as long as h, however short that is
         use = (k < size[row]) if len(row) else np.zeros(0, bool)
         acc = np.where(use, _mix(acc * np.uint64(0x9E3779B97F4A7C15) + nxt + np.uint64(k + 1)), acc)
     starts = place <= (n - size)[row] if len(row) else np.zeros(0, bool)

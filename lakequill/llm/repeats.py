@@ -42,7 +42,9 @@ from .neardup import _mix, word_hashes
 
 SIZE, GRAM = 20, 8
 #: Words that one letter of an automaton stands for; it has to divide SIZE, else a letter is a word.
-BLOCK = 4
+BLOCK = 10
+#: Signs for each digit of a letter.
+RADIX = 64
 PORTION_BYTES = 2_000_000
 #: Windows of a segment of text, and stretches of a shard, about.
 SEGMENT, SHARD = 512, 5000
@@ -154,80 +156,95 @@ def _cut_out(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield arrow_batch(_CUT_ARROW, *out)
 
 
-def locate(texts: list[str], order: list[tuple[int, int]], size: int = SIZE) -> tuple[list[list[int]], list[list[int]]]:
-    """Windows of each text that occur earlier, in it or another one, and those that are the first; texts come in order.
+def _letters(texts: list[str], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and number of each block of step words; equal blocks, and no others, have equal numbers."""
+    pieces = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    size = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
+    code = pc.list_flatten(pieces).dictionary_encode().indices.to_numpy().astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    width = 1
+    while width < step:  # numbers of pairs of blocks, until they have step words
+        more = min(width, step - width)
+        pairs = code[: len(code) - more] * (code.max(initial=0) + 1) + code[more:]
+        code, width = np.unique(pairs, return_inverse=True)[1].astype(np.int64), width + more
+    whole = text[: len(code)] == text[step - 1 :] if len(code) else np.zeros(0, bool)
+    return text[: len(code)][whole], place[: len(code)][whole], code[whole]
 
-    All windows are compiled into one automaton, through which every text is streamed.
+
+def locate(texts: list[str], docs: np.ndarray, starts: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each window of the texts as text and place in it, and whether it also occurs earlier, in another one or the same.
+
+    All windows are compiled into one automaton, through which all texts are streamed. A letter is written in digits, which
+    have signs of their own for each place, so an automaton's nodes have few children and no match begins within a letter.
     """
     import ahocorasick
 
     step = BLOCK if size % BLOCK == 0 else 1
-    letters: dict[str, str] = {}
-    lines = []
-    for text in texts:
-        words = text.split(" ")
-        line = []
-        for k in range(len(words) - step + 1):
-            block = " ".join(words[k : k + step])
-            letter = letters.get(block)
-            if letter is None:
-                code = len(letters) + 1
-                letter = letters[block] = chr(code if code < 0xD800 else code + 0x800)  # no surrogates
-            line.append(letter)
-        lines.append(["".join(line[phase::step]) for phase in range(step)])
-    automaton, count, length = ahocorasick.Automaton(), 0, size // step
-    for line in lines:
-        for part in line:
-            for k in range(len(part) - length + 1):
-                automaton.add_word(part[k : k + length], count)  # a word that is there gets the new number
-                count += 1
-    again, first = [[] for _ in texts], [[] for _ in texts]
-    if not count:
-        return again, first
+    text, place, code = _letters(texts, step)
+    none = np.zeros(0, np.int64)
+    if not len(code):
+        return none, none, none.astype(bool)
+    order = np.lexsort((place, place % step, text))  # each phase of a text is a line
+    text, place, code = text[order], place[order], code[order]
+    line = np.cumsum(np.append(0, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + step)))
+    digits = 1
+    while RADIX**digits <= code.max():
+        digits += 1
+    at = np.arange(len(code)) * digits + line  # lines end with a sign that no letter has
+    signs = np.full(len(code) * digits + line[-1] + 1, RADIX * digits + 1, np.uint32)
+    for d in range(digits):
+        signs[at + d] = code // RADIX**d % RADIX + d * RADIX + 1
+    stream = signs.astype("<u4").tobytes().decode("utf-32-le")
+    letters = size // step
+    ends = np.flatnonzero(line[letters - 1 :] == line[: len(line) - letters + 1]) if len(line) >= letters else none
+    if not len(ends):
+        return none, none, none.astype(bool)
+    automaton, wide = ahocorasick.Automaton(), letters * digits
+    for number, k in enumerate(at[ends].tolist()):
+        automaton.add_word(stream[k : k + wide], number)  # a word that is there gets the new number
     automaton.make_automaton()
-    earliest: list[tuple[int, int] | None] = [None] * count
-    for i, line in enumerate(lines):
-        found = sorted((step * (end - length + 1) + phase, which) for phase, part in enumerate(line) for end, which in automaton.iter(part))
-        doc, start = order[i]
-        for offset, which in found:
-            at = (doc, start + offset)
-            if earliest[which] is None or at < earliest[which]:  # texts overlap, so windows needn't come in order
-                earliest[which] = at
-        again[i] = found
-    for i, found in enumerate(again):
-        doc, start = order[i]
-        again[i], first[i] = [o for o, w in found if earliest[w] < (doc, start + o)], [o for o, w in found if earliest[w] == (doc, start + o)]
-    return again, first
+    found = np.array(list(automaton.iter(stream)), np.int64).reshape(-1, 2)
+    window = np.searchsorted(at, found[:, 0] - wide + 1)
+    text, place, which = text[window], place[window], found[:, 1]
+    doc, start = docs[text], starts[text] + place
+    ranks = np.lexsort((start, doc))
+    rank = np.empty(len(ranks), np.int64)
+    rank[ranks] = np.cumsum(np.append(0, (doc[ranks][1:] != doc[ranks][:-1]) | (start[ranks][1:] != start[ranks][:-1])))
+    earliest = np.full(len(ends), len(rank), np.int64)
+    np.minimum.at(earliest, which, rank)
+    return text, place, rank > earliest[which]
+
+
+def _located(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, starts = (table.column(c).to_numpy().astype(np.int64) for c in ("id", "start"))
+    return locate(table.column("text").to_pylist(), ids, starts, size)
 
 
 def _shard(table: pa.Table, size: int) -> pa.Table:
     """What an automaton over a shard locates; stretches of an anchor in several shards also give their first windows."""
-    table = table.sort_by([("id", "ascending"), ("start", "ascending")])
-    texts, ids, starts = (table.column(c).to_pylist() for c in ("text", "id", "start"))
-    again, first = locate(texts, list(zip(ids, starts)), size)
-    d1, d2, hot = (table.column(c).to_pylist() for c in ("d1", "d2", "hot"))
-    out = [[] for _ in _FOUND_ARROW]
-
-    def add(*row):
-        for column, v in zip(out, row):
-            column.append(v)
-
-    for i, text in enumerate(texts):
-        if again[i]:
-            add(d1[i], d2[i], again[i], None, None, None)
-        if hot[i]:
-            words = text.split(" ")
-            for o in first[i]:
-                add(d1[i], d2[i], [o], ids[i], starts[i] + o, " ".join(words[o : o + size]))
-    return pa.Table.from_batches([arrow_batch(_FOUND_ARROW, *out)])
+    text, place, again = _located(table, size)
+    order = np.lexsort((place, text))
+    text, place, again = text[order], place[order], again[order]
+    t, p = text[again], place[again]
+    heads = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, int)
+    offsets = pa.ListArray.from_arrays(pa.array(np.append(heads, len(t)), pa.int32()), pa.array(p, pa.int32()))
+    own = t[heads]
+    d1, d2, ids, starts = (table.column(c).to_numpy() for c in ("d1", "d2", "id", "start"))
+    out = [arrow_batch(_FOUND_ARROW, d1[own], d2[own], offsets, pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int32()), pa.nulls(len(own), pa.string()))]
+    hot = table.column("hot").to_numpy(zero_copy_only=False).astype(bool)
+    on = ~again & hot[text]
+    t, p = text[on], place[on]
+    words = {k: table.column("text")[k].as_py().split(" ") for k in np.unique(t).tolist()}
+    windows = [" ".join(words[k][o : o + size]) for k, o in zip(t.tolist(), p.tolist())]
+    out.append(arrow_batch(_FOUND_ARROW, d1[t], d2[t], [[o] for o in p.tolist()], ids[t], (starts[t] + p).astype(np.int32), windows))
+    return pa.Table.from_batches(out)
 
 
 def _second(table: pa.Table, size: int) -> pa.Table:
     """The second turn: single windows, dealt by their words."""
-    table = table.sort_by([("id", "ascending"), ("start", "ascending")])
-    ids, starts = table.column("id").to_pylist(), table.column("start").to_pylist()
-    again, _ = locate(table.column("text").to_pylist(), list(zip(ids, starts)), size)
-    on = table.filter(pa.array([bool(a) for a in again], pa.bool_()))
+    text, _, again = _located(table, size)
+    on = table.take(pa.array(text[again]))
     n = len(on)
     return pa.table([on.column("d1"), on.column("d2"), on.column("offsets").cast(pa.list_(pa.int32())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=_FOUND_ARROW)
 

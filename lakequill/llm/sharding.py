@@ -4,8 +4,9 @@
 the logarithm of their size and merges neighbours of a tier into one, up to the target size, until no tier has enough
 of them. Each change is one new manifest version; it is committed by a rename that fails if that version exists, so
 readers see all of a change or nothing, and of two writers one has to try again. Object stores without such a rename are
-refused. ``vacuum`` removes shards that an older manifest lists and none of the versions kept does; files that no manifest
-has listed may belong to a writer at work and go only after a grace period.
+refused. ``vacuum`` removes versions, and shards that only these list, once they have been superseded for a grace period,
+so a reader of a version has at least that long to end. Files that no manifest has listed may belong to a writer at work
+and go after the same period.
 
 Merging moves no rows between executors: a task gets the paths of a group, which the target size bounds, streams them
 and writes one file. Where Arrow lacks a column's type or the file system, Spark reads the group's files and brings each
@@ -39,7 +40,7 @@ RATIO = 4
 MIN_MERGE = 2
 #: Into how many arrivals a table is dealt; each is committed and compacted by itself.
 ARRIVALS = 4
-#: Files that no manifest has listed are left alone for so long.
+#: Superseded versions, and files that no manifest has listed, are left alone for so long.
 GRACE_SECONDS = 7 * 86_400
 
 #: File systems whose rename can't be relied on to fail if the target exists.
@@ -144,7 +145,8 @@ class ShardStore:
         name = uuid.uuid4().hex
         df.write.option("compression", "zstd").parquet(f"{self.folder}/data/{name}")
         back = self.spark.read.schema(df.schema).parquet(f"{self.folder}/data/{name}")
-        got = back.groupBy(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each file
+        at = back.metadataColumn("_metadata")  # whatever df's columns are called
+        got = back.select(at["file_name"].alias("f"), at["file_size"].alias("s")).groupBy("f", "s").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each file
         return [Shard(f"{name}/{r['f']}", r["n"], r["s"], 0) for r in sorted(got, key=lambda r: r["f"])]
 
     def add(self, new: list[Shard]) -> int:
@@ -220,18 +222,21 @@ class ShardStore:
                 pass
 
     def vacuum(self, keep: int = 1, grace: float = GRACE_SECONDS) -> None:
-        """Deletes shards that only versions before the last keep ones list, and those versions.
+        """Deletes versions before the last keep ones that a later one has superseded for grace seconds, and their shards.
 
         Files that no manifest lists are left of failed work, or of a writer that hasn't committed yet; they go once they
-        are older than grace seconds.
+        are older than that, too.
         """
         jvm, fs = self._hadoop()
         P = jvm.org.apache.hadoop.fs.Path
         last, before = self.version(), time.time() * 1000 - grace * 1000
         at = P(f"{self.folder}/manifest")
-        versions = sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(at) if x.getPath().getName().startswith("v")) if fs.exists(at) else []
-        live = {s.path for v in versions if v > last - keep for s in self.shards(v)}
-        dead = {s.path for v in versions if v <= last - keep for s in self.shards(v)} - live
+        since = {int(x.getPath().getName()[1:]): x.getModificationTime() for x in fs.listStatus(at) if x.getPath().getName().startswith("v")} if fs.exists(at) else {}
+        versions = sorted(since)
+        # a version is superseded by the commit of the next one
+        old = {v for v, following in zip(versions, versions[1:]) if v <= last - keep and since[following] < before}
+        live = {s.path for v in versions if v not in old for s in self.shards(v)}
+        dead = {s.path for v in old for s in self.shards(v)} - live
         data = P(f"{self.folder}/data")
         for job in fs.listStatus(data) if fs.exists(data) else ():
             name, left = job.getPath().getName(), 0
@@ -245,9 +250,8 @@ class ShardStore:
                     left += 1
             if not left and (any(p.startswith(name) for p in dead) or job.getModificationTime() < before):
                 fs.delete(job.getPath(), True)
-        for v in versions:
-            if v <= last - keep:
-                fs.delete(P(f"{self.folder}/manifest/v{v:010d}"), False)
+        for v in old:
+            fs.delete(P(f"{self.folder}/manifest/v{v:010d}"), False)
 
     def _files(self, schema: StructType, shards: list[Shard]) -> tuple[DataFrame, str]:
         """The rows of shards and the name of the column that has their shard."""
@@ -257,7 +261,7 @@ class ShardStore:
         if not shards:
             return self.spark.createDataFrame([], schema).withColumn(name, F.lit(None).cast("string")), name
         df = self.spark.read.schema(schema).parquet(*[f"{self.folder}/data/{s.path}" for s in shards])
-        return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)), name
+        return df.withColumn(name, F.regexp_extract(df.metadataColumn("_metadata")["file_path"], r"([^/]+/[^/]+)$", 1)), name
 
     def read(self, schema: StructType, version: int | None = None) -> DataFrame:
         """All rows of a version, with the shard each is in (column _shard, or _shard_ if docs have that name)."""
