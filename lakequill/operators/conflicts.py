@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,46 +23,51 @@ DATES = (
 )
 
 
-def values(chunks: DataFrame, patterns: tuple[str, ...], least: int, kind: str) -> DataFrame:
-    """kind, value, chunk_id, source_file of every match."""
+def values(chunks: DataFrame, patterns: tuple[str, ...], least: int, kind: str, by: Sequence[str] = ()) -> DataFrame:
+    """kind, value, chunk_id, source_file of every match, with the columns of ``by``."""
     found = F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns]))
-    rows = chunks.select("chunk_id", "source_file", F.explode(found).alias("value")).withColumn("value", strip(F.col("value")))
-    return rows.where(F.length("value") >= least).select(F.lit(kind).alias("kind"), "value", "chunk_id", "source_file")
+    rows = chunks.select(*by, "chunk_id", "source_file", F.explode(found).alias("value")).withColumn("value", strip(F.col("value")))
+    return rows.where(F.length("value") >= least).select(*by, F.lit(kind).alias("kind"), "value", "chunk_id", "source_file")
 
 
-def _reported(rows: DataFrame, sources: int = 0, chunk_count: int = 0, most: int | None = None) -> DataFrame:
-    """kind, value, n, chunks of kinds with two values at least and so many sources and chunks; a chunk comes once a match."""
-    per = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunks"))
-    whole = rows.groupBy("kind").agg(F.count_distinct("value").alias("v"), F.count_distinct("chunk_id").alias("c"))
+def _reported(rows: DataFrame, by: Sequence[str] = (), chunk_count: int = 0, most: int | None = None) -> DataFrame:
+    """kind, value, n, chunks of kinds with two values at least and so many chunks; a chunk comes once a match."""
+    keys = [*by, "kind"]
+    per = rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("chunk_id")), ",").alias("chunks"))
+    whole = rows.groupBy(*keys).agg(F.count_distinct("value").alias("v"), F.count_distinct("chunk_id").alias("c"))
     ok = (F.col("v") >= 2) & (F.col("c") >= chunk_count)
     if most is not None:
         ok = ok & (F.col("v") <= most)
-    return per.join(whole.where(ok).select("kind"), "kind", "left_semi")
+    return per.join(whole.where(ok).select(*keys), keys, "left_semi").select(*by, "kind", "value", "n", "chunks")
+
+
+# each of these takes the chunks of one answer, or of many, told apart by the columns of ``by``
 
 
-def money(chunks: DataFrame) -> DataFrame:
-    return _reported(values(chunks, MONEY, 2, "金额"))
+def money(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return _reported(values(chunks, MONEY, 2, "金额", by), by)
 
 
-def dates(chunks: DataFrame) -> DataFrame:
+def dates(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = None
     for label in dict.fromkeys(label for label, _ in DATES):
-        one = values(chunks, tuple(f"({p})" for name, p in DATES if name == label), 4, f"日期({label})")
+        one = values(chunks, tuple(f"({p})" for name, p in DATES if name == label), 4, f"日期({label})", by)
         rows = one if rows is None else rows.unionByName(one)
-    return _reported(rows, chunk_count=2)
+    return _reported(rows, by, chunk_count=2)
 
 
-def ratios(chunks: DataFrame) -> DataFrame:
+def ratios(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Up to six values, and only between two files at least."""
-    files = chunks.where("coalesce(source_file, '') != ''").agg(F.count_distinct("source_file").alias("f"))
-    return _reported(values(chunks, RATIO, 2, "比例"), most=6).crossJoin(F.broadcast(files)).where("f >= 2").drop("f")
+    files = chunks.where("coalesce(source_file, '') != ''").groupBy(*by).agg(F.count_distinct("source_file").alias("f")).where("f >= 2").drop("f")
+    got = _reported(values(chunks, RATIO, 2, "比例", by), by, most=6)
+    return got.join(files, list(by), "left_semi") if by else got.crossJoin(F.broadcast(files))  # one row, or none
 
 
-def companies(chunks: DataFrame) -> DataFrame:
-    return _reported(values(chunks, COMPANY, 4, "公司名"))
+def companies(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return _reported(values(chunks, COMPANY, 4, "公司名", by), by)
 
 
-def annotate(chunks: DataFrame, conflicts: DataFrame) -> DataFrame:
+def annotate(chunks: DataFrame, conflicts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """chunk_id, whether it takes part in a conflict, and the kinds it does."""
-    hits = conflicts.select("kind", F.explode(F.split("chunks", ",")).alias("chunk_id")).groupBy("chunk_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
-    return chunks.select("chunk_id").join(hits, "chunk_id", "left").select("chunk_id", F.col("kinds").isNotNull().alias("has_conflict"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+    hits = conflicts.select(*by, "kind", F.explode(F.split("chunks", ",")).alias("chunk_id")).groupBy(*by, "chunk_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    return chunks.select(*by, "chunk_id").join(hits, [*by, "chunk_id"], "left").select(*by, "chunk_id", F.col("kinds").isNotNull().alias("has_conflict"), F.coalesce("kinds", F.lit("")).alias("kinds"))

@@ -121,12 +121,16 @@ def changed_formats(rows: DataFrame, keys: list[str], pairs: Sequence[tuple[str,
     return got.select(*keys, F.array_join("x", ",").alias("changed"))
 
 
-def batch_fill(headers: DataFrame, fields: DataFrame) -> DataFrame:
-    """Cells of values below the header that a field's name contains or is contained in; the first field wins."""
-    h, f = F.lower("header"), F.lower("field")
-    pairs = headers.join(F.broadcast(fields), F.contains(h, f) | F.contains(f, h))  # fields of one template
-    best = pairs.groupBy("col").agg(F.min_by("values", "ord").alias("values"))
-    return best.select("col", F.posexplode(F.split("values", ",")).alias("k", "value")).select((F.col("k") + 2).cast("bigint").alias("row"), "col", "value")
+def batch_fill(headers: DataFrame, fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cells of values below the header that a field's name contains or is contained in; the first field wins.
+
+    Headers and fields are those of one template, or of many, told apart by the columns of ``by``.
+    """
+    fits = lambda h, f: F.contains(h, f) | F.contains(f, h)
+    pairs = headers.join(fields, list(by)) if by else headers.join(F.broadcast(fields))
+    pairs = pairs.where(fits(F.lower("header"), F.lower("field")))
+    best = pairs.groupBy(*by, "col").agg(F.min_by("values", "ord").alias("values"))
+    return best.select(*by, "col", F.posexplode(F.split("values", ",")).alias("k", "value")).select(*by, (F.col("k") + 2).cast("bigint").alias("row"), "col", "value")
 
 
 def clamp_position(position: Column, count: Column) -> Column:

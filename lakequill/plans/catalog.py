@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import chunking, conflicts, evaluation, metadata, predicates, retrieval, sheets, tables
-from .fixtures import inline, values
+from .fixtures import inline, spread, stated, values
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -70,7 +70,7 @@ def clean_text(spark, sf_dir):
 
 @query(_clean_sql(values("texts"), "id"))
 def page_number_lines(spark, sf_dir):
-    return inline(spark, "texts").select("id", tx.clean(F.col("t")).alias("cleaned"))
+    return spread(spark, sf_dir, "texts").select("id", tx.clean(F.col("t")).alias("cleaned"))
 
 
 @query(f"""SELECT id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: CASE
@@ -79,7 +79,7 @@ def page_number_lines(spark, sf_dir):
   WHEN length({s_strip('l')}) < 50 AND regexp_matches({s_strip('l')}, '^（[一二三四五六七八九十]+）|^[0-9]+\\.([^0-9]|$)') THEN '### ' || {s_strip('l')}
   ELSE l END), chr(10)) AS marked FROM {values('texts')}""")
 def markdown_headers(spark, sf_dir):
-    return inline(spark, "texts").select("id", tx.mark_headers(F.col("t")).alias("marked"))
+    return spread(spark, sf_dir, "texts").select("id", tx.mark_headers(F.col("t")).alias("marked"))
 
 
 _SECTIONS = f"(SELECT doc_id, i AS pos, s AS raw, {s_strip('s')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
@@ -118,7 +118,7 @@ def chunk_pages(spark, sf_dir):
 @query(f"""WITH s AS (SELECT id, list_filter(list_transform(string_split(regexp_replace(t, '(\\n#{{1,4}} |\\n\\n)', chr(1) || '\\1', 'g'), chr(1)), lambda x: {s_strip('x')}), lambda x: x <> '') AS p FROM {values('texts')})
  SELECT id, CAST(0 AS BIGINT) AS pos, array_to_string(p, chr(10) || chr(10)) AS content, coalesce(list_filter(list_transform(p, lambda x: {s_strip("regexp_extract(x, '^#{1,6}[ \\t\\n]+([^\\n]+)', 1)")}), lambda h: h <> '')[-1], '') AS header FROM s WHERE len(p) > 0""")
 def chunk_headers(spark, sf_dir):
-    return chunking.chunks(inline(spark, "texts"), "id", tx.sections(F.col("t"))).select("id", "pos", "content", "header")
+    return chunking.chunks(spread(spark, sf_dir, "texts"), "id", tx.sections(F.col("t"))).select("id", "pos", "content", "header")
 
 
 @query(_PACKED + f" SELECT doc_id, left({s_strip('translate(content, chr(35) || chr(42) || chr(10), chr(0))')}, 100) || '...' AS summary FROM chunk_rows WHERE pos = 0".replace("translate(content, chr(35) || chr(42) || chr(10), chr(0))", "replace(replace(replace(content, chr(35), ''), chr(42), ''), chr(10), '')"))
@@ -135,7 +135,7 @@ def chunk_stats(spark, sf_dir):
  n AS (SELECT *, last_value(x IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(x IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM t)
  SELECT doc, pos, content, coalesce(right(b, 3), '') || coalesce(left(a, 3), '') AS nearby FROM n WHERE kind = 'image'""")
 def image_anchor_context(spark, sf_dir):
-    return chunking.image_context(inline(spark, "images"), "doc", "pos", 3)
+    return chunking.image_context(spread(spark, sf_dir, "images"), "doc", "pos", 3)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, 'status: ' || o_orderstatus || ' | priority: ' || o_orderpriority AS line, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders)
@@ -161,13 +161,13 @@ def csv_slices(spark, sf_dir):
 
 @query(f"SELECT page_no, CASE WHEN length({s_strip('text')}) >= 50 THEN 'text' WHEN has_table OR (img_w > 400 AND img_h > 400) THEN 'vision' ELSE 'text' END AS route FROM {values('pdf_pages')}")
 def pdf_page_route(spark, sf_dir):
-    return chunking.page_route(inline(spark, "pdf_pages"))
+    return chunking.page_route(spread(spark, sf_dir, "pdf_pages"))
 
 
 @query(f"""WITH j AS (SELECT page, pos, {s_strip("regexp_replace(regexp_replace(block, '([\\x{4e00}-\\x{9fa5}])\\n+([\\x{4e00}-\\x{9fa5}])', '\\1\\2', 'g'), '\\n+', ' ', 'g')")} AS b FROM {values('pdf_blocks')})
  SELECT page, string_agg(b, chr(10) || chr(10) ORDER BY pos) AS text FROM j WHERE b <> '' GROUP BY page""")
 def pdf_block_join(spark, sf_dir):
-    got = inline(spark, "pdf_blocks").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("x"))
+    got = spread(spark, sf_dir, "pdf_blocks").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("x"))
     return got.select("page", tx.pdf_join(F.transform("x", lambda s: s["block"])).alias("text"))
 
 
@@ -296,7 +296,7 @@ def hybrid_topk(spark, sf_dir):
 @query(f"""WITH s AS {values('scored')}, e AS (SELECT min(vector_score) AS v0, max(vector_score) AS v1, min(bm25_score) AS b0, max(bm25_score) AS b1 FROM s)
  SELECT id, round(CASE WHEN n_tokens > 5 THEN 0.7 ELSE 0.4 END * (vector_score - v0) / (v1 - v0) + CASE WHEN n_tokens > 5 THEN 0.3 ELSE 0.6 END * (bm25_score - b0) / (b1 - b0), 6) AS hybrid_score FROM s, e""")
 def linear_fusion(spark, sf_dir):
-    rows = inline(spark, "scored")
+    rows = spread(spark, sf_dir, "scored")
     return retrieval.linear_fusion(rows, *retrieval.adaptive_weights(F.col("n_tokens"))).select("id", F.round("hybrid_score", 6).alias("hybrid_score"))
 
 
@@ -334,12 +334,12 @@ def confidence(spark, sf_dir):
 
 @query(f"SELECT CAST(round(least(avg(vector_score) * 1.2, 1.0), 2) AS DOUBLE) AS confidence FROM {values('scored')}")
 def confidence_stream(spark, sf_dir):
-    return inline(spark, "scored").agg(retrieval.stream_confidence(F.avg("vector_score")).alias("confidence"))
+    return spread(spark, sf_dir, "scored").agg(retrieval.stream_confidence(F.avg("vector_score")).alias("confidence"))
 
 
 @query(f"WITH s AS {values('scored')}, e AS (SELECT min(bm25_score) AS lo, max(bm25_score) AS hi FROM s) SELECT id, CAST(floor(36 + 58 * (bm25_score - lo) / (hi - lo) + 0.5) AS DOUBLE) AS relevance FROM s, e")
 def relative_relevance(spark, sf_dir):
-    return retrieval.relative_relevance(inline(spark, "scored"), "bm25_score").select("id", "relevance")
+    return retrieval.relative_relevance(spread(spark, sf_dir, "scored"), "bm25_score").select("id", "relevance")
 
 
 @query("SELECT o_orderkey, CAST(CASE WHEN n < 1 THEN greatest(32, least(88, floor(lo * 1600 + 0.5))) ELSE floor(36 + 58 * (s - lo) / (hi - lo) + 0.5) END AS DOUBLE) AS relevance FROM (SELECT o_orderkey, o_totalprice AS s, min(o_totalprice) OVER () AS lo, max(o_totalprice) OVER () AS hi, max(o_totalprice) OVER () - min(o_totalprice) OVER () AS n FROM orders)")
@@ -366,7 +366,7 @@ def sentence_truncate(spark, sf_dir):
 
 @query(f"""SELECT id, {s_strip("array_to_string(list_filter(string_split(regexp_replace(regexp_replace(t, '^.*?回答[:：]', '', 's'), '来源[:：].*$', '', 's'), chr(10)), lambda l: NOT regexp_matches(" + s_strip('l') + ", '^(问题|文档内容|要求)[:：]')), chr(10))")} AS answer FROM {values('answers')}""")
 def answer_normalise(spark, sf_dir):
-    return inline(spark, "answers").select("id", tx.normal_answer(F.col("t")).alias("answer"))
+    return spread(spark, sf_dir, "answers").select("id", tx.normal_answer(F.col("t")).alias("answer"))
 
 
 # terms of texts without spaces
@@ -378,7 +378,7 @@ _HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
  t AS (SELECT chunk_id, unnest(CASE WHEN regexp_matches(r, '[{_HAN}]') THEN list_transform(range(1, greatest(length(r), 2)), lambda i: r[i:i + 1]) ELSE [r] END) AS tok FROM r)
  SELECT chunk_id, tok, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY chunk_id, tok""")
 def cjk_terms(spark, sf_dir):
-    rows = inline(spark, "chunks").select("chunk_id", F.explode(tx.tokens(F.lower(F.col("content")))).alias("tok"))
+    rows = spread(spark, sf_dir, "chunks").select("chunk_id", F.explode(tx.tokens(F.lower(F.col("content")))).alias("tok"))
     return rows.groupBy("chunk_id", "tok").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -386,9 +386,9 @@ def cjk_terms(spark, sf_dir):
 
 
 def _conflict_sql(kinds: list[tuple[str, str, int]], having: str) -> str:
-    parts = " UNION ALL ".join(f"SELECT '{kind}' AS kind, chunk_id, source_file, {s_strip('x')} AS value FROM (SELECT chunk_id, source_file, unnest(regexp_extract_all(content, '{pattern}', 1)) AS x FROM c) WHERE length({s_strip('x')}) >= {least}" for kind, pattern, least in kinds)
-    return f"""WITH c AS {values('chunks')}, v AS ({parts}), k AS (SELECT kind FROM v GROUP BY kind HAVING count(DISTINCT value) >= 2 AND {having}),
- found AS (SELECT kind, value, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(chunk_id)), ',') AS chunks FROM v WHERE kind IN (SELECT kind FROM k) GROUP BY kind, value)"""
+    parts = " UNION ALL ".join(f"SELECT g, '{kind}' AS kind, chunk_id, source_file, {s_strip('x')} AS value FROM (SELECT g, chunk_id, source_file, unnest(regexp_extract_all(content, '{pattern}', 1)) AS x FROM c) WHERE length({s_strip('x')}) >= {least}" for kind, pattern, least in kinds)
+    return f"""WITH c AS {values('chunks', True)}, v AS ({parts}), k AS (SELECT g, kind FROM v GROUP BY g, kind HAVING count(DISTINCT value) >= 2 AND {having}),
+ found AS (SELECT g, kind, value, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(chunk_id)), ',') AS chunks FROM v SEMI JOIN k USING (g, kind) GROUP BY g, kind, value)"""
 
 
 _MONEY_SQL = _conflict_sql([("金额", p, 2) for p in conflicts.MONEY], "true")
@@ -396,7 +396,7 @@ _MONEY_SQL = _conflict_sql([("金额", p, 2) for p in conflicts.MONEY], "true")
 
 @query(_MONEY_SQL + " SELECT * FROM found")
 def conflicts_money(spark, sf_dir):
-    return conflicts.money(inline(spark, "chunks"))
+    return conflicts.money(spread(spark, sf_dir, "chunks", True), ["g"])
 
 
 _DAYS, _MONTHS, _YEARS = (r"([0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日)", r"([0-9]{4}-[0-9]{2}-[0-9]{2})", r"([0-9]{4}/[0-9]{1,2}/[0-9]{1,2})"), (r"([0-9]{4}年[0-9]{1,2}月)", r"([0-9]{4}-[0-9]{2})"), (r"([0-9]{4}年)",)
@@ -405,23 +405,23 @@ _DATES_SQL = [(kind, p, 4) for kind, ps in (("日期(签订/生效日期)", _DAY
 
 @query(_conflict_sql(_DATES_SQL, "count(DISTINCT chunk_id) >= 2") + " SELECT * FROM found")
 def conflicts_dates(spark, sf_dir):
-    return conflicts.dates(inline(spark, "chunks"))
+    return conflicts.dates(spread(spark, sf_dir, "chunks", True), ["g"])
 
 
-@query(_conflict_sql([("比例", p, 2) for p in conflicts.RATIO], "count(DISTINCT value) <= 6") + " SELECT * FROM found WHERE (SELECT count(DISTINCT source_file) FROM c) >= 2")
+@query(_conflict_sql([("比例", p, 2) for p in conflicts.RATIO], "count(DISTINCT value) <= 6") + " SELECT * FROM found WHERE g IN (SELECT g FROM c GROUP BY g HAVING count(DISTINCT source_file) >= 2)")
 def conflicts_ratio(spark, sf_dir):
-    return conflicts.ratios(inline(spark, "chunks"))
+    return conflicts.ratios(spread(spark, sf_dir, "chunks", True), ["g"])
 
 
 @query(_conflict_sql([("公司名", p, 4) for p in conflicts.COMPANY], "true") + " SELECT * FROM found")
 def conflicts_company(spark, sf_dir):
-    return conflicts.companies(inline(spark, "chunks"))
+    return conflicts.companies(spread(spark, sf_dir, "chunks", True), ["g"])
 
 
-@query(_MONEY_SQL + ", h AS (SELECT DISTINCT unnest(string_split(chunks, ',')) AS chunk_id, kind FROM found) SELECT c.chunk_id, count(h.kind) > 0 AS has_conflict, coalesce(string_agg(h.kind, ',' ORDER BY h.kind), '') AS kinds FROM c LEFT JOIN h USING (chunk_id) GROUP BY c.chunk_id")
+@query(_MONEY_SQL + ", h AS (SELECT DISTINCT g, unnest(string_split(chunks, ',')) AS chunk_id, kind FROM found) SELECT c.g, c.chunk_id, count(h.kind) > 0 AS has_conflict, coalesce(string_agg(h.kind, ',' ORDER BY h.kind), '') AS kinds FROM c LEFT JOIN h USING (g, chunk_id) GROUP BY c.g, c.chunk_id")
 def conflict_annotate(spark, sf_dir):
-    rows = inline(spark, "chunks")
-    return conflicts.annotate(rows, conflicts.money(rows))
+    rows = spread(spark, sf_dir, "chunks", True)
+    return conflicts.annotate(rows, conflicts.money(rows, ["g"]), ["g"])
 
 
 # conditions
@@ -477,7 +477,7 @@ def filter_between_date(spark, sf_dir):
 
 @query(f"SELECT ord FROM {values('people')} WHERE {s_text('city')} = ''")
 def filter_empty(spark, sf_dir):
-    df = inline(spark, "people")
+    df = spread(spark, sf_dir, "people")
     return df.where(predicates.any_of(df, _one("city", "empty"))).select("ord")
 
 
@@ -522,7 +522,7 @@ def cond_delete(spark, sf_dir):
 
 @query(f"SELECT sheet, row, col, CASE WHEN TRY_CAST(value AS DOUBLE) >= 100 THEN 'FF0000' END AS style FROM {values('sheet')}")
 def cond_format(spark, sf_dir):
-    return predicates.conditional_style(inline(spark, "sheet"), ">=100", "FF0000").select("sheet", "row", "col", "style")
+    return predicates.conditional_style(spread(spark, sf_dir, "sheet"), ">=100", "FF0000").select("sheet", "row", "col", "style")
 
 
 @query("SELECT CAST((SELECT count(*) FROM part WHERE p_size = 7) AS BIGINT) AS n, coalesce((SELECT string_agg(k, ',' ORDER BY p) FROM (SELECT p_partkey AS p, CAST(p_partkey AS VARCHAR) AS k FROM part WHERE p_size = 7 ORDER BY p_partkey LIMIT 50)), '') AS first_keys")
@@ -532,7 +532,7 @@ def cond_preview(spark, sf_dir):
 
 @query(f"SELECT sheet, row, col FROM {values('sheet')} WHERE contains(coalesce(value, ''), '国')")
 def find_cells(spark, sf_dir):
-    return predicates.find_cells(inline(spark, "sheet"), "国").select("sheet", "row", "col")
+    return predicates.find_cells(spread(spark, sf_dir, "sheet"), "国").select("sheet", "row", "col")
 
 
 # reshaping and filling
@@ -571,14 +571,14 @@ _NORM = "lower(replace(replace(replace(replace({}, ' ', ''), '_', ''), '/', ''),
 
 @query(f"SELECT f.field, (SELECT min_by(name, ord) FROM {values('headers')} h WHERE {_NORM.format('h.name')} = {_NORM.format('f.field')}) AS name FROM {values('fields')} f")
 def field_match(spark, sf_dir):
-    return tables.match_fields(inline(spark, "fields"), inline(spark, "headers"))
+    return tables.match_fields(spread(spark, sf_dir, "fields"), spread(spark, sf_dir, "headers"))
 
 
 @query(f"""WITH p AS (SELECT h.name AS header, f.field, CASE WHEN {_NORM.format('h.name')} = {_NORM.format('f.field')} THEN 3 WHEN contains({_NORM.format('f.field')}, {_NORM.format('h.name')}) THEN 2 WHEN contains({_NORM.format('h.name')}, {_NORM.format('f.field')}) THEN 1 ELSE 0 END AS score FROM {values('headers')} h, {values('fields')} f),
  r AS (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, length(field), field) AS k FROM p)
  SELECT header, CASE WHEN score > 0 THEN field END AS field, CAST(score AS BIGINT) AS score FROM r WHERE k = 1""")
 def fuzzy_field_match(spark, sf_dir):
-    return tables.fuzzy_match(inline(spark, "headers").select(F.col("name").alias("header")), inline(spark, "fields"))
+    return tables.fuzzy_match(spread(spark, sf_dir, "headers").select(F.col("name").alias("header")), spread(spark, sf_dir, "fields"))
 
 
 _PLACE = "row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)"
@@ -592,13 +592,13 @@ def fill_align(spark, sf_dir):
 @query(f"""WITH c AS (SELECT ord, unnest(['name', 'city']) AS field, unnest([{s_text('name')}, {s_text('city')}]) AS value FROM {values('people')})
  SELECT CAST(row_number() OVER (PARTITION BY field ORDER BY ord) AS BIGINT) AS place, field, value FROM c WHERE value <> ''""")
 def fill_compact(spark, sf_dir):
-    return tables.fill_rows(inline(spark, "people"), "ord", {"name": "name", "city": "city"}, compact=True)
+    return tables.fill_rows(spread(spark, sf_dir, "people"), "ord", {"name": "name", "city": "city"}, compact=True)
 
 
-@query(f"""WITH c AS (SELECT ord AS place, 'name' AS field, {s_text('name')} AS value FROM {values('people')} WHERE {s_text('name')} <> '')
- SELECT CAST(place + 2 AS BIGINT) AS row, CAST(1 AS BIGINT) AS col, value FROM c UNION ALL SELECT CAST(place + 2 AS BIGINT), CAST(3 AS BIGINT), 'only' FROM range(1, 8) r(place)""")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY ord) AS place FROM {values('people')}), c AS (SELECT place, {s_text('name')} AS value FROM r WHERE {s_text('name')} <> '')
+ SELECT CAST(place + 2 AS BIGINT) AS row, CAST(1 AS BIGINT) AS col, value FROM c UNION ALL SELECT CAST(place + 2 AS BIGINT), CAST(3 AS BIGINT), 'only' FROM (SELECT unnest(range(1, (SELECT max(place) FROM c) + 1)) AS place)""")
 def fill_grid(spark, sf_dir):
-    cells = tables.fill_rows(inline(spark, "people"), "ord", {"name": "name"}).where("value != ''")
+    cells = tables.fill_rows(spread(spark, sf_dir, "people"), "ord", {"name": "name"}).where("value != ''")
     single = spark.createDataFrame([(1, "note", "only")], "place bigint, field string, value string")
     heads = spark.createDataFrame([("name", 1), ("note", 3)], "field string, col bigint")
     return tables.fill_grid(cells.unionByName(single), heads, 2)
@@ -607,28 +607,28 @@ def fill_grid(spark, sf_dir):
 @query(f"""WITH s AS {values('slots')}, e AS (SELECT tbl, row, row_number() OVER (PARTITION BY tbl ORDER BY row) AS place FROM s WHERE is_empty), l AS (SELECT tbl, max(row) AS last, count(*) FILTER (is_empty) AS free FROM s GROUP BY tbl)
  SELECT v.tbl, v.place, v.value, CAST(coalesce(e.row, l.last + v.place - l.free) AS BIGINT) AS row FROM {values('slot_values')} v JOIN l USING (tbl) LEFT JOIN e ON e.tbl = v.tbl AND e.place = v.place""")
 def fill_docx_rows(spark, sf_dir):
-    return tables.docx_rows(inline(spark, "slots"), inline(spark, "slot_values"))
+    return tables.docx_rows(spread(spark, sf_dir, "slots"), spread(spark, sf_dir, "slot_values"))
 
 
 @query(f"""WITH h AS (SELECT p.ordinal, p.text, a.value, row_number() OVER (PARTITION BY p.ordinal ORDER BY length(a.field) DESC, a.field) AS rn FROM {values('labels_t')} p LEFT JOIN {values('label_values')} a ON suffix(regexp_replace({s_strip('p.text')}, '[：:]$', ''), a.field))
  SELECT ordinal, text || coalesce(value, '') AS text FROM h WHERE rn = 1""")
 def label_fill(spark, sf_dir):
-    return tables.fill_labels(inline(spark, "labels_t"), inline(spark, "label_values"))
+    return tables.fill_labels(spread(spark, sf_dir, "labels_t"), spread(spark, sf_dir, "label_values"))
 
 
 @query(f"SELECT DISTINCT id, {s_strip('x')} AS field FROM (SELECT id, unnest(regexp_extract_all(t, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1)) AS x FROM {values('templates')})".replace("\\\\", "\\"))
 def placeholder_extract(spark, sf_dir):
-    return inline(spark, "templates").select("id", F.explode(tables.placeholders(F.col("t"))).alias("field"))
+    return spread(spark, sf_dir, "templates").select("id", F.explode(tables.placeholders(F.col("t"))).alias("field"))
 
 
 @query(f"SELECT id, replace(replace(t, '{{{{甲方}}}}', '星海'), '{{{{a}}}}', '1') AS t FROM {values('templates')}")
 def placeholder_replace(spark, sf_dir):
-    return inline(spark, "templates").select("id", tables.replace_placeholders(F.col("t"), {"甲方": "星海", "a": "1"}).alias("t"))
+    return spread(spark, sf_dir, "templates").select("id", tables.replace_placeholders(F.col("t"), {"甲方": "星海", "a": "1"}).alias("t"))
 
 
 @query(f"SELECT sheet, row, CAST(count(*) AS BIGINT) AS filled FROM {values('sheet')} WHERE {s_text('value')} <> '' GROUP BY ALL HAVING count(*) >= 3 ORDER BY filled DESC, sheet, row LIMIT 1")
 def header_row(spark, sf_dir):
-    return tables.header_row(inline(spark, "sheet"))
+    return tables.header_row(spread(spark, sf_dir, "sheet"))
 
 
 _KV = r"^\s*([^：:]{1,15})[：:]\s*(.+)$"
@@ -638,13 +638,13 @@ _KV = r"^\s*([^：:]{1,15})[：:]\s*(.+)$"
  SELECT id, CAST(line AS BIGINT) AS line, CASE WHEN contains(k, '国家') OR contains('国家', k) THEN '国家' WHEN contains(k, '人口') OR contains('人口', k) THEN '人口' ELSE 'GDP' END AS field,
  {s_strip("replace(regexp_replace(regexp_replace(v, '[（(][^）)]*[）)]', '', 'g'), '(亿元|万元|千元|亿|万|元|人|例|%)$', ''), ',', '')")} AS value FROM k WHERE k <> '' AND (contains(k, '国家') OR contains('国家', k) OR contains(k, '人口') OR contains('人口', k) OR contains(k, 'GDP') OR contains('GDP', k))""")
 def kv_extract(spark, sf_dir):
-    return tables.key_value_lines(inline(spark, "kv"), "id", "t", ["国家", "人口", "GDP"])
+    return tables.key_value_lines(spread(spark, sf_dir, "kv"), "id", "t", ["国家", "人口", "GDP"])
 
 
 @query(f"""WITH p AS (SELECT *, (CASE WHEN {s_text('name')} <> '' THEN 1 ELSE 0 END) + (CASE WHEN {s_text('city')} <> '' THEN 1 ELSE 0 END) + (CASE WHEN {s_text('age')} <> '' THEN 1 ELSE 0 END) AS n FROM {values('people')}),
  r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, ord) AS rn FROM p) SELECT ord, name, city, age FROM r WHERE rn = 1 OR {s_text('name')} = ''""")
 def dedup_fullest(spark, sf_dir):
-    return tables.keep_fullest(inline(spark, "people"), "name", "ord")
+    return tables.keep_fullest(spread(spark, sf_dir, "people"), "name", "ord")
 
 
 # sheets and paragraphs
@@ -652,32 +652,32 @@ def dedup_fullest(spark, sf_dir):
 
 @query(f"SELECT sheet, row, col, CASE WHEN e.sheet IS NOT NULL THEN e.value ELSE c.value END AS value FROM {values('sheet')} c FULL JOIN {values('edits')} e USING (sheet, row, col)".replace("e.sheet IS NOT NULL", "e.value IS NOT NULL"))
 def cell_edit(spark, sf_dir):
-    return sheets.edit_cells(inline(spark, "sheet"), inline(spark, "edits"))
+    return sheets.edit_cells(spread(spark, sf_dir, "sheet"), spread(spark, sf_dir, "edits"))
 
 
 @query(f"SELECT sheet, CAST(CASE WHEN sheet = 's1' AND row >= 3 THEN row + 1 ELSE row END AS BIGINT) AS row, col, value FROM {values('sheet')} UNION ALL SELECT 's1', 3, 1, 'x' UNION ALL SELECT 's1', 3, 2, 'y'")
 def row_insert(spark, sf_dir):
-    return sheets.insert_row(inline(spark, "sheet"), "s1", 3, ["x", "y"])
+    return sheets.insert_row(spread(spark, sf_dir, "sheet"), "s1", 3, ["x", "y"])
 
 
 @query(f"SELECT sheet, CAST(CASE WHEN sheet = 's1' AND row > 2 THEN row - 1 ELSE row END AS BIGINT) AS row, col, value FROM {values('sheet')} WHERE NOT (sheet = 's1' AND row = 2)")
 def row_delete(spark, sf_dir):
-    return sheets.delete_row(inline(spark, "sheet"), "s1", 2)
+    return sheets.delete_row(spread(spark, sf_dir, "sheet"), "s1", 2)
 
 
 @query(f"SELECT sheet, row, CAST(CASE WHEN sheet = 's1' AND col >= 2 THEN col + 1 ELSE col END AS BIGINT) AS col, value FROM {values('sheet')} UNION ALL SELECT 's1', 1, 2, 'new'")
 def col_add(spark, sf_dir):
-    return sheets.insert_column(inline(spark, "sheet"), "s1", 2, "new")
+    return sheets.insert_column(spread(spark, sf_dir, "sheet"), "s1", 2, "new")
 
 
 @query(f"SELECT sheet, row, CAST(CASE WHEN sheet = 's1' AND col > 2 THEN col - 1 ELSE col END AS BIGINT) AS col, value FROM {values('sheet')} WHERE NOT (sheet = 's1' AND col = 2)")
 def col_delete(spark, sf_dir):
-    return sheets.delete_column(inline(spark, "sheet"), "s1", 2)
+    return sheets.delete_column(spread(spark, sf_dir, "sheet"), "s1", 2)
 
 
 @query(f"SELECT row, value FROM {values('sheet')} WHERE sheet = 's1' AND col = 2 AND value IS NOT NULL")
 def extract_column(spark, sf_dir):
-    return sheets.extract_column(inline(spark, "sheet"), "s1", 2)
+    return sheets.extract_column(spread(spark, sf_dir, "sheet"), "s1", 2)
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) + 1 AS r FROM nation) SELECT 'nation' AS sheet, CAST(r AS BIGINT) AS row, CAST(1 AS BIGINT) AS col, CAST(n_nationkey AS VARCHAR) AS value FROM n UNION ALL SELECT 'nation', r, 2, n_name FROM n UNION ALL SELECT 'nation', 1, 1, 'n_nationkey' UNION ALL SELECT 'nation', 1, 2, 'n_name'")
@@ -689,27 +689,32 @@ def sheet_cells(spark, sf_dir):
  CAST(CASE WHEN regexp_matches(ref, '^[A-Za-z]+[0-9]+$') THEN list_reduce(list_prepend(0, list_transform(string_split(upper(regexp_extract(ref, '^([A-Za-z]+)', 1)), ''), lambda c: ascii(c) - 64)), lambda a, x: a * 26 + x)
  ELSE coalesce(TRY_CAST(regexp_extract(ref, '第([0-9]+)列', 1) AS BIGINT), TRY_CAST(regexp_extract(ref, '^[0-9]+\\s*,\\s*([0-9]+)$', 1) AS BIGINT), 1) END AS BIGINT) AS col FROM {values('refs')}""".replace("\\\\", "\\"))
 def a1_refs(spark, sf_dir):
-    return inline(spark, "refs").select("ref", tx.cell_row(F.col("ref")).alias("row"), tx.cell_column(F.col("ref")).alias("col"))
+    return spread(spark, sf_dir, "refs").select("ref", tx.cell_row(F.col("ref")).alias("row"), tx.cell_column(F.col("ref")).alias("col"))
 
 
-@query("SELECT n, CAST(v AS BIGINT) AS value FROM (VALUES ('一', 1), ('两', 2), ('十', 10), ('十二', 12), ('二十', 20), ('三十五', 35), ('一百', 100), ('一百零五', 105), ('一百二十五', 125), ('九百九十九', 999), ('7', 7), ('042', 42), ('abc', NULL), ('零', NULL), ('', NULL)) AS t(n, v)")
+@query(f"""WITH p AS (SELECT n, CASE WHEN contains(n, '百') THEN split_part(n, '百', 1) ELSE '' END AS h, replace(CASE WHEN contains(n, '百') THEN split_part(n, '百', 2) ELSE n END, '零', '') AS r FROM {values('numbers')}),
+ q AS (SELECT n, h, CASE WHEN contains(r, '十') THEN CASE WHEN starts_with(r, '十') THEN '一' ELSE split_part(r, '十', 1) END ELSE '' END AS t, CASE WHEN contains(r, '十') THEN split_part(r, '十', 2) ELSE r END AS u FROM p),
+ d AS (SELECT n, list_transform([h, t, u], lambda x: CASE WHEN x = '' THEN 0 WHEN x = '两' THEN 2 ELSE instr('一二三四五六七八九', x) END) AS v FROM q)
+ SELECT n, CASE WHEN regexp_full_match(n, '[0-9]+') THEN TRY_CAST(n AS BIGINT) WHEN regexp_full_match(n, '[一二两三四五六七八九十百零]+') AND v[1] * 100 + v[2] * 10 + v[3] > 0 THEN CAST(v[1] * 100 + v[2] * 10 + v[3] AS BIGINT) END AS value FROM d""")
 def cn_numbers(spark, sf_dir):
-    return inline(spark, "numbers").select("n", tx.chinese_number(F.col("n")).alias("value"))
+    return spread(spark, sf_dir, "numbers").select("n", tx.chinese_number(F.col("n")).alias("value"))
 
 
 @query(f"SELECT v, {s_strip("replace(regexp_replace(regexp_replace(v, '[（(][^）)]*[）)]', '', 'g'), '(亿元|万元|千元|亿|万|元|人|例|%)$', ''), ',', '')")} AS bare FROM {values('units')}")
 def unit_strip(spark, sf_dir):
-    return inline(spark, "units").select("v", tx.strip_unit(F.col("v")).alias("bare"))
+    return spread(spark, sf_dir, "units").select("v", tx.strip_unit(F.col("v")).alias("bare"))
 
 
-@query("SELECT c, h AS hex FROM (VALUES ('rgb(255, 0, 16)', 'FF0010'), ('red', 'FF0000'), ('Yellow', 'FFFF00'), ('绿色', '00FF00'), ('none', NULL), ('rgb(1,2,3)', '010203')) AS t(c, h)")
+@query(f"""SELECT c, CASE WHEN starts_with(c, 'rgb(') THEN array_to_string(list_transform(regexp_extract_all(c, '[0-9]+'), lambda x: printf('%02X', CAST(x AS INTEGER))), '')
+ ELSE CASE lower(c) WHEN 'red' THEN 'FF0000' WHEN 'yellow' THEN 'FFFF00' WHEN '绿色' THEN '00FF00' END END AS hex FROM {values('colours')}""")
 def colour_hex(spark, sf_dir):
-    return inline(spark, "colours").select("c", tx.rgb_hex(F.col("c")).alias("hex"))
+    return spread(spark, sf_dir, "colours").select("c", tx.rgb_hex(F.col("c")).alias("hex"))
 
 
-@query("""SELECT CAST(id AS BIGINT) AS id, j AS json FROM (VALUES (1, '{"logic":"or","groups":[{"x":{"y":1}}]}'), (2, NULL), (3, '{"a": 1}'), (4, NULL)) AS t(id, j)""")
+@query(f"""WITH p AS (SELECT id, regexp_replace(regexp_replace(t, '<think>.*?</think>', '', 'gs'), '```[a-zA-Z]*', '', 'g') AS t FROM {values('replies')}), o AS (SELECT id, CASE WHEN instr(t, chr(123)) > 0 THEN substring(t, instr(t, chr(123))) ELSE '' END AS t FROM p)
+ SELECT id, (SELECT substring(t, 1, min(i)) FROM range(1, 200) r(i) WHERE i <= length(t) AND length(replace(left(t, i), chr(123), '')) = length(replace(left(t, i), chr(125), ''))) AS json FROM o""")
 def json_recover(spark, sf_dir):
-    return inline(spark, "replies").select("id", tx.json_object(F.col("t")).alias("json"))
+    return spread(spark, sf_dir, "replies").select("id", tx.json_object(F.col("t")).alias("json"))
 
 
 _KIND_SQL = f"""(SELECT *, CASE WHEN {s_strip('text')} = '' THEN 'blank' WHEN regexp_matches(coalesce(style, ''), '(?i)标题|heading|subtitle|subhead|cover') OR ordinal <= 1 OR regexp_matches({s_strip('text')}, '^(—|――)')
@@ -718,31 +723,30 @@ _KIND_SQL = f"""(SELECT *, CASE WHEN {s_strip('text')} = '' THEN 'blank' WHEN re
 
 @query(f"SELECT doc_id, ordinal, kind, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY ordinal) AS BIGINT) AS n FROM {_KIND_SQL}")
 def para_classify(spark, sf_dir):
-    return sheets.numbered(inline(spark, "paragraphs")).select("doc_id", "ordinal", "kind", "n")
+    return sheets.numbered(spread(spark, sf_dir, "paragraphs")).select("doc_id", "ordinal", "kind", "n")
 
 
 @query(f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS n FROM {_KIND_SQL} WHERE kind = 'body') SELECT doc_id, ordinal FROM n WHERE n = 2")
 def para_locate(spark, sf_dir):
-    return sheets.locate(inline(spark, "paragraphs"), "第二段").select("doc_id", "ordinal")
+    return sheets.locate(spread(spark, sf_dir, "paragraphs"), "第二段").select("doc_id", "ordinal")
 
 
 @query(f"SELECT doc_id, ordinal, replace(text, '预算', '经费') AS text, contains(text, '预算') AS changed FROM {values('paragraphs')}")
 def para_replace(spark, sf_dir):
-    return sheets.replace_text(inline(spark, "paragraphs"), "预算", "经费").select("doc_id", "ordinal", "text", "changed")
+    return sheets.replace_text(spread(spark, sf_dir, "paragraphs"), "预算", "经费").select("doc_id", "ordinal", "text", "changed")
 
 
 @query(f"SELECT doc_id, CAST(CASE WHEN doc_id = 1 AND ordinal > 4 THEN ordinal - 1 ELSE ordinal END AS BIGINT) AS ordinal, text FROM {values('paragraphs')} WHERE NOT (doc_id = 1 AND ordinal = 4)")
 def para_delete(spark, sf_dir):
-    return sheets.delete_paragraph(inline(spark, "paragraphs"), 1, 4).select("doc_id", "ordinal", "text")
+    return sheets.delete_paragraph(spread(spark, sf_dir, "paragraphs"), 1, 4).select("doc_id", "ordinal", "text")
 
 
 @query(f"SELECT doc_id, CAST(CASE WHEN doc_id = 1 AND ordinal >= 4 THEN ordinal + 1 ELSE ordinal END AS BIGINT) AS ordinal, text FROM {values('paragraphs')} UNION ALL SELECT 1, 4, '新的一段'")
 def para_insert(spark, sf_dir):
-    return sheets.insert_paragraph(inline(spark, "paragraphs"), 1, 4, "新的一段").select("doc_id", "ordinal", "text")
+    return sheets.insert_paragraph(spread(spark, sf_dir, "paragraphs"), 1, 4, "新的一段").select("doc_id", "ordinal", "text")
 
 
-@query("""WITH o AS (SELECT doc_id, text, CAST(i AS BIGINT) AS place FROM documents, range(1, 30000) r(i) WHERE i <= length(text) - 6 AND substring(text, i, 7) = 'thention' AND false UNION ALL
- SELECT doc_id, text, CAST(i AS BIGINT) FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 5, 1))) AS i FROM documents WHERE contains(text, 'nthst')) WHERE substring(text, i, 5) = 'nthst')
+@query("""WITH o AS (SELECT doc_id, text, CAST(i AS BIGINT) AS place FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 5, 1))) AS i FROM documents WHERE contains(text, 'nthst')) WHERE substring(text, i, 5) = 'nthst')
  SELECT doc_id, place, CASE WHEN place - 20 > 1 THEN '...' ELSE '' END || substring(text, greatest(place - 20, 1), least(place + 24, length(text)) - greatest(place - 20, 1) + 1) || CASE WHEN place + 24 < length(text) THEN '...' ELSE '' END AS context FROM o""")
 def keyword_context(spark, sf_dir):
     return sheets.keyword_context(table(spark, sf_dir, "documents"), "doc_id", "text", "nthst", 20)
@@ -751,8 +755,8 @@ def keyword_context(spark, sf_dir):
 # evaluation
 
 
-def _evaluated(spark):
-    return inline(spark, "cases").select("id", evaluation.faithfulness(F.col("answer"), F.col("context")).alias("faithfulness"), evaluation.relevancy(F.col("query"), F.col("answer")).alias("relevancy"), evaluation.precision(F.col("query"), F.col("context")).alias("precision"), evaluation.recall(F.col("answer"), F.col("context"), F.col("truth")).alias("recall"))
+def _evaluated(spark, sf_dir):
+    return spread(spark, sf_dir, "cases").select("id", evaluation.faithfulness(F.col("answer"), F.col("context")).alias("faithfulness"), evaluation.relevancy(F.col("query"), F.col("answer")).alias("relevancy"), evaluation.precision(F.col("query"), F.col("context")).alias("precision"), evaluation.recall(F.col("answer"), F.col("context"), F.col("truth")).alias("recall"))
 
 
 _CJK = r"\x{4e00}-\x{9fa5}"
@@ -767,45 +771,45 @@ def _jaccard_sql(form: str) -> str:
 
 _EVAL_SQL = f"""WITH c AS {values('cases')}, e AS (SELECT id,
  round(CASE WHEN len(facts) = 0 THEN 1.0 ELSE len(list_filter(facts, lambda f: len(regexp_extract_all(f, '[{_CJK}]{{2,}}|[0-9]+')) > 0 AND 2 * len(list_filter(regexp_extract_all(f, '[{_CJK}]{{2,}}|[0-9]+'), lambda k: contains(context, k))) >= len(regexp_extract_all(f, '[{_CJK}]{{2,}}|[0-9]+'))))::DOUBLE / len(facts) END, 3) AS faithfulness,
- round(CASE WHEN length(answer) < 5 OR regexp_matches(answer, '{'|'.join(evaluation.REFUSALS)}') THEN 0.0 ELSE least(0.3 * ({_jaccard_sql(_WORDS_SQL)}) + 0.2 * ({_jaccard_sql(_GRAM_SQL)}) + 0.5 * least(len(list_filter(regexp_extract_all(answer, '[{_CJK}]{{3,20}}|[0-9]+\\.?[0-9]*[万千百亿]*|[a-zA-Z]+'), lambda x: length(x) >= 2)) / 3.0, 1.0), 1.0) END, 3) AS relevancy,
+ round(CASE WHEN length(answer) < 5 OR regexp_matches(answer, '无法回答|不知道|没有相关|未提及|不清楚') THEN 0.0 ELSE least(0.3 * ({_jaccard_sql(_WORDS_SQL)}) + 0.2 * ({_jaccard_sql(_GRAM_SQL)}) + 0.5 * least(len(list_filter(regexp_extract_all(answer, '[{_CJK}]{{3,20}}|[0-9]+\\.?[0-9]*[万千百亿]*|[a-zA-Z]+'), lambda x: length(x) >= 2)) / 3.0, 1.0), 1.0) END, 3) AS relevancy,
  round(CASE WHEN length(context) < 10 THEN 0.0 WHEN len(qw) > 0 AND len(list_filter(qw, lambda w: contains(context, w)))::DOUBLE / len(qw) >= 0.5 THEN len(list_filter(qw, lambda w: contains(context, w)))::DOUBLE / len(qw)
   WHEN marks > 0 THEN least(0.6 + marks * 0.05, 0.95) ELSE 0.0 END, 3) AS precision,
  round(CASE WHEN len(want) = 0 THEN 1.0 ELSE len(list_filter(want, lambda w: contains(context, w)))::DOUBLE / len(want) END, 3) AS recall
  FROM (SELECT *, list_filter(list_transform(string_split_regex(answer, '[。！？\\n]'), lambda x: {s_strip('x')}), lambda x: length(x) > 5) AS facts,
-  list_filter(regexp_extract_all(query, '[{_CJK}]{{2,8}}'), lambda w: NOT list_contains({evaluation.ASKING}, w)) AS qw, len(list_filter({evaluation.FEATURES}, lambda w: contains(context, w))) AS marks,
+  list_filter(regexp_extract_all(query, '[{_CJK}]{{2,8}}'), lambda w: NOT list_contains(['什么', '多少', '怎样', '如何', '为什么', '哪个', '哪些', '什么时候', '哪里', '谁', '几个', '怎么样', '是否', '能否'], w)) AS qw, len(list_filter(['签订', '合同', '协议', '公司', '付款', '有效', '签订日期', '金额', '日期', '期限', '服务', '甲方', '乙方', '人民币', '万元'], lambda w: contains(context, w))) AS marks,
   list_concat(regexp_extract_all(ref, '[0-9]+\\.?[0-9]*[万千百亿]?'), list_filter(regexp_extract_all(ref, '[{_CJK}]{{2,4}}'), lambda w: length(w) >= 3)[1:10]) AS want
   FROM (SELECT *, CASE WHEN coalesce(truth, '') <> '' THEN truth ELSE answer END AS ref FROM c)))""".replace("\\\\", "\\")
 
 
 @query(_EVAL_SQL + " SELECT id, CAST(faithfulness AS DOUBLE) AS faithfulness FROM e")
 def eval_faithfulness(spark, sf_dir):
-    return _evaluated(spark).select("id", "faithfulness")
+    return _evaluated(spark, sf_dir).select("id", "faithfulness")
 
 
 @query(_EVAL_SQL + " SELECT id, CAST(relevancy AS DOUBLE) AS relevancy FROM e")
 def eval_relevancy(spark, sf_dir):
-    return _evaluated(spark).select("id", "relevancy")
+    return _evaluated(spark, sf_dir).select("id", "relevancy")
 
 
 @query(_EVAL_SQL + " SELECT id, CAST(precision AS DOUBLE) AS precision FROM e")
 def eval_precision(spark, sf_dir):
-    return _evaluated(spark).select("id", "precision")
+    return _evaluated(spark, sf_dir).select("id", "precision")
 
 
 @query(_EVAL_SQL + " SELECT id, CAST(recall AS DOUBLE) AS recall FROM e")
 def eval_recall(spark, sf_dir):
-    return _evaluated(spark).select("id", "recall")
+    return _evaluated(spark, sf_dir).select("id", "recall")
 
 
 @query(_EVAL_SQL + " SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ((faithfulness + relevancy + precision + recall) / 4 >= 0.6) AS BIGINT) AS passed, round(avg(recall), 6) AS mean_recall FROM e")
 def eval_summary(spark, sf_dir):
     overall = (F.col("faithfulness") + F.col("relevancy") + F.col("precision") + F.col("recall")) / 4
-    return _evaluated(spark).agg(F.count(F.lit(1)).alias("n"), F.sum((overall >= 0.6).cast("bigint")).alias("passed"), F.round(F.avg("recall"), 6).alias("mean_recall"))
+    return _evaluated(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.sum((overall >= 0.6).cast("bigint")).alias("passed"), F.round(F.avg("recall"), 6).alias("mean_recall"))
 
 
 @query(f"SELECT id, CAST(round(0.7 * len(list_filter(string_split(expected, ','), lambda k: contains(answer, k))) / len(string_split(expected, ',')) + CASE WHEN n_sources > 0 THEN 0.2 ELSE 0 END + CASE WHEN confidence >= 0 THEN 0.1 ELSE 0 END, 3) AS DOUBLE) AS score FROM {values('hits')}")
 def keyword_hit(spark, sf_dir):
-    return inline(spark, "hits").select("id", evaluation.keyword_hit(F.col("answer"), F.split("expected", ","), F.col("n_sources"), F.col("confidence")).alias("score"))
+    return spread(spark, sf_dir, "hits").select("id", evaluation.keyword_hit(F.col("answer"), F.split("expected", ","), F.col("n_sources"), F.col("confidence")).alias("score"))
 
 
 # files and tasks
@@ -828,12 +832,12 @@ def status_summary(spark, sf_dir):
 @query(f"SELECT task_id, file_id FROM {values('tasks')} WHERE file_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
 def cascade_delete(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return metadata.cascade(files, inline(spark, "tasks"), files.where("status = 'indexed'").select("file_id"))[1].select("task_id", "file_id")
+    return metadata.cascade(files, spread(spark, sf_dir, "tasks"), files.where("status = 'indexed'").select("file_id"))[1].select("task_id", "file_id")
 
 
 @query(f"SELECT task_id FROM {values('tasks')} WHERE status IN ('pending', 'processing')")
 def active_tasks(spark, sf_dir):
-    return metadata.active_tasks(inline(spark, "tasks")).select("task_id")
+    return metadata.active_tasks(spread(spark, sf_dir, "tasks")).select("task_id")
 
 
 @query("SELECT doc_id AS file_id FROM documents WHERE doc_id % 3 <> 0")
@@ -842,9 +846,9 @@ def incremental_index(spark, sf_dir):
     return metadata.to_index(files, files.where("status = 'indexed'")).select("file_id")
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), '报告.pdf', true), (2, '数据.XLSX', false), (3, 'b.exe', false), (4, 'noext', false), (5, 'c.md', true)) AS t(file_id, name, valid)")
+@query(f"""SELECT file_id, replace(regexp_extract(name, '([^/\\\\]*)$', 1), '..', '') AS name, regexp_matches(lower(name), '\\.(pdf|docx|xlsx|txt|md)$') AND size <= 52428800 AS valid FROM {values('uploads')}""")
 def upload_guard(spark, sf_dir):
-    return inline(spark, "uploads").select("file_id", tx.safe_name(F.col("name")).alias("name"), metadata.valid_upload(F.col("name"), F.col("size")).alias("valid"))
+    return spread(spark, sf_dir, "uploads").select("file_id", tx.safe_name(F.col("name")).alias("name"), metadata.valid_upload(F.col("name"), F.col("size")).alias("valid"))
 
 
 @query("SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS plain, CAST(len(regexp_extract_all(lower(text), 'thst')) AS BIGINT) AS marks FROM documents")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking, evaluation, extras, retrieval, sheets, tables
 from .catalog import _GRAM_SQL, _WORDS_SQL, _jaccard_sql, query, s_strip, s_text, table
-from .fixtures import inline, values
+from .fixtures import inline, spread, stated, values
 
 
 @query(f"SELECT page_no, img_w >= 50 AND img_h >= 50 AND img_w / img_h >= 0.125 AND img_w / img_h <= 8 AS usable FROM {values('pdf_pages')} WHERE img_h > 0")
 def image_filter(spark, sf_dir):
-    return inline(spark, "pdf_pages").where("img_h > 0").select("page_no", chunking.usable_image(F.col("img_w"), F.col("img_h")).alias("usable"))
+    return spread(spark, sf_dir, "pdf_pages").where("img_h > 0").select("page_no", chunking.usable_image(F.col("img_w"), F.col("img_h")).alias("usable"))
 
 
 _LONG_LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda l: {s_strip('l')}), lambda l: length(l) >= 15)"
@@ -32,7 +32,7 @@ def relevant_paragraphs(spark, sf_dir):
 
 @query(f"SELECT chunk_id FROM {values('chunks')} WHERE contains(content, '合同') OR regexp_matches(content, '[0-9]')")
 def data_sentences(spark, sf_dir):
-    return extras.data_sentences(inline(spark, "chunks"), "content", ["合同"], 4).select("chunk_id")
+    return extras.data_sentences(spread(spark, sf_dir, "chunks"), "content", ["合同"], 4).select("chunk_id")
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN instr(reverse(left(text, 80)), '。') > 0 AND 81 - instr(reverse(left(text, 80)), '。') > 40 THEN left(text, 81 - instr(reverse(left(text, 80)), '。')) ELSE left(text, 80) END AS head FROM documents""")
@@ -44,7 +44,7 @@ def pdf_summary(spark, sf_dir):
  p AS (SELECT doc, t, pos, text, row_number() OVER (PARTITION BY doc, t ORDER BY pos DESC) AS k FROM i WHERE kind = 'paragraph' AND text <> ''), d AS (SELECT doc, t, string_agg(text, chr(10) ORDER BY pos) AS x FROM p WHERE k <= 5 GROUP BY doc, t)
  SELECT i.doc, i.pos, coalesce(d.x, '') AS description FROM i LEFT JOIN d USING (doc, t) WHERE kind = 'table'""")
 def table_description(spark, sf_dir):
-    return extras.table_descriptions(inline(spark, "items"), "doc", "pos")
+    return extras.table_descriptions(spread(spark, sf_dir, "items"), "doc", "pos")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS c FROM conversations) WHERE c <= 300")
@@ -55,12 +55,12 @@ def template_head(spark, sf_dir):
 @query(f"""WITH f AS (SELECT sheet, row, string_agg(value, ' | ' ORDER BY col) AS line FROM {values('sheet')} WHERE {s_text('value')} <> '' GROUP BY sheet, row), r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row) AS k FROM f)
  SELECT r.sheet, r.row, r.line, z.n_rows, z.n_cols FROM r JOIN (SELECT sheet, max(row) AS n_rows, max(col) AS n_cols FROM {values('sheet')} GROUP BY sheet) z USING (sheet) WHERE k <= 2""")
 def sheet_preview(spark, sf_dir):
-    return extras.sheet_preview(inline(spark, "sheet"), 2)
+    return extras.sheet_preview(spread(spark, sf_dir, "sheet"), 2)
 
 
 @query(f"SELECT row, col, value FROM {values('sheet')} WHERE sheet = 's1' AND row = 3")
 def sheet_row(spark, sf_dir):
-    return inline(spark, "sheet").where("sheet = 's1' AND row = 3").select("row", "col", "value")
+    return spread(spark, sf_dir, "sheet").where("sheet = 's1' AND row = 3").select("row", "col", "value")
 
 
 @query("SELECT conv_id, string_agg('--- 第 ' || turn || ' 页 ---' || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn BETWEEN 1 AND 2 GROUP BY conv_id")
@@ -85,19 +85,19 @@ def batching(spark, sf_dir):
     return extras.batches(table(spark, sf_dir, "conversations"), "conv_id", "turn", 2).groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 10), (2, 29), (3, 49), (4, 49), (5, 49)) AS t(id, pct)")
+@query(f"SELECT id, CAST(greatest(10, least(49, 10 + floor(done * 39 / greatest(total, 1)))) AS INTEGER) AS pct FROM {values('steps')}")
 def progress_map(spark, sf_dir):
-    return inline(spark, "steps").select("id", extras.progress(F.col("done"), F.col("total"), 10, 49).alias("pct"))
+    return spread(spark, sf_dir, "steps").select("id", extras.progress(F.col("done"), F.col("total"), 10, 49).alias("pct"))
 
 
 @query(f"SELECT id, CASE WHEN regexp_matches(q, '金额|价格|费用|总价') THEN 'amount' WHEN regexp_matches(q, '日期|时间|期限|有效期') THEN 'date' WHEN regexp_matches(q, '甲方|乙方|公司|当事人') THEN 'party' ELSE 'other' END AS topic FROM {values('questions')}")
 def topic_guard(spark, sf_dir):
-    return inline(spark, "questions").select("id", extras.topic(F.col("q")).alias("topic"))
+    return spread(spark, sf_dir, "questions").select("id", extras.topic(F.col("q")).alias("topic"))
 
 
 @query(f"SELECT h.name, f.field, CAST(len(list_filter(string_split(f.field, ''), lambda c: contains(h.name, c))) AS DOUBLE) / length(f.field) AS share FROM {values('headers')} h, {values('fields')} f")
 def overlap_match(spark, sf_dir):
-    pairs = inline(spark, "headers").crossJoin(inline(spark, "fields"))  # names of one template
+    pairs = spread(spark, sf_dir, "headers").crossJoin(spread(spark, sf_dir, "fields"))  # names of one template
     return pairs.select("name", "field", tables.overlap_match(F.col("name"), F.col("field")).alias("share"))
 
 
@@ -107,67 +107,70 @@ def output_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("filled_"), tx.safe_name(name)).alias("name"))
 
 
-@query("SELECT CAST(a AS BIGINT) AS row, CAST(b AS BIGINT) AS col, c AS value FROM (VALUES (2, 1, '中国'), (3, 1, '法国'), (2, 2, '18000'), (3, 2, '3000'), (4, 2, '1')) AS t(a, b, c)")
+@query(f"""WITH m AS (SELECT h.g, h.col, arg_min(f.values, f.ord) AS v FROM {values('grid_headers', True)} h JOIN {values('grid_fields', True)} f ON h.g = f.g AND (contains(lower(h.header), lower(f.field)) OR contains(lower(f.field), lower(h.header))) GROUP BY h.g, h.col)
+ SELECT g, CAST(i + 1 AS BIGINT) AS row, col, string_split(v, ',')[i] AS value FROM (SELECT g, col, v, unnest(range(1, len(string_split(v, ',')) + 1)) AS i FROM m)""")
 def batch_fill(spark, sf_dir):
-    return extras.batch_fill(inline(spark, "grid_headers"), inline(spark, "grid_fields"))
+    return extras.batch_fill(spread(spark, sf_dir, "grid_headers", True), spread(spark, sf_dir, "grid_fields", True), ["g"])
 
 
-@query("SELECT CAST(a AS BIGINT) AS para, CAST(b AS BIGINT) AS run, c AS t FROM (VALUES (1, 0, '编号A-'), (1, 1, '7，甲'), (1, 2, '方'), (2, 0, '没有'), (2, 1, '字段'), (3, 0, '星海')) AS t(a, b, c)")
+@query(f"""WITH r AS (SELECT *, sum(length(t)) OVER (PARTITION BY para ORDER BY run) - length(t) AS before, max(run) OVER (PARTITION BY para) AS last FROM {values('runs')}), w AS (SELECT para, string_agg(t, '' ORDER BY run) AS old FROM r GROUP BY para),
+ n AS (SELECT para, old, replace(replace(old, chr(123) || chr(123) || '编号' || chr(125) || chr(125), 'A-7'), chr(123) || chr(123) || '甲方' || chr(125) || chr(125), '星海') AS new FROM w)
+ SELECT r.para, r.run, CASE WHEN old = new THEN t WHEN run = last THEN substring(new, CAST(before AS BIGINT) + 1) ELSE substring(new, CAST(before AS BIGINT) + 1, length(t)) END AS t FROM r JOIN n USING (para)""")
 def run_redistribute(spark, sf_dir):
-    return extras.spread_over_runs(inline(spark, "runs"), ["para"], "run", "t", {"编号": "A-7", "甲方": "星海"})
+    return extras.spread_over_runs(spread(spark, sf_dir, "runs"), ["para"], "run", "t", {"编号": "A-7", "甲方": "星海"})
 
 
-@query("SELECT CAST(r AS BIGINT) AS row, c AS changed FROM (VALUES (1, 'bold,color'), (2, ''), (3, 'bold')) AS t(r, c)")
+@query(f"""SELECT row, concat_ws(',', CASE WHEN bool_or(bold IS DISTINCT FROM bold_new) THEN 'bold' END, CASE WHEN bool_or(color IS DISTINCT FROM color_new) THEN 'color' END) AS changed FROM {values('formats')} GROUP BY row""")
 def changed_formats(spark, sf_dir):
-    return extras.changed_formats(inline(spark, "formats"), ["row"], [("bold", "bold_new"), ("color", "color_new")])
+    return extras.changed_formats(spread(spark, sf_dir, "formats"), ["row"], [("bold", "bold_new"), ("color", "color_new")])
 
 
 @query(f"SELECT sheet, row, col, CASE WHEN sheet = 's1' AND row = 2 THEN 'bold=true;fill=FFFF00' END AS style FROM {values('sheet')}")
 def format_row(spark, sf_dir):
-    return sheets.style_row(inline(spark, "sheet"), "s1", 2, {"fill": "FFFF00", "bold": "true"}).select("sheet", "row", "col", "style")
+    return sheets.style_row(spread(spark, sf_dir, "sheet"), "s1", 2, {"fill": "FFFF00", "bold": "true"}).select("sheet", "row", "col", "style")
 
 
 @query("SELECT 's1' AS sheet, CAST(6 AS BIGINT) AS row, CAST(2 AS BIGINT) AS col, '=SUM(B3:B5)' AS value")
 def formula_text(spark, sf_dir):
     edit = spark.createDataFrame([("s1", 6, 2, "=SUM(B3:B5)")], "sheet string, row bigint, col bigint, value string")
-    return sheets.edit_cells(inline(spark, "sheet"), edit).where("row = 6")
+    return sheets.edit_cells(spread(spark, sf_dir, "sheet"), edit).where("row = 6")
 
 
 @query(f"SELECT p, greatest(1, least(TRY_CAST(p AS BIGINT), n)) AS place FROM {values('positions')} WHERE TRY_CAST(p AS BIGINT) IS NOT NULL")
 def position_clamp(spark, sf_dir):
-    return inline(spark, "positions").where(F.col("p").try_cast("bigint").isNotNull()).select("p", extras.clamp_position(F.col("p"), F.col("n")).alias("place"))
+    return spread(spark, sf_dir, "positions").where(F.col("p").try_cast("bigint").isNotNull()).select("p", extras.clamp_position(F.col("p"), F.col("n")).alias("place"))
 
 
 @query(f"SELECT key FROM {values('cache')} WHERE expire_at > 60 ORDER BY used_at DESC, key LIMIT 2")
 def cache_live(spark, sf_dir):
-    return extras.live_results(inline(spark, "cache"), 60.0, 2).select("key")
+    return extras.live_results(spread(spark, sf_dir, "cache"), 60.0, 2).select("key")
 
 
 @query(f"SELECT key FROM {values('cache')} WHERE NOT list_contains(string_split(file_ids, ','), '2')")
 def cache_invalidate(spark, sf_dir):
-    return extras.invalidate(inline(spark, "cache"), 2).select("key")
+    return extras.invalidate(spread(spark, sf_dir, "cache"), 2).select("key")
 
 
 @query(f"""WITH c AS (SELECT id, answer, regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM {values('cases')}), s AS (SELECT id, CASE WHEN len(t) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(t), ['the', 'date'])) AS DOUBLE) / len(list_distinct(list_concat(t, ['the', 'date']))) END AS s FROM c)
  SELECT id, round(s, 6) AS rerank_score FROM s ORDER BY s DESC LIMIT 1""")
 def rerank_top(spark, sf_dir):
-    return retrieval.rerank(inline(spark, "cases"), "answer", ["the", "date"], 1).select("id", F.round("rerank_score", 6).alias("rerank_score"))
+    return retrieval.rerank(spread(spark, sf_dir, "cases"), "answer", ["the", "date"], 1).select("id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(f"SELECT id, answer, CAST(NULL AS DOUBLE) AS rerank_score FROM {values('cases')}")
 def rerank_few(spark, sf_dir):
-    return retrieval.rerank(inline(spark, "cases"), "answer", ["the", "date"], 100).select("id", "answer", "rerank_score")
+    return retrieval.rerank(spread(spark, sf_dir, "cases"), "answer", ["the", "date"], 2_000_000_000).select("id", "answer", "rerank_score")
 
 
 @query(f"SELECT id, round({_jaccard_sql(_WORDS_SQL)}, 6) AS words, round({_jaccard_sql(_GRAM_SQL)}, 6) AS pairs FROM {values('cases')}")
 def overlap_scores(spark, sf_dir):
     a, b = F.col("query"), F.col("answer")
-    return inline(spark, "cases").select("id", F.round(tx.jaccard(evaluation.keywords(a), evaluation.keywords(b)), 6).alias("words"), F.round(tx.jaccard(evaluation.bigrams(a), evaluation.bigrams(b)), 6).alias("pairs"))
+    return spread(spark, sf_dir, "cases").select("id", F.round(tx.jaccard(evaluation.keywords(a), evaluation.keywords(b)), 6).alias("words"), F.round(tx.jaccard(evaluation.bigrams(a), evaluation.bigrams(b)), 6).alias("pairs"))
 
 
 @query(f"SELECT id, l AS line, CASE WHEN starts_with(l, '# ') THEN 1 WHEN starts_with(l, '## ') THEN 2 WHEN starts_with(l, '### ') THEN 3 WHEN starts_with(l, '|') THEN -1 ELSE 0 END AS level FROM (SELECT id, unnest(string_split(t, chr(10))) AS l FROM {values('texts')})")
 def markdown_lines(spark, sf_dir):
-    rows = inline(spark, "texts").select("id", F.explode(tx.lines(F.col("t"))).alias("line"))
+    rows = spread(spark, sf_dir, "texts").select("id", F.explode(tx.lines(F.col("t"))).alias("line"))
     return rows.select("id", "line", sheets.heading_levels(F.col("line")).alias("level"))
 
 
@@ -191,7 +194,7 @@ def source_dedup(spark, sf_dir):
 
 @query(f"SELECT id, array_to_string(list_filter(f, lambda v, i: list_position(f, v) = i), ',') AS fields FROM (SELECT id, list_transform(regexp_extract_all(t, '\\{{\\{{([^{{}}]+)\\}}\\}}', 1), lambda x: {s_strip('x')}) AS f FROM {values('templates')})")
 def template_fields(spark, sf_dir):
-    return inline(spark, "templates").select("id", F.array_join(tables.placeholders(F.col("t")), ",").alias("fields"))
+    return spread(spark, sf_dir, "templates").select("id", F.array_join(tables.placeholders(F.col("t")), ",").alias("fields"))
 
 
 @query(f"WITH p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents), r AS (SELECT doc_id, unnest(range(len(ps))) AS page, unnest(ps) AS content FROM p), s AS (SELECT doc_id, page, {s_strip('content')} AS content FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM s WHERE content <> '') SELECT doc_id, page, content, CAST(1.0 AS DOUBLE) AS hybrid_score FROM k WHERE k <= 50")

@@ -1,8 +1,9 @@
-"""Inline tables of queries whose inputs the star schema and the documents don't have, for Spark and for SQL."""
+"""Cases that the tables don't have, as text and sheets: for each customer a variation, so that queries grow with the tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SQL = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
@@ -100,7 +101,45 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
+#: How a case varies from customer to customer: keys get the customer's, digits and scores change, all else stays.
+VARIED: dict[str, dict[str, str]] = {
+    "chunks": {"chunk_id": "key", "source_file": "key", "content": "digits"}, "cases": {"id": "key", "answer": "digits", "context": "digits", "truth": "digits"}, "hits": {"id": "key", "answer": "digits"},
+    "texts": {"id": "key", "t": "digits"}, "images": {"doc": "key", "content": "key"}, "pdf_pages": {"page_no": "key", "img_w": "scale", "img_h": "scale"}, "pdf_blocks": {"page": "key", "block": "digits"}, "answers": {"id": "key", "t": "digits"},
+    "numbers": {"n": "digits"}, "refs": {"ref": "digits"}, "units": {"v": "digits"}, "colours": {"c": "ones"}, "replies": {"id": "key", "t": "digits"}, "paragraphs": {"doc_id": "key"}, "sheet": {"sheet": "key", "value": "digits"},
+    "edits": {"sheet": "key", "value": "digits"}, "headers": {"name": "key"}, "fields": {"field": "key"}, "labels_t": {"ordinal": "key"}, "templates": {"id": "key", "t": "digits"}, "kv": {"id": "key", "t": "digits"}, "people": {"ord": "key", "name": "key"},
+    "slots": {"tbl": "key"}, "slot_values": {"tbl": "key", "value": "key"}, "tasks": {"task_id": "key", "file_id": "key"}, "scored": {"id": "key", "vector_score": "scale", "bm25_score": "scale"}, "items": {"doc": "key", "text": "key"},
+    "runs": {"para": "key"}, "formats": {"row": "key"}, "grid_headers": {"header": "key"}, "grid_fields": {"field": "key", "values": "digits"}, "positions": {"n": "scale"}, "cache": {"key": "key", "used_at": "scale", "expire_at": "scale"},
+    "questions": {"id": "key"}, "steps": {"id": "key", "total": "scale"}, "uploads": {"file_id": "key", "size": "scale"},
+}
+#: Rows of one customer are apart from those of others in whole keys.
+APART = 100
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str, group: bool = False) -> DataFrame:
+    """A case's rows for each customer, varied; with the customer's key as ``g`` if asked."""
+    if name not in VARIED:
+        return inline(spark, name)
+    ddl, rows = TABLES[name]
+    kinds = [c.split() for c in ddl.split(", ")]
+    cases = F.array(*[F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(r, kinds)]) for r in rows])
+    got = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("g")).select("g", F.inline(cases))
+    out = []
+    for c, kind in kinds:
+        rule, v, g = VARIED[name].get(c), F.col(c), F.col("g")
+        if rule == "key":
+            v = g * APART + v if kind == "bigint" else F.when(v != "", F.concat(v, F.lit("_"), g.cast("string"))).otherwise(v)
+        elif rule == "digits":
+            v = F.replace(F.replace(v, F.lit("5"), (g % 9 + 1).cast("string")), F.lit("1"), (g % 7 + 1).cast("string"))
+        elif rule == "ones":
+            v = F.replace(v, F.lit("1"), (g % 9 + 1).cast("string"))
+        elif rule == "scale":
+            v = v + (g % 50) * (v / 100 if kind == "double" else v % 7)
+        out.append(v.cast(kind).alias(c))
+    return got.select(*out, *(["g"] if group else []))
+
+
 def inline(spark: SparkSession, name: str) -> DataFrame:
+    """A case's rows as they are: what a user states beside a table."""
     ddl, rows = TABLES[name]
     return spark.createDataFrame(rows, ddl)
 
@@ -115,10 +154,29 @@ def _literal(v) -> str:
     return repr(v)
 
 
-def values(name: str) -> str:
-    """The inline table as a SQL subquery."""
+def stated(name: str) -> str:
+    """``inline`` as a SQL subquery."""
     ddl, rows = TABLES[name]
     columns = [c.split() for c in ddl.split(", ")]
     body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
     picked = ", ".join(f"CAST({c} AS {_SQL[t]}) AS {c}" for c, t in columns)
     return f"(SELECT {picked} FROM (VALUES {body}) AS v({', '.join(c for c, _ in columns)}))"
+
+
+def values(name: str, group: bool = False) -> str:
+    """``spread`` as a SQL subquery."""
+    if name not in VARIED:
+        return stated(name)
+    out = []
+    for c, kind in (c.split() for c in TABLES[name][0].split(", ")):
+        rule, v = VARIED[name].get(c), f"x.{c}"
+        if rule == "key":
+            v = f"g * {APART} + {v}" if kind == "bigint" else f"CASE WHEN {v} <> '' THEN {v} || '_' || g ELSE {v} END"
+        elif rule == "digits":
+            v = f"replace(replace({v}, '5', CAST(g % 9 + 1 AS VARCHAR)), '1', CAST(g % 7 + 1 AS VARCHAR))"
+        elif rule == "ones":
+            v = f"replace({v}, '1', CAST(g % 9 + 1 AS VARCHAR))"
+        elif rule == "scale":
+            v = f"{v} + (g % 50) * ({v} / 100)" if kind == "double" else f"{v} + (g % 50) * ({v} % 7)"
+        out.append(f"CAST({v} AS {_SQL[kind]}) AS {c}")
+    return f"(SELECT {', '.join(out)}{', g' if group else ''} FROM {stated(name)} x CROSS JOIN (SELECT CAST(c_custkey AS BIGINT) AS g FROM customer))"
