@@ -10,38 +10,94 @@ from pyspark.sql import functions as F
 from .functions import text as tx
 from .models import Embedder, FirstSentence, HashingEmbedder, LanguageModel, embed, overlap_scorer, prompt
 from .operators import conflicts, instructions, predicates, retrieval, sheets, tables
+from .session import cut
+from .stores.postings import KeywordIndex
+from .stores.snapshots import GRACE_SECONDS
+from .stores.vectors import VectorIndex
 from .streaming.ingest import ChunkStore
 
 
 class Workspace:
+    """Files with their chunks, a vector index and a keyword index of these, each with versions, below one folder.
+
+    What is ingested is embedded and indexed once. A question embeds itself alone, and reads cells of vectors, postings of
+    its terms and the texts of the candidates' files. The name and dimension of the embedder are facts of the index: with
+    another one ``Changed`` is raised, and ``rebuild`` makes a new version of the index from the chunks, which stay.
+    """
+
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None, model: LanguageModel | None = None):
         self.spark, self.store = spark, ChunkStore(spark, folder)
         self.embedder, self.model = embedder or HashingEmbedder(), model or FirstSentence()
+        facts = {"embedder": type(self.embedder).__name__, "size": len(self.embedder.encode(["dimension"])[0])}
+        self.vectors, self.words = VectorIndex(spark, f"{folder}/vectors", facts), KeywordIndex(spark, f"{folder}/words")
 
-    def ingest(self, files: DataFrame, force: bool = True) -> None:
-        self.store.merge(files.select("file_id", "text"), force)
+    def _embedded(self, chunks: DataFrame) -> DataFrame:
+        rows = chunks.select(F.col("chunk_id").alias("id"), "file_id", F.lit(None).cast("string").alias("label"), "content")
+        return embed(rows, "content", self.embedder).drop("content")
 
-    def delete(self, file_ids: Sequence[int]) -> None:
-        self.store.delete(self.spark.createDataFrame([(i,) for i in file_ids], "file_id bigint"))
+    @staticmethod
+    def _texts(chunks: DataFrame) -> DataFrame:
+        return chunks.select(F.col("chunk_id").alias("id"), "file_id", F.col("content").alias("text"))
 
-    def retrieve(self, question: str, file_ids: Sequence[int] | None = None, k: int = 8) -> DataFrame:
-        """The k best chunks: both searches, fused, deduplicated, reranked and put in order by novelty."""
+    def rebuild(self) -> None:
+        """Indexes all chunks anew, with the embedder at hand; versions of the indexes before stay readable."""
         rows = self.store.read()
         if rows is None:
             raise LookupError("nothing is ingested")
-        if file_ids:
-            rows = rows.where(F.col("file_id").isin(list(file_ids)))  # before statistics: they are those of these files
+        self.vectors.build(self._embedded(rows))
+        self.words.build(self._texts(rows))
+
+    def ingest(self, files: DataFrame, force: bool = True) -> None:
+        """Chunks, embeds and indexes files (file_id, text); without force those that are there already stay as they are."""
+        if self.vectors.table.versions():
+            self.vectors.rows()  # raises before anything is written if the embedder has changed
+        ids = files.select(F.col("file_id").cast("bigint").alias("file_id"))
+        known = self.store.read()
+        if known is not None and not force:
+            ids = cut(ids.join(known.select("file_id").distinct(), "file_id", "left_anti"), "new-files")
+            files = files.join(ids, "file_id", "left_semi")
+        self.store.merge(files)
+        if known is None or not self.vectors.table.versions():
+            self.rebuild()
+            return
+        rows = self.store.read().join(ids.distinct(), "file_id", "left_semi")
+        self.vectors.upsert(self._embedded(rows), ids)
+        self.words.upsert(self._texts(rows), ids)
+
+    def delete(self, file_ids: Sequence[int]) -> None:
+        ids = self.spark.createDataFrame([(i,) for i in file_ids], "file_id bigint")
+        self.store.delete(ids)
+        if self.vectors.table.versions():
+            self.vectors.delete(ids)
+            self.words.delete(ids)
+
+    def vacuum(self, grace: float = GRACE_SECONDS) -> None:
+        """Drops versions that were superseded long ago."""
+        for t in (self.store.table, self.vectors.table, self.words.table):
+            t.vacuum(grace=grace)
+
+    def retrieve(self, question: str, file_ids: Sequence[int] | None = None, k: int = 8, exact: bool = False) -> DataFrame:
+        """The k best chunks: both searches, fused, deduplicated, reranked and put in order by novelty.
+        """
+        if not self.store.table.versions():
+            raise LookupError("nothing is ingested")
+        where = F.col("file_id").isin(list(file_ids)) if file_ids else None  # statistics are those of these files
         terms = tx.query_terms(question)
         vector = [float(x) for x in self.embedder.encode([question])[0]]
-        near = retrieval.vector_topk(embed(rows.select("chunk_id", "content"), "content", self.embedder), "chunk_id", "embedding", vector, 2 * k)
-        scores = retrieval.bm25(rows, "chunk_id", "content", terms)
-        cand = retrieval.merge_candidates(near, scores, "chunk_id", 3 * k)
+        near = cut(self.vectors.search(vector, 2 * k, exact=exact, where=where), "near")
+        best = cut(self.words.search(terms, 3 * k, where), "best")
+        ids = near.select("id", "file_id").unionByName(best.select("id", "file_id")).distinct()
+        scores = best.select("id", "score").unionByName(self.words.scores(terms, ids.join(best, "id", "left_anti"), where))
+        cand = retrieval.merge_candidates(near.select(F.col("id").alias("chunk_id"), "distance"), scores.select(F.col("id").alias("chunk_id"), "score"), "chunk_id", 3 * k)
         lists = [cand.where("vector_score > 0 OR distance IS NOT NULL").select("chunk_id", F.col("vector_score").alias("score")), cand.where("bm25_score > 0").select("chunk_id", F.col("bm25_score").alias("score"))]
         fused = cand.select("chunk_id").join(retrieval.rrf(lists, "chunk_id"), "chunk_id", "left").na.fill(0.0, ["hybrid_score"])
-        found = rows.select("chunk_id", "file_id", "content", "page").join(F.broadcast(fused), "chunk_id")  # some tens of candidates
-        best = retrieval.content_dedup(found, "content", [F.col("hybrid_score").desc(), F.col("chunk_id")]).orderBy(F.col("hybrid_score").desc(), "chunk_id").limit(2 * k)
-        ranked = retrieval.rerank(best, "content", terms, k, overlap_scorer(terms))
-        order = retrieval.mmr(embed(ranked.select("chunk_id", "content"), "content", self.embedder), "chunk_id", "embedding", vector)
+        files = [r["file_id"] for r in ids.select("file_id").distinct().collect()]  # of some tens of candidates
+        rows = self.store.read().where(F.col("file_id").isin(files))
+        found = rows.select("chunk_id", "file_id", "content", "page").join(F.broadcast(fused), "chunk_id")
+        kept = cut(retrieval.content_dedup(found, "content", [F.col("hybrid_score").desc(), F.col("chunk_id")]).orderBy(F.col("hybrid_score").desc(), "chunk_id").limit(2 * k), "kept")
+        ranked = cut(retrieval.rerank(kept.orderBy(F.col("hybrid_score").desc(), "chunk_id"), "content", terms, k, overlap_scorer(terms)), "ranked")
+        own = self.vectors.rows().where(F.col("file_id").isin(files)).join(F.broadcast(ranked.select(F.col("chunk_id").alias("id"))), "id", "left_semi")
+        order = retrieval.mmr(own.select(F.col("id").alias("chunk_id"), "embedding"), "chunk_id", "embedding", vector)
         return ranked.join(order, "chunk_id").orderBy("place").drop("place")
 
     def ask(self, question: str, file_ids: Sequence[int] | None = None, k: int = 8) -> dict:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import chunking
 from ..session import fresh_dir
+from ..stores.snapshots import SnapshotTable, State
 
 
 def distinct_stream(spark: SparkSession, folder: str, glob: str, schema, keys: list[str]) -> DataFrame:
@@ -28,61 +29,33 @@ def distinct_with_watermark(stream: DataFrame, time: str, delay: str, keys: list
 
 
 class ChunkStore:
-    """The chunks of files below a folder, partitioned by a bucket of the file's id; each batch replaces its files' chunks."""
+    """The chunks of files below a folder, with versions; each batch replaces its files' chunks and costs its own rows."""
 
-    BUCKETS = 64
-    SCHEMA = "file_id bigint, pos bigint, chunk_id string, content string, header string, page bigint, bucket int"
+    SCHEMA = "file_id bigint, pos bigint, chunk_id string, content string, header string, page bigint"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.table = SnapshotTable(spark, f"{folder}/chunks", self.SCHEMA, "file_id", order=("file_id",))
 
     def chunk(self, files: DataFrame) -> DataFrame:
-        rows = chunking.chunks(files.select(F.col("file_id").cast("bigint").alias("file_id"), "text"), "file_id", tx.sections(tx.mark_headers(tx.clean(F.col("text")))))
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("file_id"), F.lit(self.BUCKETS)).cast("int"))
+        return chunking.chunks(files.select(F.col("file_id").cast("bigint").alias("file_id"), "text"), "file_id", tx.sections(tx.mark_headers(tx.clean(F.col("text")))))
 
-    def _exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/chunks")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def read(self) -> DataFrame | None:
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/chunks") if self._exists() else None
-
-    def merge(self, files: DataFrame, force: bool = True) -> None:
-        """Adds the chunks of files (file_id, text); without force, files that are there already stay as they are.
-
-        Only the buckets of the files at hand are rewritten, from a copy in the shared folder.
-        """
-        from ..session import cut
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """The chunks of a version, the latest by default; None before the first one."""
+        return self.table.read(version) if self.table.versions() else None
 
+    def merge(self, files: DataFrame, force: bool = True) -> State:
+        """Adds the chunks of files (file_id, text); without force, files that are there already stay as they are."""
         old = self.read()
         if old is not None and not force:
             files = files.join(old.select("file_id").distinct(), "file_id", "left_anti")
-        new = self.chunk(files)
-        if old is not None:
-            touched = files.select(F.pmod(F.xxhash64("file_id"), F.lit(self.BUCKETS)).cast("int").alias("bucket")).distinct()
-            stay = old.join(touched, "bucket", "left_semi").join(files.select("file_id").distinct(), "file_id", "left_anti")
-            new = new.unionByName(stay)
-        rows = cut(new, "chunks")
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/chunks")
-
-    def delete(self, ids: DataFrame) -> None:
-        """Removes files by id: their buckets are written without them; a bucket that gets empty is removed."""
-        from ..session import cut
+        return self.table.upsert(self.chunk(files), files.select(F.col("file_id").cast("bigint").alias("file_id")))
 
-        old = self.read()
-        if old is None:
-            return
-        touched = ids.select(F.pmod(F.xxhash64("file_id"), F.lit(self.BUCKETS)).cast("int").alias("bucket")).distinct()
-        stay = cut(old.join(touched, "bucket", "left_semi").join(ids, "file_id", "left_anti"), "chunks")
-        left = {r["bucket"] for r in stay.select("bucket").distinct().collect()}  # at most BUCKETS rows
-        jvm = self.spark.sparkContext._jvm
-        for b in sorted({r["bucket"] for r in touched.collect()} - left):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/chunks/bucket={b}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        stay.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/chunks")
+    def delete(self, ids: DataFrame) -> State:
+        """Removes files by id."""
+        return self.table.delete(ids)
 
     def ingest(self, stream: DataFrame) -> None:
-        """Runs a stream of (file_id, text) to its present end, batch by batch."""
+        """Runs a stream of (file_id, text) to its present end, batch by batch; a batch that is run again replaces itself."""
         query = stream.writeStream.foreachBatch(lambda df, _: self.merge(df.dropDuplicates(["file_id"]))).option("checkpointLocation", f"{self.folder}/state").trigger(availableNow=True).start()
         query.awaitTermination()
