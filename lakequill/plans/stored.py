@@ -138,3 +138,76 @@ def table_versions(spark, sf_dir):
         rows = kept.read(version).withColumn("version", F.lit(version))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("version", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# conditions and changes as rows
+
+
+def _rules(spark, sf_dir):
+    """Rules of a table for each customer: orders of its own above its balance, or urgent ones of a range of customers."""
+    who = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("tbl"), "c_acctbal")
+    text = lambda c: c.cast("string")
+    rule = lambda grp, col, op, v1, v2="": F.struct(F.lit(grp).alias("grp"), F.lit(col).alias("col"), F.lit(op).alias("op"), text(v1).alias("v1"), F.lit(v2).alias("v2") if isinstance(v2, str) else text(v2).alias("v2"))
+    own = F.array(rule(1, "o_custkey", "eq", F.col("tbl")), rule(1, "o_totalprice", "gte", F.floor(F.col("c_acctbal") * 20)))
+    urgent = F.array(rule(2, "o_orderpriority", "eq", F.lit("1-URGENT")), rule(2, "o_custkey", "between", F.col("tbl"), F.col("tbl") + 3), rule(2, "orderstatus", "neq", F.lit("P")))
+    rows = who.select("tbl", F.explode(F.when(F.col("tbl") % 50 == 0, F.concat(own, urgent)).otherwise(own)).alias("r"))
+    return rows.select("tbl", "r.*")
+
+
+_KEPT = """kept AS (SELECT c_custkey AS tbl, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey AND o_totalprice >= floor(c_acctbal * 20)
+ UNION SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey % 50 = 0 AND o_orderpriority = '1-URGENT' AND o_custkey BETWEEN c_custkey AND c_custkey + 3 AND o_orderstatus <> 'P')"""
+
+
+@query(f"WITH {_KEPT} SELECT CAST(tbl AS BIGINT) AS tbl, o_orderkey FROM kept")
+def rules_of_tables(spark, sf_dir):
+    from ..operators import rules
+
+    return rules.matches(table(spark, sf_dir, "orders"), "o_orderkey", _rules(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_KEPT}, c AS (SELECT o_orderkey, unnest([1, 2]) AS col, unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus]) AS value FROM orders),
+ own AS (SELECT tbl, col, value, row_number() OVER (PARTITION BY tbl, col ORDER BY o_orderkey) AS place FROM kept JOIN c USING (o_orderkey)),
+ head AS (SELECT col, value, row_number() OVER (PARTITION BY col ORDER BY o_orderkey) AS place FROM c), none AS (SELECT c_custkey AS tbl FROM customer WHERE c_custkey NOT IN (SELECT tbl FROM kept))
+ SELECT CAST(tbl AS BIGINT) AS tbl, CAST(col AS BIGINT) AS col, CAST(place AS BIGINT) AS place, value FROM own WHERE place <= 5 UNION ALL SELECT CAST(tbl AS BIGINT), CAST(col AS BIGINT), CAST(place AS BIGINT), value FROM none CROSS JOIN head WHERE place <= 5"""
+)
+def fill_many_tables(spark, sf_dir):
+    """A template for each customer, filled from the orders that its own rules keep, all in one plan."""
+    from ..operators import rules
+
+    heads = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("tbl"), F.explode(F.array(*[F.struct(F.lit(k).cast("bigint").alias("col"), F.lit(h).alias("header")) for k, h in ((1, "O OrderKey"), (2, "o_orderstatus"), (3, "none such"))])).alias("h")).select("tbl", "h.*")
+    return rules.fill_tables(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey", _rules(spark, sf_dir), heads, 5)
+
+
+def _changes(spark, sf_dir):
+    """A preview of open orders becoming urgent and customers of 7 becoming closed; meanwhile every fifth order has changed."""
+    from ..operators import changes
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    wish = rows.withColumn("o_orderpriority", F.when(F.col("o_orderstatus") == "O", "1-URGENT").otherwise(F.col("o_orderpriority"))).withColumn("o_orderstatus", F.when(F.col("o_custkey") % 7 == 0, None).otherwise(F.col("o_orderstatus")))
+    seen = changes.preview(rows, wish, "o_orderkey")
+    now = rows.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, "2-HIGH").otherwise(F.col("o_orderpriority"))).where("o_orderkey % 11 <> 0")
+    return now, seen
+
+
+_CHANGED = """r AS (SELECT o_orderkey, o_orderpriority AS p, o_orderstatus AS s, CASE WHEN o_orderstatus = 'O' THEN '1-URGENT' ELSE o_orderpriority END AS p2, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS s2, CASE WHEN o_orderkey % 5 = 0 THEN '2-HIGH' ELSE o_orderpriority END AS p1 FROM orders)"""
+
+
+@query(f"WITH {_CHANGED} SELECT o_orderkey, s2 AS o_orderstatus, CASE WHEN p1 = p THEN p2 ELSE p1 END AS o_orderpriority FROM r WHERE o_orderkey % 11 <> 0")
+def change_set_applied(spark, sf_dir):
+    """The table after the changes, applied twice."""
+    from ..operators import changes
+
+    now, seen = _changes(spark, sf_dir)
+    return changes.apply(changes.apply(now, seen, "o_orderkey"), seen, "o_orderkey").drop("o_custkey")
+
+
+@query(
+    f"""WITH {_CHANGED}, e AS (SELECT o_orderkey, 'o_orderpriority' AS field, p AS old, p2 AS new, p1 AS now FROM r WHERE p IS DISTINCT FROM p2 UNION ALL SELECT o_orderkey, 'o_orderstatus', s, s2, s FROM r WHERE s IS DISTINCT FROM s2)
+ SELECT o_orderkey, field, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN now IS NOT DISTINCT FROM old THEN 'applied' WHEN now IS NOT DISTINCT FROM new THEN 'done' ELSE 'stale' END AS outcome FROM e"""
+)
+def change_set_outcome(spark, sf_dir):
+    from ..operators import changes
+
+    now, seen = _changes(spark, sf_dir)
+    return changes.outcome(now, seen, "o_orderkey").select("o_orderkey", "field", "outcome")
