@@ -867,4 +867,4 @@ def stream_ingest_dedup(spark, sf_dir):
     return distinct_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, ["user_id", "event_type"])
 
 
-from . import extras, stored  # noqa: E402, F401  their queries join those above
+from . import extras, files, stored  # noqa: E402, F401  their queries join those above

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +94,9 @@ def parse_xlsx(data: bytes) -> tuple[list[tuple[str, int, int, str]], list[tuple
     return cells, merged
 
 
-def _parsed(spark: SparkSession, path: str, glob: str, schema: str, one) -> DataFrame:
+def parsed(files: DataFrame, schema: str, one) -> DataFrame:
+    """Rows of files (path, content), each parsed in one task; the schema begins with path and ends with error."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for pdf in parts:
@@ -104,18 +108,138 @@ def _parsed(spark: SparkSession, path: str, glob: str, schema: str, one) -> Data
                 rows = [(file, *r, None) for r in rows] or ([(file, *[None] * (len(names) - 2), error)] if error else [])
                 yield pd.DataFrame(rows, columns=names).astype(object)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
-    return files.mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+
+CELLS = "path string, sheet string, row bigint, col bigint, value string, error string"
+TABLE_CELLS = "path string, tbl bigint, row bigint, col bigint, value string, error string"
+PIECES = "path string, pos bigint, kind string, text string, error string"
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """path, ordinal, kind, style, text, bold, tbl, error of each body element."""
-    return _parsed(spark, path, "*.docx", "path string, ordinal bigint, kind string, style string, text string, bold boolean, tbl bigint, error string", parse_docx)
+    return parsed(_files(spark, path, "*.docx"), "path string, ordinal bigint, kind string, style string, text string, bold boolean, tbl bigint, error string", parse_docx)
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """path, sheet, row, col, value, error of each filled cell."""
-    return _parsed(spark, path, "*.xlsx", "path string, sheet string, row bigint, col bigint, value string, error string", lambda d: parse_xlsx(d)[0])
+    return parsed(_files(spark, path, "*.xlsx"), CELLS, lambda d: parse_xlsx(d)[0])
+
+
+def parse_docx_tables(data: bytes) -> list[tuple[int, int, int, str]]:
+    """Cells (tbl, row, col, value) of the tables of a document, all 1-based; a cell that spans columns or rows is in each.
+
+    A column is a place of the table's grid, so rows of differing spans line up; tables within cells belong to these.
+    """
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+    out = []
+    for t, table in enumerate(body.findall(f"{_W}tbl") if body is not None else (), 1):
+        above: dict[int, str] = {}
+        for r, row in enumerate(table.findall(f"{_W}tr"), 1):
+            before = row.find(f"{_W}trPr/{_W}gridBefore")
+            col = 1 + (int(before.get(f"{_W}val")) if before is not None else 0)
+            now: dict[int, str] = {}
+            for cell in row.findall(f"{_W}tc"):
+                span, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+                goes_on = merge is not None and merge.get(f"{_W}val", "continue") == "continue"
+                value = above.get(col, "") if goes_on else re.sub(r"\s*\n\s*", " ", "\n".join(_runs(p) for p in cell.findall(f"{_W}p"))).strip()
+                for _ in range(int(span.get(f"{_W}val")) if span is not None else 1):
+                    now[col] = value
+                    out.append((t, r, col, value))
+                    col += 1
+            above = now
+    return out
+
+
+def read_docx_tables(spark: SparkSession, path: str) -> DataFrame:
+    """path, tbl, row, col, value, error of each cell of tables."""
+    return parsed(_files(spark, path, "*.docx"), TABLE_CELLS, parse_docx_tables)
+
+
+def _member(data: bytes, name: str) -> bytes:
+    """A member of a zip file, or what is there of it: read from its own header, since the list at the end may be gone."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return z.read(name)
+    except (zipfile.BadZipFile, KeyError, zlib.error, EOFError, ValueError, NotImplementedError):
+        pass
+    at = -1
+    while (at := data.find(b"PK\x03\x04", at + 1)) >= 0:
+        head = data[at : at + 30]
+        if len(head) < 30:
+            break
+        method, size, n, extra = *struct.unpack("<H", head[8:10]), *struct.unpack("<I", head[18:22]), *struct.unpack("<HH", head[26:30])
+        if data[at + 30 : at + 30 + n] != name.encode():
+            continue
+        body = data[at + 30 + n + extra :]
+        if method == 0:
+            return body[:size] if size else body
+        inflate, out = zlib.decompressobj(-15), []
+        for k in range(0, len(body), 64):  # in small parts: what precedes a fault counts
+            try:
+                out.append(inflate.decompress(body[k : k + 64]))
+            except zlib.error:
+                break
+            if inflate.eof:
+                break
+        return b"".join(out)
+    return b""
+
+
+_TOKEN = re.compile(r"<(/?)w:(p|tr|tc|tbl)(?=[\s>/])[^>]*?(/?)>|<w:t(?:\s[^>]*)?>([^<]*)")
+
+
+def recover_docx(data: bytes) -> list[tuple[int, str, str]]:
+    """(pos, kind, text) of the paragraphs and table rows of a damaged document, as far as it can be read.
+
+    White space is collapsed; cells of a row are joined by bars, empty ones left out. A tag that is cut off ends the text.
+    """
+    xml = _member(data, "word/document.xml").decode("utf-8", "ignore")
+    out: list[tuple[int, str, str]] = []
+    text, cells, tables = [], [], 0
+
+    def put(kind: str, value: str) -> None:
+        if value:
+            out.append((len(out), kind, value))
+
+    def flat() -> str:
+        value = re.sub(r"\s+", " ", unescape("".join(text), {"&quot;": '"', "&apos;": "'"})).strip()
+        text.clear()
+        return value
+
+    for m in _TOKEN.finditer(xml):
+        end, name, alone, words = m.groups()
+        if name is None:
+            text.append(words)
+        elif name == "tbl" and not alone:
+            if not tables:
+                put("paragraph", flat())
+            tables = max(0, tables + (-1 if end else 1))
+        elif tables == 0 and name == "p" and end:
+            put("paragraph", flat())
+        elif tables and name == "p" and end:
+            text.append(" ")
+        elif tables == 1 and name == "tc" and end:
+            cells.append(flat())
+        elif tables == 1 and name == "tr" and end:
+            put("row", " | ".join(c for c in cells if c))
+            cells.clear()
+    last = flat()
+    if tables:
+        put("row", " | ".join(c for c in [*cells, last] if c))
+    else:
+        put("paragraph", last)
+    return out
+
+
+def read_damaged_docx(spark: SparkSession, path: str) -> DataFrame:
+    """path, pos, kind, text, error of what can be read of each document, whole or not."""
+    return parsed(_files(spark, path, "*.docx"), PIECES, recover_docx)
 
 
 def _letters(n: int) -> str:
@@ -150,9 +274,21 @@ def xlsx_bytes(sheets: dict[str, list[list[object]]]) -> bytes:
     return sink.getvalue()
 
 
-def docx_bytes(paragraphs: list[tuple[str, int]]) -> bytes:
-    """A document of (text, heading level) paragraphs; level 0 is body text."""
-    body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}Heading{n}{chr(34)}/></w:pPr>" if n else ""}<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for t, n in paragraphs)
+def table_xml(rows: list[list[tuple[str, int, bool]]]) -> str:
+    """A table of rows of (text, columns spanned, whether it goes on from the cell above)."""
+    out = []
+    for row in rows:
+        cells = []
+        for k, (value, span, goes_on) in enumerate(row):
+            marks = (f'<w:gridSpan w:val="{span}"/>' if span > 1 else "") + ("<w:vMerge/>" if goes_on else '<w:vMerge w:val="restart"/>' if k == 0 else "")
+            cells.append(f'<w:tc><w:tcPr>{marks}</w:tcPr><w:p><w:r><w:t xml:space="preserve">{"" if goes_on else escape(value)}</w:t></w:r></w:p></w:tc>')
+        out.append(f"<w:tr>{''.join(cells)}</w:tr>")
+    return f"<w:tbl>{''.join(out)}</w:tbl>"
+
+
+def docx_bytes(paragraphs: list[tuple[str, int]], tables: str = "") -> bytes:
+    """A document of (text, heading level) paragraphs, level 0 is body text, and of tables behind them."""
+    body = "".join(f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}Heading{n}{chr(34)}/></w:pPr>" if n else ""}<w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for t, n in paragraphs) + tables
     styles = "".join(f'<w:style w:type="paragraph" w:styleId="Heading{n}"><w:name w:val="heading {n}"/></w:style>' for n in (1, 2, 3))
     sink = io.BytesIO()
     with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as z:
