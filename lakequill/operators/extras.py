@@ -209,3 +209,26 @@ def apply_all(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], Da
             return df, [*done, {"step": name, "success": False, "message": str(e)}]
         done.append({"step": name, "success": True, "message": ""})
     return df, done
+
+
+# The title of a file's text, what stands for a cut, characters of a workbook's text.
+SOURCE_TITLE, SOURCE_CUT, SOURCE_CHARS = ("=== 文件：", " ===\n"), "\n...[内容过长已截断]...", 60_000
+
+
+def cut_at_line(c: Column, most: int = SOURCE_CHARS) -> Column:
+    """A text's beginning of most characters, back to the last line's end in it, with a mark; shorter texts are whole."""
+    head = F.substring(c, 1, most)
+    back = F.instr(F.reverse(head), "\n")
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.when((back > 0) & (back < most), F.substring(c, F.lit(1), most - back)).otherwise(head), F.lit(SOURCE_CUT)))
+
+
+def source_texts(files: DataFrame, group: str, order: str, name: str, text: str, workbook: Column | None = None) -> DataFrame:
+    """group and text: what a model reads of the files of each group, below their names; blank files are left out.
+
+    Texts of workbooks are cut to SOURCE_CHARS. A group is what one question is asked about.
+    """
+    body = F.col(text) if workbook is None else F.when(workbook, cut_at_line(F.col(text))).otherwise(F.col(text))
+    rows = files.withColumn("__t", tx.strip(body)).where("__t != ''")
+    one = F.concat(F.lit(SOURCE_TITLE[0]), F.col(name), F.lit(SOURCE_TITLE[1]), "__t")
+    got = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), one.alias("l")))).alias("x"))
+    return got.select(group, F.array_join(F.transform("x", lambda s: s["l"]), "\n\n").alias("text"))

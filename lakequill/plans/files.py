@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import workbooks
+from ..operators import extras, workbooks
 from ..sources import office
-from .catalog import query, table
+from .catalog import query, s_strip, table
 
 #: Rows of a workbook: the orders of so many customers together.
 TOGETHER = 8
@@ -102,3 +102,35 @@ def damaged_documents(spark, sf_dir):
     rows = office.parsed(files, office.PIECES, office.recover_docx).where("error IS NULL")
     got = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("x"))
     return got.select(F.col("path").cast("bigint").alias("doc_id"), "n", F.md5(F.array_join(F.transform("x", lambda s: s["text"]), "\n")).alias("digest"))
+
+
+@query(
+    """WITH l AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', ' ', 'g'), chr(10)), 1) AS i FROM conversations),
+ p AS (SELECT conv_id, turn, i, l FROM l WHERE l <> '' UNION ALL SELECT conv_id, turn, 0, turn || '.docx' FROM conversations)
+ SELECT conv_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(l, chr(10) ORDER BY turn, i)) AS digest, CAST(count(DISTINCT turn) AS BIGINT) AS headings FROM p GROUP BY conv_id"""
+)
+def merged_documents(spark, sf_dir):
+    """Each turn of a conversation as a document, those of a conversation merged into one and read back."""
+
+    def make(parts):
+        for pdf in parts:
+            yield pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "path": "in/" + pdf["turn"].astype(str) + ".docx", "content": [office.docx_bytes([(line, 0) for line in t.split("\n")]) for t in pdf["text"]]})
+
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", " ")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), clean.alias("text"))
+    merged = office.merged_docx(rows.mapInPandas(make, "conv_id bigint, turn bigint, path string, content binary"), "conv_id", "turn")
+    schema = "path string, ordinal bigint, kind string, style string, text string, bold boolean, tbl bigint, error string"
+    back = office.parsed(merged.select(F.col("conv_id").cast("string").alias("path"), "content"), schema, office.parse_docx).where("text != ''")
+    got = back.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("x"), F.count_if(F.col("style") == "heading 1").alias("headings"))
+    return got.select(F.col("path").cast("bigint").alias("conv_id"), "n", F.md5(F.array_join(F.transform("x", lambda s: s["text"]), "\n")).alias("digest"), "headings")
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, role, text, CASE WHEN role = 'user' AND length(text) > 200 THEN left(text, 200) ELSE text END AS h FROM conversations),
+ b AS (SELECT conv_id, turn, role, CASE WHEN h = text THEN text WHEN instr(reverse(h), chr(10)) BETWEEN 1 AND 199 THEN left(h, 200 - instr(reverse(h), chr(10))) || chr(10) || '...[内容过长已截断]...' ELSE h || chr(10) || '...[内容过长已截断]...' END AS t FROM c),
+ s AS (SELECT *, {s_strip('t')} AS x FROM b) SELECT conv_id, string_agg('=== 文件：' || role || ' ===' || chr(10) || x, chr(10) || chr(10) ORDER BY turn) AS text FROM s WHERE x <> '' GROUP BY conv_id"""
+)
+def source_texts(spark, sf_dir):
+    """Turns as files of a conversation, users' ones as workbooks that are cut at a line."""
+    cut = F.when(F.col("role") == "user", extras.cut_at_line(F.col("text"), 200)).otherwise(F.col("text"))
+    return extras.source_texts(table(spark, sf_dir, "conversations").withColumn("text", cut), "conv_id", "turn", "role", "text")

@@ -299,6 +299,83 @@ def docx_bytes(paragraphs: list[tuple[str, int]], tables: str = "") -> bytes:
     return sink.getvalue()
 
 
+_PAGE = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
+
+
+def merge_docx(files: list[tuple[str, bytes]]) -> bytes:
+    """One document of several (name, content), in order: each on a new page below its name as a heading, tables included.
+
+    Parts that a document refers to, such as images, come along under names of their own, and its references follow. Styles
+    are those of the first document that has one of that id; section settings are those of the last one.
+    """
+    ET.register_namespace("w", _W[1:-1])
+    ET.register_namespace("r", _R[1:-1])
+    bodies, parts, relations, styles, last = [], {}, [], {}, None
+    kinds: dict[str, str] = {}
+    for k, (name, data) in enumerate(files):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = set(z.namelist())
+            body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+            if "word/styles.xml" in names:
+                for s in ET.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
+                    styles.setdefault(s.get(f"{_W}styleId"), ET.tostring(s, encoding="unicode"))
+            for d in ET.fromstring(z.read("[Content_Types].xml")):
+                if d.get("Extension"):
+                    kinds.setdefault(d.get("Extension"), d.get("ContentType"))
+            new = {}
+            if "word/_rels/document.xml.rels" in names:
+                for r in ET.fromstring(z.read("word/_rels/document.xml.rels")):
+                    target = r.get("Target")
+                    at = target.lstrip("/") if target.startswith("/") else f"word/{target}"
+                    if r.get("TargetMode") != "External":
+                        if at not in names or r.get("Type").endswith(("/styles", "/settings", "/fontTable", "/theme", "/webSettings", "/numbering")):
+                            continue
+                        target = f"d{k}/{at.rpartition('/')[2]}"
+                        parts[f"word/{target}"] = z.read(at)
+                    new[r.get("Id")] = f"rId{len(relations) + 100}"
+                    mode = ' TargetMode="External"' if r.get("TargetMode") == "External" else ""
+                    relations.append(f'<Relationship Id="{new[r.get("Id")]}" Type="{r.get("Type")}" Target="{escape(target)}"{mode}/>')
+        if k:
+            bodies.append(_PAGE)
+        bodies.append(f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t xml:space="preserve">{escape(name)}</w:t></w:r></w:p>')
+        for node in body if body is not None else ():
+            if node.tag == f"{_W}sectPr":
+                last = node
+                continue
+            for x in node.iter():
+                for key, value in x.attrib.items():
+                    if key.startswith(_R) and value in new:
+                        x.set(key, new[value])
+            bodies.append(ET.tostring(node, encoding="unicode"))
+    tail = "" if last is None else ET.tostring(last, encoding="unicode")
+    types = "".join(f'<Default Extension="{e}" ContentType="{t}"/>' for e, t in kinds.items() if e not in ("rels", "xml"))
+    with zipfile.ZipFile(io.BytesIO(docx_bytes([]))) as z, io.BytesIO() as sink:
+        with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as out:
+            head = z.read("[Content_Types].xml").decode()
+            out.writestr("[Content_Types].xml", head.replace("<Override", types + "<Override", 1))
+            out.writestr("_rels/.rels", z.read("_rels/.rels"))
+            own = ET.fromstring(z.read("word/styles.xml"))
+            for s in own.iter(f"{_W}style"):
+                styles.setdefault(s.get(f"{_W}styleId"), ET.tostring(s, encoding="unicode"))
+            out.writestr("word/styles.xml", f'<?xml version="1.0"?><w:styles xmlns:w="{_W[1:-1]}">{"".join(styles.values())}</w:styles>')
+            kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles"
+            out.writestr("word/_rels/document.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{kind}" Target="styles.xml"/>{"".join(relations)}</Relationships>')
+            for name, data in parts.items():
+                out.writestr(name, data)
+            out.writestr("word/document.xml", f'<?xml version="1.0"?><w:document xmlns:w="{_W[1:-1]}" xmlns:r="{_R[1:-1]}"><w:body>{"".join(bodies)}{tail}</w:body></w:document>')
+        return sink.getvalue()
+
+
+def merged_docx(files: DataFrame, output: str, order: str) -> DataFrame:
+    """output and content: the documents (path, content) of each output in one; an output is one file and must fit a task."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pd.DataFrame({output: [pdf[output].iloc[0]], "content": [merge_docx([(p.rpartition("/")[2], bytes(c)) for p, c in zip(pdf["path"], pdf["content"])])]})
+
+    return files.groupBy(output).applyInPandas(one, f"{output} {dict(files.dtypes)[output]}, content binary")
+
+
 def markdown_to_docx(text: str) -> bytes:
     """Headings of level 1 to 3 and paragraphs; table lines are left out."""
     rows = []

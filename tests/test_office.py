@@ -1,6 +1,7 @@
 """Workbooks, tables of documents and damaged files."""
 
 import io
+import re
 import zipfile
 
 import pytest
@@ -70,3 +71,30 @@ def test_every_beginning_of_a_file_gives_what_comes_before_the_cut(method):
         longest = max(longest, len(got))
         assert got[:-1] == want[: max(0, len(got) - 1)]
     assert longest == len(want) and office.recover_docx(b"") == office.recover_docx(b"junk") == []
+
+
+def with_image(text, picture):
+    """A document that refers to an image."""
+    data, sink = office.docx_bytes([(text, 0)]), io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, zipfile.ZipFile(sink, "w") as out:
+        for n in z.namelist():
+            body = z.read(n).decode()
+            if n == "word/document.xml":
+                body = body.replace("</w:body>", '<w:p><w:r><w:drawing><a:blip xmlns:a="urn:a" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" r:embed="rId7"/></w:drawing></w:r></w:p></w:body>')
+            out.writestr(n, body.replace("<Override", '<Default Extension="png" ContentType="image/png"/><Override', 1) if n == "[Content_Types].xml" else body)
+        out.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="http://x/image" Target="media/image1.png"/></Relationships>')
+        out.writestr("word/media/image1.png", picture)
+    return sink.getvalue()
+
+
+def test_documents_are_merged_with_tables_and_images():
+    table = office.table_xml([[("a", 1, False), ("b", 1, False)], [("1 < 2", 2, False)]])
+    merged = office.merge_docx([("one.docx", with_image("first", b"P1")), ("two.docx", office.docx_bytes([("Title", 2)], table)), ("three.docx", with_image("last", b"P2"))])
+    rows = office.parse_docx(merged)
+    assert [(r[1], r[3]) for r in rows if r[3] or r[1] == "image"] == [("paragraph", "one.docx"), ("paragraph", "first"), ("image", ""), ("paragraph", "two.docx"), ("paragraph", "Title"), ("row", "a | b"), ("row", "1 < 2"), ("paragraph", "three.docx"), ("paragraph", "last"), ("image", "")]
+    assert office.parse_docx_tables(merged) == [(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 2, 1, "1 < 2"), (1, 2, 2, "1 < 2")]
+    with zipfile.ZipFile(io.BytesIO(merged)) as z:
+        xml, rels = z.read("word/document.xml").decode(), z.read("word/_rels/document.xml.rels").decode()
+        assert {z.read(f"word/d{k}/image1.png") for k in (0, 2)} == {b"P1", b"P2"}
+        assert len(set(re.findall(r'embed="(rId\d+)"', xml))) == 2 and all(f'Id="{i}"' in rels for i in re.findall(r'embed="(rId\d+)"', xml))
+        assert xml.count('w:type="page"') == 2 and 'Extension="png"' in z.read("[Content_Types].xml").decode()
