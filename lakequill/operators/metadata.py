@@ -38,3 +38,20 @@ def valid_upload(name: Column, size: Column, most_bytes: int = 50 * 2**20) -> Co
     from ..functions.text import extension
 
     return extension(name).isin("pdf", "docx", "xlsx", "txt", "md") & (size <= most_bytes)
+
+
+def guard(wanted: DataFrame, files: DataFrame, status: str = "indexed") -> DataFrame:
+    """What stands against a request for files: file_id and outcome ('ok', 'missing', or 'not ' and the status it needs).
+
+    files are (file_id, status); of an id that comes several times, one row of that status is enough.
+    """
+    known = files.groupBy("file_id").agg(F.max((F.col("status") == status).cast("int")).alias("__ok"))
+    outcome = F.when(F.col("__ok") == 1, "ok").when(F.col("__ok") == 0, f"not {status}").otherwise("missing")
+    return wanted.select("file_id").distinct().join(known, "file_id", "left").select("file_id", outcome.alias("outcome"))
+
+
+def require(wanted: DataFrame, files: DataFrame, status: str = "indexed") -> None:
+    """Raises LookupError for the first file that isn't there, and ValueError for one that isn't ready."""
+    bad = guard(wanted, files, status).where("outcome != 'ok'").orderBy(F.col("outcome") != "missing", "file_id").first()
+    if bad is not None:
+        raise (LookupError if bad["outcome"] == "missing" else ValueError)(f"file {bad['file_id']} is {bad['outcome']}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import extras, workbooks
+from ..operators import extras, metadata, workbooks
 from ..sources import office
 from .catalog import query, s_strip, table
 
@@ -134,3 +134,72 @@ def source_texts(spark, sf_dir):
     """Turns as files of a conversation, users' ones as workbooks that are cut at a line."""
     cut = F.when(F.col("role") == "user", extras.cut_at_line(F.col("text"), 200)).otherwise(F.col("text"))
     return extras.source_texts(table(spark, sf_dir, "conversations").withColumn("text", cut), "conv_id", "turn", "role", "text")
+
+
+#: Events of the table as steps of work on files.
+_KINDS = {"signup": "start", "view": "parse", "click": "index", "purchase": "done", "error": "fail"}
+SLICES = 5
+
+
+def _event_files(spark, sf_dir, folder: str, first: int = 0, last: int = SLICES) -> str:
+    """Writes slices of the events by time, one after another, and returns their folder."""
+    rows = table(spark, sf_dir, "events")
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), F.col("event_type"))
+    at = F.floor((F.dayofmonth("ts") - 1) * SLICES / 31)
+    rows = rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("file_id"), kind.alias("kind"), at.alias("slice"))
+    for k in range(first, last):
+        rows.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return f"{folder}/in"
+
+
+@query(
+    """WITH e AS (SELECT user_id AS f, event_id, epoch_ms(ts) AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'parse' WHEN 'click' THEN 'index' WHEN 'purchase' THEN 'done' ELSE 'fail' END AS k FROM events),
+ r AS (SELECT *, sum(CASE WHEN k = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY f ORDER BY ms, event_id) AS run, row_number() OVER (PARTITION BY f ORDER BY ms, event_id) AS n FROM e),
+ z AS (SELECT f, run, min(n) AS stop FROM r WHERE run > 0 AND k IN ('done', 'fail') GROUP BY f, run),
+ c AS (SELECT r.*, z.stop FROM r LEFT JOIN z USING (f, run) WHERE run > 0 AND (z.stop IS NULL OR r.n <= z.stop)),
+ g AS (SELECT *, row_number() OVER (PARTITION BY f, run, k ORDER BY n) - 1 AS nth, lead(ms) OVER (PARTITION BY f ORDER BY n) AS following FROM c),
+ p AS (SELECT f, run, max(CASE k WHEN 'start' THEN 5 WHEN 'parse' THEN least(49, 10 + 13 * nth) WHEN 'index' THEN least(89, 70 + 10 * nth) WHEN 'done' THEN 100 ELSE 0 END) AS progress, arg_max(k, n) AS last_k, max(ms) AS last_ms FROM g GROUP BY f, run),
+ w AS (SELECT max(ms) - 3600000 AS mark FROM e),
+ s AS (SELECT f, count(*) FILTER (k NOT IN ('done', 'fail') AND ((following IS NOT NULL AND following - ms > 86400000) OR (following IS NULL AND ms + 86400000 < mark))) AS stalls, count(*) FILTER (k = 'fail') AS failures FROM g, w GROUP BY f),
+ l AS (SELECT f, max(run) AS run FROM p GROUP BY f)
+ SELECT CAST(u.f AS BIGINT) AS file_id, CAST(coalesce(l.run, 0) AS BIGINT) AS run, CASE WHEN l.run IS NULL THEN 'pending' WHEN last_k = 'done' THEN 'done' WHEN last_k = 'fail' THEN 'failed' WHEN last_ms + 86400000 < mark THEN 'stalled' ELSE 'processing' END AS status,
+ CAST(coalesce(progress, 0) AS INTEGER) AS progress, CAST(coalesce(failures, 0) AS BIGINT) AS failures, CAST(coalesce(stalls, 0) AS BIGINT) AS stalls FROM (SELECT DISTINCT f FROM e) u LEFT JOIN l USING (f) LEFT JOIN p ON p.f = l.f AND p.run = l.run LEFT JOIN s ON s.f = l.f CROSS JOIN w"""
+)
+def task_progress(spark, sf_dir):
+    """Events as a stream of several files; the states at its end are those of a replay of all events."""
+    from ..session import fresh_dir
+    from ..streaming.progress import track
+
+    folder = fresh_dir(spark, "events")
+    stream = spark.readStream.schema("event_id bigint, ts timestamp, file_id bigint, kind string").option("maxFilesPerTrigger", 1).parquet(_event_files(spark, sf_dir, folder))
+    return track(spark, stream, folder)
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS file_id, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_acctbal >= 0 AND c_custkey % 4 <> 0 THEN 'ok' ELSE 'not indexed' END AS outcome FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 <> 0) ON c_custkey = o_custkey")
+def file_guard(spark, sf_dir):
+    """Orders as requests for files, customers as the files."""
+    files = table(spark, sf_dir, "customer").where("c_custkey % 9 <> 0").select(F.col("c_custkey").cast("bigint").alias("file_id"), F.when((F.col("c_acctbal") >= 0) & (F.col("c_custkey") % 4 != 0), "indexed").otherwise("parsed").alias("status"))
+    return metadata.guard(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("file_id")), files)
+
+
+#: How long a result lives, and how many there are; one shard, whose order SQL can follow.
+_LIFE, _HELD = 3 * 86_400_000, 60
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT event_id, epoch_ms(ts) AS ms, user_id || ':' || event_type AS key FROM events), o AS (SELECT *, row_number() OVER (ORDER BY ms, event_id) AS n, row_number() OVER (PARTITION BY key ORDER BY ms, event_id) AS nth, lag(ms) OVER (PARTITION BY key ORDER BY ms, event_id) AS before FROM e),
+ b AS (SELECT *, lag(n) OVER (PARTITION BY key ORDER BY nth) AS p FROM o),
+ d AS (SELECT b.*, CASE WHEN p IS NULL THEN NULL ELSE (SELECT count(DISTINCT x.key) FROM b x WHERE x.n > b.p AND x.n < b.n) END AS others FROM b),
+ r AS (SELECT event_id, key, nth, ms AS put, false AS hit FROM d WHERE nth = 1 UNION ALL SELECT d.event_id, d.key, d.nth, CASE WHEN d.others < {_HELD} AND d.ms < r.put + {_LIFE} THEN r.put ELSE d.ms END, d.others < {_HELD} AND d.ms < r.put + {_LIFE} FROM r JOIN d ON d.key = r.key AND d.nth = r.nth + 1)
+ SELECT CAST(event_id AS BIGINT) AS event_id, key, hit FROM r"""
+)
+def cache_replay(spark, sf_dir):
+    """Events as requests for results of users and kinds: which of them the cache answers."""
+    from ..session import fresh_dir
+    from ..streaming import cache
+
+    folder = fresh_dir(spark, "requests")
+    rows = spark.readStream.schema("event_id bigint, ts timestamp, file_id bigint, kind string").option("maxFilesPerTrigger", 1).parquet(_event_files(spark, sf_dir, folder))
+    kinds = F.element_at(F.create_map(*[F.lit(x) for a, b in _KINDS.items() for x in (b, a)]), F.col("kind"))
+    stream = rows.select("event_id", "ts", F.concat(F.col("file_id").cast("string"), F.lit(":"), kinds).alias("key"), F.col("file_id").cast("string").alias("files"), F.lit("request").alias("kind"))
+    return cache.replay(spark, stream, folder, ttl=_LIFE, most=_HELD, shards=1)

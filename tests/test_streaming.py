@@ -63,3 +63,52 @@ def test_retrieve_finds_texts_without_spaces_in_order_of_novelty(spark, tmp_path
     assert len(got) == 2 and any(t in got[0] for t in texts[:2])
     few = work.retrieve("合同的签订日期", k=8).collect()
     assert {r["rerank_score"] for r in few} == {None} and len({r["chunk_id"] for r in few}) == len(few)
+
+
+def test_progress_goes_on_where_it_stopped(spark, data_dir, tmp_path):
+    """One go over all events, and three goes with new files in between, tell the same of each file."""
+    from lakequill.plans.files import SLICES, _event_files
+    from lakequill.streaming import progress
+
+    def states(name, cuts):
+        folder, got = f"file://{tmp_path}/{name}", None
+        for a, b in zip(cuts, cuts[1:]):
+            stream = spark.readStream.schema("event_id bigint, ts timestamp, file_id bigint, kind string").option("maxFilesPerTrigger", 1).parquet(_event_files(spark, data_dir, folder, a, b))
+            got = sorted(map(tuple, progress.track(spark, stream, folder).collect()))
+        return got
+
+    whole = states("whole", [0, SLICES])
+    assert whole == states("parts", [0, 1, 3, SLICES]) and sum(r[5] for r in whole) > 0
+
+
+def test_steps_of_progress():
+    from lakequill.streaming.progress import STALL, advance
+
+    state = (0, 0, "pending", 0, 0, 0, 0, 0, None)
+    assert advance(state, [(1, "parse"), (2, "done")])[1:4] == (0, "pending", 0)
+    state = advance(state, [(1, "start"), (2, "parse"), (3, "parse"), (4, "index"), (5, "parse")])
+    assert state[:4] == (1, 1, "processing", 70)
+    late = advance(state, [(6 + STALL + 5, "fail"), (7 + STALL + 5, "done")])
+    assert late[2:6] == ("failed", 70, 1, 1)
+    assert advance(late, [(10**12, "start"), (10**12 + 1, "done")])[1:6] == (2, "done", 100, 1, 1)
+
+
+def test_cache_forgets_by_time_use_and_file(spark, tmp_path):
+    from lakequill.streaming.cache import Shard, replay
+
+    shard = Shard(10, 2)
+    assert [shard.request(ms, k, f) for ms, k, f in ((0, "a", "1,2"), (1, "b", "3"), (2, "a", ""), (3, "c", "12"), (4, "b", "3"), (9, "c", ""), (13, "c", "12"), (14, "b", "3"))] == [False, False, True, False, False, True, False, False]
+    shard.invalidate("2")
+    assert list(shard.entries) == ["c", "b"]
+    shard.invalidate("12")
+    assert list(shard.entries) == ["b"]
+    ddl = "event_id bigint, ts timestamp, key string, files string, kind string"
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    one = [(1, at(1), "q1", "7,8", "request"), (2, at(2), "q1", "7,8", "request"), (3, at(3), "q2", "9", "request")]
+    two = [(4, at(4), None, "8", "invalidate"), (5, at(5), "q1", "7,8", "request"), (6, at(6), "q2", "9", "request")]
+    for rows in (one, two):  # a second go with the same folder keeps the entries
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = replay(spark, spark.readStream.schema(ddl).parquet(f"{tmp_path}/in"), f"file://{tmp_path}/c", shards=3)
+    assert sorted((r["event_id"], r["hit"]) for r in got.collect()) == [(1, False), (2, True), (3, False), (5, False), (6, True)]
