@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .models import Embedder, FirstSentence, HashingEmbedder, LanguageModel, embed, overlap_scorer, prompt
-from .operators import conflicts, instructions, predicates, retrieval, sheets, tables
+from .operators import conflicts, extras, instructions, predicates, retrieval, sheets, tables
 from .session import cut
 from .stores.postings import KeywordIndex
 from .stores.snapshots import GRACE_SECONDS
@@ -133,10 +133,21 @@ class Workspace:
 
     # edits
 
-    def operate(self, rows: DataFrame, text: str) -> DataFrame:
-        """The table or paragraphs after a plain-language command; what isn't understood raises ValueError."""
+    def operate(self, rows: DataFrame, text: str, sheet: str = "Sheet1", doc_id: int = 1) -> DataFrame:
+        """The table, cells or paragraphs after a plain-language command; what isn't understood raises ValueError.
+
+        Cells (sheet, row, col, value) are edited in one sheet; a paragraph is added to one document.
+        """
         op = instructions.parse(text)
         p = op.parameters
+        if {"sheet", "row", "col", "value"} <= set(rows.columns):
+            return self._edit_cells(rows, op, sheet)
+        if op.kind in ("delete_heading", "edit_heading") and "level" in rows.columns:
+            return extras.edit_heading(rows, "doc_id", self._number(p.get("position", "第一个")), p.get("value", "") if op.kind == "edit_heading" else None)
+        if op.kind == "add_paragraph" and "ordinal" in rows.columns:
+            return sheets.insert_paragraph(rows, doc_id, self._number(p.get("position", "第一段")) - 1, p.get("value", ""))
+        if op.kind == "extract_content" and "ordinal" in rows.columns:
+            return self.extract(rows)
         if op.kind == "conditional_filter":
             return predicates.conditional_filter(rows, p["column"], p["condition"])
         if op.kind == "conditional_delete":
@@ -152,6 +163,26 @@ class Workspace:
             return got.withColumn("text", F.when(F.col("ordinal") == F.col("__at"), F.lit(p.get("value", ""))).otherwise(F.col("text"))).drop("__at")
         raise ValueError(f"not understood: {text}")
 
+    def _number(self, position: str) -> int:
+        """The number in ``第三行``; 1 if there is none."""
+        word = "".join(c for c in position if c in "0123456789一二两三四五六七八九十百")
+        return self.spark.range(1).select(tx.chinese_number(F.lit(word)).alias("n")).first()["n"] or 1
+
+    def _edit_cells(self, cells: DataFrame, op: instructions.Operation, sheet: str) -> DataFrame:
+        p = op.parameters
+        at = self._number(p.get("position", ""))
+        if op.kind == "edit_cell" and "cell" in p:
+            place = self.spark.range(1).select(tx.cell_row(F.lit(p["cell"])).alias("row"), tx.cell_column(F.lit(p["cell"])).alias("col"))
+            return sheets.edit_cells(cells, place.select(F.lit(sheet).alias("sheet"), "row", "col", F.lit(p.get("value", "")).alias("value")))
+        if op.kind in ("add_row", "add_column"):
+            value = p.get("value", "")
+            return sheets.insert_row(cells, sheet, at, value.split("，")) if op.kind == "add_row" else sheets.insert_column(cells, sheet, at, value)
+        if op.kind in ("delete_row", "delete_column") and "position" in p:
+            return (sheets.delete_row if op.kind == "delete_row" else sheets.delete_column)(cells, sheet, at)
+        if op.kind == "conditional_format" and "condition" in p:
+            return predicates.conditional_style(cells, p["condition"], p.get("color", "FFFF00"))
+        raise ValueError(f"not understood: {op.instruction}")
+
     def summary(self, file_id: int) -> str:
         rows = self.store.read()
         first = rows.where(F.col("file_id") == file_id).orderBy("pos").limit(1).select(tx.summary(F.col("content")).alias("s")).first()

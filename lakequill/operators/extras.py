@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut, discard
 
 
 def paragraphs_of(c: Column, least: int = 15) -> Column:
@@ -200,14 +201,20 @@ def edit_heading(paragraphs: DataFrame, doc: str, at: int, text: str | None) ->
 
 
 def apply_all(df: DataFrame, steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, list[dict]]:
-    """Steps one after another up to the first that fails; the rows so far, and what became of each step."""
+    """Steps one after another up to the first that fails; the rows so far, and what became of each step.
+
+    The rows of a step are written into the shared folder before the next one begins. So a step that fails when its rows are
+    computed is told as that step's failure, and the rows before it are what is returned.
+    """
     done: list[dict] = []
     for name, step in steps:
         try:
-            df = step(df)
+            made = cut(step(df), "step")
         except Exception as e:  # noqa: BLE001
-            return df, [*done, {"step": name, "success": False, "message": str(e)}]
-        done.append({"step": name, "success": True, "message": ""})
+            return df, [*done, {"step": name, "success": False, "message": str(e), "rows": None}]
+        discard(df)
+        df = made
+        done.append({"step": name, "success": True, "message": "", "rows": df.count()})
     return df, done
 
 

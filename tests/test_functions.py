@@ -92,3 +92,25 @@ def test_steps_end_at_the_first_that_fails(spark):
 
     df, told = extras.apply_all(spark.range(5), [("a", lambda d: d.where("id > 1")), ("b", lambda d: d.select("none")), ("c", lambda d: d.limit(1))])
     assert df.count() == 3 and [(t["step"], t["success"]) for t in told] == [("a", True), ("b", False)]
+    late = lambda d: d.withColumn("x", F.when(F.col("id") == 4, F.raise_error(F.lit("four"))).otherwise(F.lit("")))
+    df, told = extras.apply_all(spark.range(5), [("a", lambda d: d.where("id > 1")), ("b", late), ("c", lambda d: d.limit(1))])
+    assert df.count() == 3 and [(t["success"], t["rows"]) for t in told] == [(True, 3), (False, None)] and "four" in told[1]["message"]
+
+
+def test_commands_edit_cells_and_paragraphs(spark, tmp_path):
+    from lakequill.api import Workspace
+
+    w = Workspace(spark, f"file://{tmp_path}/w")
+    cells = spark.createDataFrame([("Sheet1", r, c, f"{r}{c}") for r in (1, 2, 3) for c in (1, 2)] + [("other", 2, 1, "x")], "sheet string, row bigint, col bigint, value string")
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    assert ("Sheet1", 2, 2, "新值") in read(w.operate(cells, "把B2改为新值"))
+    assert read(w.operate(cells, "删除第二行")) == [("Sheet1", 1, 1, "11"), ("Sheet1", 1, 2, "12"), ("Sheet1", 2, 1, "31"), ("Sheet1", 2, 2, "32"), ("other", 2, 1, "x")]
+    assert read(w.operate(cells, "删除第1列"))[0] == ("Sheet1", 1, 1, "12")
+    assert ("Sheet1", 2, 2, "乙") in read(w.operate(cells, "插入第二行，内容为甲，乙")) and ("Sheet1", 4, 2, "32") in read(w.operate(cells, "插入第二行，内容为甲，乙"))
+    assert ("Sheet1", 1, 2, "新列") in read(w.operate(cells, "插入第二列，内容为新列"))
+    marked = w.operate(cells, "把数值大于20的标红")
+    assert {r["value"]: r["style"] for r in marked.collect()}["31"] == "FF0000"
+    heads = spark.createDataFrame([(1, 0, "h", 1), (1, 1, "body", 0), (1, 2, "h2", 2)], "doc_id bigint, ordinal bigint, text string, level int")
+    assert [r["text"] for r in w.operate(heads, "删除第二个标题").orderBy("ordinal").collect()] == ["h", "body"]
+    with pytest.raises(ValueError, match="not understood"):
+        w.operate(cells, "天气如何")
