@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, strip
+from ..functions.text import jaccard, once, strip
 
 CJK = r"\x{4e00}-\x{9fa5}"
 #: Fixed word lists of the scores.
@@ -23,14 +23,12 @@ def _all(c: Column, pattern: str) -> Column:
 
 
 def keywords(c: Column) -> Column:
-    parts = F.split(F.regexp_replace(c, f"[^{CJK}a-zA-Z0-9]", " "), " +")
-    return F.array_distinct(F.filter(parts, lambda x: F.length(x) >= 2))
+    return F.array_distinct(_all(c, f"[{CJK}a-zA-Z0-9]{{2,}}"))
 
 
 def bigrams(c: Column) -> Column:
     t = F.regexp_replace(c, f"[^{CJK}a-zA-Z0-9]", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+    return F.array_distinct(F.regexp_extract_all(t, F.lit("(?=(..))"), F.lit(1)))
 
 
 def faithfulness(answer: Column, context: Column) -> Column:
@@ -38,11 +36,9 @@ def faithfulness(answer: Column, context: Column) -> Column:
     facts = F.filter(F.transform(F.split(answer, "[。！？\n]"), strip), lambda x: F.length(x) > 5)
 
     def supported(fact: Column) -> Column:
-        words = _all(fact, f"[{CJK}]{{2,}}|[0-9]+")
-        return (F.size(words) > 0) & (F.size(_in(context, words)) * 2 >= F.size(words))
+        return once(_all(fact, f"[{CJK}]{{2,}}|[0-9]+"), lambda words: (F.size(words) > 0) & (F.size(_in(context, words)) * 2 >= F.size(words)))
 
-    share = F.size(F.filter(facts, supported)) / F.size(facts)
-    got = F.when(F.size(facts) == 0, F.lit(1.0)).otherwise(share)
+    got = once(facts, lambda x: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(F.filter(x, supported)) / F.size(x)))
     return F.round(F.when((answer == "") | (context == ""), F.lit(0.0)).otherwise(got), 3)
 
 
@@ -59,10 +55,10 @@ def relevancy(query: Column, answer: Column) -> Column:
 
 def precision(query: Column, context: Column) -> Column:
     words = F.filter(_all(query, f"[{CJK}]{{2,8}}"), lambda w: ~w.isin(ASKING))
-    rate = F.when(F.size(words) == 0, F.lit(0.0)).otherwise(F.size(_in(context, words)) / F.size(words))
+    rate = once(words, lambda x: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.size(_in(context, x)) / F.size(x)))
     marks = F.size(_in(context, F.array(*map(F.lit, FEATURES))))
-    loose = F.when(marks > 0, F.least(0.6 + marks * 0.05, F.lit(0.95))).otherwise(F.lit(0.0))
-    return F.round(F.when((query == "") | (F.length(context) < 10), F.lit(0.0)).when(rate >= 0.5, rate).otherwise(loose), 3)
+    loose = once(marks, lambda n: F.when(n > 0, F.least(0.6 + n * 0.05, F.lit(0.95))).otherwise(F.lit(0.0)))
+    return F.round(F.when((query == "") | (F.length(context) < 10), F.lit(0.0)).otherwise(once(rate, lambda x: F.when(x >= 0.5, x).otherwise(loose))), 3)
 
 
 def recall(answer: Column, context: Column, truth: Column) -> Column:
@@ -70,7 +66,7 @@ def recall(answer: Column, context: Column, truth: Column) -> Column:
     reference = F.when(F.coalesce(truth, F.lit("")) != "", truth).otherwise(answer)
     words = F.filter(_all(reference, f"[{CJK}]{{2,4}}"), lambda w: F.length(w) >= 3)
     wanted = F.concat(_all(reference, r"[0-9]+\.?[0-9]*[万千百亿]?"), F.slice(words, 1, 10))
-    got = F.when(F.size(wanted) == 0, F.lit(1.0)).otherwise(F.size(_in(context, wanted)) / F.size(wanted))
+    got = once(wanted, lambda x: F.when(F.size(x) == 0, F.lit(1.0)).otherwise(F.size(_in(context, x)) / F.size(x)))
     return F.round(F.when(answer == "", F.lit(0.0)).otherwise(got), 3)
 
 

@@ -131,14 +131,15 @@ def mmr(df: DataFrame, key: str, vector: str, query: Sequence[float], balance: f
     return df.select(key, vector).groupBy(F.lit(1).alias("__g")).applyInPandas(lambda pdf: order(pdf), f"{key} {df.schema[key].dataType.simpleString()}, place bigint")
 
 
-def rerank(df: DataFrame, content: str, query_tokens: Sequence[str], k: int, scorer=None) -> DataFrame:
+def rerank(df: DataFrame, content: str, query_tokens: Sequence[str], k: int, scorer=None, order: str | None = None) -> DataFrame:
     """The k best rows by a scorer Column; the default is the overlap of words.
 
-    No more than k rows pass as they are, in their order and with a null score.
+    No more than k rows pass as they are, in their order and with a null score. Ties, too, are in the order of the rows, or of
+    the column ``order``.
     """
     score = scorer(F.col(content)) if scorer else tx.jaccard(F.array_distinct(tx.tokens(F.lower(F.col(content)))), F.array(*map(F.lit, query_tokens)))
     few = df.agg((F.count(F.lit(1)) <= k).alias("__few"))
-    rows = df.withColumn("__place", F.monotonically_increasing_id()).crossJoin(F.broadcast(few))
+    rows = df.withColumn("__place", F.col(order) if order else F.monotonically_increasing_id()).crossJoin(F.broadcast(few))
     rows = rows.withColumn("rerank_score", F.when(~F.col("__few"), score)).orderBy(F.col("rerank_score").desc_nulls_last(), "__place")
     return rows.drop("__place", "__few").limit(k)
 

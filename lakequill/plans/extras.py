@@ -154,12 +154,12 @@ def cache_invalidate(spark, sf_dir):
 @query(f"""WITH c AS (SELECT id, answer, regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM {values('cases')}), s AS (SELECT id, CASE WHEN len(t) = 0 THEN 0.0 ELSE CAST(len(list_intersect(list_distinct(t), ['the', 'date'])) AS DOUBLE) / len(list_distinct(list_concat(t, ['the', 'date']))) END AS s FROM c)
  SELECT id, round(s, 6) AS rerank_score FROM s ORDER BY s DESC LIMIT 1""")
 def rerank_top(spark, sf_dir):
-    return retrieval.rerank(spread(spark, sf_dir, "cases"), "answer", ["the", "date"], 1).select("id", F.round("rerank_score", 6).alias("rerank_score"))
+    return retrieval.rerank(spread(spark, sf_dir, "cases"), "answer", ["the", "date"], 1, order="id").select("id", F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query(f"SELECT id, answer, CAST(NULL AS DOUBLE) AS rerank_score FROM {values('cases')}")
 def rerank_few(spark, sf_dir):
-    return retrieval.rerank(spread(spark, sf_dir, "cases"), "answer", ["the", "date"], 2_000_000_000).select("id", "answer", "rerank_score")
+    return retrieval.rerank(spread(spark, sf_dir, "cases"), "answer", ["the", "date"], 2_000_000_000, order="id").select("id", "answer", "rerank_score")
 
 
 @query(f"SELECT id, round({_jaccard_sql(_WORDS_SQL)}, 6) AS words, round({_jaccard_sql(_GRAM_SQL)}, 6) AS pairs FROM {values('cases')}")
