@@ -17,11 +17,13 @@ BLANK_TITLE, BLANK_FIELDS = "## 空白表格模板（待填充字段）", ("姓
 
 def _rows(cells: DataFrame, value: Column) -> DataFrame:
     """path, sheet, row and its cells in order (col, value), and the last row and column of the sheet."""
-    filled = cells.where("sheet IS NOT NULL").select("path", "sheet", "row", "col", value.alias("value"))
+    # files are read and dealt out once: rows, and what holds for their sheet, come from the same groups
+    filled = cells.where("sheet IS NOT NULL").select("path", "sheet", "row", "col", value.alias("value")).repartition("path", "sheet")
     rows = filled.groupBy("path", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))
-    size = filled.groupBy("path", "sheet").agg(F.max("row").alias("last"), F.max("col").alias("width"))
-    heads = rows.where("row = 1").select("path", "sheet", F.map_from_entries("cells").alias("head"))
-    return rows.where("row > 1").join(size, ["path", "sheet"]).join(heads, ["path", "sheet"], "left")
+    w = Window.partitionBy("path", "sheet")
+    head = F.first(F.when(F.col("row") == 1, F.col("cells")), ignorenulls=True).over(w)
+    rows = rows.withColumn("last", F.max("row").over(w)).withColumn("width", F.max(F.element_at("cells", -1)["col"]).over(w)).withColumn("head", head)
+    return rows.where("row > 1").withColumn("head", F.map_from_entries("head"))
 
 
 def line_chunks(cells: DataFrame, size: int = LINE_ROWS) -> DataFrame:

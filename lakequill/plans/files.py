@@ -5,12 +5,15 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import extras, metadata, workbooks
+from ..operators import extras, metadata, tables, workbooks
+from ..session import dealt
 from ..sources import office
 from .catalog import query, s_strip, table
 
 #: Rows of a workbook: the orders of so many customers together.
 TOGETHER = 8
+#: Rows of a document's table: a document is made and read in one task, so a larger table is many documents.
+TABLE_ROWS = 1_000
 
 
 def _order_books(spark, sf_dir):
@@ -53,12 +56,17 @@ def workbook_blank_templates(spark, sf_dir):
             kinds = {0: lambda k: office.xlsx_bytes({"s": [["name"], [f"c{k}"]]}), 1: lambda k: office.xlsx_bytes({"s": [["name"]]}), 2: lambda k: b"not a workbook"}
             yield pd.DataFrame({"path": pdf["c_custkey"].astype(str), "content": [kinds[k % 3](k) for k in pdf["c_custkey"]]})
 
-    files = table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(make, "path string, content binary")
-    return workbooks.blank_templates(files, office.parsed(files, office.CELLS, lambda d: office.parse_xlsx(d)[0]))
+    keys = dealt(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    files = keys.mapInPandas(make, "path string, content binary")
+    names = keys.select(F.col("c_custkey").cast("string").alias("path"))  # without making the files once more
+    return workbooks.blank_templates(names, office.parsed(files, office.CELLS, lambda d: office.parse_xlsx(d)[0]))
 
 
 def _part_documents(spark, sf_dir):
-    """A document for each size of parts: a table of brand, type and key, where equal brands span rows, and every third row's type spans two columns."""
+    """Documents of parts by size, TABLE_ROWS rows each: a table of brand, type and key, where equal brands span rows, and every third row's type spans two columns.
+
+    A file is named by its size and its number among those of the size.
+    """
 
     def one(pdf):
         rows, last = [[("brand", 1, False), ("type", 1, False), ("key", 1, False), ("key", 1, False)]], None
@@ -66,9 +74,10 @@ def _part_documents(spark, sf_dir):
             wide = r.p_partkey % 3 == 0
             rows.append([(r.p_brand, 1, r.p_brand == last), *([(r.p_type, 2, False)] if wide else [(r.p_type, 1, False), (f"k{r.p_partkey}", 1, False)]), ("x & y", 1, False)])
             last = r.p_brand
-        return pd.DataFrame({"path": [str(pdf["p_size"].iloc[0])], "content": [office.docx_bytes([("Parts", 1)], office.table_xml(rows))]})
+        return pd.DataFrame({"path": [f"{pdf['p_size'].iloc[0]}/{pdf['part'].iloc[0]}"], "content": [office.docx_bytes([("Parts", 1)], office.table_xml(rows))]})
 
-    return table(spark, sf_dir, "part").select("p_size", "p_partkey", "p_brand", "p_type").groupBy("p_size").applyInPandas(one, "path string, content binary")
+    rows = tables.split_rows(table(spark, sf_dir, "part").select("p_size", "p_partkey", "p_brand", "p_type"), "p_partkey", TABLE_ROWS, "p_size")
+    return rows.groupBy("p_size", "part").applyInPandas(one, "path string, content binary")
 
 
 @query(
@@ -78,7 +87,8 @@ def document_table_frames(spark, sf_dir):
     """Tables with spans come back as rows with names; of two columns of one name the first counts."""
     cells = office.parsed(_part_documents(spark, sf_dir), office.TABLE_CELLS, office.parse_docx_tables)
     f = F.col("fields")
-    return workbooks.frames(cells).select("path", "row", f["brand"].alias("brand"), f["type"].alias("type"), f["key"].alias("key"), F.size(f).cast("bigint").alias("n_fields"))
+    of, at = F.split_part("path", F.lit("/"), F.lit(1)), F.split_part("path", F.lit("/"), F.lit(2)).cast("bigint")
+    return workbooks.frames(cells).select(of.alias("path"), (at * TABLE_ROWS + F.col("row")).alias("row"), f["brand"].alias("brand"), f["type"].alias("type"), f["key"].alias("key"), F.size(f).cast("bigint").alias("n_fields"))
 
 
 @query(

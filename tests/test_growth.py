@@ -21,3 +21,25 @@ def test_cases_of_a_table_in_one_block_are_dealt_out(spark, tmp_path):
     cases = fixtures.spread(spark, str(tmp_path), "steps")
     per = [r["n"] for r in cases.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(per) == 5 * 45_000 and max(per) <= 5 * 15_000
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_workbooks_are_made_and_read_once(spark, data_dir):
+    from lakequill.plans import files
+
+    assert _plan(files.workbook_blank_templates(spark, data_dir)).count("MapInPandas") == 2
+    for query in (files.workbook_line_chunks, files.workbook_table_chunks):
+        assert _plan(query(spark, data_dir)).count("MapInPandas") == 1
+
+
+def test_large_tables_are_many_documents(spark, tmp_path):
+    from lakequill.plans import files
+
+    rows = pd.DataFrame({"p_partkey": range(2_500), "p_brand": "b", "p_type": "t", "p_size": 7})
+    rows.to_parquet(tmp_path / "part.parquet")
+    assert files._part_documents(spark, str(tmp_path)).count() == 3
+    got = files.document_table_frames(spark, str(tmp_path)).toPandas().sort_values("row")
+    assert list(got["row"]) == list(range(1, 2_501)) and set(got["path"]) == {"7"} and set(got["brand"]) == {"b"}
