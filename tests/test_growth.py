@@ -43,3 +43,15 @@ def test_large_tables_are_many_documents(spark, tmp_path):
     assert files._part_documents(spark, str(tmp_path)).count() == 3
     got = files.document_table_frames(spark, str(tmp_path)).toPandas().sort_values("row")
     assert list(got["row"]) == list(range(1, 2_501)) and set(got["path"]) == {"7"} and set(got["brand"]) == {"b"}
+
+
+def test_a_common_value_doesn_t_lead_a_group_with_a_range(spark):
+    from lakequill.operators import rules
+
+    rows = spark.createDataFrame([(k, str(k), "urgent") for k in range(400)] + [(900, None, "urgent"), (901, "x", "urgent")], "k bigint, who string, p string")
+    own = [(t, 1, c, op, v1, v2) for t in range(0, 400, 20) for c, op, v1, v2 in (("p", "eq", "urgent", ""), ("who", "between", str(t), f"{t + 3}.0"))]
+    own += [(-1, 1, "who", "between", "1,0", "-5"), (-2, 1, "who", "between", "-1e20", "2"), (-3, 1, "who", "between", "x", "3"), (-4, 1, "who", "between", "0", "1e14")]
+    got = rules.matches(rows, "k", spark.createDataFrame(own, "tbl bigint, grp int, col string, op string, v1 string, v2 string"))
+    want = {(t, k) for t in range(0, 400, 20) for k in range(t, min(t + 4, 400))} | {(-2, 0), (-2, 1), (-2, 2)} | {(-3, k) for k in [*range(400), 900, 901]} | {(-4, k) for k in range(400)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "minby" in _plan(got).lower().replace("_", "")  # the rarest of a group's rules leads
