@@ -55,3 +55,28 @@ def test_a_common_value_doesn_t_lead_a_group_with_a_range(spark):
     want = {(t, k) for t in range(0, 400, 20) for k in range(t, min(t + 4, 400))} | {(-2, 0), (-2, 1), (-2, 2)} | {(-3, k) for k in [*range(400), 900, 901]} | {(-4, k) for k in range(400)}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "minby" in _plan(got).lower().replace("_", "")  # the rarest of a group's rules leads
+
+
+def test_names_of_many_templates_aren_t_paired(spark):
+    import random
+
+    from lakequill.operators import tables
+
+    random.seed(3)
+    name = lambda: "".join(random.choices("ab_ B", k=random.randint(0, 5)))
+    heads, fields = [*{name() for _ in range(60)}, None, "zz"], [*[name() for _ in range(40)], None]
+    norm = lambda s: s.lower().translate({ord(c): None for c in " _/\\"})
+    want = []
+    for h in heads:
+        score = lambda f: 0 if h is None or f is None else 3 if norm(h) == norm(f) else 2 if norm(h) in norm(f) else 1 if norm(f) in norm(h) else 0  # noqa: B023, E731
+        best = min(((-score(f), len(f or ""), f) for f in fields if score(f)), default=(0, 0, None))
+        want.append((h, best[2], -best[0]))
+    got = tables.fuzzy_match(spark.createDataFrame([(h,) for h in heads], "header string"), spark.createDataFrame([(f,) for f in fields], "field string"))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_column_of_all_sheets(spark, data_dir):
+    from lakequill.plans import catalog
+
+    assert catalog.extract_column(spark, data_dir).count() == 4 * 150  # sheet s1 has three filled cells, s2 one
