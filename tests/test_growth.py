@@ -80,3 +80,14 @@ def test_a_column_of_all_sheets(spark, data_dir):
     from lakequill.plans import catalog
 
     assert catalog.extract_column(spark, data_dir).count() == 4 * 150  # sheet s1 has three filled cells, s2 one
+
+
+def test_overlaps_are_computed_once_for_names_and_fields_of_the_same_characters(spark):
+    from lakequill.operators import tables
+
+    names, fields = ["ab_1", "ba_1", "ab_1", None, "é猫", "a😀"], ["aab", "aba", "1", "猫a", "aab", "😀x"]
+    got = tables.overlap_pairs(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(f,) for f in fields], "field string"))
+    want = [(n, f, sum(c in (n or "") for c in f) / len(f)) for n in names for f in fields]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = _plan(got)
+    assert plan.index("Generate explode") < plan.index("Join Cross")  # members come after the shares
