@@ -1,16 +1,16 @@
 """Language identification by compression.
 
-For each language, training texts up to a documented size are a raw-content dictionary for zstandard. A text is cut into
-blocks, each block is compressed with each dictionary, and the language with the fewest bytes wins. Letters are
-lower-cased and all else becomes one space first, so that junk, numbers and mark-up have no say.
+For each language, its most frequent words are a raw-content dictionary for zstandard. A text is cut into blocks, each
+block is compressed with each dictionary, and the language with the fewest bytes wins. Letters are lower-cased and all
+else becomes one space first, so that junk, numbers and mark-up have no say.
 
-The training sample is bounded: at most SAMPLE_DOCS labelled texts of each language, those with the lowest hash, at most
-SAMPLE_CHARS characters of each, and DICT_BYTES of them; a longer text gives its beginning. The hash, not the place,
-chooses them, so reruns agree. Predictions read whole texts.
+The words of all labelled texts are counted, whole. A dictionary has DICT_BYTES at most, which is the size of the model and
+not of what it learns from; the most frequent words come last, where they are cheapest to refer to. Words of over LONG_WORD
+letters, as of writing without spaces, count by overlapping pieces. Predictions read whole texts.
 
 A prediction is rejected where the margin between the two best languages is narrow. How many bytes are narrow is fitted:
-one sampled text in FOLDS is left out of the dictionaries, pieces of it of PIECES bytes and the whole are classified, and
-margins at which the share of wrong ones is above RISK, weighted by how frequent the languages are, are rejected. The
+one text in FOLDS, by hash, is left out of the dictionaries, pieces of each of PIECES bytes and the whole are classified,
+and margins at which the share of wrong ones is above RISK, weighted by how frequent the languages are, are rejected. The
 same number of bytes holds for texts of any length.
 
 Results for odd input: a null text, and a text without letters, is ``und`` with score 0 and rejected; ties go to the
@@ -23,17 +23,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, arrow_schema, bound_batches, id_remainder, release
+from .common import arrow_batch, arrow_schema, bound_batches, cut, discard, id_remainder, release
 
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
 DICT_BYTES = 200_000
+#: Letters of the longest word that counts as one, and of the pieces of longer ones.
+LONG_WORD, PIECE = 24, 4
 LEVEL = 5
 BLOCK_BYTES = 1024
 #: Pieces on which the margin is fitted, in bytes; one text in FOLDS gives them.
@@ -44,6 +45,8 @@ RISK, WIDEST = 0.15, 64
 SHARPNESS = 0.7
 
 _OTHER = re.compile(r"[\W\d_]+")
+_WORDS, _WORDS_ARROW = arrow_schema("l string, out boolean, word string, n long")
+_TRIED, _TRIED_ARROW = arrow_schema("l string, right boolean, margin long, n long")
 _OUT, _SCHEMA = arrow_schema("doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
@@ -105,18 +108,63 @@ def pieces(data: bytes) -> list[bytes]:
     return sorted(out, key=len)
 
 
-def narrow_margin(texts: dict[str, list[bytes]], counts: dict[str, int]) -> int:
-    """The margin in bytes below which predictions on left-out texts are wrong too often."""
-    kept = {lang: b" ".join(x for k, x in enumerate(own) if k % FOLDS)[:DICT_BYTES] for lang, own in texts.items()}
-    model = Model({lang: own for lang, own in kept.items() if own}, counts)
+def units(data: str) -> Iterator[str]:
+    """Words of letters; of long ones, overlapping pieces."""
+    for w in data.split():
+        if len(w) <= LONG_WORD:
+            yield w
+        else:
+            for k in range(0, len(w) - PIECE // 2, PIECE // 2):
+                yield w[k : k + PIECE]
+
+
+def _counted(labelled: DataFrame) -> DataFrame:
+    """l, out, word, n: how often each word is in each portion of a language's texts, out of the dictionaries that the margin is fitted on or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: Counter = Counter()
+            for lang, out, text in zip(*(batch.column(c).to_pylist() for c in ("l", "out", "t"))):
+                for word, n in Counter(units(letters(text))).items():
+                    got[lang, out, word.encode("utf-8", "replace").decode()] += n
+            yield arrow_batch(_WORDS_ARROW, *([k[i] for k in got] for i in range(3)), list(got.values()))
+
+    return labelled.select("l", "out", "t").mapInArrow(run, _WORDS)
+
+
+def _dictionaries(words: DataFrame) -> dict[str, bytes]:
+    """Each language's most frequent words, DICT_BYTES of them at most."""
+    w = Window.partitionBy("l").orderBy(F.col("n").desc(), "word")
+    best = words.groupBy("l", "word").agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= DICT_BYTES // 2)  # cut before rows meet
+    rows = best.withColumn("size", F.sum(F.octet_length("word") + 1).over(w)).where(F.col("size") <= DICT_BYTES).select("l", "k", "word").collect()
+    own: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda x: (x["l"], -x["k"])):
+        own.setdefault(r["l"], []).append(r["word"])
+    return {lang: " ".join(x).encode() for lang, x in own.items()}
+
+
+def narrow_margin(left_out: DataFrame, model: Model, counts: dict[str, int]) -> int:
+    """The margin in bytes below which predictions on left-out texts (l, t) are wrong too often."""
     if len(model.order) < 2:
         return 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: Counter = Counter()
+            for lang, text in zip(batch.column("l").to_pylist(), batch.column("t").to_pylist()):
+                if data := letters(text).encode("utf-8", "replace"):
+                    for p in pieces(data):
+                        best, _, margin = model.judged(p)
+                        got[lang, best == lang, min(margin, WIDEST)] += 1
+            yield arrow_batch(_TRIED_ARROW, *([k[i] for k in got] for i in range(3)), list(got.values()))
+
+    rows = left_out.select("l", "t").mapInArrow(run, _TRIED).groupBy("l", "right", "margin").agg(F.sum("n").alias("n")).collect()  # a few for each margin
+    tried: Counter = Counter()
+    for r in rows:
+        tried[r["l"]] += r["n"]
     right, wrong = [0.0] * (WIDEST + 1), [0.0] * (WIDEST + 1)
-    for lang, own in texts.items():
-        tried = [p for k, x in enumerate(own) if not k % FOLDS for p in pieces(x)]
-        for p in tried:
-            got, _, margin = model.judged(p)
-            (right if got == lang else wrong)[min(margin, WIDEST)] += counts[lang] / len(tried)
+    for r in rows:
+        (right if r["right"] else wrong)[r["margin"]] += counts[r["l"]] * r["n"] / tried[r["l"]]
     narrow = 1  # a tie tells nothing, however right it was on left-out pieces
     while narrow < WIDEST and wrong[narrow] > RISK * (right[narrow] + wrong[narrow]):
         narrow += 1
@@ -124,23 +172,18 @@ def narrow_margin(texts: dict[str, list[bytes]], counts: dict[str, int]) -> int:
 
 
 def train(docs: DataFrame, folds: int = 5) -> Model:
-    """Learns from the text and lang of rows whose crc32(doc_id) modulo folds is not 0."""
+    """Learns from the text and lang of all rows whose crc32(doc_id) modulo folds is not 0."""
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t"), F.col("lang").cast("string").alias("l"))
     labelled = own.where((id_remainder(F.col("i"), folds) != 0) & F.col("l").isNotNull() & F.col("t").isNotNull())
-    labelled = labelled.withColumn("h", F.pmod(F.xxhash64("i", "t"), F.lit(1_000_003))).withColumn("t", F.substring("t", 1, SAMPLE_CHARS))
-    # an early cut by hash, from counts of all rows, leaves about twice the sample to rank
+    labelled = labelled.withColumn("out", F.pmod(F.xxhash64("i", "t"), F.lit(FOLDS)) == 0)
     per = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return Model({}, {})
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, min(1.0, 2.0 * (SAMPLE_DOCS + 50) / n))]), F.col("l"))
-    labelled = labelled.where(F.col("h") < share * 1_000_003)
-    w = Window.partitionBy("l").orderBy("h", "i", "t")
-    rows = labelled.withColumn("k", F.row_number().over(w)).where(F.col("k") <= SAMPLE_DOCS).select("l", "k", "t").collect()  # bounded a language
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda x: (x["l"], x["k"])):
-        if data := letters(r["t"]).encode("utf-8", "replace"):
-            texts.setdefault(r["l"], []).append(data)
-    return Model({lang: b" ".join(own)[:DICT_BYTES] for lang, own in texts.items()}, per, narrow_margin(texts, per))
+    words = cut(_counted(labelled).groupBy("l", "out", "word").agg(F.sum("n").alias("n")), "words-of-languages")
+    whole, kept = _dictionaries(words), Model(_dictionaries(words.where("NOT out")), per)
+    discard(words)
+    return Model(whole, per, narrow_margin(labelled.where("out"), kept, per))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

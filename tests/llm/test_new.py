@@ -291,3 +291,11 @@ def test_media_that_end_early_are_marked(spark):
     got = {r["doc_id"]: r["whole"] for r in matroska.read_media(short).collect()}
     assert got[1] is False
     assert "ends early" in {r["error"] for r in matroska.packets(short.where("doc_id = 1"), "doc_id", "media").collect()}
+
+
+def test_every_labelled_text_teaches_its_language_whole(spark):
+    rows = [(i, f"{'der die das und nicht' if i % 2 else 'the and not with this'} {chr(97 + i % 26)}", "de" if i % 2 else "en") for i in range(3000)]
+    rows += [(3000 + i, "the and not with this " * 5000 + "zyxwvutsrq ponmlkjihg", "en") for i in range(2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert b"zyxwvutsrq" in model.samples["en"] and b"zyxwvutsrq" not in model.samples["de"]
+    assert list(langid.units("ab " + "x" * 25))[:2] == ["ab", "xxxx"]
