@@ -15,8 +15,10 @@ terms scores everything 0; documents that score 0 fill up the k rows by id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ FOLDERS, BLOCK_DOCS = 64, 256
 FIRST_BLOCKS = 32
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct term of a text with its count. A text's terms are in its row, so they need no shuffle to be counted."""
+    for batch in batches:
+        toks = batch.column("toks")
+        row = np.repeat(np.arange(len(batch)), toks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        coded = toks.flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        pair, tf = np.unique(row * n + coded.indices.to_numpy(), return_counts=True)
+        place = pa.array(pair // n)
+        columns = [batch.column(c).take(place) for c in ("id", "file_id", "block", "dl")]
+        yield pa.RecordBatch.from_arrays([*columns, coded.dictionary.take(pa.array(pair % n)), pa.array(tf, pa.int32())], ["id", "file_id", "block", "dl", "term", "tf"])
+
+
 class KeywordIndex:
     """Texts that belong to files; an upsert replaces all texts of the files it has. All kinds of rows are one table, so
     one commit covers them."""
@@ -44,7 +59,7 @@ class KeywordIndex:
         kind = self.table.schema["id"].dataType
         own = docs.select(F.col("id").cast(kind).alias("id"), F.col("file_id").cast("bigint").alias("file_id"), tx.tokens(F.lower(F.coalesce(F.col("text"), F.lit("")))).alias("toks"))
         own = own.select("id", "file_id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.size("toks").alias("dl"), "toks")
-        terms = own.select("id", "file_id", "block", "dl", F.explode("toks").alias("term")).groupBy("id", "file_id", "block", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        terms = own.mapInArrow(_counted, own.select("id", "file_id", "block", "dl", F.lit("").alias("term"), F.lit(0).alias("tf")).schema)
         folder = F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int").alias("folder")
         none = lambda kind: F.lit(None).cast(kind)
         postings = terms.select("term", "block", "id", "file_id", "tf", "dl", none("bigint").alias("n"), F.lit("posting").alias("kind"), folder)

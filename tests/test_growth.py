@@ -91,3 +91,14 @@ def test_overlaps_are_computed_once_for_names_and_fields_of_the_same_characters(
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     plan = _plan(got)
     assert plan.index("Generate explode") < plan.index("Join Cross")  # members come after the shares
+
+
+def test_terms_of_a_text_are_counted_without_a_shuffle(spark, tmp_path):
+    from lakequill.stores.postings import KeywordIndex
+
+    docs = spark.createDataFrame([(1, 7, "Red red blue 猫猫"), (2, 7, None), (3, 8, "  "), (4, 8, "blue x1")], "id long, file_id long, text string")
+    rows = KeywordIndex(spark, f"file://{tmp_path}/index", id_type="bigint")._rows(docs, 4, 8)
+    postings = rows.where("kind = 'posting'")
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+    got = {(r["id"], r["term"]): (r["tf"], r["dl"]) for r in postings.collect()}
+    assert got[1, "red"] == (2, 4) and got[1, "blue"] == (1, 4) and got[4, "x1"] == (1, 2) and {i for i, _ in got} == {1, 4}
