@@ -102,3 +102,27 @@ def test_terms_of_a_text_are_counted_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
     got = {(r["id"], r["term"]): (r["tf"], r["dl"]) for r in postings.collect()}
     assert got[1, "red"] == (2, 4) and got[1, "blue"] == (1, 4) and got[4, "x1"] == (1, 2) and {i for i, _ in got} == {1, 4}
+
+
+def test_conflicts_of_answers_read_each_text_once(spark, data_dir):
+    from lakequill.operators import conflicts
+    from lakequill.plans import catalog, fixtures
+
+    for query in (catalog.conflicts_money, catalog.conflicts_company, catalog.conflicts_dates):
+        plan = _plan(query(spark, data_dir))
+        assert plan.count("Relation") == (3 if query is catalog.conflicts_dates else 1) and "Join" not in plan
+    own = fixtures.inline(spark, "chunks")
+    for kind in (conflicts.money, conflicts.dates, conflicts.ratios, conflicts.companies):
+        one = kind(own.withColumn("g", F.lit(1)), ["g"]).drop("g")
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, kind(own).collect()))
+
+
+def test_signs_are_in_all_matches(spark):
+    from lakequill.operators import conflicts
+
+    rows = [("k", "f", t) for t in ("9 万元 3元 ¥ 7 人民币8", "人民币 5元", "¥6", "1% 2.5 %", "甲乙丙丁公司 某某贸易 某某科技", "2024年1月2日", "2024-01-02 2024/1/2", "1234 x", "", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source_file string, content string")
+    for patterns in (conflicts.MONEY, conflicts.RATIO, conflicts.COMPANY, *[(f"({p})",) for _, p in conflicts.DATES]):
+        plain = chunks.select(F.explode(F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns]))).alias("value"))
+        want = sorted(r["value"].strip() for r in plain.collect())
+        assert want and sorted(r["value"] for r in conflicts.values(chunks, patterns, 0, "k").collect()) == want
