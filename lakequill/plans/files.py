@@ -149,16 +149,18 @@ def source_texts(spark, sf_dir):
 #: Events of the table as steps of work on files.
 _KINDS = {"signup": "start", "view": "parse", "click": "index", "purchase": "done", "error": "fail"}
 SLICES = 5
+#: Events of all slices from which each slice goes into one more file.
+EVENTS_OF_FILE = 1_000_000
 
 
-def _event_files(spark, sf_dir, folder: str, first: int = 0, last: int = SLICES) -> str:
-    """Writes slices of the events by time, one after another, and returns their folder."""
+def _event_files(spark, sf_dir, folder: str, first: int = 0, last: int = SLICES, files: int = 1) -> str:
+    """Writes slices of the events by time, one after another, each into so many files at most, and returns their folder."""
     rows = table(spark, sf_dir, "events")
     kind = F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), F.col("event_type"))
     at = F.floor((F.dayofmonth("ts") - 1) * SLICES / 31)
     rows = rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("file_id"), kind.alias("kind"), at.alias("slice"))
     for k in range(first, last):
-        rows.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        rows.where(F.col("slice") == k).drop("slice").repartition(files).write.mode("append").parquet(f"{folder}/in")
     return f"{folder}/in"
 
 
@@ -176,13 +178,16 @@ def _event_files(spark, sf_dir, folder: str, first: int = 0, last: int = SLICES)
  CAST(coalesce(progress, 0) AS INTEGER) AS progress, CAST(coalesce(failures, 0) AS BIGINT) AS failures, CAST(coalesce(stalls, 0) AS BIGINT) AS stalls FROM (SELECT DISTINCT f FROM e) u LEFT JOIN l USING (f) LEFT JOIN p ON p.f = l.f AND p.run = l.run LEFT JOIN s ON s.f = l.f CROSS JOIN w"""
 )
 def task_progress(spark, sf_dir):
-    """Events as a stream of several files; the states at its end are those of a replay of all events."""
+    """Events as a stream that comes a slice at a time; the states at its end are those of a replay of all events."""
     from ..session import fresh_dir
     from ..streaming.progress import track
 
-    folder = fresh_dir(spark, "events")
-    stream = spark.readStream.schema("event_id bigint, ts timestamp, file_id bigint, kind string").option("maxFilesPerTrigger", 1).parquet(_event_files(spark, sf_dir, folder))
-    return track(spark, stream, folder)
+    folder, got = fresh_dir(spark, "events"), None
+    files = -(-table(spark, sf_dir, "events").count() // EVENTS_OF_FILE) or 1
+    for k in range(SLICES):  # a slice is one batch, however many files it has
+        stream = spark.readStream.schema("event_id bigint, ts timestamp, file_id bigint, kind string").parquet(_event_files(spark, sf_dir, folder, k, k + 1, files))
+        got = track(spark, stream, folder)
+    return got
 
 
 @query("SELECT CAST(o_custkey AS BIGINT) AS file_id, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_acctbal >= 0 AND c_custkey % 4 <> 0 THEN 'ok' ELSE 'not indexed' END AS outcome FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 9 <> 0) ON c_custkey = o_custkey")

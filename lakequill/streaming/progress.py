@@ -3,7 +3,8 @@
 A ``start`` begins a run at 5 percent. ``parse`` steps lead from 10 to 49, ``index`` steps from 70 to 89, ``done`` ends a run
 at 100, ``fail`` ends it where it is. Progress doesn't fall within a run; what comes after its end is left out until the next
 start. A run that hears nothing for STALL milliseconds has stalled, once for each silence; a timer on event time tells that
-without an event. State is a few numbers a file; events of a file come in order of time within the watermark's delay.
+without an event. State is a few numbers a file; events of a file come in order of time within the watermark's delay. Files
+are dealt into SHARDS, which are called as one, because a call takes some milliseconds however little it does.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from ..session import fresh_dir
 STARTED, PARSE, INDEX, DONE = 5, (10, 49), (70, 89), 100
 PARSE_STEP, INDEX_STEP = 13, 10
 STALL = 24 * 3_600_000
+SHARDS = 2048
 
 OUT = "file_id bigint, seq bigint, run bigint, status string, progress int, failures bigint, stalls bigint"
-_STATE = "seq bigint, run bigint, status string, progress int, failures bigint, stalls bigint, parse bigint, index bigint, last bigint"
+_FIELDS = "seq bigint, run bigint, status string, progress int, failures bigint, stalls bigint, parse bigint, index bigint, last bigint"
+_STATE = "file_id array<bigint>, " + ", ".join(f"{c} array<{kind}>" for c, kind in (f.split() for f in _FIELDS.split(", ")))
+_NEW = (0, 0, "pending", 0, 0, 0, 0, 0, None)
 
 
 def advance(state: tuple, events: list[tuple[int, str]]) -> tuple:
@@ -50,24 +54,39 @@ def advance(state: tuple, events: list[tuple[int, str]]) -> tuple:
 
 
 def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = state.get if state.exists else (0, 0, "pending", 0, 0, 0, 0, 0, None)
+    files = {f: now for f, *now in zip(*state.get)} if state.exists else {}
+    events: dict = {}
     if not state.hasTimedOut:
-        events = sorted((int(ms), order, kind) for pdf in parts for ms, order, kind in zip(pdf["ms"], pdf["event_id"], pdf["kind"]))
-        now = advance(now, [(ms, kind) for ms, _, kind in events])
-    due = None if now[2] != "processing" else now[8] + STALL
-    if due is not None and due < state.getCurrentWatermarkMs():  # silent for so long already, or the timer has run out
-        now = (now[0] + state.hasTimedOut, now[1], "stalled", *now[3:5], now[5] + 1, *now[6:])
-        due = None
-    state.update(now)
+        for pdf in parts:
+            for file, none, ms, order, kind in zip(*[pdf[c].tolist() for c in ("file_id", "none", "ms", "event_id", "kind")]):
+                events.setdefault(None if none else file, []).append((ms, order, kind))
+    for file, own in events.items():
+        files[file] = advance(files.get(file, _NEW), [(ms, kind) for ms, _, kind in sorted(own)])
+    mark, due, changed = state.getCurrentWatermarkMs(), None, list(events)
+    for file, now in files.items():
+        if now[2] != "processing":
+            continue
+        end = now[8] + STALL
+        if end >= mark:
+            due = end if due is None else min(due, end)
+            continue
+        heard = file in events  # silent for so long already, or the timer has run out
+        files[file] = (now[0] + (not heard), now[1], "stalled", *now[3:5], now[5] + 1, *now[6:])
+        if not heard:
+            changed.append(file)
+    state.update(tuple(map(list, zip(*((f, *now) for f, now in files.items())))))
     if due is not None:
-        state.setTimeoutTimestamp(due + 1)
-    yield pd.DataFrame([(key[0], *now[:6])], columns=[c.split()[0] for c in OUT.split(", ")])
+        state.setTimeoutTimestamp(max(due, mark + 1))
+    columns = [c.split()[0] for c in OUT.split(", ")]
+    out = pd.DataFrame([(f, *files[f][:6]) for f in changed], columns=columns)
+    yield out.assign(file_id=pd.Series(changed, dtype=object))
 
 
 def progress_stream(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A row for each change of a file's state; events are (event_id, ts, file_id, kind), a stream."""
-    rows = events.select(F.col("event_id").cast("bigint").alias("event_id"), "ts", F.col("file_id").cast("bigint").alias("file_id"), "kind", F.unix_millis("ts").alias("ms"))
-    return rows.withWatermark("ts", delay).groupBy("file_id").applyInPandasWithState(_step, OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    file = F.col("file_id").cast("bigint")
+    rows = events.select(F.col("event_id").cast("bigint").alias("event_id"), "ts", F.coalesce(file, F.lit(0)).alias("file_id"), file.isNull().alias("none"), "kind", F.unix_millis("ts").alias("ms"), F.pmod(F.xxhash64(file), F.lit(SHARDS)).alias("shard"))
+    return rows.withWatermark("ts", delay).groupBy("shard").applyInPandasWithState(_step, OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def track(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:

@@ -93,6 +93,39 @@ def test_steps_of_progress():
     assert advance(late, [(10**12, "start"), (10**12 + 1, "done")])[1:6] == (2, "done", 100, 1, 1)
 
 
+def test_files_of_a_shard_come_in_one_call():
+    import pandas as pd
+
+    from lakequill.streaming import progress
+
+    class State:
+        exists = hasTimedOut = False
+        mark, timer = 0, None
+        update = lambda self, got: self.__dict__.update(get=got, exists=True)
+        getCurrentWatermarkMs = lambda self: self.mark
+        setTimeoutTimestamp = lambda self, ms: self.__dict__.update(timer=ms)
+
+    def call(state, rows):
+        parts = [pd.DataFrame(rows, columns=["file_id", "none", "ms", "event_id", "kind"])] if rows else []
+        return sorted((tuple(r) for pdf in progress._step((0,), iter(parts), state) for r in pdf.astype(object).values.tolist()), key=str)
+
+    big, s = 2**60 + 1, State()
+    got = call(s, [(big, False, 7, 2, "parse"), (0, True, 5, 3, "start"), (big, False, 6, 1, "start"), (9, False, 1, 4, "done"), (8, False, 1, 5, "start"), (8, False, 2, 6, "done")])
+    assert got == sorted([(big, 1, 1, "processing", 10, 0, 0), (None, 1, 1, "processing", 5, 0, 0), (9, 1, 0, "pending", 0, 0, 0), (8, 1, 1, "done", 100, 0, 0)], key=str)
+    assert s.timer == 5 + progress.STALL
+    s.hasTimedOut, s.mark = True, 6 + progress.STALL  # only the file of the timer has been silent for long enough
+    assert call(s, []) == [(None, 2, 1, "stalled", 5, 0, 1)] and s.timer == 7 + progress.STALL
+
+
+def test_a_slice_of_events_may_be_many_files(spark, data_dir, monkeypatch):
+    import compare
+
+    from lakequill.plans import catalog, files
+
+    monkeypatch.setattr(files, "EVENTS_OF_FILE", 300)
+    assert not compare.difference(catalog.queries()["task_progress"](spark, data_dir), compare.connect(data_dir), catalog.oracle_sql()["task_progress"])
+
+
 def test_cache_forgets_by_time_use_and_file(spark, tmp_path):
     from lakequill.streaming.cache import Shard, replay
 
