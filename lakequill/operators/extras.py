@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut, discard
+from ..session import TASK_ROWS, cut, dealt, discard
 
 
 def paragraphs_of(c: Column, least: int = 15) -> Column:
@@ -48,11 +48,11 @@ def short_summary(c: Column, most: int) -> Column:
 def table_descriptions(items: DataFrame, doc: str, order: str, most: int = 5) -> DataFrame:
     """Tables with up to most paragraphs between them and the table before."""
     w = Window.partitionBy(doc).orderBy(order)
-    seen = items.withColumn("__t", F.sum((F.col("kind") == "table").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__t", F.coalesce("__t", F.lit(0)))
-    texts = seen.where("kind = 'paragraph' AND text != ''").groupBy(doc, "__t").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "text"))).alias("x"))
+    seen = dealt(items, doc, rows=TASK_ROWS).withColumn("__t", F.sum((F.col("kind") == "table").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__t", F.coalesce("__t", F.lit(0)))
+    text = F.when((F.col("kind") == "paragraph") & (F.col("text") != ""), F.struct(F.col(order).alias("o"), "text"))
+    got = seen.withColumn("x", F.collect_list(text).over(Window.partitionBy(doc, "__t"))).where("kind = 'table'").withColumn("x", F.array_sort("x"))
     last = F.slice("x", F.greatest(F.size("x") - most + 1, F.lit(1)), F.lit(most))
-    got = seen.where("kind = 'table'").join(texts, [doc, "__t"], "left")
-    return got.select(doc, order, F.coalesce(F.array_join(F.transform(last, lambda s: s["text"]), "\n"), F.lit("")).alias("description"))
+    return got.select(doc, order, F.array_join(F.transform(last, lambda s: s["text"]), "\n").alias("description"))
 
 
 def head_by_length(df: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:

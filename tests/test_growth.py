@@ -126,3 +126,19 @@ def test_signs_are_in_all_matches(spark):
         plain = chunks.select(F.explode(F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns]))).alias("value"))
         want = sorted(r["value"].strip() for r in plain.collect())
         assert want and sorted(r["value"] for r in conflicts.values(chunks, patterns, 0, "k").collect()) == want
+
+
+def test_tasks_of_table_steps_are_bounded(spark):
+    from lakequill.operators import extras, tables
+
+    n = 250_000
+    rows = spark.range(n)
+    items = rows.selectExpr("id AS doc", "0 AS pos", "'table' AS kind", "'x' AS text")
+    people = rows.selectExpr("id AS ord", "concat('n', id) AS name", "'c' AS city")
+    fields = rows.selectExpr("concat('n', id) AS field")
+    for got in (extras.table_descriptions(items, "doc", "pos"), tables.keep_fullest(people, "name", "ord"), tables.match_fields(fields, people.select("ord", "name"))):
+        per = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(per) == n and max(per) <= 100_000
+    cells = rows.selectExpr("concat('s', id) AS sheet", "1 AS row", "1 AS col", "'v' AS value")
+    got = tables.header_row(cells, 1)
+    assert tuple(got.first()) == ("s0", 1, 1) and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
