@@ -142,3 +142,10 @@ def test_tasks_of_table_steps_are_bounded(spark):
     cells = rows.selectExpr("concat('s', id) AS sheet", "1 AS row", "1 AS col", "'v' AS value")
     got = tables.header_row(cells, 1)
     assert tuple(got.first()) == ("s0", 1, 1) and "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_in_conflict_are_not_sent_to_all_tasks(spark, data_dir):
+    from lakequill.plans import catalog
+
+    plan = catalog.conflict_annotate(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
