@@ -17,13 +17,16 @@ that set. For the nodes, inverted lists of retained values give overlaps:
   for each node, the size of its set and how many of its shingles some other such node has, bound the size of a partner.
   The smaller set of a link must have nearly all of its shingles in common with others (2 * t / (1 + t) of them), the
   larger one a share of t. Documents that share a passage below that are left out before any join, whatever their number.
-  What is left is joined by value, range of size and part of the list, and compared by signatures of one bit for each of
-  512 minima, with the same margin of DEVIATIONS.
+  What is left is joined by the first values of its sets, in an order that has the values of few sets first: two sets that
+  have none of these in common can't be a link, and a value's place in a set bounds the size of a partner. As a copy that isn't
+  linked to its group's pivot has over (1 - t) / (1 + t) of its values from edits, these lists are short, whatever the number of copies.
+  Pairs go by value, range of size and part of the list, and are compared by signatures of one bit for each of 512 minima,
+  with the same margin of DEVIATIONS.
 
 So no link between different texts is lost but by chance: two documents at a similarity of 0.8 have no retained value
 in common with a chance of 0.2 ** 16; in long lists they have at least 0.5 of those values in common, so the chance is
 0.5 ** 24. What still grows with the square of a list is the number of documents that consist of common passages nearly
-whole, without being linked.
+whole, without being linked, such as copies of an original that isn't there itself.
 
 No task gets all rows of one value, class, component or pivot: lists, classes and labels are dealt in parts where they
 are long, and the texts of a node in many pairs go to several tasks.
@@ -359,13 +362,13 @@ def _resolved(docs: DataFrame, threshold: float) -> DataFrame:
     share = shared.groupBy("node").agg(F.sum(F.col("hot").cast("int")).alias("hots"), F.array_sort(F.collect_list(F.when(F.col("hot"), F.col("value")))).alias("longs"))
     share = share.join(nodes.select("node", "n"), "node").withColumn("share", F.col("hots") / F.least("n", F.lit(KEEP)))
     share = cut(share.select("node", "n", "share", F.when(F.col("share") > 1 - COLD_SHARE, F.slice("longs", 1, LISTED_LONG)).alias("longs")), "shares")
-    own, wide = _long_traits(search, share.where("longs IS NOT NULL").select("node"))
-    traits = share.join(own, "node", "left").join(wide.select("node", "bits"), "node", "left").select("node", "n", "share", "longs", "bits", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    own, wide, often = _long_traits(search, share.where("longs IS NOT NULL").select("node"))
+    traits = share.join(own, "node", "left").select("node", "n", "share", "longs", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
     listed = shared.join(traits, "node").where(F.when(F.col("share") == 0, F.col("k") < LISTED).when(~F.col("hot"), F.lit(True)).otherwise(F.array_contains("longs", F.col("value"))))
     # a hash's upper half is enough to compare sketches, and never tells equal values apart
     upper = F.transform(F.coalesce("wide", "sketch"), lambda x: F.shiftright(x, 32).cast("int"))
     sketched = nodes.join(wide, "node", "left").select("node", "n", upper.alias("sketch"))
-    lists = cut(listed.select("value", "node", "hot", "n", "common", "share", F.when(F.col("hot"), F.col("longs")).alias("longs"), F.when(F.col("hot"), F.col("bits")).alias("bits")), "lists")
+    lists = cut(listed.select("value", "node", "hot", "n", "common", "share"), "lists")
     label = seen = None
     for turn in range(PIVOT_ROUNDS + 1):
         live = lists.withColumn("comp", F.col("node")) if label is None else lists.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -379,7 +382,7 @@ def _resolved(docs: DataFrame, threshold: float) -> DataFrame:
             met = live.withColumn("part", part).alias("l").join(open_lists.select("*", parts).alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.part") == F.col("r.part")) & (F.col("l.comp") != F.col("r.pc")) & may)
             met = met.select(F.col("r.p").alias("a"), F.col("l.node").alias("b"))
         else:
-            left = cut(live.join(open_lists.select("value"), "value", "left_semi"), "open-lists")
+            left = _open_rows(search, live.join(open_lists.select("value"), "value", "left_semi"), wide, often)
             met = _rest(left, threshold)
         pairs = _unique(met)
         if seen is not None:
@@ -396,7 +399,7 @@ def _resolved(docs: DataFrame, threshold: float) -> DataFrame:
     of_class = cut(search.classes.join(label, "node", "left").select(*_CLASS, "node", "low", "m", F.coalesce("comp", "node").alias("comp")), "of-class")
     lowest = of_class.groupBy("comp").agg(F.min("low").alias("component_id"))
     of_class = cut(of_class.join(lowest, "comp").select(*_CLASS, "m", "component_id", (F.col("node") == F.col("comp")).alias("first")), "components")
-    discard(nodes, shared, share, own, wide, lists, label, search.classes)
+    discard(nodes, shared, share, own, wide, often, lists, label, search.classes)
     return _spread_out(search.rows, of_class)
 
 
@@ -447,40 +450,80 @@ def _may_link(n1, n2, common1, common2, hot, threshold: float):
     return size & (~hot | (F.least(common1, common2) >= (n1 + n2) * F.lit(threshold / (1 + threshold) - 1e-9)))
 
 
+def _first_values(search: _Search, nodes: DataFrame, often: DataFrame) -> DataFrame:
+    """value, node, place of the values of nodes that the first one in common with a link can be.
+
+    Values are in one order for all sets: those of no more than LONG_LIST sets first, as far as a bitmap tells, then by hash.
+    A link has at least a share t of the values of each of its sets in common, so the first of these is no further than that.
+    """
+    threshold, bitmap = search.threshold, key_bitmap(often, "value")
+    sent = nodes.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in portions(batches, PORTION_BYTES):
+            row, h = shingle_hashes(batch.column("text"))
+            at = h.view(np.int64) % (8 * len(bits))
+            late = bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            order = np.lexsort((h, late, row))
+            row, h = row[order], h[order]
+            n = np.bincount(row, minlength=len(batch))
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            keep = place <= n[row] * (1 - threshold) + 1e-6
+            yield arrow_batch(_PLACE_ARROW, h[keep].view(np.int64), batch.column("node").take(pa.array(row[keep])), place[keep])
+
+    return _texts(search.docs, search.places(nodes), search.again).mapInArrow(run, _PLACE)
+
+
+def _open_rows(search: _Search, live: DataFrame, wide: DataFrame, often: DataFrame | None) -> DataFrame:
+    """Rows of live in short lists, and for nodes in long lists one for each of their first values, hot."""
+    rows = cut(live, "open-lists")
+    short = rows.where("NOT hot").select("value", "node", "n", "common", "hot", "comp", F.lit(None).cast("long").alias("place"), F.lit(None).cast("array<long>").alias("bits"))
+    nodes = cut(rows.where("hot").select("node", "n", "common", "comp").distinct(), "open-nodes")
+    if nodes.limit(1).count():
+        long = _first_values(search, nodes, often).join(nodes, "node").join(wide.select("node", "bits"), "node")
+        short = short.unionByName(long.withColumn("hot", F.lit(True)))
+    out = cut(short, "first-values")
+    discard(rows, nodes)
+    return out
+
+
 def _rest(live: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different components of a list that can be links, a the smaller set in long lists.
 
-    With r = t / (1 + t), a link needs r * (n1 + n2) common shingles in each set, so common / r - n is the largest partner
-    of a set, and the smaller set of a link has a largest partner that isn't smaller than itself. A pair comes in the list of the lowest value that both documents list.
-    Long lists leave out pairs within their largest component.
+    With r = t / (1 + t), a link needs r * (n1 + n2) common shingles. A set has no more than those that others have too, and
+    none before the first one that both have, so its place bounds the size of a partner: most. The larger set goes to the cells of
+    size that its partners can have, the smaller one to its own. Pairs within a list's largest component aren't made.
     """
     may = _may_link(F.col("l.n"), F.col("r.n"), F.col("l.common"), F.col("r.common"), F.col("l.hot"), threshold)
     short = live.where("NOT hot").select("value", "node", "n", "common", "hot", "comp")
     pairs = short.alias("l").join(short.alias("r"), (F.col("l.value") == F.col("r.value")) & (F.col("l.comp") != F.col("r.comp")) & may & (F.col("l.node") < F.col("r.node"))).select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-    most = F.col("common") / F.lit(threshold / (1 + threshold)) - F.col("n") + 1e-6
-    long = live.where(F.col("hot") & (F.col("common") >= F.col("n") * F.lit(threshold - 1e-9))).select("value", "node", "n", "comp", "longs", "bits", most.alias("most"))
-    top = long.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("m")).select("value", F.col("t.comp").alias("top"), "m")
-    strong = F.col("most") >= F.col("n")
-    bounds = long.where(strong).groupBy("value").agg(F.min("n").alias("least"), F.max("most").alias("reach")).join(top, "value")
-    parts = F.least(F.ceil(F.col("m") / PART), F.lit(1024)).cast("int")
-    rows = long.join(bounds.withColumn("parts", parts), "value").where((F.col("most") >= F.col("least")) & (F.col("n") <= F.col("reach")))
-    cell = lambda size: F.floor(F.log(size) / F.lit(math.log(1 / threshold)))
-    keep = ["value", "node", "n", "most", "longs", "bits", "comp", "top"]
-    l = rows.where(strong).select(*keep, "parts", F.explode(F.sequence(cell(F.col("n")), cell(F.greatest("n", F.least("most", F.col("n") / threshold + 1))))).alias("cell"))
-    l = l.select(*keep, "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("l")
-    r = rows.select(*keep, cell(F.col("n")).alias("cell"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("r")
-    same = (F.col("l.value") == F.col("r.value")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.part") == F.col("r.part"))
+    most = F.least(F.col("common"), F.col("n") - F.col("place")) / F.lit(threshold / (1 + threshold)) - F.col("n") + 1e-6
+    long = live.where("hot").select("value", "node", "n", "comp", "bits", most.alias("most"))
+    top = long.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("value").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    rows = long.join(top.select("value", F.col("t.comp").alias("top"), F.least(F.ceil(F.col("m") / PART), F.lit(1024)).cast("int").alias("parts")), "value")
+    cell = lambda size: F.floor(F.log(size) * CELLS)
+    keep = ["value", "node", "n", "most", "bits", "comp", "within"]
+    # within: whether the smaller set is in the largest component of the list, where the larger one then isn't
+    less = rows.where("most >= n").withColumn("within", F.col("comp") == F.col("top"))
+    bounds = less.groupBy("value", "within").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("most").alias("reach"))
+    both = F.when(F.col("comp") == F.col("top"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    more = rows.withColumn("within", F.explode(both)).join(bounds, ["value", "within"]).where("n <= reach")
+    lo, hi = F.greatest("least", F.col("n") * F.lit(threshold - 1e-9)), F.least("n", "most", "largest")
+    more = more.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi")
+    l = less.select(*keep, cell(F.col("n")).alias("cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).alias("l")
+    r = more.select(*keep, F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")).alias("r")
+    same = (F.col("l.value") == F.col("r.value")) & (F.col("l.within") == F.col("r.within")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.part") == F.col("r.part"))
     fit = (F.col("r.n") <= F.col("l.most")) & (F.col("l.n") <= F.col("r.most")) & ((F.col("l.n") < F.col("r.n")) | (F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
-    once = F.array_min(F.array_intersect("l.longs", "r.longs")) == F.col("l.value")
     differ = sum((F.bit_count(F.get(F.col("l.bits"), k).bitwiseXOR(F.get(F.col("r.bits"), k))) for k in range(SIGNATURE_LONGS)), F.lit(0))
-    alike = differ <= most_differing(threshold)
-    for left, right in ((F.col("comp") != F.col("top"), F.lit(True)), (F.col("comp") == F.col("top"), F.col("comp") != F.col("top"))):
-        far = l.where(left).alias("l").join(r.where(right).alias("r"), same & (F.col("l.comp") != F.col("r.comp")) & fit & alike & once)
-        pairs = pairs.unionByName(far.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
-    return pairs
+    far = l.join(r, same & (F.col("l.comp") != F.col("r.comp")) & fit & (differ <= most_differing(threshold)))
+    return pairs.unionByName(far.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")))
 
 
 _ALONE, _ALONE_ARROW = arrow_schema("value long, node long, wide array<long>, bits array<long>")
+_PLACE, _PLACE_ARROW = arrow_schema("value long, node long, place long")
+#: Cells of size by which long lists are joined, for a factor of e.
+CELLS = 64
 SIGNATURE_LONGS = 8
 _FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ k << 33) & 0xFFFFFFFFFFFFFFFF | 1 for k in range(64 * SIGNATURE_LONGS)], np.uint64)
 
@@ -507,8 +550,8 @@ def most_differing(threshold: float) -> int:
     return int(n * p + DEVIATIONS * (n * p * (1 - p)) ** 0.5) + 1
 
 
-def _long_traits(search: _Search, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of nodes in long lists: how many shingles no other of them has (node, alone), and wide sketches (node, wide, bits)."""
+def _long_traits(search: _Search, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Of nodes in long lists: how many shingles no other of them has (node, alone), wide sketches (node, wide, bits), and the values of over LONG_LIST of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, PORTION_BYTES):
@@ -525,14 +568,16 @@ def _long_traits(search: _Search, nodes: DataFrame) -> tuple[DataFrame, DataFram
 
     if not nodes.limit(1).count():
         none = F.lit(None).cast("array<long>")
-        return nodes.withColumn("alone", F.lit(0).cast("long")), nodes.withColumn("wide", none).withColumn("bits", none)
+        return nodes.withColumn("alone", F.lit(0).cast("long")), nodes.withColumn("wide", none).withColumn("bits", none), None
     wanted = cut(search.places(nodes), "long-nodes")
     found = cut(_texts(search.docs, wanted, search.again).mapInArrow(run, _ALONE), "long-traits")
-    alone = found.where("wide IS NULL").groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node")).where("m = 1")
-    alone = cut(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "private")
+    counts = found.where("wide IS NULL").groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("node"))
+    counts = cut(counts.where((F.col("m") == 1) | (F.col("m") > LONG_LIST)), "long-counts")
+    alone = cut(counts.where("m = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "private")
+    often = cut(counts.where("m > 1").select("value"), "often")
     wide = cut(found.where("wide IS NOT NULL").select("node", "wide", "bits"), "wide")
-    discard(wanted, found)
-    return alone, wide
+    discard(wanted, found, counts)
+    return alone, wide, often
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

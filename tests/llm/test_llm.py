@@ -650,6 +650,35 @@ def test_a_common_passage_below_the_threshold_gives_no_pairs(spark, monkeypatch)
     assert neardup.near_duplicates(docs, 0.85).where("kept").count() == 400 and asked[0] < 100
 
 
+def copies_below_the_threshold(copies, r):
+    """An original and copies of it with five or six edits of a word, each just below a similarity of 0.8 to it."""
+    words = vocabulary(41, 3000)
+    base = [r.choice(words) for _ in range(221)]
+    pool = [r.sample(words, 25) for _ in range(40)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, copies + 1):
+        w = list(base)
+        for k in r.sample(range(40), r.choice([5, 5, 6])):
+            w[8 + 5 * k] = r.choice(pool[k])
+        rows.append((i, " ".join(w)))
+    # and a few links between such copies, also where the smaller one has lost words
+    for i in range(1, 13):
+        w = rows[i][1].split()
+        rows.append((copies + i, " ".join(w[:-3] if i % 2 else w[:100] + ["other"] + w[101:])))
+    return rows
+
+
+def test_many_near_copies_just_below_the_threshold_give_few_pairs(spark, monkeypatch):
+    """Copies that aren't linked to their original meet by the values of few copies, not all with all."""
+    monkeypatch.setattr(neardup, "LONG_LIST", 8)
+    rows, asked, rest = copies_below_the_threshold(200, random.Random(6)), [], neardup._rest
+    monkeypatch.setattr(neardup, "_rest", lambda live, t: asked.append(rest(live, t).select("a", "b").distinct().count()) or rest(live, t))
+    got = rows_of(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.8))
+    want = brute_components(rows, 80)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == want
+    assert len({c for _, c in want.values()}) > 120 and asked[0] < 2500
+
+
 def test_components_of_chains_and_stars(spark, monkeypatch):
     monkeypatch.setattr(neardup, "PART", 20)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, k) for k in range(200, 300)] + [(299, 300), (301, 300)]
