@@ -149,3 +149,16 @@ def test_chunks_in_conflict_are_not_sent_to_all_tasks(spark, data_dir):
 
     plan = catalog.conflict_annotate(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_names_of_all_customers_are_not_sent_to_all_tasks(spark, data_dir):
+    from lakequill.operators import tables
+    from lakequill.plans import catalog
+
+    plan = catalog.fuzzy_field_match(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    heads, fields = spark.createDataFrame([(x,) for x in ("", " ", "é猫", "猫x", "b", None)], "header string"), spark.createDataFrame([(x,) for x in ("_", "猫", "猫X", "aé猫")], "field string")
+    got = {r["header"]: (r["field"], r["score"]) for r in tables.fuzzy_match(heads, fields).collect()}
+    assert got == {"": ("_", 3), " ": ("_", 3), "é猫": ("aé猫", 2), "猫x": ("猫X", 3), "b": ("_", 1), None: (None, 0)}
+    assert tables.fuzzy_match(heads, fields.limit(0)).where("score = 0 AND field IS NULL").count() == 6
+    assert tables.fuzzy_match(heads.limit(0), fields).count() == 0
