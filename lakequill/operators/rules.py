@@ -6,8 +6,10 @@ rule whose column or number can't be found holds for all rows.
 
 Groups with an equality or a range of numbers meet their rows by a join: on column and value, or on column and the one or
 two steps of a scale that hold the range. Of several such rules, the one with the fewest rows leads. The other groups are
-compared with each row, which is what such conditions cost; Spark sends them to the rows if they are few, and deals out both
-sides if not. What else a group asks is checked on the pairs that meet, as expressions over the row's cells.
+compared with each row, which is what such conditions cost; they are sent to the rows if they are few, and both sides are dealt
+out if not. What else a group asks is checked on the pairs that meet, as expressions over the row's cells.
+
+Tables of rules grow with the number of tables, whatever Spark guesses of their size, so joins sort both sides.
 """
 
 from __future__ import annotations
@@ -26,11 +28,9 @@ _NUMBER, _DATE = r"^\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\s*$", r"^\d{4}[-/]\d{1,2}(
 
 def resolved(rules: DataFrame, columns: list[str]) -> DataFrame:
     """Rules with the column they mean, null if there is none."""
-    named = rules.select("col").distinct()
     known = F.array(*[F.lit(c) for c in columns])
     near = F.filter(known, lambda c: F.contains(c, F.col("col")) | F.contains(F.col("col"), c))
-    found = named.select("col", F.when(F.array_contains(known, F.col("col")), F.col("col")).otherwise(F.get(near, F.lit(0))).alias("own"))
-    return rules.join(found, "col")
+    return rules.where("col IS NOT NULL").withColumn("own", F.when(F.array_contains(known, F.col("col")), F.col("col")).otherwise(F.get(near, F.lit(0))))
 
 
 def holds(cell: Column, op: Column, v1: Column, v2: Column) -> Column:
@@ -50,6 +50,8 @@ def holds(cell: Column, op: Column, v1: Column, v2: Column) -> Column:
 
 #: Numbers up to this size have places on scales; a rule with a larger bound leads no join.
 FAR = 1e15
+#: Groups of rules that are sent to all tasks at most.
+SENT = 10_000
 
 
 def _bounds(v1: Column, v2: Column) -> tuple[Column, Column]:
@@ -90,22 +92,25 @@ def matches(df: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     own = resolved(rules, names).withColumn("v1", F.coalesce("v1", F.lit(""))).withColumn("v2", F.coalesce("v2", F.lit("")))
     own = own.withColumn("step", _step(F.col("own"), F.col("op"), F.col("v1"), F.col("v2")))
     groups = own.groupBy("tbl", "grp").agg(F.collect_list(F.struct("own", "op", "v1", "v2")).alias("asked"), F.collect_list(F.when(F.col("step").isNotNull(), F.struct("own", "v1", "v2", "step"))).alias("leads"))
+    groups = cut(groups, "rule-groups")
     kinds = own.select("own", "step").distinct().collect()  # columns of df at most, with some tens of steps each
     used = sorted({r["own"] for r in kinds if r["own"] is not None})
     scales = sorted((r["own"], r["step"]) for r in kinds if r["step"] is not None)
     cells = F.create_map(*[x for c in used for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]) if used else F.create_map().cast("map<string,string>")
     rows = dealt(df, key, rows=50_000).select(F.col(f"`{key}`").alias(key), cells.alias("cells"))
     kept = F.forall("asked", lambda r: F.when(r["own"].isNull(), F.lit(True)).otherwise(holds(F.col("cells")[r["own"]], r["op"], r["v1"], r["v2"])))
-    met = rows.join(groups.where(F.size("leads") == 0).select("tbl", "asked"), F.lit(True)).where(kept).select("tbl", key)
+    free = groups.where(F.size("leads") == 0).select("tbl", "asked")
+    free = F.broadcast(free) if free.count() <= SENT else free.hint("shuffle_replicate_nl")
+    met = rows.join(free, F.lit(True)).where(kept).select("tbl", key)
     if scales:
         each = rows.select(key, "cells", F.explode(F.array(*[_place(c, step) for c, step in scales])).alias("__at")).where("__at.v IS NOT NULL")
         many = each.groupBy("__at").agg(F.count(F.lit(1)).alias("n"))
         led = groups.where(F.size("leads") > 0).select("tbl", "grp", "asked", F.posexplode("leads").alias("k", "lead"))
-        led = led.select("tbl", "grp", "asked", "k", F.explode(_met(F.col("lead"))).alias("__at")).join(many, "__at", "left")
+        led = led.select("tbl", "grp", "asked", "k", F.explode(_met(F.col("lead"))).alias("__at")).join(many.hint("merge"), "__at", "left")
         best = led.groupBy("tbl", "grp", "k").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.first("asked").alias("asked"), F.collect_list("__at").alias("ats"))
         best = best.groupBy("tbl", "grp").agg(F.min_by(F.struct("asked", "ats"), F.struct("n", "k")).alias("b"))
         keyed = best.select("tbl", F.col("b.asked").alias("asked"), F.explode("b.ats").alias("__at"))
-        met = met.unionByName(each.join(keyed, "__at").where(kept).select("tbl", key))
+        met = met.unionByName(each.join(keyed.hint("merge"), "__at").where(kept).select("tbl", key))
     return met.distinct()
 
 
@@ -117,16 +122,16 @@ def fill_tables(df: DataFrame, key: str, rules: DataFrame, headers: DataFrame, m
     """
     found = cut(matches(df, key, rules), "matches")  # keys, used twice
     tables = headers.select("tbl").distinct()
-    none = tables.join(found.select("tbl").distinct(), "tbl", "left_anti")
+    none = tables.join(found.select("tbl").distinct().hint("merge"), "tbl", "left_anti")
     known = reduce(lambda a, b: a.unionByName(b), [headers.sparkSession.range(1).select(F.lit(c).alias("name"), F.lit(k).alias("at")) for k, c in enumerate(df.columns)])
     first = known.withColumn("n", normal_name(F.col("name"))).groupBy("n").agg(F.min_by("name", "at").alias("name"))
     wanted = headers.withColumn("n", normal_name(F.col("header"))).join(F.broadcast(first), "n").select("tbl", "col", "name")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`")).alias("value")) for c in df.columns]))
     long = df.select(F.col(f"`{key}`").alias(key), cells.alias("x")).select(key, "x.name", "x.value").where(~F.lower("value").isin("", "nan", "none"))
     place = F.row_number().over(Window.partitionBy("tbl", "col").orderBy(key)).cast("bigint")
-    own = found.join(wanted, "tbl").join(long, [key, "name"])
+    own = found.join(wanted.hint("merge"), "tbl").join(long.hint("merge"), [key, "name"])
     # rows of no table of their own are ranked once, for all tables that take them
     w = Window.partitionBy("name").orderBy(key)
     head = long.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).withColumn("place", F.col("place").cast("bigint"))
-    rest = wanted.join(none, "tbl").join(head, "name").select("tbl", "col", "place", "value")
+    rest = wanted.join(none.hint("merge"), "tbl").join(F.broadcast(head), "name").select("tbl", "col", "place", "value")
     return own.withColumn("place", place).where(F.col("place") <= most).select("tbl", "col", "place", "value").unionByName(rest)

@@ -162,3 +162,20 @@ def test_names_of_all_customers_are_not_sent_to_all_tasks(spark, data_dir):
     assert got == {"": ("_", 3), " ": ("_", 3), "é猫": ("aé猫", 2), "猫x": ("猫X", 3), "b": ("_", 1), None: (None, 0)}
     assert tables.fuzzy_match(heads, fields.limit(0)).where("score = 0 AND field IS NULL").count() == 6
     assert tables.fuzzy_match(heads.limit(0), fields).count() == 0
+
+
+def test_rules_of_all_tables_are_not_sent_to_all_tasks(spark, data_dir, monkeypatch):
+    from lakequill.operators import rules
+    from lakequill.plans import stored
+
+    got = stored.fill_many_tables(spark, data_dir)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 4 and plan.count("BroadcastExchange") <= 3  # names of columns (twice) and the head that tables without rows take
+    assert "BroadcastHashJoin" not in _plan(stored.rules_of_tables(spark, data_dir)) and "SortMergeJoin" in stored.rules_of_tables(spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(k, str(k % 3)) for k in range(6)], "k bigint, who string")
+    own = spark.createDataFrame([(t, 1, "who", "neq", str(t % 3), "") for t in range(5)], "tbl bigint, grp int, col string, op string, v1 string, v2 string")
+    want = [(t, k) for t in range(5) for k in range(6) if k % 3 != t % 3]
+    assert sorted(map(tuple, rules.matches(rows, "k", own).collect())) == want
+    monkeypatch.setattr(rules, "SENT", 2)  # many such groups are dealt out
+    many = rules.matches(rows, "k", own)
+    assert "CartesianProduct" in many._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, many.collect())) == want
