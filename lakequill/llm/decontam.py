@@ -3,9 +3,9 @@
 Passages are windows of WINDOW words, STRIDE apart, so that each run of words lies in one for the most part. They are
 TF-IDF vectors over the benchmark's words; all other words count in their length alone. A randomised singular value
 decomposition, distributed over passages, gives the latent space: the range finder is seeded with the benchmark's own
-passages beside a random sketch, and Ritz values come from a second pass. (A range found from the corpus alone at ranks
-64, 128 and 256 kept a share of 0.00, 0.03 and 0.16 of the passages with an exact cosine of 0.55 or more, since rare
-words aren't among its main directions; hence the seed.) Every passage of every document is projected; a bound by
+passages beside a random sketch of the whole corpus, and Ritz values come from that sketch. (A range found from the corpus
+alone at ranks 64, 128 and 256 kept a share of 0.00, 0.03 and 0.16 of the passages with an exact cosine of 0.55 or more,
+since rare words aren't among its main directions; hence the seed.) Every passage of every document is projected; a bound by
 Cauchy and Schwarz skips those that can't reach the threshold.
 
 The cosine of a whole item and a window of fixed size falls with the item's length and with each word that is replaced, so
@@ -17,9 +17,10 @@ Candidates are judged on the words themselves: the longest common subsequence of
 answer occurs. A paraphrase found by weight alone must hold EVIDENCE of the item's weight in order too, since half of a
 short item's words may be such as stand in every text.
 
-The basis is fitted to all benchmark items and a sample of about FIT_PASSAGES corpus passages, chosen by hash; document
-frequencies and the search cover all passages. As the range holds all items and no direction is cut, the latent cosines
-of items and passages are those of the TF-IDF vectors.
+The basis is fitted to all benchmark items and all cells of the corpus, of which a passage is two. A sketch adds up cells
+with random signs, and weights of words scale it as they would scale each cell, so it is made where words are counted,
+before weights are known, in whole numbers. Document frequencies and the search cover all passages, too. As the range holds
+all items and no direction is cut, the latent cosines of items and passages are those of the TF-IDF vectors.
 
 The benchmark comes to the driver a partition at a time and goes through in blocks of at most BLOCK_ITEMS items and
 BLOCK_VALUES values (words times items), which bounds what is sent; each scan of the corpus serves SCAN_BLOCKS of them.
@@ -48,7 +49,6 @@ from .common import arrow_batch, arrow_schema, bound_batches, cut, discard, key_
 WINDOW, STRIDE = 32, 16
 BLOCK_ITEMS, BLOCK_VALUES, SCAN_BLOCKS = 512, 2_000_000, 4
 PORTION_BYTES = 2_000_000
-FIT_PASSAGES = 40_000
 JUDGED = 64
 EXTRA_RANK = 32
 #: A word of more than this share of cells has no weight in the cosine, unless an item would lose most of its weight.
@@ -148,6 +148,7 @@ class Space:
         self.vocabulary = pa.array(sorted({w for x in items for w in x.words}), pa.string())
         self.idf = self.weight = np.ones(len(self.vocabulary))
         self.other = 1.0
+        self.sketch: np.ndarray | None = None  # of each word, EXTRA_RANK sums over the corpus
         self.most: np.ndarray | None = None  # of each word, its highest value in an item's unit vector
         self.basis = self.coords = None
 
@@ -351,94 +352,73 @@ class Space:
             i = j
 
 
-_TERM, _TERM_ARROW = arrow_schema("space int, term int, n long")
-_CELL, _CELL_ARROW = arrow_schema("space int, i int, j int, v double")
+_SUMS = [f"s{k}" for k in range(EXTRA_RANK)]
+_TERM, _TERM_ARROW = arrow_schema("space int, term int, n long, " + ", ".join(f"{c} long" for c in _SUMS))
 _HIT, _HIT_ARROW = arrow_schema("key long, doc_id long, space int, item int, low int, high int, cosine double")
 _FOUND, _FOUND_ARROW = arrow_schema("key long, doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
+def _signs(key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column of the sketch and sign of each cell, by hash of its row's key and its number."""
+    code = key.astype(np.uint64) + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    code = (code ^ code >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (code >> np.uint64(40)).astype(np.int64) % EXTRA_RANK, np.where(code >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
+
+
 def _frequencies(own: DataFrame, spaces: list[Space]) -> list[tuple[np.ndarray, int]]:
-    """For each space, in how many cells of STRIDE words each of its words occurs, and the number of cells."""
+    """For each space, in how many cells of STRIDE words each of its words occurs, and the number of cells; sets the sketch."""
     vocabularies = [x.vocabulary for x in spaces]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         light = [Space.of_words(v) for v in vocabularies]
         out, cells = [np.zeros(len(v), np.int64) for v in vocabularies], 0
+        sums = [np.zeros((len(v), EXTRA_RANK), np.int64) for v in vocabularies]
         for batch in portions(batches, PORTION_BYTES):
             for k, space in enumerate(light):
-                row, _, held = space.cells(batch.column("text"))
+                row, number, held = space.cells(batch.column("text"))
                 cells += len(row) if k == 0 else 0
-                out[k] += np.bincount(held.ravel(), minlength=len(out[k]) + 1)[:-1]
+                cell, at = np.nonzero(held < len(out[k]))
+                term = held[cell, at].astype(np.int64)
+                out[k] += np.bincount(term, minlength=len(out[k]))
+                col, sign = _signs(batch.column("key").to_numpy()[row], number)
+                place = term * EXTRA_RANK + col[cell]
+                if len(place) < sums[k].size:
+                    place, back = np.unique(place, return_inverse=True)
+                    sums[k].reshape(-1)[place] += np.bincount(back, sign[cell]).astype(np.int64)
+                else:
+                    sums[k] += np.bincount(place, sign[cell], sums[k].size).astype(np.int64).reshape(sums[k].shape)
         for k, n in enumerate(out):
             on = np.flatnonzero(n)
-            yield arrow_batch(_TERM_ARROW, np.full(len(on) + 1, k, np.int32), np.append(on, -1).astype(np.int32), np.append(n[on], cells))
+            yield arrow_batch(_TERM_ARROW, np.full(len(on) + 1, k, np.int32), np.append(on, -1).astype(np.int32), np.append(n[on], cells), *(np.append(x, 0) for x in sums[k][on].T))
 
     df, cells = [np.zeros(len(v)) for v in vocabularies], 0
-    got = own.mapInArrow(count, _TERM).groupBy("space", "term").agg(F.sum("n").alias("n")).toArrow()  # a row for each word of the spaces
-    for k, term, n in zip(*(got.column(c).to_numpy() for c in ("space", "term", "n"))):
-        if term >= 0:
-            df[k][term] = n
-        else:
-            cells = int(n)
+    for space in spaces:
+        space.sketch = np.zeros((len(space.vocabulary), EXTRA_RANK))
+    got = own.mapInArrow(count, _TERM).groupBy("space", "term").agg(*[F.sum(c).alias(c) for c in ("n", *_SUMS)]).toArrow()  # a row for each word of the spaces
+    place, term, n = (got.column(c).to_numpy() for c in ("space", "term", "n"))
+    sums = np.stack([got.column(c).to_numpy() for c in _SUMS], axis=1)
+    for k, space in enumerate(spaces):
+        on = (place == k) & (term >= 0)
+        df[k][term[on]], space.sketch[term[on]] = n[on], sums[on]
+        cells = int(n[(place == k) & (term < 0)].sum())
     return [(x, cells) for x in df]
 
 
-def _summed(df: DataFrame, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
-    out = [np.zeros(shape) for shape in shapes]
-    got = df.groupBy("space", "i", "j").agg(F.sum("v").alias("v")).toArrow()  # the shapes bound the rows
-    space, i, j, v = (got.column(c).to_numpy() for c in ("space", "i", "j", "v"))
-    for k, x in enumerate(out):
-        on = space == k
-        x[i[on], j[on]] = v[on]
-    return out
-
-
-def _cells(k: int, out: np.ndarray) -> pa.RecordBatch:
-    i, j = np.nonzero(out)
-    return arrow_batch(_CELL_ARROW, np.full(len(i), k, np.int32), i.astype(np.int32), j.astype(np.int32), out[i, j])
-
-
 def fit(own: DataFrame, spaces: list[Space], passages: int) -> None:
-    """Randomised SVD of the TF-IDF matrix of each space's items and sampled passages; sets basis and item coordinates."""
-    share = min(1.0, FIT_PASSAGES / max(1, passages))
-    sample = own.where(F.pmod(F.col("key"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)).select("key", "text")
-    light = [Space.of_words(x.vocabulary, x) for x in spaces]
-    items = [x.vectors() for x in spaces]
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = [np.zeros((len(x.vocabulary), EXTRA_RANK)) for x in light]
-        for batch in portions(batches, PORTION_BYTES):
-            for space, sums in zip(light, out):
-                row, number, start, t, v = space.passages(batch.column("text"))
-                if len(start):
-                    key = batch.column("key").to_numpy().astype(np.uint64)[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    key = (key ^ key >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-                    col = (key >> np.uint64(40)).astype(np.int64) % EXTRA_RANK
-                    sign = np.where(key >> np.uint64(33) & np.uint64(1), 1.0, -1.0)
-                    per = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(t))))
-                    sums += np.bincount(t * EXTRA_RANK + col[per], v * sign[per], sums.size).reshape(sums.shape)
-        yield from (_cells(k, x) for k, x in enumerate(out))
-
-    random = _summed(sample.mapInArrow(sketch, _CELL), [(len(x.vocabulary), EXTRA_RANK) for x in spaces])
-    seeds = [np.linalg.qr(np.concatenate([x.T, y], axis=1))[0] for x, y in zip(items, random)]
-    seeds32 = [x.astype(np.float32) for x in seeds]
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = [np.zeros((x.shape[1], x.shape[1])) for x in seeds32]
-        for batch in portions(batches, PORTION_BYTES):
-            for space, seed, sums in zip(light, seeds32, out):
-                _, _, start, t, v = space.passages(batch.column("text"))
-                for _, z in space.project(start, t, v, seed):
-                    sums += z.T @ z
-        yield from (_cells(k, x) for k, x in enumerate(out))
-
-    grams = _summed(sample.mapInArrow(gram, _CELL), [(x.shape[1], x.shape[1]) for x in seeds])
-    for space, own_items, seed, total in zip(spaces, items, seeds, grams):
-        near = own_items @ seed
-        values, turn = np.linalg.eigh(total + near.T @ near)
+    """Randomised SVD of the TF-IDF matrix of each space's items and of all passages; sets basis and item coordinates.
+
+    Rows of a sketch are sums of weighted cells with random signs, so their products are those of all cells but for chance.
+    """
+    if new := [x for x in spaces if x.sketch is None]:
+        _frequencies(own, new)
+    for space in spaces:
+        items, rows = space.vectors(), (space.sketch * space.idf[:, None]).T / np.sqrt(max(1, passages))
+        seed = np.linalg.qr(np.concatenate([items.T, rows.T], axis=1))[0]
+        near, far = items @ seed, rows @ seed
+        values, turn = np.linalg.eigh(far.T @ far + near.T @ near)
         keep = values > 1e-9 * max(values.max(initial=0.0), 1e-30)
         space.basis = (seed @ turn[:, keep]).astype(np.float32)
-        coords = own_items @ space.basis
+        coords = items @ space.basis
         norm = np.linalg.norm(coords, axis=1, keepdims=True)
         space.coords = np.where(norm > 1e-6, coords / np.where(norm > 0, norm, 1), 0).astype(np.float32)
 

@@ -809,6 +809,33 @@ def test_candidates_reach_those_of_brute_force(exam):
     assert exact and len(got & exact) >= 0.9 * len(exact)
 
 
+def test_the_basis_is_fitted_to_all_passages(exam, monkeypatch):
+    """The sketch is that of every cell, and the latent space holds all items whole."""
+    monkeypatch.setattr(decontam, "FIT_PASSAGES", 50, raising=False)
+    docs, bench, _ = exam
+    own = decontam.keyed(docs)
+    space = decontam.Space(list(decontam.items_of(bench)))
+    df, cells = decontam._frequencies(own, [space])[0]
+    want, seen = np.zeros((len(space.vocabulary), decontam.EXTRA_RANK)), 0
+    for r in own.collect():
+        _, number, held = space.cells(pa.array([r["text"]], pa.string()))
+        col, sign = decontam._signs(np.full(len(number), r["key"]), number)
+        for c, s, terms in zip(col, sign, held):
+            own_terms = terms[terms < len(df)]
+            want[own_terms, c] += s
+        seen += len(number)
+    assert seen == cells and np.array_equal(space.sketch, want) and np.abs(want).sum() > 50
+    space.weigh(df, cells)
+    decontam.fit(own, [space], cells)
+    rest = (want * space.idf[:, None]).T
+    assert np.allclose(rest @ space.basis @ space.basis.T, rest, atol=1e-3 * np.abs(rest).max())
+    assert np.allclose(space.coords @ space.coords.T, space.vectors() @ space.vectors().T, atol=1e-3)
+    other = decontam.Space(list(decontam.items_of(bench)))  # not counted before
+    other.weigh(df, cells)
+    decontam.fit(own, [other], cells)
+    assert np.array_equal(other.sketch, want)
+
+
 def test_leaks_that_stand_in_a_third_of_all_rows_are_found(spark):
     r = random.Random(9)
     words = vocabulary(21, 2500)
