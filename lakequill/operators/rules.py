@@ -126,8 +126,9 @@ def fill_tables(df: DataFrame, key: str, rules: DataFrame, headers: DataFrame, m
     known = reduce(lambda a, b: a.unionByName(b), [headers.sparkSession.range(1).select(F.lit(c).alias("name"), F.lit(k).alias("at")) for k, c in enumerate(df.columns)])
     first = known.withColumn("n", normal_name(F.col("name"))).groupBy("n").agg(F.min_by("name", "at").alias("name"))
     wanted = headers.withColumn("n", normal_name(F.col("header"))).join(F.broadcast(first), "n").select("tbl", "col", "name")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`")).alias("value")) for c in df.columns]))
-    long = df.select(F.col(f"`{key}`").alias(key), cells.alias("x")).select(key, "x.name", "x.value").where(~F.lower("value").isin("", "nan", "none"))
+    names = [r["name"] for r in wanted.select("name").distinct().collect()] or df.columns[:1]  # columns of df at most
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), as_text(F.col(f"`{c}`")).alias("value")) for c in names]))
+    long = dealt(df, key, rows=50_000).select(F.col(f"`{key}`").alias(key), cells.alias("x")).select(key, "x.name", "x.value").where(~F.lower("value").isin("", "nan", "none"))
     place = F.row_number().over(Window.partitionBy("tbl", "col").orderBy(key)).cast("bigint")
     own = found.join(wanted.hint("merge"), "tbl").join(long.hint("merge"), [key, "name"])
     # rows of no table of their own are ranked once, for all tables that take them
